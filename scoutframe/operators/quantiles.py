@@ -12,12 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int = 1024) -> dict[str, list[float | None]]:
-    """Interpolated quantiles per column, NULLs left out: ``{column: [value per prob]}``."""
+    """Interpolated quantiles per column over its finite values: ``{column: [value per prob]}``."""
+    df = df.select(*[_finite(F.col(c).cast("double")).alias(c) for c in cols])
     stats = df.agg(
         *[F.count(c).alias(f"n_{c}") for c in cols],
         *[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in cols],
@@ -51,6 +52,10 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     return out
 
 
+def _finite(v: Column) -> Column:
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
 def _narrow(df: DataFrame, brackets: dict[tuple[str, int], tuple[float, float, int]], bins: int) -> None:
     intervals = sorted({(c, b[0], b[1]) for (c, _), b in brackets.items()})
     tagged = []
@@ -58,8 +63,11 @@ def _narrow(df: DataFrame, brackets: dict[tuple[str, int], tuple[float, float, i
         v = F.col(c).cast("double")
         # dividing each end first keeps the width finite for any pair of doubles
         width = high / bins - low / bins
-        spot = F.floor((v - low) / F.lit(width)).cast("int") if width > 0 else F.lit(0)
-        spot = F.greatest(F.lit(0), F.least(F.lit(bins - 1), spot))
+        if width > 0:
+            spot = F.floor(v / F.lit(width) - F.lit(low / width)).cast("bigint")
+            spot = F.greatest(F.lit(0), F.least(F.lit(bins - 1), spot))
+        else:  # neighbours too close to divide: split off the lowest value
+            spot = F.when(v == low, 0).otherwise(1).cast("bigint")
         tagged.append(
             F.when(v.between(low, high), F.struct(F.lit(i).alias("i"), spot.alias("bin"), v.alias("v")))
         )

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import aggregates, windows  # noqa: F401
+from . import aggregates, scalars, schema, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
