@@ -33,6 +33,8 @@ def sql_text(body: str, views: str = "", doubles: str = "", digits: int = 6) ->
     prefix = ""
     if names:
         prefix = "WITH " + ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in names) + "\n"
+    if prefix and body.startswith("WITH "):
+        body = "SELECT * FROM (" + body + ")"
     if not doubles:
         return prefix + body
     rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in doubles.split())
