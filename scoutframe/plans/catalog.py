@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import aggregates, joins, scalars, schema, sources, value, windows  # noqa: F401
+from . import aggregates, joins, portfolio, scalars, schema, sources, value, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
