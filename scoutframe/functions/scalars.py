@@ -88,8 +88,8 @@ def ladder_code(root: Column | str, number: Column | str) -> Column:
 
 
 def bet_type(response_var: Column | str) -> Column:
-    r = _col(response_var)
-    return F.when(r.isin("anytime_td_scorer", "team_win"), r).otherwise(F.regexp_replace(r, r"_[^_]*$", ""))
+    """Target code without its rung; the two targets without rungs stay whole."""
+    return F.regexp_replace(_col(response_var), r"^(?!anytime_td_scorer$|team_win$)(.*)_[^_]*$", "$1")
 
 
 def bet_category(response_var: Column | str) -> Column:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
 from .windows import top_n
 
 RIDGE = 1e-8
@@ -73,6 +74,7 @@ def pair_covariance(bets: DataFrame, coefs: DataFrame, keys: Sequence[str], x: s
     unit = bets.groupBy(*keys, "game", "team", "opponent", "position", "label", "var").agg(
         F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("ss"), F.count("*").alias("n")
     )
+    unit = staged(unit, "units")  # four sums read it
     half = F.lit(0.5)
     s, n = F.col("s"), F.col("n")
     twins = unit.groupBy(*keys, "game").agg(
@@ -198,25 +200,60 @@ def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[st
 
     fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{fields}, game string, n_units bigint, n_bets bigint, lowest_before double, lowest_after double"
-    return units.groupBy(*keys, "game").applyInPandas(repair, schema)
-
-
-def _long_only(cov: np.ndarray, mu: np.ndarray, lam: np.ndarray, sweeps: int = 200) -> np.ndarray:
-    """argmin u'Cu/2 - (mu + lam)'u with u >= 0, for many ``lam`` at once (coordinate descent)."""
-    u = np.zeros((len(mu), len(lam)))
-    for _ in range(sweeps):
-        moved = 0.0
-        for i in range(len(mu)):
-            new = np.maximum(0.0, u[i] + (mu[i] + lam - cov[i] @ u) / cov[i, i])
-            moved = max(moved, float(np.max(np.abs(new - u[i]) / (1.0 + new))))
-            u[i] = new
-        if moved < 1e-9:
+    return _by_game(units, keys).groupBy(*keys, "game").applyInPandas(repair, schema)
+
+
+def _by_game(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spread games over all shuffle partitions: they are small in bytes but costly to solve,
+    so partitions must not be merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "game")
+
+
+def _price_path(cov: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Solution of min u'Cu/2 - (mu + lam)'u, u >= 0 as lam grows: knots, values there, last slope.
+
+    The solution is piecewise linear in lam; bets enter and leave one at a time.
+    """
+    n = len(mu)
+    lam, active = -float(mu.max()), [int(np.argmax(mu))]
+    knots, values = [lam], [np.zeros(n)]
+    for _ in range(60 * n + 60):
+        base, slope = np.linalg.solve(cov[np.ix_(active, active)], np.column_stack([mu[active], np.ones(len(active))])).T
+        falls = slope < -1e-12
+        leave = np.where(falls, -base / np.where(falls, slope, 1.0), np.inf)
+        idle = np.setdiff1d(np.arange(n), active)
+        gap = cov[np.ix_(idle, active)] @ base - mu[idle]
+        gain = cov[np.ix_(idle, active)] @ slope - 1.0
+        rises = gain < -1e-12
+        enter = np.where(rises, -gap / np.where(rises, gain, 1.0), np.inf)
+        first_leave = leave.min(initial=np.inf)
+        first_enter = enter.min(initial=np.inf)
+        step = min(first_leave, first_enter)
+        if not np.isfinite(step):
             break
-    return u
+        lam = max(lam, float(step))
+        u = np.zeros(n)
+        u[active] = np.maximum(0.0, base + lam * slope)
+        knots.append(lam)
+        values.append(u)
+        if first_enter <= first_leave:
+            active.append(int(idle[int(np.argmin(enter))]))
+        else:
+            del active[int(np.argmin(leave))]
+    final = np.zeros(n)
+    final[active] = np.maximum(slope, 0.0)
+    return np.array(knots), np.array(values), final
+
+
+def _along(path: tuple[np.ndarray, np.ndarray, np.ndarray], lam: np.ndarray) -> np.ndarray:
+    """Values of a path at given prices, one row per bet."""
+    knots, values, final = path
+    inside = np.array([np.interp(lam, knots, values[:, i]) for i in range(values.shape[1])])
+    return inside + np.outer(final, np.maximum(lam - knots[-1], 0.0))
 
 
 def weight_sweep(
-    bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str], gammas: Sequence[float], max_bets: int, grid: int = 96
+    bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str], gammas: Sequence[float], max_bets: int, grid: int = 160
 ) -> DataFrame:
     """Long-only, fully invested mean-variance weights for every risk aversion.
 
@@ -239,13 +276,13 @@ def weight_sweep(
 
     def demand(g: pd.DataFrame) -> pd.DataFrame:
         lam = steps - float(g["_top"].iloc[0])
-        total = _long_only(covariance(g), g["ev"].to_numpy() / 100.0, lam).sum(axis=0)
+        total = _along(_price_path(covariance(g), g["ev"].to_numpy() / 100.0), lam).sum(axis=0)
         out = pd.DataFrame({"step": np.arange(len(steps)), "taken": total})
         for k in keys:
             out[k] = g[k].iloc[0]
         return out
 
-    taken = inputs.groupBy(*keys, "game").applyInPandas(demand, f"step int, taken double, {fields}")
+    taken = _by_game(inputs, keys).groupBy(*keys, "game").applyInPandas(demand, f"step int, taken double, {fields}")
     weekly = taken.groupBy(*keys, "step").agg(F.sum("taken").alias("taken"))
     curve = weekly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "taken"))).alias("_curve"))
 
@@ -259,7 +296,7 @@ def weight_sweep(
         if beyond.any():  # the last stretch is a straight line
             slope = max((curve_taken[-1] - curve_taken[-2]) / (lam_grid[-1] - lam_grid[-2]), 1e-12)
             lam[beyond] = lam_grid[-1] + (goal[beyond] - curve_taken[-1]) / slope
-        u = _long_only(covariance(g), g["ev"].to_numpy() / 100.0, lam)
+        u = _along(_price_path(covariance(g), g["ev"].to_numpy() / 100.0), lam)
         w = u / goal
         rows = []
         ids = g["bet_id"].to_numpy()
@@ -272,7 +309,7 @@ def weight_sweep(
             out[name] = g[name].iloc[0]
         return out
 
-    solved = inputs.join(curve, list(keys)).groupBy(*keys, "game").applyInPandas(
+    solved = _by_game(inputs.join(curve, list(keys)), keys).groupBy(*keys, "game").applyInPandas(
         allocate, f"gamma_index int, bet_id string, weight double, {fields}"
     )
     best = top_n(solved, [*keys, "gamma_index"], [F.desc("weight"), "bet_id"], max_bets)

@@ -35,12 +35,11 @@ DAY_FRACTIONS = {"thursday": 0.2, "sunday": 0.6, "monday": 0.2}
 
 
 def choose(key: Column | str, values: Mapping[object, object], other: object = None) -> Column:
-    """Lookup in a small fixed table as one expression."""
+    """Lookup in a small fixed table; the key is read once however many entries there are."""
     k = F.col(key) if isinstance(key, str) else key
-    out: Column | None = None
-    for name, value in values.items():
-        out = F.when(k == name, value) if out is None else out.when(k == name, value)
-    return out.otherwise(other)
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    default = other if isinstance(other, Column) else F.lit(other)
+    return F.coalesce(F.try_element_at(table, k), default)
 
 
 def closing_lines(lines: DataFrame, keys: Sequence[str], run: str, start: str, minutes: int = 10, tie: str = "event_id") -> DataFrame:

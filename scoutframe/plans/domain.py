@@ -158,30 +158,20 @@ def bets(spark: SparkSession, folder: str) -> DataFrame:
         F.expr(_POSITION.format(e="l_partkey")).alias("player_position"),
     )
 
-    def step(values: list, key: str) -> str:
-        return f"element_at(array({', '.join(map(str, values))}), CAST({key} % {len(values)} + 1 AS int))"
+    def rung(root: str, ladder: list) -> str:
+        codes = ", ".join(f"'{root}_{_code(n)}'" for n in ladder)
+        return f"element_at(array({codes}), CAST(q % {len(ladder)} + 1 AS int))"
 
-    priced = base.withColumn(
-        "number",
-        F.expr(
-            f"CAST(CASE family WHEN 0 THEN {step(PASSING_LADDER, 'q')} WHEN 1 THEN {step(YARD_LADDER, 'q')} "
-            f"WHEN 2 THEN {step(YARD_LADDER, 'q')} WHEN 3 THEN {step(RECEPTION_LADDER, 'q')} "
-            f"WHEN 4 THEN {step(COMBINED_LADDER, 'q')} WHEN 7 THEN {step(SPREAD_LADDER, 'q')} END AS double)"
-        ),
-    )
-    return priced.select(
+    return base.select(
         "bet_id", "season", "week",
         F.expr("CASE WHEN family >= 6 THEN concat('T', team) ELSE concat('P', player) END").alias("label"),
         F.expr("CASE WHEN family >= 6 THEN 'team' ELSE player_position END").alias("position"),
         "team", F.expr(_opponent("week", "team")).alias("opponent"),
         F.expr(
-            "CASE family WHEN 0 THEN concat('passing_yards_', CAST(number AS int)) "
-            "WHEN 1 THEN concat('rushing_yards_', CAST(number AS int)) "
-            "WHEN 2 THEN concat('receiving_yards_', CAST(number AS int)) "
-            "WHEN 3 THEN concat('receptions_', CAST(number AS int)) "
-            "WHEN 4 THEN concat('rushing_receiving_yards_', CAST(number AS int)) "
-            "WHEN 5 THEN 'anytime_td_scorer' WHEN 6 THEN 'team_win' "
-            "ELSE concat('team_differential_', CASE WHEN number < 0 THEN 'minus' ELSE '' END, CAST(abs(number) AS string)) END"
+            f"CASE family WHEN 0 THEN {rung('passing_yards', PASSING_LADDER)} WHEN 1 THEN {rung('rushing_yards', YARD_LADDER)} "
+            f"WHEN 2 THEN {rung('receiving_yards', YARD_LADDER)} WHEN 3 THEN {rung('receptions', RECEPTION_LADDER)} "
+            f"WHEN 4 THEN {rung('rushing_receiving_yards', COMBINED_LADDER)} WHEN 5 THEN 'anytime_td_scorer' WHEN 6 THEN 'team_win' "
+            f"ELSE {rung('team_differential', SPREAD_LADDER)} END"
         ).alias("response_var"),
         (F.col("q") / F.lit(51.0)).alias("p"),
         F.expr("CAST(CASE WHEN e % 4 = 0 THEN -(105 + e % 300) ELSE 100 + (e % 50) * (e % 50) END AS double)").alias("odds"),
@@ -189,6 +179,10 @@ def bets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _code(n: float) -> str:
+    return ("minus" if n < 0 else "") + f"{abs(n):g}"
+
+
 # name -> (views it reads, SQL body)
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 

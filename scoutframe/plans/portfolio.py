@@ -60,7 +60,7 @@ _COR_SQL = f"SELECT relation, position1, var1, position2, var2, cor FROM ({PAIR_
 
 @query(
     "j13_correlation_lookup",
-    f"WITH cor AS ({_COR_SQL}), cls AS (SELECT DISTINCT season, week, game, team, opponent, position, var FROM ({POOL_SQL})) "
+    f"WITH cor AS MATERIALIZED ({_COR_SQL}), cls AS (SELECT DISTINCT season, week, game, team, opponent, position, var FROM ({POOL_SQL})) "
     "SELECT p.relation, p.position1, p.var1, p.position2, p.var2, n, coalesce(cor, 0) AS cor FROM (SELECT CASE WHEN a.team = b.team THEN 'same_team' ELSE 'opp_team' END AS relation, a.position AS position1, a.var AS var1, b.position AS position2, b.var AS var2, count(*) AS n "
     "FROM cls a JOIN cls b ON a.season = b.season AND a.week = b.week AND a.game = b.game WHERE a.team = b.team OR a.opponent = b.team GROUP BY ALL) p LEFT JOIN cor USING (relation, position1, var1, position2, var2)",
     "panel bets",
@@ -72,7 +72,7 @@ def j13(spark, d):
 
 def _pair_sql(pool_sql: str, x: str) -> str:
     return (
-        f"WITH cor AS ({_COR_SQL}), pl AS ({pool_sql}), pr AS (SELECT a.season, a.week, a.game, CASE WHEN a.label = b.label AND a.var = b.var THEN 'same_label_and_type' WHEN a.label = b.label THEN 'same_label' WHEN a.team = b.team THEN 'same_team' ELSE 'opp_team' END AS relation, "
+        f"WITH cor AS MATERIALIZED ({_COR_SQL}), pl AS MATERIALIZED ({pool_sql}), pr AS MATERIALIZED (SELECT a.season, a.week, a.game, CASE WHEN a.label = b.label AND a.var = b.var THEN 'same_label_and_type' WHEN a.label = b.label THEN 'same_label' WHEN a.team = b.team THEN 'same_team' ELSE 'opp_team' END AS relation, "
         f"a.position AS position1, a.var AS var1, b.position AS position2, b.var AS var2, a.{x} * b.{x} AS xx FROM pl a JOIN pl b ON a.season = b.season AND a.week = b.week AND a.game = b.game AND a.bet_id < b.bet_id) "
         "SELECT season, week, game, relation, count(*) AS n_pairs, sum(xx * CASE WHEN relation = 'same_label_and_type' THEN 1.0 ELSE coalesce(cor, 0.0) END) AS cov_sum FROM ("
         "SELECT pr.*, cor.cor FROM pr LEFT JOIN cor ON cor.relation = CASE pr.relation WHEN 'same_label' THEN 'same_player' ELSE pr.relation END AND cor.position1 = pr.position1 AND cor.var1 = pr.var1 AND cor.position2 = pr.position2 AND cor.var2 = pr.var2) GROUP BY ALL"
@@ -112,7 +112,7 @@ _WEIGHTS_SQL = (
 )
 _METRICS_SQL = (
     f"SELECT season, week, portfolio_id, mu AS portfolio_mu, diag + 2 * coalesce(cov, 0) AS portfolio_var, sqrt(greatest(diag + 2 * coalesce(cov, 0), 0)) AS portfolio_sd, mu / nullif(sqrt(greatest(diag + 2 * coalesce(cov, 0), 0)), 0) AS portfolio_sharpe FROM ("
-    f"WITH cor AS ({_COR_SQL}), wt AS (SELECT *, weight * sqrt(risk_score) AS x FROM ({_WEIGHTS_SQL})), pr AS (SELECT a.season, a.week, a.portfolio_id, CASE WHEN a.label = b.label AND a.var = b.var THEN 'twin' WHEN a.label = b.label THEN 'same_player' WHEN a.team = b.team THEN 'same_team' ELSE 'opp_team' END AS relation, "
+    f"WITH cor AS MATERIALIZED ({_COR_SQL}), wt AS MATERIALIZED (SELECT *, weight * sqrt(risk_score) AS x FROM ({_WEIGHTS_SQL})), pr AS MATERIALIZED (SELECT a.season, a.week, a.portfolio_id, CASE WHEN a.label = b.label AND a.var = b.var THEN 'twin' WHEN a.label = b.label THEN 'same_player' WHEN a.team = b.team THEN 'same_team' ELSE 'opp_team' END AS relation, "
     "a.position AS position1, a.var AS var1, b.position AS position2, b.var AS var2, a.x * b.x AS xx FROM wt a JOIN wt b ON a.season = b.season AND a.week = b.week AND a.portfolio_id = b.portfolio_id AND a.game = b.game AND a.bet_id < b.bet_id), "
     "cv AS (SELECT season, week, portfolio_id, sum(xx * CASE WHEN relation = 'twin' THEN 1.0 ELSE coalesce(cor, 0.0) END) AS cov FROM pr LEFT JOIN cor USING (relation, position1, var1, position2, var2) GROUP BY ALL) "
     "SELECT wt.season, wt.week, wt.portfolio_id, sum(weight * ev / 100.0) AS mu, sum(x * x) AS diag, any_value(cov) AS cov FROM wt LEFT JOIN cv ON cv.season = wt.season AND cv.week = wt.week AND cv.portfolio_id = wt.portfolio_id GROUP BY ALL)"
@@ -126,13 +126,15 @@ def b11(spark, d):
 
 @query(
     "b12_best_portfolio",
-    f"SELECT 'sharpe' AS rule, season, week, portfolio_id, portfolio_mu, portfolio_sd FROM ({_METRICS_SQL}) WHERE portfolio_sharpe IS NOT NULL QUALIFY row_number() OVER (PARTITION BY season, week ORDER BY round(portfolio_sharpe, 9) DESC, portfolio_id) = 1 "
-    f"UNION ALL SELECT 'capped', season, week, portfolio_id, portfolio_mu, portfolio_sd FROM ({_METRICS_SQL}) WHERE portfolio_sd < 1.0 QUALIFY row_number() OVER (PARTITION BY season, week ORDER BY round(portfolio_mu, 9) DESC, portfolio_id) = 1",
+    f"SELECT 'sharpe' AS rule, season, week, portfolio_id, round(portfolio_mu, 9) AS portfolio_mu, portfolio_sd FROM ({_METRICS_SQL}) WHERE portfolio_sharpe IS NOT NULL QUALIFY row_number() OVER (PARTITION BY season, week ORDER BY round(portfolio_sharpe, 9) DESC, portfolio_id) = 1 "
+    f"UNION ALL SELECT 'capped', season, week, portfolio_id, round(portfolio_mu, 9), portfolio_sd FROM ({_METRICS_SQL}) WHERE portfolio_sd < 1.0 QUALIFY row_number() OVER (PARTITION BY season, week ORDER BY round(portfolio_mu, 9) DESC, portfolio_id) = 1",
     "panel bets",
     "portfolio_mu portfolio_sd",
 )
 def b12(spark, d):
-    metrics = b11(spark, d).withColumns({
+    from ..sources.tables import staged
+
+    metrics = staged(b11(spark, d), "metrics").withColumns({
         "portfolio_mu": F.round("portfolio_mu", 9), "portfolio_sharpe": F.round("portfolio_sharpe", 9)
     })
     keep = ["season", "week", "portfolio_id", "portfolio_mu", "portfolio_sd"]

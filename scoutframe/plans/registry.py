@@ -32,7 +32,7 @@ def sql_text(body: str, views: str = "", doubles: str = "", digits: int = 6) ->
     names = _with_dependencies(views.split())
     prefix = ""
     if names:
-        prefix = "WITH " + ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in names) + "\n"
+        prefix = "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({SQL_VIEWS[n][1]})" for n in names) + "\n"
     if prefix and body.startswith("WITH "):
         body = "SELECT * FROM (" + body + ")"
     if not doubles:
