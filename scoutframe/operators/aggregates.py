@@ -41,8 +41,8 @@ def minutes_from_clock(c: str) -> Column:
 
 def ordered_text(order: Sequence[str], text: str, sep: str) -> Column:
     """Aggregate: texts of a bounded group joined in order."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, text)))
-    return F.array_join(F.transform(rows, lambda r: r[text]), sep)
+    rows = F.sort_array(F.collect_list(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(text).alias("t"))))
+    return F.array_join(F.transform(rows, lambda r: r["t"]), sep)
 
 
 def text_segments(df: DataFrame, keys: Keys, order: str, text: str, size: int, sep: str = "\n") -> DataFrame:
