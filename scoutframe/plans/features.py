@@ -171,7 +171,7 @@ _TALENT_SQL = (
 )
 
 
-@query("d6_talent_shares", _TALENT_SQL, "panel", "talent adjusted_share delta_adjusted_share recent_form_delta")
+@query("d6_talent_shares", _TALENT_SQL, "panel", "talent adjusted_share delta_adjusted_share recent_form_delta", digits=10)
 def d6(spark, d):
     rows = W.share_of_group(D.panel(spark, d), ["season", "week", "team"], "yards", "share").select(
         "entity", "season", "week", "team", "position", (F.col("urgent") > 1).alias("out"), "share"
@@ -193,14 +193,14 @@ def d6(spark, d):
 
 @query(
     "d7_leader_workload",
-    "WITH l AS MATERIALIZED (SELECT team % 7 AS leader, season, week, avg(plays) AS plays FROM teams GROUP BY ALL), q AS (SELECT quantile_cont(plays, 0.33) AS q33, quantile_cont(plays, 0.66) AS q66 FROM l), y AS (SELECT leader, season, avg(plays) AS m FROM l GROUP BY ALL) "
+    "WITH l AS MATERIALIZED (SELECT team % 7 AS leader, season, week, CAST(sum(plays) AS DOUBLE) AS plays FROM teams GROUP BY ALL), q AS (SELECT round(quantile_cont(plays, 0.33), 6) AS q33, round(quantile_cont(plays, 0.66), 6) AS q66 FROM l), y AS (SELECT leader, season, avg(plays) AS m FROM l GROUP BY ALL) "
     "SELECT leader, season, week, leader_workload, volume, CASE WHEN volume > q66 THEN 'High' WHEN volume > q33 THEN 'Medium' ELSE 'Low' END AS volume_class FROM (SELECT w.leader, w.season, w.week, leader_workload, coalesce(leader_workload, y.m) AS volume FROM ("
     "SELECT *, CASE WHEN row_number() OVER (PARTITION BY leader ORDER BY season, week) > row_number() OVER (PARTITION BY leader, season ORDER BY week) THEN avg(plays) OVER (PARTITION BY leader ORDER BY season, week ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) END AS leader_workload FROM l) w LEFT JOIN y ON y.leader = w.leader AND y.season = w.season - 1), q",
     "teams",
     "leader_workload volume",
 )
 def d7(spark, d):
-    led = D.teams(spark, d).groupBy((F.col("team") % 7).alias("leader"), "season", "week").agg(F.avg("plays").alias("plays"))
+    led = D.teams(spark, d).groupBy((F.col("team") % 7).alias("leader"), "season", "week").agg(F.sum("plays").cast("double").alias("plays"))
     medium, high = exact_percentiles(led, ["plays"], [0.33, 0.66])["plays"]
     worked = X.leader_workload(led, "leader", "season", CAREER, "plays")
     last = led.groupBy("leader", (F.col("season") + 1).alias("season")).agg(F.avg("plays").alias("m"))
