@@ -78,6 +78,7 @@ def a2(spark, d):
     "SELECT game_id, posteam, sum(m) AS possession_minutes FROM (SELECT game_id, posteam, drive, max(CAST(split_part(possession, ':', 1) AS DOUBLE) + CAST(split_part(possession, ':', 2) AS DOUBLE) / 60.0) AS m FROM plays GROUP BY ALL) GROUP BY ALL",
     "plays",
     "possession_minutes",
+    digits=9,
 )
 def a3(spark, d):
     per_drive = D.plays(spark, d).groupBy("game_id", "posteam", "drive").agg(
@@ -278,7 +279,8 @@ PAID_SQL = "SELECT *, CASE WHEN bet_hit THEN 100.0 * (1.0 + (CASE WHEN odds > 0
     f"(sum(paid) - 100.0 * count(*)) / (100.0 * count(*)) AS total_return FROM ({PAID_SQL}) GROUP BY season, response_var",
     "bets",
     "payout spent med_odds total_return",
-    digits=4,
+    digits=5,
+    fine="total_return",
 )
 def a14(spark, d):
     settled = A.settle(D.bets(spark, d), F.lit(100.0))
@@ -301,6 +303,7 @@ def _slug(label: str) -> str:
     + f" FROM (SELECT *, {EV_BAND_SQL} AS band FROM (SELECT *, {EV_SQL} AS ev FROM ({PAID_SQL}))) GROUP BY 1",
     "bets",
     " ".join(_slug(b) for b in C.EV_BANDS),
+    digits=10,
 )
 def a15(spark, d):
     bands = A.settle(D.bets(spark, d), F.lit(100.0)).select(

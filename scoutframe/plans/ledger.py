@@ -32,7 +32,7 @@ def _summary_sql(by: str, src: str = _LEDGER_SQL) -> str:
     )
 
 
-@query("b18_ledger_by_bettor_week", _summary_sql("bettor, season, week"), "bets", "spent payout total_return", digits=5)
+@query("b18_ledger_by_bettor_week", _summary_sql("bettor, season, week"), "bets", "spent payout total_return", digits=5, fine="total_return")
 def b18(spark, d):
     return L.ledger_summary(ledger(spark, d), ["bettor", "season", "week"])
 
@@ -43,6 +43,7 @@ def b18(spark, d):
     "bets",
     "spent payout total_return",
     digits=4,
+    fine="total_return",
 )
 def b18_bands(spark, d):
     once = ledger(spark, d).select("season", "week", "label", "response_var", "odds", "amount", "result").distinct()
@@ -100,6 +101,7 @@ def b20_teams(spark, d):
     "SELECT f.*, last_season_avg, opponent_defence_rank FROM f LEFT JOIN (SELECT team, avg(yards) AS last_season_avg FROM r WHERE season = 1999 GROUP BY team) a ON a.team = f.team LEFT JOIN (SELECT opponent, rank() OVER (ORDER BY sum(yards)) AS opponent_defence_rank FROM r WHERE season = 1999 GROUP BY opponent) k ON k.opponent = f.opponent WHERE f.season = 2000",
     "games",
     "season_win_rate season_home_win_rate last_season_avg",
+    digits=9,
 )
 def b21(spark, d):
     games = D.games(spark, d)

@@ -13,21 +13,24 @@ from .domain import SQL_VIEWS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# digits for ratios near 1, where six could fall on a tie
+FINE = 10
 
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
+
+def tidy(df: DataFrame, digits: int = 6, fine: str = "") -> DataFrame:
     """Round floating columns and widen integers so that two engines agree on values."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = (F.round(c.cast("double"), digits) + F.lit(0.0)).alias(field.name)
+            c = (F.round(c.cast("double"), FINE if field.name in fine.split() else digits) + F.lit(0.0)).alias(field.name)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint").alias(field.name)
         out.append(c)
     return df.select(*out)
 
 
-def sql_text(body: str, views: str = "", doubles: str = "", digits: int = 6) -> str:
+def sql_text(body: str, views: str = "", doubles: str = "", digits: int = 6, fine: str = "") -> str:
     """Prefix a body with the named views it reads and round its floating columns."""
     names = _with_dependencies(views.split())
     prefix = ""
@@ -37,7 +40,7 @@ def sql_text(body: str, views: str = "", doubles: str = "", digits: int = 6) ->
         body = "SELECT * FROM (" + body + ")"
     if not doubles:
         return prefix + body
-    rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in doubles.split())
+    rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {FINE if c in fine.split() else digits}) + 0.0 AS {c}" for c in doubles.split())
     return f"{prefix}SELECT * REPLACE ({rounded}) FROM ({body}) AS checked"
 
 
@@ -55,15 +58,15 @@ def _with_dependencies(names: list[str]) -> list[str]:
     return ordered
 
 
-def query(name: str, sql: str | None = None, views: str = "", doubles: str = "", digits: int = 6):
+def query(name: str, sql: str | None = None, views: str = "", doubles: str = "", digits: int = 6, fine: str = ""):
     """Register ``fn(spark, folder)`` under ``name`` together with its check."""
 
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, folder: tidy(fn(spark, folder), digits)
+        QUERIES[name] = lambda spark, folder: tidy(fn(spark, folder), digits, fine)
         if sql is not None:
-            ORACLES[name] = sql_text(sql, views, doubles, digits)
+            ORACLES[name] = sql_text(sql, views, doubles, digits, fine)
         return fn
 
     return register

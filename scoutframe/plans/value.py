@@ -181,7 +181,7 @@ _TOPN_SQL = (
 )
 
 
-@query("b14_straight_bets", _TOPN_SQL, "bets", "total_return median_odds")
+@query("b14_straight_bets", _TOPN_SQL, "bets", "total_return median_odds", fine="total_return")
 def b14(spark, d):
     valued = V.expected_value_and_risk(D.bets(spark, d), caps=True)
     capped = V.straight_bets(valued.where("odds < 1000"), ["season", "week"]).withColumn("odds_cap", F.lit("+1000 Odds Cap"))
@@ -203,6 +203,7 @@ def _settled(spark, d):
     "SELECT *, baseline_return - adjusted_return AS return_drop FROM (SELECT c.season, scenario, k AS k_wins_removed, num_wins, baseline_return, (payout - coalesce((SELECT sum(paid) FROM wins w WHERE w.season = c.season AND rn <= k), 0) - spent) / spent AS adjusted_return FROM cases c)",
     "bets",
     "baseline_return adjusted_return return_drop",
+    digits=10,
 )
 def b15(spark, d):
     return V.win_removal_stress(_settled(spark, d), ["season"])
@@ -213,6 +214,7 @@ def b15(spark, d):
     f"WITH base AS ({_BASE_SQL}), wins AS ({_WINS_SQL}) SELECT *, wins_to_break_even / CAST(num_wins AS DOUBLE) AS share_to_break_even FROM (SELECT season, baseline_return, num_wins, (SELECT min(rn) FROM wins w WHERE w.season = b.season AND b.payout - w.cum <= b.spent) AS wins_to_break_even, (payout - largest - spent) / spent AS worst_single_removal FROM base b)",
     "bets",
     "baseline_return share_to_break_even worst_single_removal",
+    digits=10,
 )
 def b15_break_even(spark, d):
     return V.wins_to_break_even(_settled(spark, d), ["season"])
@@ -224,6 +226,7 @@ def b15_break_even(spark, d):
     f"avg(CAST(r <= -1 AS INT)::DOUBLE) AS pct_weeks_down_100, count(*) AS num_weeks FROM (SELECT season, week, sum(paid) AS payout, sum(amount) AS spent, (sum(paid) - sum(amount)) / sum(amount) AS r FROM ({_SETTLED_SQL}) GROUP BY season, week) GROUP BY season",
     "bets",
     "season_return avg_weekly_return median_weekly_return weekly_sd min_week pct_profitable_weeks pct_weeks_down_100",
+    digits=10,
 )
 def b16(spark, d):
     return V.weekly_reliability(_settled(spark, d), ["season"], ["week"])
@@ -257,6 +260,7 @@ def b17(spark, d):
     "bets",
     "spent payout total_return",
     digits=4,
+    fine="total_return",
 )
 def b22(spark, d):
     return V.blanket_bets(D.bets(spark, d), [None, 0.0, 25.0, 50.0])

@@ -177,6 +177,7 @@ def w10(spark, d):
     "FROM (SELECT *, yards / nullif(sum(yards) OVER (PARTITION BY season, week, team), 0) AS share FROM panel)",
     "panel",
     "share share_delta",
+    digits=10,
 )
 def w11(spark, d):
     df = W.share_of_group(D.panel(spark, d), ["season", "week", "team"], "yards", "share")
