@@ -67,23 +67,25 @@ def plain_words(c: Column | str) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(x), "[^a-zà-ÿ]+", " ")), " ")
 
 
-def dictionary_matches(texts: DataFrame, keys: Keys, text: str, names: DataFrame, name: str, max_words: int = 3) -> DataFrame:
+def dictionary_matches(texts: DataFrame, keys: Keys, text: str, names: DataFrame, name: str) -> DataFrame:
     """Known names that occur in a text as whole words.
 
-    Every run of one to ``max_words`` words of the text is looked up by equality, so
-    there is no comparison of every text with every name.
+    Each word of a text is looked up by equality as the first word of a name, and the
+    words after it are compared with the rest of that name: no comparison of every text
+    with every name, and no phrase is built for words that start no name.
     """
+    known = names.select(plain_words(name).alias("d")).where("d[0] <> ''").distinct()
+    longest = known.agg(F.max(F.size("d"))).first()[0] or 1
+    rest = [F.get("d", F.lit(i)).alias(f"d{i}") for i in range(longest)]
+    dictionary = known.select(F.array_join("d", " ").alias("name_key"), *rest)
     words = texts.select(*keys, plain_words(text).alias("w"))
-
-    def runs(k: int) -> Column:
-        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, k), " "))
-
-    phrases = words.select(
-        *keys, F.explode(F.array_distinct(F.concat(*[runs(k) for k in range(1, max_words + 1)]))).alias("name_key")
-    )
-    dictionary = names.select(F.array_join(plain_words(name), " ").alias("name_key")).where("name_key <> ''").distinct()
-    return phrases.join(dictionary, "name_key", "left_semi").select(*keys, "name_key")
+    shifted = [F.col("w")] + [F.slice("w", i + 1, F.size("w")) for i in range(1, longest)]
+    run = F.arrays_zip(*[x.alias(f"w{i}") for i, x in enumerate(shifted)])
+    spots = words.select(*keys, F.explode(run).alias("r")).select(*keys, *[F.col(f"r.w{i}").alias(f"w{i}") for i in range(longest)])
+    match = F.col("w0") == F.col("d0")
+    for i in range(1, longest):
+        match = match & (F.col(f"d{i}").isNull() | (F.col(f"w{i}") == F.col(f"d{i}")))
+    return spots.join(dictionary, match).select(*keys, "name_key").distinct()
 
 
 def as_of(df: DataFrame, versions: DataFrame, on: Keys, period: str, version_period: str, created: Sequence[str], cols: Keys, back: int = 1) -> DataFrame:

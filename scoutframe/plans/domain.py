@@ -158,21 +158,25 @@ def bets(spark: SparkSession, folder: str) -> DataFrame:
         F.expr(_POSITION.format(e="l_partkey")).alias("player_position"),
     )
 
-    def rung(root: str, ladder: list) -> str:
-        codes = ", ".join(f"'{root}_{_code(n)}'" for n in ladder)
-        return f"element_at(array({codes}), CAST(q % {len(ladder)} + 1 AS int))"
-
+    # all target codes in one list; a family starts at its offset and cycles through its rungs
+    families = [
+        [f"passing_yards_{_code(n)}" for n in PASSING_LADDER], [f"rushing_yards_{_code(n)}" for n in YARD_LADDER],
+        [f"receiving_yards_{_code(n)}" for n in YARD_LADDER], [f"receptions_{_code(n)}" for n in RECEPTION_LADDER],
+        [f"rushing_receiving_yards_{_code(n)}" for n in COMBINED_LADDER], ["anytime_td_scorer"], ["team_win"],
+        [f"team_differential_{_code(n)}" for n in SPREAD_LADDER],
+    ]
+    sizes = [len(f) for f in families]
+    offsets = [sum(sizes[:i]) for i in range(len(sizes))]
+    codes = F.array(*[F.lit(c) for f in families for c in f])
+    place = F.expr(
+        f"CAST(element_at(array({', '.join(map(str, offsets))}), CAST(family + 1 AS int)) + q % element_at(array({', '.join(map(str, sizes))}), CAST(family + 1 AS int)) + 1 AS int)"
+    )
     return base.select(
         "bet_id", "season", "week",
         F.expr("CASE WHEN family >= 6 THEN concat('T', team) ELSE concat('P', player) END").alias("label"),
         F.expr("CASE WHEN family >= 6 THEN 'team' ELSE player_position END").alias("position"),
         "team", F.expr(_opponent("week", "team")).alias("opponent"),
-        F.expr(
-            f"CASE family WHEN 0 THEN {rung('passing_yards', PASSING_LADDER)} WHEN 1 THEN {rung('rushing_yards', YARD_LADDER)} "
-            f"WHEN 2 THEN {rung('receiving_yards', YARD_LADDER)} WHEN 3 THEN {rung('receptions', RECEPTION_LADDER)} "
-            f"WHEN 4 THEN {rung('rushing_receiving_yards', COMBINED_LADDER)} WHEN 5 THEN 'anytime_td_scorer' WHEN 6 THEN 'team_win' "
-            f"ELSE {rung('team_differential', SPREAD_LADDER)} END"
-        ).alias("response_var"),
+        F.element_at(codes, place).alias("response_var"),
         (F.col("q") / F.lit(51.0)).alias("p"),
         F.expr("CAST(CASE WHEN e % 4 = 0 THEN -(105 + e % 300) ELSE 100 + (e % 50) * (e % 50) END AS double)").alias("odds"),
         "bet_hit", "day_of_week", "q",

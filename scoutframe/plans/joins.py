@@ -197,7 +197,7 @@ _WORDS_SQL = "trim(regexp_replace(lower({c}), '[^a-zà-ÿ]+', ' ', 'g'))"
 )
 def j11(spark, d):
     names = D.table(spark, d, "benchmark").select(F.array_join(F.slice(J.plain_words("text"), 1, 2), " ").alias("phrase"))
-    return J.dictionary_matches(D.table(spark, d, "documents"), ["doc_id"], "text", names, "phrase", max_words=2)
+    return J.dictionary_matches(D.table(spark, d, "documents"), ["doc_id"], "text", names, "phrase")
 
 
 @query(

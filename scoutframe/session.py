@@ -16,6 +16,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sco
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # beyond this size the JVM does not compile a generated method; smaller ones are faster
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
