@@ -9,7 +9,7 @@ from scoutframe.session import local_session
 
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    prefixes = tuple(sys.argv[2:])
+    prefixes = tuple(a for a in sys.argv[2:] if a != "-v")
     spark = local_session("8", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = check.duckdb_connection(folder)

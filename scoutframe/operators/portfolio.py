@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
+from . import wide_games as W
 from .windows import top_n
 
 RIDGE = 1e-8
@@ -253,54 +254,54 @@ def _along(path: tuple[np.ndarray, np.ndarray, np.ndarray], lam: np.ndarray) ->
 
 
 def weight_sweep(
-    bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str], gammas: Sequence[float], max_bets: int, grid: int = 160
+    bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str], gammas: Sequence[float], max_bets: int,
+    grid: int = 160, dense_limit: int = 1000,
 ) -> DataFrame:
     """Long-only, fully invested mean-variance weights for every risk aversion.
 
     Games are independent given the price of money ``lam``: each game answers how much it
     would take at every price of a grid, the answers are added up per week, and the
     price at which a week is exactly invested is read off.  With u = 2 * gamma * w the
-    games' answers do not depend on gamma, so one pass serves every gamma.  Each call
-    sees one game; a week is only ever a vector of ``grid`` numbers.
+    games' answers do not depend on gamma, so one pass serves every gamma.  A week is only
+    ever a vector of ``grid`` numbers.  A game of up to ``dense_limit`` bets is solved in one
+    call; a larger one is spread over its players.  There is one bet per player and target.
     """
-    mu_top = bets.groupBy(*keys).agg((F.max("ev") / 100.0).alias("_top"))
     steps = np.concatenate([[0.0], np.logspace(-5, 5, grid - 1)])
-    g_list = [float(g) for g in gammas]
+    goal = 2.0 * np.array([float(g) for g in gammas])
     cols = [*keys, *_GAME_COLUMNS, "bet_id", "ev", "risk_score"]
-    inputs = bets.select(*cols).join(mu_top, list(keys))
+    tops = bets.groupBy(*keys).agg((F.max("ev") / 100.0).alias("_top"))
+    sizes = bets.groupBy(*keys, "game").agg(F.count("*").alias("_bets"))
+    inputs = staged(
+        bets.select(*cols).join(tops, list(keys)).join(sizes, [*keys, "game"]).withColumn("_key", F.concat_ws("|", *keys, "game")), "inputs"
+    )
+    dense = inputs.where(F.col("_bets") <= dense_limit)
     fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
 
-    def covariance(g: pd.DataFrame) -> np.ndarray:
+    def path(g: pd.DataFrame):
         sd = np.sqrt(g["risk_score"].to_numpy())
-        return _nearest_psd(_game_correlation(g, coefs) * np.outer(sd, sd))[0]
+        cov = _nearest_psd(_game_correlation(g, coefs) * np.outer(sd, sd))[0]
+        return _price_path(cov, g["ev"].to_numpy() / 100.0)
 
     def demand(g: pd.DataFrame) -> pd.DataFrame:
-        lam = steps - float(g["_top"].iloc[0])
-        total = _along(_price_path(covariance(g), g["ev"].to_numpy() / 100.0), lam).sum(axis=0)
+        total = _along(path(g), steps - float(g["_top"].iloc[0])).sum(axis=0)
         out = pd.DataFrame({"step": np.arange(len(steps)), "taken": total})
         for k in keys:
             out[k] = g[k].iloc[0]
         return out
 
-    taken = _by_game(inputs, keys).groupBy(*keys, "game").applyInPandas(demand, f"step int, taken double, {fields}")
+    taken = _by_game(dense, keys).groupBy(*keys, "game").applyInPandas(demand, f"step int, taken double, {fields}")
+    wide = _WideGames.of(inputs, keys, coefs, dense_limit)
+    if wide:
+        taken = taken.unionByName(wide.demand(steps))
     weekly = taken.groupBy(*keys, "step").agg(F.sum("taken").alias("taken"))
     curve = weekly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "taken"))).alias("_curve"))
 
     def allocate(g: pd.DataFrame) -> pd.DataFrame:
-        curve_taken = np.array([c["taken"] for c in g["_curve"].iloc[0]])
-        lam_grid = steps - float(g["_top"].iloc[0])
-        goal = 2.0 * np.array(g_list)
-        curve_taken = np.maximum.accumulate(curve_taken)
-        lam = np.interp(goal, curve_taken + 1e-15 * np.arange(len(steps)), lam_grid)
-        beyond = goal > curve_taken[-1]
-        if beyond.any():  # the last stretch is a straight line
-            slope = max((curve_taken[-1] - curve_taken[-2]) / (lam_grid[-1] - lam_grid[-2]), 1e-12)
-            lam[beyond] = lam_grid[-1] + (goal[beyond] - curve_taken[-1]) / slope
-        u = _along(_price_path(covariance(g), g["ev"].to_numpy() / 100.0), lam)
-        w = u / goal
+        lam = _invested_prices([c["taken"] for c in g["_curve"].iloc[0]], steps - float(g["_top"].iloc[0]), goal)
+        w = _along(path(g), lam) / goal
         rows = []
         ids = g["bet_id"].to_numpy()
-        for k in range(len(g_list)):
+        for k in range(len(goal)):
             # a bet outside its own game's best cannot be among the week's best
             best = np.lexsort((ids, -w[:, k]))[:max_bets]
             rows += [(k, ids[i], float(w[i, k])) for i in best if w[i, k] > 0]
@@ -309,17 +310,63 @@ def weight_sweep(
             out[name] = g[name].iloc[0]
         return out
 
-    solved = _by_game(inputs.join(curve, list(keys)), keys).groupBy(*keys, "game").applyInPandas(
+    solved = _by_game(dense.join(curve, list(keys)), keys).groupBy(*keys, "game").applyInPandas(
         allocate, f"gamma_index int, bet_id string, weight double, {fields}"
     )
+    if wide:
+        solved = solved.unionByName(wide.allocate(curve, steps, goal, max_bets))
     best = top_n(solved, [*keys, "gamma_index"], [F.desc("weight"), "bet_id"], max_bets)
     totals = best.groupBy(*keys, "gamma_index").agg(F.sum("weight").alias("_total"))
     return best.join(totals, [*keys, "gamma_index"]).select(
-        *keys, "gamma_index", F.lit(None).cast("double").alias("gamma") if not g_list else _gamma(g_list).alias("gamma"),
-        portfolio_id(keys).alias("portfolio_id"), "bet_id", (F.col("weight") / F.col("_total")).alias("weight"),
+        *keys, "gamma_index", _gamma(gammas).alias("gamma"), portfolio_id(keys).alias("portfolio_id"), "bet_id",
+        (F.col("weight") / F.col("_total")).alias("weight"),
     )
 
 
+def _invested_prices(taken: Sequence[float], lam: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Prices of money at which a week takes exactly the goals."""
+    curve = np.maximum.accumulate(np.array(taken)) + 1e-15 * np.arange(len(taken))
+    out = np.interp(goal, curve, lam)
+    beyond = goal > curve[-1]
+    if beyond.any():  # the last stretch is a straight line
+        slope = max((curve[-1] - curve[-2]) / (lam[-1] - lam[-2]), 1e-12)
+        out[beyond] = lam[-1] + (goal[beyond] - curve[-1]) / slope
+    return out
+
+
+class _WideGames:
+    """Games above the dense limit: few, and spread over their players."""
+
+    def __init__(self, bets: DataFrame, found: list, keys: Sequence[str], coefs: Mapping[tuple, float]):
+        self.keys, self.coefs, self.spark = list(keys), coefs, bets.sparkSession
+        self.row = {r["_key"]: r for r in found}
+        chosen = bets.where(F.col("_key").isin(*self.row))
+        self.players = staged(W.player_rows(chosen, "_key"), "players")
+        self.players = self.players.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "_key", "label")
+        self.classes = W.game_classes(chosen, "_key", coefs)
+        self.schema = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in self.keys)
+
+    @classmethod
+    def of(cls, bets: DataFrame, keys: Sequence[str], coefs: Mapping[tuple, float], limit: int) -> _WideGames | None:
+        found = bets.where(F.col("_bets") > limit).select(*keys, "_key", "_top").distinct().collect()
+        return cls(bets, found, keys, coefs) if found else None
+
+    def demand(self, steps: np.ndarray) -> DataFrame:
+        lam = {g: steps - r["_top"] for g, r in self.row.items()}
+        _, taken = W.class_prices(self.players, "_key", self.classes, self.coefs, lam)
+        rows = [(i, float(t), *(self.row[g][k] for k in self.keys)) for g, ts in taken.items() for i, t in enumerate(ts)]
+        return self.spark.createDataFrame(rows, f"step int, taken double, {self.schema}")
+
+    def allocate(self, curve: DataFrame, steps: np.ndarray, goal: np.ndarray, keep: int) -> DataFrame:
+        weeks = self.spark.createDataFrame([tuple(r[k] for k in self.keys) for r in self.row.values()], self.schema).distinct()
+        curves = {tuple(r[k] for k in self.keys): [c["taken"] for c in r["_curve"]] for r in curve.join(F.broadcast(weeks), self.keys).collect()}
+        lam = {g: _invested_prices(curves[tuple(r[k] for k in self.keys)], steps - r["_top"], goal) for g, r in self.row.items()}
+        price, _ = W.class_prices(self.players, "_key", self.classes, self.coefs, lam)
+        found = W.allocations(self.players, "_key", self.classes, self.coefs, lam, price, goal, keep)
+        names = self.spark.createDataFrame([(g, *(r[k] for k in self.keys)) for g, r in self.row.items()], f"_key string, {self.schema}")
+        return found.join(F.broadcast(names), "_key").select("gamma_index", "bet_id", "weight", *self.keys)
+
+
 def _gamma(values: Sequence[float]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("gamma_index") + 1)
 

@@ -1,0 +1,183 @@
+"""Weights inside games that are too large for one matrix.
+
+Bets of different players are tied only through their classes (team, position, type):
+the covariance of a game is one small block per player plus Z M Z', where Z holds the
+standard deviations by class and M the class correlations.  Given a price per class,
+players are independent, so every step is one pass over players spread over the
+cluster; only sums per class come back.  The class prices solve a small convex
+problem, found by Newton steps on the driver with one vector of classes per price of money.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+RIDGE = 1e-8
+CLASS = ["team", "opponent", "position", "var"]
+
+
+@dataclass(frozen=True)
+class GameClasses:
+    """Classes of one game and the factor W of their correlations M = W W'."""
+
+    index: Mapping[tuple, int]
+    factor: np.ndarray
+
+
+def player_rows(bets: DataFrame, key: str) -> DataFrame:
+    """One row per player of a game; a player has at most one bet per target."""
+    bet = F.struct("bet_id", *CLASS, (F.col("ev") / 100.0).alias("mu"), F.sqrt("risk_score").alias("sd"))
+    return bets.groupBy(key, "label").agg(F.collect_list(bet).alias("bets"))
+
+
+def game_classes(bets: DataFrame, key: str, coefs: Mapping[tuple, float]) -> dict[str, GameClasses]:
+    """Class correlations per game, made positive semidefinite; a few dozen classes per game."""
+    found: dict[str, list[tuple]] = {}
+    for r in bets.select(key, *CLASS).distinct().collect():
+        found.setdefault(r[key], []).append(tuple(r[c] for c in CLASS))
+    out = {}
+    for game, classes in found.items():
+        classes.sort(key=str)
+        m = np.zeros((len(classes), len(classes)))
+        for i, a in enumerate(classes):
+            for j, b in enumerate(classes):
+                kind = "same_team" if a[0] == b[0] else "opp_team" if a[1] == b[0] else None
+                m[i, j] = coefs.get((kind, a[2], a[3], b[2], b[3]), 0.0)
+        values, vectors = np.linalg.eigh((m + m.T) / 2)
+        kept = values > 1e-10
+        out[game] = GameClasses({c: i for i, c in enumerate(classes)}, vectors[:, kept] * np.sqrt(values[kept]))
+    return out
+
+
+def _positive(m: np.ndarray) -> np.ndarray:
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    if values[0] < 0:
+        m = (vectors * np.maximum(values, 0.0)) @ vectors.T
+    return (m + m.T) / 2 + RIDGE * np.eye(len(m))
+
+
+def _player_block(bets: Sequence, classes: GameClasses, coefs: Mapping[tuple, float]):
+    """Class numbers, means, deviations and own covariance left after the class part."""
+    place = np.array([classes.index[tuple(b[c] for c in CLASS)] for b in bets])
+    mu, sd = np.array([b["mu"] for b in bets]), np.array([b["sd"] for b in bets])
+    own = np.array([[1.0 if a["var"] == b["var"] else coefs.get(("same_player", a["position"], a["var"], b["position"], b["var"]), 0.0) for b in bets] for a in bets])
+    w = classes.factor[place]
+    return place, mu, sd, _positive((own - w @ w.T) * np.outer(sd, sd))
+
+
+def _take(a: np.ndarray, b: np.ndarray, sweeps: int = 500) -> np.ndarray:
+    """argmin u'Au/2 - b'u, u >= 0, one problem per column of b (coordinate descent)."""
+    u = np.zeros_like(b)
+    for _ in range(sweeps):
+        moved = 0.0
+        for i in range(len(a)):
+            new = np.maximum(0.0, u[i] + (b[i] - a[i] @ u) / a[i, i])
+            moved = max(moved, float(np.max(np.abs(new - u[i]) / (1.0 + np.abs(new)), initial=0.0)))
+            u[i] = new
+        if moved < 1e-11:
+            break
+    return u
+
+
+def _solve_player(bets, classes, coefs, lam, price):
+    place, mu, sd, a = _player_block(bets, classes, coefs)
+    b = mu[:, None] + lam[None, :] - sd[:, None] * price[place]
+    return place, sd, a, b, _take(a, b)
+
+
+def _sums(players: DataFrame, key: str, games: Mapping[str, GameClasses], coefs: Mapping[tuple, float], lam: Mapping[str, np.ndarray], price: Mapping[str, np.ndarray]) -> dict[str, list]:
+    """One pass: value, amount taken, class exposures and their slopes, summed over players."""
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[str, list] = {}
+        for frame in frames:
+            for game, bets in zip(frame[key], frame["bets"]):
+                c = games[game]
+                k, n = len(c.index), len(lam[game])
+                place, sd, a, b, u = _solve_player(bets, c, coefs, lam[game], price[game])
+                if game not in acc:
+                    acc[game] = [np.zeros(n), np.zeros(n), np.zeros((k, n)), np.zeros((n, k, k))]
+                value, taken, exposure, slope = acc[game]
+                value += (b * u).sum(axis=0) - 0.5 * (u * (a @ u)).sum(axis=0)
+                taken += u.sum(axis=0)
+                np.add.at(exposure, place, sd[:, None] * u)
+                patterns, which = np.unique(u > 0, axis=1, return_inverse=True)
+                for p in range(patterns.shape[1]):
+                    on = np.flatnonzero(patterns[:, p])
+                    if len(on):
+                        inverse = np.linalg.inv(a[np.ix_(on, on)]) * np.outer(sd[on], sd[on])
+                        local = np.zeros((k, k))
+                        np.add.at(local, (place[on][:, None], place[on][None, :]), inverse)
+                        slope[which.ravel() == p] += local
+        rows = [
+            (game, np.concatenate([v, t, e.ravel(), s.ravel()]).tolist()) for game, (v, t, e, s) in acc.items()
+        ]
+        yield pd.DataFrame(rows, columns=[key, "sums"])
+
+    out: dict[str, np.ndarray] = {}
+    # one row per task and game: as many numbers as classes squared times prices
+    for r in players.mapInPandas(part, f"{key} string, sums array<double>").toLocalIterator():
+        sums = np.array(r["sums"])
+        out[r[key]] = out[r[key]] + sums if r[key] in out else sums
+    result = {}
+    for game, flat in out.items():
+        k, n = len(games[game].index), len(lam[game])
+        value, taken, rest = flat[:n], flat[n:2 * n], flat[2 * n:]
+        result[game] = [value, taken, rest[:k * n].reshape(k, n), rest[k * n:].reshape(n, k, k)]
+    return result
+
+
+def class_prices(players: DataFrame, key: str, games: Mapping[str, GameClasses], coefs: Mapping[tuple, float], lam: Mapping[str, np.ndarray], passes: int = 60, tolerance: float = 1e-7):
+    """Prices per class for every game and price of money, and the amount each game takes."""
+    z = {g: np.zeros((c.factor.shape[1], len(lam[g]))) for g, c in games.items()}
+    size = {g: np.ones(len(lam[g])) for g in games}
+
+    def look(point):
+        found = _sums(players, key, games, coefs, lam, {g: games[g].factor @ point[g] for g in games})
+        return found, {g: 0.5 * (point[g] ** 2).sum(axis=0) + found[g][0] for g in games}
+
+    found, goal = look(z)
+    for _ in range(passes):
+        step, grade, done = {}, {}, True
+        for g, c in games.items():
+            w = c.factor
+            grade[g] = z[g] - w.T @ found[g][2]
+            hessian = np.eye(w.shape[1]) + np.einsum("ka,nkl,lb->nab", w, found[g][3], w)
+            step[g] = -np.linalg.solve(hessian, grade[g].T[:, :, None])[:, :, 0].T if w.shape[1] else grade[g]
+            done &= bool(np.all(np.abs(grade[g]) <= tolerance * (1.0 + np.abs(z[g]))))
+        if done:
+            break
+        trial = {g: z[g] + size[g] * step[g] for g in games}
+        seen, value = look(trial)
+        for g in games:
+            enough = value[g] <= goal[g] + 1e-4 * size[g] * (grade[g] * step[g]).sum(axis=0) + 1e-12 * np.abs(goal[g])
+            size[g] = np.where(enough, 1.0, size[g] / 2.0)
+            z[g][:, enough] = trial[g][:, enough]
+            goal[g] = np.where(enough, value[g], goal[g])
+            for i in range(3):
+                found[g][i][..., enough] = seen[g][i][..., enough]
+            found[g][3][enough] = seen[g][3][enough]
+    return {g: games[g].factor @ z[g] for g in games}, {g: found[g][1] for g in games}
+
+
+def allocations(players: DataFrame, key: str, games: Mapping[str, GameClasses], coefs: Mapping[tuple, float], lam: Mapping[str, np.ndarray], price: Mapping[str, np.ndarray], goal: np.ndarray, keep: int) -> DataFrame:
+    """Weights of the bets at given prices; a player offers at most ``keep`` bets per portfolio."""
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for game, bets in zip(frame[key], frame["bets"]):
+                *_, u = _solve_player(bets, games[game], coefs, lam[game], price[game])
+                ids = np.array([b["bet_id"] for b in bets])
+                for i in range(len(goal)):
+                    w = u[:, i] / goal[i]
+                    rows += [(game, i, ids[j], float(w[j])) for j in np.lexsort((ids, -w))[:keep] if w[j] > 0]
+            yield pd.DataFrame(rows, columns=[key, "gamma_index", "bet_id", "weight"])
+
+    return players.mapInPandas(part, f"{key} string, gamma_index int, bet_id string, weight double")
