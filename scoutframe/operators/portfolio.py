@@ -185,13 +185,17 @@ def coefficient_map(coefs: DataFrame) -> dict[tuple, float]:
 _GAME_COLUMNS = ["game", "team", "opponent", "label", "position", "var"]
 
 
-def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str]) -> DataFrame:
+def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str], dense_limit: int = 1000) -> DataFrame:
     """Smallest eigenvalue of each game's covariance before and after its repair.
 
     Bets of one player and type move together, so a game is first cut to one unit per
-    player and type; that is all its matrix can distinguish.
+    player and type; that is all its matrix can distinguish.  Games of more than
+    ``dense_limit`` units are repaired in parts: a block per player and the class part.
     """
     units = bets.groupBy(*keys, *_GAME_COLUMNS).agg(F.sum("risk_score").alias("risk_score"), F.count("*").alias("bets"))
+    sizes = units.groupBy(*keys, "game").agg(F.count("*").alias("_bets"))
+    dense = units.join(sizes.where(F.col("_bets") <= dense_limit).drop("_bets"), [*keys, "game"], "left_semi")
+    fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
 
     def repair(g: pd.DataFrame) -> pd.DataFrame:
         sd = np.sqrt(g["risk_score"].to_numpy())
@@ -199,9 +203,17 @@ def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[st
         first = g.iloc[0]
         return pd.DataFrame([[*(first[k] for k in keys), first["game"], len(g), int(g["bets"].sum()), before, after]])
 
-    fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{fields}, game string, n_units bigint, n_bets bigint, lowest_before double, lowest_after double"
-    return _by_game(units, keys).groupBy(*keys, "game").applyInPandas(repair, schema)
+    out = _by_game(dense, keys).groupBy(*keys, "game").applyInPandas(repair, schema)
+    large = sizes.where(F.col("_bets") > dense_limit)
+    if not large.take(1):
+        return out
+    tagged = bets.withColumn("_key", F.concat_ws("|", *keys, "game"))
+    found = large.withColumn("_key", F.concat_ws("|", *keys, "game"))
+    chosen = tagged.join(found.select("_key"), "_key", "left_semi")
+    players = W.player_rows(chosen, "_key")
+    floors = W.block_floors(players, "_key", W.game_classes(chosen, "_key", coefs), coefs)
+    return out.unionByName(floors.join(found.select("_key", *keys, "game"), "_key").drop("_key"))
 
 
 def _by_game(df: DataFrame, keys: Sequence[str]) -> DataFrame:

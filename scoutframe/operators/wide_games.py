@@ -28,6 +28,7 @@ class GameClasses:
 
     index: Mapping[tuple, int]
     factor: np.ndarray
+    lowest: float = 0.0
 
 
 def player_rows(bets: DataFrame, key: str) -> DataFrame:
@@ -51,10 +52,33 @@ def game_classes(bets: DataFrame, key: str, coefs: Mapping[tuple, float]) -> dic
                 m[i, j] = coefs.get((kind, a[2], a[3], b[2], b[3]), 0.0)
         values, vectors = np.linalg.eigh((m + m.T) / 2)
         kept = values > 1e-10
-        out[game] = GameClasses({c: i for i, c in enumerate(classes)}, vectors[:, kept] * np.sqrt(values[kept]))
+        out[game] = GameClasses({c: i for i, c in enumerate(classes)}, vectors[:, kept] * np.sqrt(values[kept]), float(values[0]))
     return out
 
 
+def block_floors(players: DataFrame, key: str, games: Mapping[str, GameClasses], coefs: Mapping[tuple, float]) -> DataFrame:
+    """Per game the smallest eigenvalue among its parts, before and after their repair.
+
+    The covariance is a sum of the player blocks and the class part, so it is positive
+    semidefinite once its parts are.
+    """
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for game, bets in zip(frame[key], frame["bets"]):
+                before, after = (float(np.linalg.eigvalsh(m)[0]) for m in _player_block(bets, games[game], coefs, raw=True))
+                units = len({b["var"] for b in bets})
+                rows.append((game, units, len(bets), min(before, games[game].lowest), after))
+            yield pd.DataFrame(rows, columns=[key, "units", "bets", "before", "after"])
+
+    found = players.mapInPandas(part, f"{key} string, units bigint, bets bigint, before double, after double")
+    return found.groupBy(key).agg(
+        F.sum("units").alias("n_units"), F.sum("bets").alias("n_bets"),
+        F.min("before").alias("lowest_before"), F.min("after").alias("lowest_after"),
+    )
+
+
 def _positive(m: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh((m + m.T) / 2)
     if values[0] < 0:
@@ -62,13 +86,17 @@ def _positive(m: np.ndarray) -> np.ndarray:
     return (m + m.T) / 2 + RIDGE * np.eye(len(m))
 
 
-def _player_block(bets: Sequence, classes: GameClasses, coefs: Mapping[tuple, float]):
-    """Class numbers, means, deviations and own covariance left after the class part."""
+def _player_block(bets: Sequence, classes: GameClasses, coefs: Mapping[tuple, float], raw: bool = False):
+    """Class numbers, means, deviations and own covariance left after the class part.
+
+    ``raw`` gives that covariance before and after its repair instead.
+    """
     place = np.array([classes.index[tuple(b[c] for c in CLASS)] for b in bets])
     mu, sd = np.array([b["mu"] for b in bets]), np.array([b["sd"] for b in bets])
     own = np.array([[1.0 if a["var"] == b["var"] else coefs.get(("same_player", a["position"], a["var"], b["position"], b["var"]), 0.0) for b in bets] for a in bets])
     w = classes.factor[place]
-    return place, mu, sd, _positive((own - w @ w.T) * np.outer(sd, sd))
+    left = (own - w @ w.T) * np.outer(sd, sd)
+    return (left, _positive(left)) if raw else (place, mu, sd, _positive(left))
 
 
 def _take(a: np.ndarray, b: np.ndarray, sweeps: int = 500) -> np.ndarray:

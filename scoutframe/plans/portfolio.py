@@ -24,13 +24,15 @@ WEEK = ["season", "week"]
 POOL_SQL = (
     f"SELECT season, week, bet_id, label || '@' || team AS label, position, team, opponent, {_VAR_SQL} AS var, ev, risk_raw AS risk_score, "
     "least(CAST(team AS VARCHAR), CAST(opponent AS VARCHAR)) || '-' || greatest(CAST(team AS VARCHAR), CAST(opponent AS VARCHAR)) AS game "
-    f"FROM ({VALUED_SQL}) WHERE ev > 0 AND ev <= {CAP_SQL} AND team <> opponent"
+    f"FROM ({VALUED_SQL}) WHERE ev > 0 AND ev <= {CAP_SQL} AND team <> opponent "
+    "QUALIFY row_number() OVER (PARTITION BY season, week, label, team, response_var ORDER BY bet_id DESC) = 1"
 )
 
 
 def pool(spark, d):
-    """Bets that may enter a portfolio."""
+    """Bets that may enter a portfolio: one per week, player and target."""
     valued = V.expected_value_and_risk(D.bets(spark, d), caps=True).where("team <> opponent")
+    valued = W.latest_per_key(valued, ["season", "week", "label", "team", "response_var"], ["bet_id"])
     return valued.select(
         "season", "week", "bet_id", F.concat("label", F.lit("@"), "team").alias("label"), "position", "team", "opponent",
         V.choose("type", VARS, F.col("type")).alias("var"), "ev", "risk_score", C.pair_key("team", "opponent").alias("game"),

@@ -120,6 +120,9 @@ def test_repair_gives_positive_blocks(spark, bets):
     rows = R.game_blocks(bets, coef, ["week"]).collect()
     assert min(r["lowest_before"] for r in rows) < 0 < min(r["lowest_after"] for r in rows) + 1e-9
     assert sum(r["n_bets"] for r in rows) == len(BETS)
+    parts = R.game_blocks(bets, coef, ["week"], dense_limit=0).collect()
+    assert min(r["lowest_before"] for r in parts) < 0 < min(r["lowest_after"] for r in parts) + 1e-9
+    assert {(r["game"], r["n_units"], r["n_bets"]) for r in parts} == {(r["game"], r["n_units"], r["n_bets"]) for r in rows}
 
 
 def test_stakes_sum_to_the_bank(spark):
