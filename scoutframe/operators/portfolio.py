@@ -8,7 +8,7 @@ built.  Only the weight search looks at single games, one game per call.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -144,9 +144,14 @@ def stakes(weighted: DataFrame, portfolio: Sequence[str], bank: float, min_stake
 # --- one game at a time -----------------------------------------------------------------------
 
 
-def _game_correlation(g: pd.DataFrame, coefs: Mapping[tuple, float]) -> np.ndarray:
-    label, var, team, facing, pos = (g[c].to_numpy() for c in ("label", "var", "team", "opponent", "position"))
-    n = len(g)
+def _game_covariance(bets: Sequence[Mapping], coefs: Mapping[tuple, float]) -> np.ndarray:
+    sd = np.sqrt([b["risk_score"] for b in bets])
+    return _game_correlation(bets, coefs) * np.outer(sd, sd)
+
+
+def _game_correlation(bets: Sequence[Mapping], coefs: Mapping[tuple, float]) -> np.ndarray:
+    label, var, team, facing, pos = ([b[c] for b in bets] for c in ("label", "var", "team", "opponent", "position"))
+    n = len(bets)
     rho = np.eye(n)
     for i in range(n):
         for j in range(i + 1, n):
@@ -197,14 +202,16 @@ def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[st
     dense = units.join(sizes.where(F.col("_bets") <= dense_limit).drop("_bets"), [*keys, "game"], "left_semi")
     fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
 
-    def repair(g: pd.DataFrame) -> pd.DataFrame:
-        sd = np.sqrt(g["risk_score"].to_numpy())
-        _, before, after = _nearest_psd(_game_correlation(g, coefs) * np.outer(sd, sd))
-        first = g.iloc[0]
-        return pd.DataFrame([[*(first[k] for k in keys), first["game"], len(g), int(g["bets"].sum()), before, after]])
+    def repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for *key, game, units_of_game in frame[[*keys, "game", "bets"]].itertuples(index=False, name=None):
+                _, before, after = _nearest_psd(_game_covariance(units_of_game, coefs))
+                rows.append((*key, game, len(units_of_game), sum(b["bets"] for b in units_of_game), before, after))
+            yield pd.DataFrame(rows, columns=[*keys, "game", "n_units", "n_bets", "lowest_before", "lowest_after"])
 
     schema = f"{fields}, game string, n_units bigint, n_bets bigint, lowest_before double, lowest_after double"
-    out = _by_game(dense, keys).groupBy(*keys, "game").applyInPandas(repair, schema)
+    out = _game_rows(dense, keys, ["bets"], []).mapInPandas(repair, schema)
     large = sizes.where(F.col("_bets") > dense_limit)
     if not large.take(1):
         return out
@@ -216,10 +223,15 @@ def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[st
     return out.unionByName(floors.join(found.select("_key", *keys, "game"), "_key").drop("_key"))
 
 
-def _by_game(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spread games over all shuffle partitions: they are small in bytes but costly to solve,
-    so partitions must not be merged by size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "game")
+def _game_rows(df: DataFrame, keys: Sequence[str], more: Sequence[str], week: Sequence[str]) -> DataFrame:
+    """One row per game with its bets as an array; callers bound the size of a game.
+
+    Games are spread over all shuffle partitions: they are small in bytes but costly to
+    solve, so partitions must not be merged by size.
+    """
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "game")
+    bet = F.struct("team", "opponent", "label", "position", "var", "risk_score", *more)
+    return spread.groupBy(*keys, "game").agg(*[F.first(w).alias(w) for w in week], F.collect_list(bet).alias("bets"))
 
 
 def _price_path(cov: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,42 +301,42 @@ def weight_sweep(
     dense = inputs.where(F.col("_bets") <= dense_limit)
     fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
 
-    def path(g: pd.DataFrame):
-        sd = np.sqrt(g["risk_score"].to_numpy())
-        cov = _nearest_psd(_game_correlation(g, coefs) * np.outer(sd, sd))[0]
-        return _price_path(cov, g["ev"].to_numpy() / 100.0)
-
-    def demand(g: pd.DataFrame) -> pd.DataFrame:
-        total = _along(path(g), steps - float(g["_top"].iloc[0])).sum(axis=0)
-        out = pd.DataFrame({"step": np.arange(len(steps)), "taken": total})
-        for k in keys:
-            out[k] = g[k].iloc[0]
-        return out
-
-    taken = _by_game(dense, keys).groupBy(*keys, "game").applyInPandas(demand, f"step int, taken double, {fields}")
+    def path(game: Sequence[Mapping]):
+        cov = _nearest_psd(_game_covariance(game, coefs))[0]
+        return _price_path(cov, np.array([b["ev"] for b in game]) / 100.0)
+
+    def demand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = []
+            for *key, top, game in frame[[*keys, "_top", "bets"]].itertuples(index=False, name=None):
+                total = _along(path(game), steps - top).sum(axis=0)
+                parts.append(pd.DataFrame({"step": np.arange(len(steps)), "taken": total, **dict(zip(keys, key))}))
+            if parts:
+                # games of one week in this batch are added up before they are sent on
+                yield pd.concat(parts).groupby([*keys, "step"], as_index=False)["taken"].sum()[["step", "taken", *keys]]
+
+    games = _game_rows(dense, keys, ["bet_id", "ev"], ["_top"])
+    taken = games.mapInPandas(demand, f"step int, taken double, {fields}")
     wide = _WideGames.of(inputs, keys, coefs, dense_limit)
     if wide:
         taken = taken.unionByName(wide.demand(steps))
     weekly = taken.groupBy(*keys, "step").agg(F.sum("taken").alias("taken"))
     curve = weekly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "taken"))).alias("_curve"))
 
-    def allocate(g: pd.DataFrame) -> pd.DataFrame:
-        lam = _invested_prices([c["taken"] for c in g["_curve"].iloc[0]], steps - float(g["_top"].iloc[0]), goal)
-        w = _along(path(g), lam) / goal
-        rows = []
-        ids = g["bet_id"].to_numpy()
-        for k in range(len(goal)):
-            # a bet outside its own game's best cannot be among the week's best
-            best = np.lexsort((ids, -w[:, k]))[:max_bets]
-            rows += [(k, ids[i], float(w[i, k])) for i in best if w[i, k] > 0]
-        out = pd.DataFrame(rows, columns=["gamma_index", "bet_id", "weight"])
-        for name in keys:
-            out[name] = g[name].iloc[0]
-        return out
-
-    solved = _by_game(dense.join(curve, list(keys)), keys).groupBy(*keys, "game").applyInPandas(
-        allocate, f"gamma_index int, bet_id string, weight double, {fields}"
-    )
+    def allocate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for *key, top, game, curve_of_week in frame[[*keys, "_top", "bets", "_curve"]].itertuples(index=False, name=None):
+                lam = _invested_prices([c["taken"] for c in curve_of_week], steps - top, goal)
+                w = _along(path(game), lam) / goal
+                ids = np.array([b["bet_id"] for b in game])
+                for k in range(len(goal)):
+                    # a bet outside its own game's best cannot be among the week's best
+                    best = np.lexsort((ids, -w[:, k]))[:max_bets]
+                    rows += [(k, ids[i], float(w[i, k]), *key) for i in best if w[i, k] > 0]
+            yield pd.DataFrame(rows, columns=["gamma_index", "bet_id", "weight", *keys])
+
+    solved = games.join(curve, list(keys)).mapInPandas(allocate, f"gamma_index int, bet_id string, weight double, {fields}")
     if wide:
         solved = solved.unionByName(wide.allocate(curve, steps, goal, max_bets))
     best = top_n(solved, [*keys, "gamma_index"], [F.desc("weight"), "bet_id"], max_bets)
