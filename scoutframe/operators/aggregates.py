@@ -137,9 +137,9 @@ def pair_correlations(
     products.  A group of any size therefore costs one row per position and measure.
     """
     # whole-number shifts near the mean keep the moments small without rounding error
-    centre = panel.agg(*[F.round(F.avg(m)).alias(m) for m in measures])
-    shifted = panel.crossJoin(F.broadcast(centre.select(*[F.col(m).alias(f"_c_{m}") for m in measures])))
-    x = {m: F.col(m) - F.col(f"_c_{m}") for m in measures}
+    centre = panel.agg(*[F.round(F.avg(m)).alias(m) for m in measures]).first()
+    shifted = panel
+    x = {m: F.col(m) - F.lit(centre[m] or 0.0) for m in measures}
     long = shifted.select(
         *period, team, opponent, position,
         F.explode(F.array(*[F.struct(F.lit(m).alias("var"), x[m].alias("x")) for m in measures])).alias("m"),

@@ -154,3 +154,18 @@ def b12(spark, d):
 def b13(spark, d):
     staked = R.stakes(given_weights(spark, d), [*WEEK, "portfolio_id"], 50.0, 3.0)
     return staked.select("season", "week", "portfolio_id", "bet_id", "weight", "bet_amount")
+
+
+@query("e3_bets_to_stakes")
+def e3(spark, d):
+    """From priced predictions to stakes: screen, value, covariance, weights, choice."""
+    from ..api import bets_with_value, portfolios
+
+    bets = D.bets(spark, d).where("team <> opponent")
+    once = W.latest_per_key(bets.withColumn("label", F.concat("label", F.lit("@"), "team")), [*WEEK, "label", "response_var"], ["bet_id"])
+    valued = bets_with_value(once).select(
+        "season", "week", "bet_id", "label", "position", "team", "opponent", V.choose("type", VARS, F.col("type")).alias("var"),
+        "ev", "risk_score", C.pair_key("team", "opponent").alias("game"),
+    )
+    out = portfolios(valued, coefs(spark, d), bank=50.0, sd_cap=3.0, max_bets=10, gammas=R.gamma_grid(5))
+    return out.select("season", "week", "portfolio_id", "bet_id", "weight", "bet_amount", "portfolio_sd")
