@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
+from ..sources.tables import staged
 
 Keys = Sequence[str]
 
@@ -137,8 +138,8 @@ def pair_correlations(
     products.  A group of any size therefore costs one row per position and measure.
     """
     # whole-number shifts near the mean keep the moments small without rounding error
-    centre = panel.agg(*[F.round(F.avg(m)).alias(m) for m in measures]).first()
-    shifted = panel
+    shifted = staged(panel.select(*period, team, opponent, position, *measures), "panel")  # read by three sums
+    centre = shifted.agg(*[F.round(F.avg(m)).alias(m) for m in measures]).first()
     x = {m: F.col(m) - F.lit(centre[m] or 0.0) for m in measures}
     long = shifted.select(
         *period, team, opponent, position,

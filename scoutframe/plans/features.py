@@ -12,6 +12,7 @@ from ..operators import schema as P
 from ..operators import sets as U
 from ..operators import windows as W
 from ..operators.quantiles import exact_percentiles
+from ..sources.tables import staged
 from . import domain as D
 from .registry import query
 from .windows import week_bounds
@@ -173,9 +174,8 @@ _TALENT_SQL = (
 
 @query("d6_talent_shares", _TALENT_SQL, "panel", "talent adjusted_share delta_adjusted_share recent_form_delta", digits=10)
 def d6(spark, d):
-    rows = W.share_of_group(D.panel(spark, d), ["season", "week", "team"], "yards", "share").select(
-        "entity", "season", "week", "team", "position", (F.col("urgent") > 1).alias("out"), "share"
-    )
+    shares = W.share_of_group(D.panel(spark, d), ["season", "week", "team"], "yards", "share")
+    rows = staged(shares.select("entity", "season", "week", "team", "position", (F.col("urgent") > 1).alias("out"), "share"), "shares")
     recent = W.prior(["entity"], CAREER, 3)
     now = rows.select(
         "*", F.avg("share").over(W.prior(["entity", "season"], ["week"])).alias("cur"),
@@ -292,8 +292,6 @@ _IV_SQL = (
 
 
 def _iv_source(spark, d):
-    from ..sources.tables import staged
-
     rows = D.panel(spark, d).select(
         "entity", "season", (F.col("yards") >= 300).alias("y"), "air", "touches", "urgent",
         F.lag("yards").over(W.Window.partitionBy("entity").orderBy(*CAREER)).alias("yards_lag1"),

@@ -8,6 +8,7 @@ from ..functions import scalars as C
 from ..operators import ledger as L
 from ..operators import schema as P
 from ..operators import value as V
+from ..sources.tables import staged
 from . import domain as D
 from .registry import query
 from .schema import TEAM_ROWS_SQL
@@ -108,7 +109,7 @@ def b21(spark, d):
     rows = P.team_rows(games).join(games.select("game_id", "home_yards", "away_yards"), "game_id").withColumn(
         "yards", F.when(F.col("venue") == "home", F.col("home_yards")).otherwise(F.col("away_yards"))
     )
-    return L.detail_cards(rows, 2000, "yards")
+    return L.detail_cards(staged(rows, "team-rows"), 2000, "yards")
 
 
 @query(
