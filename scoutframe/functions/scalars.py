@@ -47,7 +47,15 @@ def name_key(c: Column | str) -> Column:
 
 
 def mentions(c: Column | str, words: str) -> Column:
-    return F.lower(_col(c)).rlike(words)
+    """Does the text contain one of the words, given as ``a|b|c``?  Plain words need no regex."""
+    text = F.lower(_col(c))
+    parts = words.split("|")
+    if not all(p.replace(" ", "").isalnum() for p in parts):
+        return text.rlike(words)
+    found = text.contains(parts[0])
+    for p in parts[1:]:
+        found = found | text.contains(p)
+    return found
 
 
 def status_flags(c: Column | str) -> dict[str, Column]:

@@ -32,18 +32,21 @@ def lag_periods(df: DataFrame, by: Keys, season: str, cols: Keys, steps: Mapping
 
 
 def within_interval(events: DataFrame, intervals: DataFrame, on: Keys, stamp: str, start: str, end: str, period: str) -> DataFrame:
-    """The period an event falls in; 0 when it falls in none.
+    """The period an event's time falls in; 0 when it falls in none.
 
-    Intervals per key are few (weeks of a season), so they travel as one sorted array
-    per key and are searched in the event's own row: no join of every event with every
-    interval, and one output row per event.  The latest interval wins.
+    Intervals are listed under every calendar day they touch, so an event looks up the
+    one or two intervals of its own day by equality.  They travel as an array: one
+    output row per event, and no comparison with intervals of other days.  Where
+    intervals overlap the latest one wins.
     """
-    arrays = intervals.groupBy(*on).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(period).alias("p"))), asc=False).alias("_spans")
+    day = F.explode(F.sequence(F.to_date(start), F.to_date(end)))
+    spans = intervals.where(F.col(start) <= F.col(end)).select(
+        *on, day.alias("_day"), F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(period).alias("p")).alias("x")
     )
-    joined = events.join(arrays, list(on), "left")
+    daily = spans.groupBy(*on, "_day").agg(F.sort_array(F.collect_list("x"), asc=False).alias("_spans"))
+    joined = events.withColumn("_day", F.to_date(stamp)).join(daily, [*on, "_day"], "left")
     hit = F.filter("_spans", lambda x: (x["s"] <= F.col(stamp)) & (F.col(stamp) <= x["e"]))
-    return joined.withColumn(period, F.coalesce(F.get(hit, F.lit(0))["p"], F.lit(0).cast("bigint"))).drop("_spans")
+    return joined.withColumn(period, F.coalesce(F.get(hit, F.lit(0))["p"], F.lit(0).cast("bigint"))).drop("_spans", "_day")
 
 
 def context_join(df: DataFrame, context: DataFrame, key: str, fallback: str, context_key: str, on: Keys, cols: Mapping[str, str]) -> DataFrame:
