@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import source_mix
+from .best_fit import pack_documents
+from .chat_grammar import format_turns, read_conversations
 from .quality_divergence import judge_quality
+from .register_dedup import near_duplicates
+from .suffix_repeats import repeat_report
+from .token_resync import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +33,58 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op1_register_near_duplicates")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near-duplicate documents: two-word shingles, Jaccard similarity of 0.8."""
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query("op2_token_counts")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and byte-level tokens of every document."""
+    return count_tokens(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+@_query("op4_best_fit_packing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2048 tokens."""
+    return pack_documents(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+@_query("op5_source_mix", source_mix.ORACLE)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix takes of every document; the target is rounded so that engines agree."""
+    mixed = source_mix.mix_sources(_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
 @_query("op7_quality_divergence")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document, the two distances and the verdict."""
     return judge_quality(_table(spark, folder, "documents"))
+
+
+@_query("op8_chat_grammar")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one that speaks the template's own control strings, formatted and read back."""
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(hard).alias("text"),
+    )
+    return read_conversations(format_turns(rows.unionByName(probe))).withColumnRenamed("conv", "conv_id")
+
+
+@_query("op10_repeated_passages")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that belong to strings of 400 bytes found more than once."""
+    return repeat_report(_table(spark, folder, "documents"))

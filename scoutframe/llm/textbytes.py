@@ -115,7 +115,7 @@ def inverse_powers(n: int, seed: int = 0) -> np.ndarray:
     return have
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Slice]]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int, Slice]]:
     """(first row, row after the last, slice) of a string column; NULL counts as empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -128,7 +128,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1))
         yield i, j, Slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 
