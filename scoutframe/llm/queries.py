@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import source_mix
+from . import kdtree_topk, source_mix
 from .best_fit import pack_documents
 from .chat_grammar import format_turns, read_conversations
+from .factor_toxicity import fit, score_toxicity
 from .quality_divergence import judge_quality
 from .register_dedup import near_duplicates
 from .suffix_repeats import repeat_report
@@ -64,6 +65,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+@_query("op6_factor_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by a machine learned from the labels outside the held-out fold."""
+    docs = _table(spark, folder, "documents")
+    return score_toxicity(docs, fit(docs, _table(spark, folder, "labels")))
+
+
 @_query("op7_quality_divergence")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document, the two distances and the verdict."""
@@ -84,6 +92,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return read_conversations(format_turns(rows.unionByName(probe))).withColumnRenamed("conv", "conv_id")
 
 
+@_query("op9_kdtree_topk", kdtree_topk.ORACLE)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector with all others."""
+    return kdtree_topk.top_inner_products(_table(spark, folder, "embeddings"), "key % 50 = 0")
+
+
 @_query("op10_repeated_passages")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of every document that belong to strings of 400 bytes found more than once."""
