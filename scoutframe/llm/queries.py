@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kdtree_topk, source_mix
+from .backoff_scores import backoff_scores
 from .best_fit import pack_documents
 from .chat_grammar import format_turns, read_conversations
 from .factor_toxicity import fit, score_toxicity
@@ -52,6 +53,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+@_query("op3_backoff_scores")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every document by all other documents."""
+    return backoff_scores(_table(spark, folder, "documents"))
+
+
 @_query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces of sequences of at most 2048 tokens."""
