@@ -41,7 +41,7 @@ def name_key(c: Column | str) -> Column:
     """Comparable form of a personal name."""
     x = F.lower(_col(c))
     x = F.regexp_replace(x, r"\([^)]*\)", "")
-    x = F.regexp_replace(x, r"[^a-z0-9 ]+", "")
+    x = F.regexp_replace(x, r"[^\p{L}\p{M}\p{N} ]+", "")  # letters of any script stay
     x = F.regexp_replace(x, NAME_SUFFIX, "")
     return F.trim(F.regexp_replace(x, r" +", " "))
 
@@ -58,9 +58,15 @@ def mentions(c: Column | str, words: str) -> Column:
     return found
 
 
-def status_flags(c: Column | str) -> dict[str, Column]:
-    """Clinch and elimination markers in front of an upper-case team code."""
+def status_flags(c: Column | str, division_table: bool = False) -> dict[str, Column]:
+    """Clinch and elimination markers in front of an upper-case team code.
+
+    In the overall list a marker implies the weaker ones; in a division's table each stands for itself.
+    """
     marker = F.regexp_replace(_col(c), "[^a-z]", "")
+    if division_table:
+        alone = {"clinched_playoff": "x", "clinched_division": "y", "clinched_seed1": "z", "eliminated": "e", "eliminated_division": "k"}
+        return {name: marker.contains(m) for name, m in alone.items()} | {"team_code": F.regexp_extract(_col(c), "[A-Z]+", 0)}
     return {
         "clinched_playoff": marker.rlike("[xyz]"),
         "clinched_division": marker.rlike("[yz]"),
@@ -128,8 +134,10 @@ def season_of(ts: Column | str, first_month: int = 3) -> Column:
     return F.when(F.month(t) < first_month, F.year(t) - 1).otherwise(F.year(t)).cast("bigint")
 
 
-def is_offseason(ts: Column | str) -> Column:
-    return F.month(_col(ts)).between(3, 8)
+def posted_season(ts: Column | str, week: Column | str) -> Column:
+    """Season of a post: one of January or February that lies in no week (0 or NULL) counts for the next season."""
+    late = (F.coalesce(_col(week), F.lit(0)) == 0) & (F.month(_col(ts)) < 3)
+    return season_of(ts) + late.cast("bigint")
 
 
 def age_years(event: Column | str, birth: Column | str) -> Column:
@@ -149,9 +157,13 @@ def minutes_before(run: Column | str, start: Column | str) -> Column:
     return delta / F.lit(60_000_000.0)
 
 
-def day_part(hour: Column | str) -> Column:
+# fixed values: hours at which the parts of a day end, for games and for the weekly sheet
+GAME_HOURS, SHEET_HOURS = (12, 14, 19), (11, 15, 19)
+
+
+def day_part(hour: Column | str, ends: tuple[int, int, int] = GAME_HOURS) -> Column:
     h = _col(hour)
-    return F.when(h < 12, "Morning").when(h < 16, "Early").when(h < 19, "Late").otherwise("Night")
+    return F.when(h < ends[0], "Morning").when(h < ends[1], "Early Window").when(h < ends[2], "Late Window").otherwise("Night")
 
 
 # --- odds and bands -------------------------------------------------------------------------

@@ -124,7 +124,10 @@ def contributor_verdict(metric: str, p_play: str, p_move: str, share: str | None
     return out.when(F.col(p_play).isNull() & (m < high_c), False).otherwise(True)
 
 
-def availability(reports: DataFrame, inactive: DataFrame, keys: Keys, first: str) -> DataFrame:
+FULL_PRACTICE = "Full Participation in Practice"  # fixed value
+
+
+def availability(reports: DataFrame, inactive: DataFrame, keys: Keys, first: str, full: str = FULL_PRACTICE) -> DataFrame:
     """First report per key with its flags, joined with roster rows that are not active.
 
     ``reports``: keys, ``first`` (order), injury, practice, status.  ``inactive``: keys.
@@ -133,7 +136,7 @@ def availability(reports: DataFrame, inactive: DataFrame, keys: Keys, first: str
     opening = reports.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.col(first)).alias("_r")).select(*keys, "_r.*")
     flagged = opening.select(
         *keys, C.mentions("injury", C.ILLNESS_WORDS).alias("illness"), C.mentions("injury", C.NOT_INJURY_WORDS).alias("out_not_injury_related"),
-        (F.col("practice") != "Full").alias("less_practice"), F.col("status").alias("_status"),
+        (F.col("practice") != full).alias("less_practice"), F.col("status").alias("_status"),
     )
     joined = flagged.join(inactive.select(*keys).distinct().withColumn("_inactive", F.lit("Out")), list(keys), "full_outer")
     out = (F.col("_status") == "Out") | (F.col("_inactive") == "Out")

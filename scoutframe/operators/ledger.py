@@ -21,9 +21,11 @@ def ledger_payout(result: str, amount: str, odds: str) -> Column:
 
 
 def ledger_summary(ledger: DataFrame, by: Sequence[str]) -> DataFrame:
-    settled = ledger.where("result IS NOT NULL").withColumn("_paid", ledger_payout("result", "amount", "odds"))
+    """Settled bets without refunds: counts, share won, money in and out."""
+    settled = ledger.where("result IS NOT NULL AND result <> 'Refund'").withColumn("_paid", ledger_payout("result", "amount", "odds"))
     return settled.groupBy(*by).agg(
         F.count("*").alias("bets"), F.count_if(F.col("result") == "Win").alias("wins"),
+        F.avg((F.col("result") == "Win").cast("double")).alias("win_share"),
         F.sum("amount").alias("spent"), F.sum("_paid").alias("payout"),
         F.try_divide(F.sum("_paid") - F.sum("amount"), F.sum("amount")).alias("total_return"),
     )

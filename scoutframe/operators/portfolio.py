@@ -149,6 +149,11 @@ def _game_covariance(bets: Sequence[Mapping], coefs: Mapping[tuple, float]) -> n
     return _game_correlation(bets, coefs) * np.outer(sd, sd)
 
 
+def _both_ways(coefs: Mapping[tuple, float], relation: str, a: tuple, b: tuple) -> float:
+    """Mean of the two directions, each 0 where the table lacks it: the same whichever bet comes first."""
+    return (coefs.get((relation, *a, *b), 0.0) + coefs.get((relation, *b, *a), 0.0)) / 2
+
+
 def _game_correlation(bets: Sequence[Mapping], coefs: Mapping[tuple, float]) -> np.ndarray:
     label, var, team, facing, pos = ([b[c] for b in bets] for c in ("label", "var", "team", "opponent", "position"))
     n = len(bets)
@@ -156,11 +161,11 @@ def _game_correlation(bets: Sequence[Mapping], coefs: Mapping[tuple, float]) ->
     for i in range(n):
         for j in range(i + 1, n):
             if label[i] == label[j]:
-                r = 1.0 if var[i] == var[j] else coefs.get(("same_player", pos[i], var[i], pos[j], var[j]), 0.0)
+                r = 1.0 if var[i] == var[j] else _both_ways(coefs, "same_player", (pos[i], var[i]), (pos[j], var[j]))
             elif team[i] == team[j]:
-                r = coefs.get(("same_team", pos[i], var[i], pos[j], var[j]), 0.0)
+                r = _both_ways(coefs, "same_team", (pos[i], var[i]), (pos[j], var[j]))
             elif team[i] == facing[j]:
-                r = coefs.get(("opp_team", pos[i], var[i], pos[j], var[j]), 0.0)
+                r = _both_ways(coefs, "opp_team", (pos[i], var[i]), (pos[j], var[j]))
             else:
                 r = 0.0
             rho[i, j] = rho[j, i] = r

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,25 +49,36 @@ def closing_lines(lines: DataFrame, keys: Sequence[str], run: str, start: str, m
     return latest_per_key(early, keys, [run, tie])
 
 
-def market_targets(lines: DataFrame, market: str, points: str, number: str, families: Mapping[str, str], ladders: DataFrame) -> DataFrame:
-    """Market to target code; only rungs of the known ladders stay.  Spreads change sign."""
-    root = choose(market, families)
-    spread = F.col(market) == "Spread Alternate"
-    coded = lines.withColumn(
-        "response_var",
-        F.when(root == "anytime_td_scorer", root).otherwise(
-            C.ladder_code(root, F.when(spread, -F.col(points)).otherwise(F.col(number)))
-        ),
-    )
+@dataclass(frozen=True)
+class Family:
+    """Target root of a market: without a rung the root is the code, with ``flip`` the rung is the points, sign changed."""
+
+    root: str
+    has_rung: bool = True
+    flip: bool = False
+
+
+def market_targets(lines: DataFrame, market: str, points: str, number: str, families: Mapping[str, Family], ladders: DataFrame) -> DataFrame:
+    """Market to target code; only rungs of the known ladders stay."""
+    root = choose(market, {m: f.root for m, f in families.items()})
+    has_rung = choose(market, {m: f.has_rung for m, f in families.items()})
+    flip = choose(market, {m: f.flip for m, f in families.items()})
+    rung = F.when(flip, -F.col(points)).otherwise(F.col(number))
+    coded = lines.withColumn("response_var", F.when(has_rung, C.ladder_code(root, rung)).otherwise(root))
     return coded.join(ladders.select("response_var"), "response_var", "left_semi")
 
 
 def match_predictions(lines: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lines with the newest prediction of the same target, name and day."""
+    """Lines with the newest prediction, of players or teams, of the same target, name and day."""
     joined = lines.join(predictions, list(keys), "left")
     return joined.withColumn("implied_probability", C.implied_probability("odds"))
 
 
+def still_open(matched: DataFrame, start: str, now: Column, hours: int = 1) -> DataFrame:
+    """Games count as open until ``hours`` after their start; an unknown start stays."""
+    return matched.where(F.col(start).isNull() | (F.col(start) > now - F.expr(f"INTERVAL {hours} HOURS")))
+
+
 def unmatched_labels(matched: DataFrame, label: str, probability: str) -> DataFrame:
     """Labels of which no line found a prediction."""
     return matched.groupBy(label).agg(F.count(probability).alias("_hits"), F.count("*").alias("lines")).where("_hits = 0").drop("_hits")

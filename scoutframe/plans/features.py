@@ -128,9 +128,9 @@ def d4(spark, d):
 
 _INJ_SQL = (
     "SELECT entity, season, week, illness, personal AS out_not_injury_related, less_practice, coalesce(status = 'Out' OR inactive, FALSE) AS out FROM ("
-    "SELECT entity, season, week, injury LIKE '%illness%' AS illness, injury LIKE '%personal%' AS personal, practice <> 'Full' AS less_practice, status FROM ("
+    "SELECT entity, season, week, injury LIKE '%illness%' AS illness, injury LIKE '%personal%' AS personal, practice <> 'Full Participation in Practice' AS less_practice, status FROM ("
     "SELECT o_custkey AS entity, CAST(year(o_orderdate) AS BIGINT) AS season, CAST((dayofyear(o_orderdate) - 1) // 7 + 1 AS BIGINT) AS week, arg_min(CASE o_orderpriority WHEN '1-URGENT' THEN 'illness' WHEN '2-HIGH' THEN 'personal' ELSE 'knee' END, o_orderkey) AS injury, "
-    "arg_min(CASE WHEN o_orderstatus = 'F' THEN 'Full' ELSE 'Limited' END, o_orderkey) AS practice, arg_min(CASE WHEN o_orderstatus = 'O' THEN 'Out' ELSE 'Questionable' END, o_orderkey) AS status FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3)) "
+    "arg_min(CASE WHEN o_orderstatus = 'F' THEN 'Full Participation in Practice' ELSE 'Limited Participation in Practice' END, o_orderkey) AS practice, arg_min(CASE WHEN o_orderstatus = 'O' THEN 'Out' ELSE 'Questionable' END, o_orderkey) AS status FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3)) "
     "FULL JOIN (SELECT DISTINCT entity, season, week, TRUE AS inactive FROM panel WHERE urgent > 0) USING (entity, season, week)"
 )
 
@@ -139,7 +139,7 @@ def injuries(spark, d):
     reports = D.table(spark, d, "orders").where("o_orderstatus <> 'P'").select(
         F.col("o_custkey").alias("entity"), *D.period_columns("o_orderdate"), "o_orderkey",
         F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'Illness' WHEN '2-HIGH' THEN 'Personal' ELSE 'Knee' END").alias("injury"),
-        F.expr("CASE WHEN o_orderstatus = 'F' THEN 'Full' ELSE 'Limited' END").alias("practice"),
+        F.expr("CASE WHEN o_orderstatus = 'F' THEN 'Full Participation in Practice' ELSE 'Limited Participation in Practice' END").alias("practice"),
         F.expr("CASE WHEN o_orderstatus = 'O' THEN 'Out' ELSE 'Questionable' END").alias("status"),
     )
     inactive = D.panel(spark, d).where("urgent > 0").select("entity", "season", "week")

@@ -8,6 +8,7 @@ from ..functions import scalars as C
 from ..operators import ledger as L
 from ..operators import schema as P
 from ..operators import value as V
+from ..operators.sets import first_per_key
 from ..sources.tables import staged
 from . import domain as D
 from .registry import query
@@ -29,25 +30,26 @@ def ledger(spark, d):
 
 def _summary_sql(by: str, src: str = _LEDGER_SQL) -> str:
     return (
-        f"SELECT {by}, count(*) AS bets, count(*) FILTER (WHERE result = 'Win') AS wins, sum(amount) AS spent, sum({_PAID}) AS payout, (sum({_PAID}) - sum(amount)) / sum(amount) AS total_return FROM ({src}) WHERE result IS NOT NULL GROUP BY ALL"
+        f"SELECT {by}, count(*) AS bets, count(*) FILTER (WHERE result = 'Win') AS wins, avg(CASE WHEN result = 'Win' THEN 1.0::DOUBLE ELSE 0.0 END) AS win_share, sum(amount) AS spent, sum({_PAID}) AS payout, (sum({_PAID}) - sum(amount)) / sum(amount) AS total_return FROM ({src}) WHERE result IS NOT NULL AND result <> 'Refund' GROUP BY ALL"
     )
 
 
-@query("b18_ledger_by_bettor_week", _summary_sql("bettor, season, week"), "bets", "spent payout total_return", digits=5, fine="total_return")
+@query("b18_ledger_by_bettor_week", _summary_sql("bettor, season, week"), "bets", "spent payout total_return win_share", digits=5, fine="total_return")
 def b18(spark, d):
     return L.ledger_summary(ledger(spark, d), ["bettor", "season", "week"])
 
 
 @query(
     "b18_ledger_by_odds_band",
-    _summary_sql("CASE WHEN odds <= 0 THEN 'Negative Odds' WHEN odds <= 250 THEN 'Positive Odds Up To +250' WHEN odds <= 450 THEN 'Odds +251 to +450' WHEN odds <= 650 THEN 'Odds +451 to +650' WHEN odds <= 1000 THEN 'Odds +651 to +1000' WHEN odds <= 2000 THEN 'Odds +1000 to +2000' ELSE 'Odds above +2000' END AS odds_band", f"SELECT DISTINCT season, week, label, response_var, odds, amount, result FROM ({_LEDGER_SQL})"),
+    _summary_sql("CASE WHEN odds <= 0 THEN 'Negative Odds' WHEN odds <= 250 THEN 'Positive Odds Up To +250' WHEN odds <= 450 THEN 'Odds +251 to +450' WHEN odds <= 650 THEN 'Odds +451 to +650' WHEN odds <= 1000 THEN 'Odds +651 to +1000' WHEN odds <= 2000 THEN 'Odds +1000 to +2000' ELSE 'Odds above +2000' END AS odds_band", f"SELECT * FROM ({_LEDGER_SQL}) WHERE result <> 'Refund' QUALIFY row_number() OVER (PARTITION BY season, week, label ORDER BY bet_id) = 1"),
     "bets",
-    "spent payout total_return",
+    "spent payout total_return win_share",
     digits=4,
     fine="total_return",
 )
 def b18_bands(spark, d):
-    once = ledger(spark, d).select("season", "week", "label", "response_var", "odds", "amount", "result").distinct()
+    settled = ledger(spark, d).where("result <> 'Refund'")
+    once = first_per_key(settled, ["season", "week", "label"], ["bet_id"])
     return L.ledger_summary(once.withColumn("odds_band", C.odds_band("odds", right=True)[0]), ["odds_band"])
 
 

@@ -49,12 +49,13 @@ def coefs(spark, d):
 
 @query(
     "b7_correlation_table",
-    f"SELECT *, 1995 AS min_year, 2001 AS max_year FROM ({PAIR_SQL})",
+    f"SELECT *, (SELECT min(season) FROM panel) AS min_year, (SELECT max(season) FROM panel) AS max_year, '2024-01-01' AS created_at FROM ({PAIR_SQL})",
     "panel",
     "cor",
 )
 def b7(spark, d):
-    return correlations(spark, d).withColumns({"min_year": F.lit(1995), "max_year": F.lit(2001)})
+    years = D.panel(spark, d).agg(F.min("season").alias("min_year"), F.max("season").alias("max_year"))  # one row
+    return correlations(spark, d).join(F.broadcast(years)).withColumn("created_at", F.lit("2024-01-01"))
 
 
 _COR_SQL = f"SELECT relation, position1, var1, position2, var2, cor FROM ({PAIR_SQL})"

@@ -10,7 +10,7 @@ from .aggregates import BIN_SQL, CATEGORY_SQL, EV_BAND_SQL, EV_SQL, IMPLIED_SQL,
 from .registry import query
 
 NAME_SQL = (
-    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({c}), '\\([^)]*\\)', '', 'g'), '[^a-z0-9 ]+', '', 'g'), "
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({c}), '\\([^)]*\\)', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}} ]+', '', 'g'), "
     "'\\b(jr|sr|i{{1,3}}|iv|v|vi{{1,3}}|ix|x|xi{{1,3}})\\b', '', 'g'), ' +', ' ', 'g'))"
 )
 
@@ -26,7 +26,7 @@ def c1(spark, d):
 
 @query(
     "c2_status_flags",
-    "SELECT *, CAST(won AS DOUBLE) / nullif(won + lost, 0) AS win_share FROM (SELECT s_suppkey, regexp_matches(marker, '[xyz]') AS clinched_playoff, regexp_matches(marker, '[yz]') AS clinched_division, contains(marker, 'z') AS clinched_seed1, "
+    "SELECT *, CAST(won AS DOUBLE) / nullif(won + lost, 0) AS win_share FROM (SELECT s_suppkey, marker = 'x' AS division_clinched_playoff, marker = 'y' AS division_clinched_division, marker = 'z' AS division_clinched_seed1, marker = 'e' AS division_eliminated, marker = 'k' AS division_eliminated_division, regexp_matches(marker, '[xyz]') AS clinched_playoff, regexp_matches(marker, '[yz]') AS clinched_division, contains(marker, 'z') AS clinched_seed1, "
     "contains(marker, 'e') AS eliminated, regexp_matches(marker, '[ke]') AS eliminated_division, 'NATION' AS team_code, s_suppkey % 7 AS won, s_suppkey % 5 AS lost FROM (SELECT s_suppkey, substr('xyzek', CAST(s_suppkey % 6 + 1 AS INTEGER), 1) AS marker FROM supplier))",
     doubles="win_share",
 )
@@ -38,6 +38,7 @@ def c2(spark, d):
     )
     return tagged.select(
         "s_suppkey", *[c.alias(n) for n, c in C.status_flags("team").items()],
+        *[c.alias(f"division_{n}") for n, c in C.status_flags("team", division_table=True).items() if n != "team_code"],
         C.record_share("record").alias("win_share"),
         F.split("record", "-")[0].cast("bigint").alias("won"),
         F.split("record", "-")[1].cast("bigint").alias("lost"),
@@ -59,11 +60,12 @@ def c3(spark, d):
 
 @query(
     "c4_season_from_month",
-    "SELECT o_orderkey, CAST(CASE WHEN month(o_orderdate) < 3 THEN year(o_orderdate) - 1 ELSE year(o_orderdate) END AS BIGINT) AS season, month(o_orderdate) BETWEEN 3 AND 8 AS offseason FROM orders",
+    "SELECT o_orderkey, CAST(CASE WHEN month(o_orderdate) < 3 THEN year(o_orderdate) - 1 ELSE year(o_orderdate) END AS BIGINT) AS season, CAST(CASE WHEN month(o_orderdate) >= 3 OR o_orderkey % 3 = 0 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS BIGINT) AS posted_season FROM orders",
 )
 def c4(spark, d):
     return D.table(spark, d, "orders").select(
-        "o_orderkey", C.season_of("o_orderdate").alias("season"), C.is_offseason("o_orderdate").alias("offseason")
+        "o_orderkey", C.season_of("o_orderdate").alias("season"),
+        C.posted_season("o_orderdate", F.when(F.col("o_orderkey") % 6 == 0, 0).when(F.col("o_orderkey") % 3 != 0, 5)).alias("posted_season"),
     )
 
 

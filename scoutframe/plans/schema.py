@@ -165,13 +165,13 @@ def p11(spark, d):
 
 @query(
     "p12_location_and_time",
-    "SELECT event_id, CASE WHEN h < 12 THEN 'Morning' WHEN h < 16 THEN 'Early' WHEN h < 19 THEN 'Late' ELSE 'Night' END AS day_part, CASE WHEN k % 3 = 0 THEN 'Home' WHEN k % 3 = 1 THEN 'Away' ELSE 'Neutral' END AS location FROM (SELECT *, hour(run_time) AS h FROM lines)",
+    "SELECT event_id, CASE WHEN h < 12 THEN 'Morning' WHEN h < 14 THEN 'Early Window' WHEN h < 19 THEN 'Late Window' ELSE 'Night' END AS day_part, CASE WHEN h < 11 THEN 'Morning' WHEN h < 15 THEN 'Early Window' WHEN h < 19 THEN 'Late Window' ELSE 'Night' END AS sheet_part, CASE WHEN k % 3 = 0 THEN 'Home' WHEN k % 3 = 1 THEN 'Away' ELSE 'Neutral' END AS location FROM (SELECT *, hour(run_time) AS h FROM lines)",
     "lines",
 )
 def p12(spark, d):
     side = F.expr("k % 3")
     return D.lines(spark, d).select(
-        "event_id", C.day_part(F.hour("run_time")).alias("day_part"),
+        "event_id", C.day_part(F.hour("run_time")).alias("day_part"), C.day_part(F.hour("run_time"), C.SHEET_HOURS).alias("sheet_part"),
         F.when(side == 0, "Home").when(side == 1, "Away").otherwise("Neutral").alias("location"),
     )
 

@@ -29,7 +29,18 @@ def b1(spark, d):
 
 
 MARKETS = {"click": "Receptions", "view": "Rush + Rec Yards", "purchase": "Spread Alternate", "signup": "Pass Yards", "error": "Anytime TD Scorer"}
-FAMILIES = {"Receptions": "receptions", "Rush + Rec Yards": "rushing_receiving_yards", "Spread Alternate": "team_differential", "Pass Yards": "passing_yards", "Anytime TD Scorer": "anytime_td_scorer"}
+FAMILIES = {
+    "Receptions": V.Family("receptions"), "Rush + Rec Yards": V.Family("rushing_receiving_yards"), "Pass Yards": V.Family("passing_yards"),
+    "Spread": V.Family("team_differential", flip=True), "Spread Alternate": V.Family("team_differential", flip=True),
+    "Anytime TD Scorer": V.Family("anytime_td_scorer", has_rung=False), "Moneyline": V.Family("team_win", has_rung=False),
+}
+
+
+def market():
+    """A third of the spreads are main spreads, half of the scorer lines moneylines."""
+    main = (F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0)
+    winner = (F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)
+    return F.when(main, "Spread").when(winner, "Moneyline").otherwise(V.choose("event_type", MARKETS))
 
 
 def ladder_targets(spark):
@@ -50,7 +61,7 @@ def _in(values) -> str:
 
 
 TARGET_SQL = (
-    "SELECT event_id, CASE event_type WHEN 'error' THEN 'anytime_td_scorer' WHEN 'click' THEN 'receptions_' || number WHEN 'view' THEN 'rushing_receiving_yards_' || number WHEN 'signup' THEN 'passing_yards_' || number "
+    "SELECT event_id, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'team_win' ELSE 'anytime_td_scorer' END WHEN 'click' THEN 'receptions_' || number WHEN 'view' THEN 'rushing_receiving_yards_' || number WHEN 'signup' THEN 'passing_yards_' || number "
     "ELSE 'team_differential_' || CASE WHEN -points < 0 THEN 'minus' ELSE '' END || CASE WHEN points = floor(points) THEN CAST(CAST(abs(points) AS BIGINT) AS VARCHAR) ELSE CAST(abs(points) AS VARCHAR) END END AS response_var FROM (SELECT *, k * 2 AS number FROM lines) "
     f"WHERE event_type = 'error' OR (event_type = 'click' AND number IN ({_in(D.RECEPTION_LADDER)})) OR (event_type = 'view' AND number IN ({_in(D.COMBINED_LADDER)})) OR (event_type = 'signup' AND number IN ({_in(D.PASSING_LADDER)})) OR (event_type = 'purchase' AND points IN ({_in(D.SPREAD_LADDER)}))"
 )
@@ -59,43 +70,48 @@ TARGET_SQL = (
 @query("b2_market_targets", TARGET_SQL, "lines")
 def b2(spark, d):
     lines = D.lines(spark, d).select(
-        "event_id", V.choose("event_type", MARKETS).alias("market"), "points", (F.col("k") * 2).cast("double").alias("number")
+        "event_id", market().alias("market"), "points", (F.col("k") * 2).cast("double").alias("number")
     )
     return V.market_targets(lines, "market", "points", "number", FAMILIES, ladder_targets(spark)).select("event_id", "response_var")
 
 
+_TYPES = "['click', 'view', 'purchase', 'signup', 'error']"
 _PRED_SQL = (
-    "SELECT label, gameday, arg_max(p, run) AS p FROM (SELECT o_custkey AS label, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS gameday, (o_orderkey % 97) / CAST(97.0 AS DOUBLE) AS p, o_orderkey AS run FROM orders) GROUP BY ALL"
+    f"SELECT label, target, gameday, arg_max(p, run) AS p, arg_max(opens, run) AS opens FROM (SELECT o_custkey AS label, ({_TYPES})[CAST(o_orderkey % 3 + 1 AS INTEGER)] AS target, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS gameday, "
+    "(o_orderkey % 97) / CAST(97.0 AS DOUBLE) AS p, CASE WHEN o_orderkey % 11 > 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * (o_orderkey % 30) + INTERVAL 1 HOUR * (o_orderkey % 24) END AS opens, o_orderkey AS run FROM orders) GROUP BY ALL"
 )
 _MATCH_SQL = (
-    "SELECT user_id, CAST(c.gameday AS VARCHAR) AS gameday, odds, p, CASE WHEN odds > 0 THEN 100.0 / (odds + 100.0) ELSE -odds / (-odds + 100.0) END AS implied_probability, start_time FROM ("
-    f"SELECT user_id, CAST(start_time AS DATE) AS gameday, start_time, CAST(replace(replace(american_odds, '−', '-'), '+', '') AS DOUBLE) AS odds FROM ({CLOSING_SQL}) WHERE event_type = 'click') c LEFT JOIN ({_PRED_SQL}) q ON q.label = c.user_id AND q.gameday = c.gameday"
+    "SELECT user_id, event_type AS target, CAST(c.gameday AS VARCHAR) AS gameday, odds, p, CASE WHEN odds > 0 THEN 100.0 / (odds + 100.0) ELSE -odds / (-odds + 100.0) END AS implied_probability, opens FROM ("
+    f"SELECT user_id, event_type, CAST(start_time AS DATE) AS gameday, CAST(replace(replace(american_odds, '−', '-'), '+', '') AS DOUBLE) AS odds FROM ({CLOSING_SQL})) c LEFT JOIN ({_PRED_SQL}) q ON q.label = c.user_id AND q.target = c.event_type AND q.gameday = c.gameday"
 )
 
 
 def _matched(spark, d):
-    closing = V.closing_lines(D.lines(spark, d).where("event_type = 'click'"), ["user_id", "event_type", "start_time"], "run_time", "start_time")
+    closing = V.closing_lines(D.lines(spark, d), ["user_id", "event_type", "start_time"], "run_time", "start_time")
     lines = closing.select(
-        "user_id", F.to_date("start_time").alias("gameday"), "start_time", C.american_to_number("american_odds").alias("odds")
+        "user_id", F.col("event_type").alias("target"), F.to_date("start_time").alias("gameday"), C.american_to_number("american_odds").alias("odds")
     )
+    key = F.col("o_orderkey")
+    opens = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(CAST(o_orderkey % 30 AS int), CAST(o_orderkey % 24 AS int))")
     runs = D.table(spark, d, "orders").select(
-        F.col("o_custkey").alias("user_id"), F.expr("date_add(DATE '2024-01-01', CAST(o_orderkey % 30 AS int))").alias("gameday"),
-        (F.col("o_orderkey") % 97 / F.lit(97.0)).alias("p"), F.col("o_orderkey").alias("run"),
+        F.col("o_custkey").alias("user_id"), F.element_at(F.array(*[F.lit(t) for t in MARKETS]), (key % 3 + 1).cast("int")).alias("target"),
+        F.expr("date_add(DATE '2024-01-01', CAST(o_orderkey % 30 AS int))").alias("gameday"),
+        (key % 97 / F.lit(97.0)).alias("p"), F.when(key % 11 > 0, opens).alias("opens"), key.alias("run"),
     )
-    newest = W.latest_per_key(runs, ["user_id", "gameday"], ["run"]).drop("run")
-    return V.match_predictions(lines, newest, ["user_id", "gameday"])
+    keys = ["user_id", "target", "gameday"]
+    return V.match_predictions(lines, W.latest_per_key(runs, keys, ["run"]).drop("run"), keys)
 
 
 @query(
     "b3_match_predictions",
-    f"SELECT user_id, gameday, odds, p, implied_probability FROM ({_MATCH_SQL}) WHERE start_time > TIMESTAMP '2024-01-10 12:00:00'",
+    f"SELECT user_id, target, gameday, odds, p, implied_probability FROM ({_MATCH_SQL}) WHERE opens IS NULL OR opens > TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 1 HOUR",
     "lines",
     "odds p implied_probability",
 )
 def b3(spark, d):
     now = F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")
-    return _matched(spark, d).where(F.col("start_time") > now).select(
-        "user_id", F.col("gameday").cast("string"), "odds", "p", "implied_probability"
+    return V.still_open(_matched(spark, d), "opens", now).select(
+        "user_id", "target", F.col("gameday").cast("string"), "odds", "p", "implied_probability"
     )
 
 

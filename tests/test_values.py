@@ -130,3 +130,63 @@ def test_interval_outside_is_week_zero(spark):
     events, spans = events.withColumn("at", F.col("at").cast("timestamp")), spans.withColumns({c: F.col(c).cast("timestamp") for c in "se"})
     out = J.within_interval(events, spans, ["team"], "at", "s", "e", "week")
     assert sorted((r["team"], r["week"]) for r in out.collect()) == [("t", 0), ("t", 2), ("t", 2), ("u", 0)]
+
+
+def test_name_key_keeps_letters_of_any_script(spark):
+    assert one(spark, C.name_key(F.lit("José Ramírez II"))) == "josé ramírez"
+
+
+def test_day_parts(spark):
+    assert [one(spark, C.day_part(F.lit(h))) for h in (11, 13, 14, 18, 19)] == ["Morning", "Early Window", "Late Window", "Late Window", "Night"]
+    assert one(spark, C.day_part(F.lit(11), C.SHEET_HOURS)) == "Early Window"
+
+
+def test_posted_season(spark):
+    day = F.lit("2021-02-03").cast("date")
+    assert [one(spark, C.posted_season(day, F.lit(w))) for w in (0, 22)] == [2021, 2020]
+    assert one(spark, C.posted_season(F.lit("2021-05-03").cast("date"), F.lit(0))) == 2021
+
+
+def test_markers_of_a_division_table(spark):
+    row = spark.range(1).select(*[c.alias(n) for n, c in C.status_flags(F.lit("z - ABC"), division_table=True).items()]).first()
+    assert row.clinched_seed1 and not row.clinched_playoff and not row.clinched_division and row.team_code == "ABC"
+
+
+def test_full_participation_is_not_less_practice(spark):
+    from scoutframe.operators import features as X
+
+    reports = spark.createDataFrame([(1, 1, "Knee", "Full Participation in Practice", None), (2, 1, "Knee", "Limited Participation in Practice", "Out")], "k int, first int, injury string, practice string, status string")
+    got = {r.k: r for r in X.availability(reports, spark.createDataFrame([(3,)], "k int"), ["k"], "first").collect()}
+    assert not got[1].less_practice and got[2].less_practice and got[2].out and got[3].out and not got[1].out
+
+
+def test_refunds_are_no_settled_bets(spark):
+    from scoutframe.operators import ledger as L
+
+    rows = [("a", "Win", 10.0, 100.0), ("a", "Loss", 10.0, 100.0), ("a", "Refund", 50.0, 100.0), ("a", None, 5.0, 100.0)]
+    got = L.ledger_summary(spark.createDataFrame(rows, "who string, result string, amount double, odds double"), ["who"]).first()
+    assert (got.bets, got.wins, got.win_share, got.spent, got.payout, got.total_return) == (2, 1, 0.5, 20.0, 20.0, 0.0)
+
+
+def test_moneyline_and_both_spreads(spark):
+    from scoutframe.plans.value import FAMILIES, ladder_targets
+
+    rows = [("Moneyline", None, None), ("Spread", 3.5, None), ("Spread Alternate", -6.5, None), ("Spread", 100.0, None), ("Receptions", None, 6.0)]
+    lines = spark.createDataFrame(rows, "market string, points double, number double")
+    got = sorted(r.response_var for r in V.market_targets(lines, "market", "points", "number", FAMILIES, ladder_targets(spark)).collect())
+    assert got == ["receptions_6", "team_differential_6.5", "team_differential_minus3.5", "team_win"]
+
+
+def test_open_games(spark):
+    rows = spark.createDataFrame([(1, None), (2, "2024-01-10 11:30:00"), (3, "2024-01-10 10:30:00")], "k int, start string").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    now = F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")
+    assert {r.k for r in V.still_open(rows, "start", now).collect()} == {1, 2}
+
+
+def test_one_directional_coefficient():
+    from scoutframe.operators.portfolio import _game_correlation
+
+    bet = lambda label, var: {"label": label, "var": var, "team": "A", "opponent": "B", "position": "WR"}
+    table = {("same_team", "WR", "x", "WR", "y"): 0.4}
+    for order in ([bet("p", "x"), bet("q", "y")], [bet("q", "y"), bet("p", "x")]):
+        assert _game_correlation(order, table)[0, 1] == 0.2
