@@ -6,8 +6,8 @@ suffixes that can have such a partner are sorted, one bucket at a time:
 1. The bucket of a suffix is the least fingerprint (leftmost on ties) among the short strings inside its first ``length``
    bytes. Equal strings have equal buckets, at the same distance from their start. Consecutive suffixes of one bucket form
    a *run*: a stretch of text that is stored and compared once.
-2. Whole texts that are equal, and runs that are equal, are counted by digest and represented by one of them; all
-   suffixes of a run that occurs twice have a partner. Buckets with a single distinct run hold no other partner.
+2. Runs that are equal are counted by digest and represented by one of them; all suffixes of a run that occurs twice
+   have a partner. Buckets that occur once have none, and those with a single distinct run no other.
 3. The runs of the other buckets are sorted bucket by bucket: suffixes by their first ``PERIOD`` bytes, and long ties by
    the ranks of the difference-cover sample, which are made beforehand for the bucket by doubling (1, 2, 4, 6 periods).
    The cover holds for any two suffixes a shift at which both are sampled, so only one position in seven is ranked.
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable, narrow
+from .sieve import sieve, sieve_out
 from .textbytes import Slice, inverse_powers, mix, signed, slices
 
 # A perfect difference set modulo 57, every remainder is the difference of two members.
@@ -271,20 +272,19 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     own = own.withColumn("key", F.col("key").cast("long"))
     found = durable(own.mapInArrow(_find_runs(plan), f"key long, n_bytes long, text_a long, text_b long, text_sha256 string, runs {_RUN}"))
     same, run_id = ["n_bytes", "text_a", "text_b"], ["bucket", "a", "b"]
-    texts = found.where(F.col("n_bytes") >= plan.length).groupBy(*same).agg(F.count("*").alias("copies"), F.min("key").alias("key"))
+    texts = found.where(F.col("n_bytes") >= plan.length).groupBy(*same).agg(F.count("*").alias("copies"))
     copied = texts.where("copies > 1").select(*same)
-    # one text of each group of copies stands for all
-    single = found.join(copied, same, "left_anti").where(F.col("n_bytes") >= plan.length).select("key", F.explode("runs").alias("r")).select("key", "r.*")
-    stand_in = found.join(texts.where("copies > 1").select(*same, "key"), [*same, "key"], "left_semi").dropDuplicates(same)
-    both = single.unionByName(stand_in.select("key", F.explode("runs").alias("r")).select("key", "r.*"))
+    every = found.select("key", F.explode("runs").alias("r")).select("key", "r.*")
+    # runs of buckets that occur once have no partner; the sieve leaves them where they are
+    seen = every.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1").select("bucket")
+    several = sieve(every, durable(seen), ["bucket"])
 
-    distinct = durable(both.groupBy(*run_id).agg(F.count("*").alias("times"), F.min(F.struct("key", "begin", "n", "at")).alias("first")))
-    buckets = distinct.groupBy("bucket").agg(F.count("*").alias("distinct_runs")).where("distinct_runs > 1")
+    distinct = durable(several.groupBy(*run_id).agg(F.count("*").alias("times"), F.min(F.struct("key", "begin", "n", "at")).alias("first")))
+    buckets = durable(distinct.groupBy("bucket").agg(F.count("*").alias("distinct_runs")).where("distinct_runs > 1"))
     wanted = distinct.join(buckets, "bucket").select(*run_id, "first.*", (F.col("times") > 1).alias("twice"), "distinct_runs")
-    by_text = wanted.where("key is not null").groupBy("key").agg(F.collect_list(F.struct(*run_id, "begin", "n", "at", "twice")).alias("wanted"))
-    cut = own.join(by_text, "key").select("text", "wanted").mapInArrow(_cut_runs(plan), _CUT)
+    by_text = durable(wanted.where("key is not null").groupBy("key").agg(F.collect_list(F.struct(*run_id, "begin", "n", "at", "twice")).alias("wanted")))
+    cut = durable(sieve(own, by_text, ["key"]).join(by_text, "key").select("text", "wanted").mapInArrow(_cut_runs(plan), _CUT))
     crowded = buckets.where(F.col("distinct_runs") > plan.bucket_runs).select("bucket")
-    cut = durable(cut)
     sorted_ = (
         cut.join(crowded, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
         .mapInArrow(_sort_buckets(plan), f"bucket long, a long, b long, spans {_SPANS}")
@@ -295,7 +295,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     counted = counted.agg(F.collect_list(F.struct(F.col("number").alias("begin"), (F.col("number") + plan.length).cast("int").alias("end"))).alias("spans"))
     twice = distinct.where("times > 1").select(*run_id, F.array(F.struct(F.lit(0).alias("begin"), (F.col("first.n") - 1 + plan.length).cast("int").alias("end"))).alias("spans"))
     partly = sorted_.unionByName(counted).join(twice.select(*run_id), run_id, "left_anti")
-    covered = single.join(twice.unionByName(partly), run_id)
+    spans_of_runs = durable(twice.unionByName(partly))
+    covered = sieve(several, spans_of_runs, run_id).join(spans_of_runs, run_id)
     covered = covered.select("key", F.expr("transform(spans, x -> struct(cast(x.begin + begin as int) as begin, cast(x.end + begin as int) as end))").alias("spans"))
     per_text = covered.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     per_text = per_text.select("key", _joined("spans").alias("spans"))
@@ -334,8 +335,9 @@ def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     spans = durable(repeated_spans(docs, id_column, text_column, plan))
     removed = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.begin)")
     report = spans.select("key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "text_sha256")
-    partly = spans.join(report.where("n_removed > 0 and n_removed < n_bytes").select("key"), "key", "left_semi").select("key", "spans").dropDuplicates(["key"])
-    kept = own.join(partly, "key").mapInArrow(_kept_digest, "key long, kept_sha256 string").dropDuplicates(["key"])
+    partly = spans.where(removed.between(1, F.col("n_bytes") - 1)).select("key", "spans").dropDuplicates(["key"])
+    partly = durable(partly)
+    kept = sieve(own, partly, ["key"]).join(partly, "key").mapInArrow(_kept_digest, "key long, kept_sha256 string").dropDuplicates(["key"])
     report = report.join(kept, "key", "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     sha = F.coalesce("kept_sha256", F.when((F.col("n_removed") > 0), nothing).otherwise(F.col("text_sha256")))
@@ -368,7 +370,12 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     spans = durable(repeated_spans(docs, id_column, text_column, plan).where("size(spans) > 0").select("key", "spans"))
     own = narrow(docs, key=id_column, text=text_column).withColumn("key", F.col("key").cast("long"))
-    kept = own.join(spans, "key").mapInArrow(_without, "key long, kept_text string")
-    joined = docs.join(kept, docs[id_column].cast("long") == kept["key"], "left")
-    text = F.when(F.col("key").isNull(), F.col(f"`{text_column}`")).otherwise(F.col("kept_text"))
-    return joined.where("key is null or kept_text <> ''").withColumn(text_column, text).select(*[f"`{c}`" for c in docs.columns])
+    kept = sieve(own, spans, ["key"]).join(spans, "key").mapInArrow(_without, "key long, kept_text string").withColumnRenamed("kept_text", "__kept_text")
+    keyed = docs.withColumn("__sieve_key", F.col(f"`{id_column}`").cast("long"))
+    named = spans.select(F.col("key").alias("__sieve_key"))
+    touched = sieve(keyed, named, ["__sieve_key"]).join(kept.withColumnRenamed("key", "__sieve_key"), "__sieve_key", "left")
+    whole = sieve_out(keyed, named, ["__sieve_key"]).drop("__sieve_key")
+    text = F.coalesce("__kept_text", F.col(f"`{text_column}`"))
+    columns = [f"`{c}`" for c in docs.columns]
+    touched = touched.where("__kept_text is null or __kept_text <> ''").withColumn(text_column, text)
+    return whole.select(*columns).unionByName(touched.select(*columns))
