@@ -11,7 +11,6 @@ from .functions import scalars as C
 from .models.training import score_targets
 from .operators import portfolio as R
 from .operators import value as V
-from .operators.windows import latest_per_key
 from .sources.tables import staged
 
 WEEK = ("season", "week")
@@ -45,7 +44,7 @@ def correlations_for_season(table: DataFrame, season: int) -> DataFrame:
 
 
 def portfolios(
-    valued: DataFrame, correlations: DataFrame, bank: float, sd_cap: float, min_stake: float = 0.5, max_bets: int = 20,
+    valued: DataFrame, correlations: DataFrame, bank: float, sd_cap: float, min_stake: float = 0.5, max_bets: int | None = None,
     gammas: Sequence[float] | None = None, week: Sequence[str] = WEEK,
 ) -> DataFrame:
     """Stakes of the portfolio with the highest mean below the deviation cap, per week."""
@@ -61,7 +60,3 @@ def portfolios(
     best = R.best_portfolio(metrics, week, "portfolio_id", sd_cap=sd_cap)
     chosen = weighted.join(best, portfolio)
     return R.stakes(chosen, portfolio, bank, min_stake)
-
-
-def latest_lines(lines: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:
-    return latest_per_key(lines, keys, newest)

@@ -184,7 +184,7 @@ def pair_correlations(
     sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
     names = ["position1", "var1", "position2", "var2"]
     mates = products(side("1", {team: "_t"}).join(side("2", {team: "_t"}), [*period, "_t"]))
-    mates = mates.join(F.broadcast(own.select(*names, *[F.col(k).alias(f"_{k}") for k in sums])), names, "left")
+    mates = mates.join(own.select(*names, *[F.col(k).alias(f"_{k}") for k in sums]), names, "left")
     mates = mates.select(*names, *[(F.col(k) - F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in sums])
     mates = mates.where(~(F.col("position1").isin(*skip_same_team) & F.col("position2").isin(*skip_same_team)))
     rivals = products(side("1", {team: "_t"}).join(side("2", {opponent: "_t"}), [*period, "_t"]))

@@ -12,11 +12,10 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
-from . import wide_games as W
 from .windows import top_n
 
 RIDGE = 1e-8
@@ -32,10 +31,9 @@ def coefficients(table: DataFrame) -> DataFrame:
 
 
 def _lookup(pairs: DataFrame, coefs: DataFrame, relation: str) -> DataFrame:
-    """Coefficient of a pair of classes; 0 where the table has none.  The table is small by
-    construction: positions by bet types, squared."""
+    """Coefficient of a pair of classes; 0 where the table has none."""
     wanted = coefs.where(F.col("relation") == relation).drop("relation")
-    return pairs.join(F.broadcast(wanted), ["position1", "var1", "position2", "var2"], "left").withColumn(
+    return pairs.join(wanted, ["position1", "var1", "position2", "var2"], "left").withColumn(
         "cor", F.coalesce("cor", F.lit(0.0))
     )
 
@@ -62,7 +60,7 @@ def correlation_lookup(bets: DataFrame, coefs: DataFrame, keys: Sequence[str]) -
     """Coefficient chosen for each pair of classes, with the number of games it is used in."""
     seen = class_pairs(bets, keys).groupBy("relation", "position1", "var1", "position2", "var2").agg(F.count("*").alias("n"))
     on = ["relation", "position1", "var1", "position2", "var2"]
-    return seen.join(F.broadcast(coefs), on, "left").withColumn("cor", F.coalesce("cor", F.lit(0.0)))
+    return seen.join(coefs, on, "left").withColumn("cor", F.coalesce("cor", F.lit(0.0)))
 
 
 def pair_covariance(bets: DataFrame, coefs: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
@@ -195,16 +193,13 @@ def coefficient_map(coefs: DataFrame) -> dict[tuple, float]:
 _GAME_COLUMNS = ["game", "team", "opponent", "label", "position", "var"]
 
 
-def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str], dense_limit: int = 1000) -> DataFrame:
+def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str]) -> DataFrame:
     """Smallest eigenvalue of each game's covariance before and after its repair.
 
     Bets of one player and type move together, so a game is first cut to one unit per
-    player and type; that is all its matrix can distinguish.  Games of more than
-    ``dense_limit`` units are repaired in parts: a block per player and the class part.
+    player and type; that is all its matrix can distinguish.
     """
     units = bets.groupBy(*keys, *_GAME_COLUMNS).agg(F.sum("risk_score").alias("risk_score"), F.count("*").alias("bets"))
-    sizes = units.groupBy(*keys, "game").agg(F.count("*").alias("_bets"))
-    dense = units.join(sizes.where(F.col("_bets") <= dense_limit).drop("_bets"), [*keys, "game"], "left_semi")
     fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
 
     def repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,16 +211,7 @@ def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[st
             yield pd.DataFrame(rows, columns=[*keys, "game", "n_units", "n_bets", "lowest_before", "lowest_after"])
 
     schema = f"{fields}, game string, n_units bigint, n_bets bigint, lowest_before double, lowest_after double"
-    out = _game_rows(dense, keys, ["bets"], []).mapInPandas(repair, schema)
-    large = sizes.where(F.col("_bets") > dense_limit)
-    if not large.take(1):
-        return out
-    tagged = bets.withColumn("_key", F.concat_ws("|", *keys, "game"))
-    found = large.withColumn("_key", F.concat_ws("|", *keys, "game"))
-    chosen = tagged.join(found.select("_key"), "_key", "left_semi")
-    players = W.player_rows(chosen, "_key")
-    floors = W.block_floors(players, "_key", W.game_classes(chosen, "_key", coefs), coefs)
-    return out.unionByName(floors.join(found.select("_key", *keys, "game"), "_key").drop("_key"))
+    return _game_rows(units, keys, ["bets"], []).mapInPandas(repair, schema)
 
 
 def _game_rows(df: DataFrame, keys: Sequence[str], more: Sequence[str], week: Sequence[str]) -> DataFrame:
@@ -247,7 +233,9 @@ def _price_path(cov: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(mu)
     lam, active = -float(mu.max()), [int(np.argmax(mu))]
     knots, values = [lam], [np.zeros(n)]
-    for _ in range(60 * n + 60):
+    for turn in range(1 << 62):
+        if turn > 1000 * (n + 1):
+            raise RuntimeError(f"the price path of a game with {n} bets does not end")
         base, slope = np.linalg.solve(cov[np.ix_(active, active)], np.column_stack([mu[active], np.ones(len(active))])).T
         falls = slope < -1e-12
         leave = np.where(falls, -base / np.where(falls, slope, 1.0), np.inf)
@@ -283,8 +271,8 @@ def _along(path: tuple[np.ndarray, np.ndarray, np.ndarray], lam: np.ndarray) ->
 
 
 def weight_sweep(
-    bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str], gammas: Sequence[float], max_bets: int,
-    grid: int = 160, dense_limit: int = 1000,
+    bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str], gammas: Sequence[float], max_bets: int | None = None,
+    grid: int = 160,
 ) -> DataFrame:
     """Long-only, fully invested mean-variance weights for every risk aversion.
 
@@ -292,18 +280,15 @@ def weight_sweep(
     would take at every price of a grid, the answers are added up per week, and the
     price at which a week is exactly invested is read off.  With u = 2 * gamma * w the
     games' answers do not depend on gamma, so one pass serves every gamma.  A week is only
-    ever a vector of ``grid`` numbers.  A game of up to ``dense_limit`` bets is solved in one
-    call; a larger one is spread over its players.  There is one bet per player and target.
+    ever a vector of ``grid`` numbers.  Every game is solved in the same way, in one call; a game
+    has as many bets as its players have targets.  ``max_bets`` keeps that many of the largest
+    weights of a week, None keeps all.
     """
     steps = np.concatenate([[0.0], np.logspace(-5, 5, grid - 1)])
     goal = 2.0 * np.array([float(g) for g in gammas])
     cols = [*keys, *_GAME_COLUMNS, "bet_id", "ev", "risk_score"]
     tops = bets.groupBy(*keys).agg((F.max("ev") / 100.0).alias("_top"))
-    sizes = bets.groupBy(*keys, "game").agg(F.count("*").alias("_bets"))
-    inputs = staged(
-        bets.select(*cols).join(tops, list(keys)).join(sizes, [*keys, "game"]).withColumn("_key", F.concat_ws("|", *keys, "game")), "inputs"
-    )
-    dense = inputs.where(F.col("_bets") <= dense_limit)
+    inputs = staged(bets.select(*cols).join(tops, list(keys)), "inputs")
     fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
 
     def path(game: Sequence[Mapping]):
@@ -320,11 +305,8 @@ def weight_sweep(
                 # games of one week in this batch are added up before they are sent on
                 yield pd.concat(parts).groupby([*keys, "step"], as_index=False)["taken"].sum()[["step", "taken", *keys]]
 
-    games = _game_rows(dense, keys, ["bet_id", "ev"], ["_top"])
+    games = _game_rows(inputs, keys, ["bet_id", "ev"], ["_top"])
     taken = games.mapInPandas(demand, f"step int, taken double, {fields}")
-    wide = _WideGames.of(inputs, keys, coefs, dense_limit)
-    if wide:
-        taken = taken.unionByName(wide.demand(steps))
     weekly = taken.groupBy(*keys, "step").agg(F.sum("taken").alias("taken"))
     curve = weekly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "taken"))).alias("_curve"))
 
@@ -342,9 +324,7 @@ def weight_sweep(
             yield pd.DataFrame(rows, columns=["gamma_index", "bet_id", "weight", *keys])
 
     solved = games.join(curve, list(keys)).mapInPandas(allocate, f"gamma_index int, bet_id string, weight double, {fields}")
-    if wide:
-        solved = solved.unionByName(wide.allocate(curve, steps, goal, max_bets))
-    best = top_n(solved, [*keys, "gamma_index"], [F.desc("weight"), "bet_id"], max_bets)
+    best = solved if max_bets is None else top_n(solved, [*keys, "gamma_index"], [F.desc("weight"), "bet_id"], max_bets)
     totals = best.groupBy(*keys, "gamma_index").agg(F.sum("weight").alias("_total"))
     return best.join(totals, [*keys, "gamma_index"]).select(
         *keys, "gamma_index", _gamma(gammas).alias("gamma"), portfolio_id(keys).alias("portfolio_id"), "bet_id",
@@ -363,39 +343,6 @@ def _invested_prices(taken: Sequence[float], lam: np.ndarray, goal: np.ndarray)
     return out
 
 
-class _WideGames:
-    """Games above the dense limit: few, and spread over their players."""
-
-    def __init__(self, bets: DataFrame, found: list, keys: Sequence[str], coefs: Mapping[tuple, float]):
-        self.keys, self.coefs, self.spark = list(keys), coefs, bets.sparkSession
-        self.row = {r["_key"]: r for r in found}
-        chosen = bets.where(F.col("_key").isin(*self.row))
-        self.players = staged(W.player_rows(chosen, "_key"), "players")
-        self.players = self.players.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "_key", "label")
-        self.classes = W.game_classes(chosen, "_key", coefs)
-        self.schema = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in self.keys)
-
-    @classmethod
-    def of(cls, bets: DataFrame, keys: Sequence[str], coefs: Mapping[tuple, float], limit: int) -> _WideGames | None:
-        found = bets.where(F.col("_bets") > limit).select(*keys, "_key", "_top").distinct().collect()
-        return cls(bets, found, keys, coefs) if found else None
-
-    def demand(self, steps: np.ndarray) -> DataFrame:
-        lam = {g: steps - r["_top"] for g, r in self.row.items()}
-        _, taken = W.class_prices(self.players, "_key", self.classes, self.coefs, lam)
-        rows = [(i, float(t), *(self.row[g][k] for k in self.keys)) for g, ts in taken.items() for i, t in enumerate(ts)]
-        return self.spark.createDataFrame(rows, f"step int, taken double, {self.schema}")
-
-    def allocate(self, curve: DataFrame, steps: np.ndarray, goal: np.ndarray, keep: int) -> DataFrame:
-        weeks = self.spark.createDataFrame([tuple(r[k] for k in self.keys) for r in self.row.values()], self.schema).distinct()
-        curves = {tuple(r[k] for k in self.keys): [c["taken"] for c in r["_curve"]] for r in curve.join(F.broadcast(weeks), self.keys).collect()}
-        lam = {g: _invested_prices(curves[tuple(r[k] for k in self.keys)], steps - r["_top"], goal) for g, r in self.row.items()}
-        price, _ = W.class_prices(self.players, "_key", self.classes, self.coefs, lam)
-        found = W.allocations(self.players, "_key", self.classes, self.coefs, lam, price, goal, keep)
-        names = self.spark.createDataFrame([(g, *(r[k] for k in self.keys)) for g, r in self.row.items()], f"_key string, {self.schema}")
-        return found.join(F.broadcast(names), "_key").select("gamma_index", "bet_id", "weight", *self.keys)
-
-
 def _gamma(values: Sequence[float]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("gamma_index") + 1)
 

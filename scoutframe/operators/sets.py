@@ -48,7 +48,7 @@ def numbered_report(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     inside = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return (
         df.withColumn("_line", inside)
-        .join(F.broadcast(offsets), list(group))
+        .join(offsets, list(group))
         .withColumn(name, (F.col("_line") + F.col("_before")).cast("bigint"))
         .drop("_line", "_before")
     )

@@ -186,7 +186,7 @@ def d6(spark, d):
     for back, name in ((1, "last"), (2, "before")):
         now = now.join(seasons.select("entity", (F.col("season") + back).alias("season"), F.col("m").alias(name)), ["entity", "season"], "left")
     newcomers = rows.groupBy("position").agg(F.avg("share").alias("newcomer"))  # one row per position
-    full = now.join(F.broadcast(newcomers), "position").withColumn("talent", X.talent_baseline("cur", "last", "before", "newcomer", "games", "career"))
+    full = now.join(newcomers, "position").withColumn("talent", X.talent_baseline("cur", "last", "before", "newcomer", "games", "career"))
     out = X.active_share(full, ["season", "week", "team"], "talent", "out", "games", "recent")
     return out.select("entity", "season", "week", "talent", "adjusted_share", "delta_adjusted_share", "recent_form_delta")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import windows as W
 from ..sources import tables as S
 from . import domain as D
 from .registry import query

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -26,10 +25,6 @@ def read_seasons(spark: SparkSession, path: str, first: int, last: int, stamp: s
     return df.where((F.col(stamp) >= low) & (F.col(stamp) < high))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=True)
-
-
 def read_table(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None,
     equals: Mapping[str, object] | None = None, order_by: Sequence[str] | None = None,
@@ -65,12 +60,6 @@ def next_cursor(page: DataFrame, keys: Sequence[str], cursor: Sequence[object] |
     return tuple(last)
 
 
-def range_read(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """A whole table in key order across partitions: a full read needs no paging loop."""
-    spread = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    return spread.sortWithinPartitions(*keys)
-
-
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
