@@ -4,26 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scoutframe.llm.best_fit import pack_documents
 from scoutframe.llm.durable import durable
-from scoutframe.llm.quality_divergence import judge_quality
+from scoutframe.llm.quality_divergence import keep_quality
+from scoutframe.llm.queries import vocabulary
+from scoutframe.llm.register_dedup import without_near_duplicates
+from scoutframe.llm.source_mix import mixed_documents
+from scoutframe.llm.suffix_repeats import without_repeats
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep (operator 7)."""
+    return keep_quality(docs)
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = judge_quality(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, by five-word shingles and a similarity of 0.8, one document (operator 1)."""
+    return without_near_duplicates(docs)
 
-STAGES = [("quality rules", quality)]
 
-#: SQL has no way to say what the stages do; tests compare each with a brute-force version.
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 400 bytes that occur more than once (operator 10); emptied documents go."""
+    return without_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them (operator 5)."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 2048 tokens (operator 4)."""
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("source mix", source_mix),
+    ("packing", packing),
+]
+
+#: SQL cannot say what the stages do; tests compare each with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's rows are written once and read by the next."""
+    """All stages over the documents of sf_dir; what a stage returns is written once and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

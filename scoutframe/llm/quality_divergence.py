@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import narrow
+from .durable import durable, narrow
 from .textbytes import WHITE, Slice, owners, signed, slices, windows
 
 # Byte classes. Letters beyond ASCII count with the lower-case letters' bytes of their own class.
@@ -217,50 +217,66 @@ COLUMNS = (
 )
 
 
+def _verdicts(s: Slice, langs: list, known: dict, rules: Rules) -> dict[str, np.ndarray]:
+    """All result columns of a slice's documents."""
+    out = base_counts(s, rules.window)
+    failed = _failed(out["n_words"], out["n_repeat_words"], rules)
+    words, _, _, first = _lowered(s)
+    doc, by_class = owners(first), class_counts(s).astype(float)
+    total = np.maximum(by_class.sum(axis=1, keepdims=True), 1)
+    class_distance, word_distance = np.zeros(s.n), np.zeros(s.n)
+    n_common = np.zeros(s.n, dtype=np.int64)
+    names = np.array([x if x in known else "" for x in langs], dtype=object)
+    for lang in set(names) & set(known):
+        keys, shares, class_shares = known[lang]
+        chosen = np.flatnonzero(names == lang)
+        class_distance[chosen] = distance((by_class / total)[chosen], class_shares)
+        if not len(keys):
+            continue
+        place = np.full(s.n, -1)
+        place[chosen] = np.arange(len(chosen))
+        own = place[doc] >= 0
+        at = np.minimum(np.searchsorted(keys, words[own]), len(keys) - 1)
+        hit = keys[at] == words[own]
+        counts = np.bincount(place[doc[own][hit]] * len(keys) + at[hit], minlength=len(chosen) * len(keys)).reshape(len(chosen), -1)
+        n_common[chosen] = counts.sum(axis=1)
+        word_distance[chosen] = distance(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1), shares)
+    guarded = out["n_words"] < rules.guard_words
+    far = (class_distance > rules.max_class_distance) | ((word_distance > rules.max_word_distance) & (n_common >= rules.guard_common))
+    return out | {"base_failed": failed, "class_distance": class_distance, "word_distance": word_distance, "kept": ~failed & (guarded | ~far)}
+
+
 def _judge(rules: Rules, known: dict):
     fields = [tuple(x.split()) for x in COLUMNS.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-    classes = len(CLASS_NAMES)
 
     def run(source):
         for batch in source:
             langs = batch.column("lang").to_pylist()
-            passed = [c for c in range(batch.num_columns) if batch.schema.names[c] != "lang"]
             for i, j, s in slices(batch.column("text")):
-                out = base_counts(s, rules.window)
-                failed = _failed(out["n_words"], out["n_repeat_words"], rules)
-                words, _, _, first = _lowered(s)
-                doc, by_class = owners(first), class_counts(s).astype(float)
-                total = np.maximum(by_class.sum(axis=1, keepdims=True), 1)
-                class_distance, word_distance = np.zeros(s.n), np.zeros(s.n)
-                n_common = np.zeros(s.n, dtype=np.int64)
-                names = np.array([x if x in known else "" for x in langs[i:j]], dtype=object)
-                for lang in set(names) & set(known):
-                    keys, shares, class_shares = known[lang]
-                    chosen = np.flatnonzero(names == lang)
-                    class_distance[chosen] = distance((by_class / total)[chosen], class_shares)
-                    if not len(keys):
-                        continue
-                    place = np.full(s.n, -1)
-                    place[chosen] = np.arange(len(chosen))
-                    own = place[doc] >= 0
-                    at = np.minimum(np.searchsorted(keys, words[own]), len(keys) - 1)
-                    hit = keys[at] == words[own]
-                    counts = np.bincount(place[doc[own][hit]] * len(keys) + at[hit], minlength=len(chosen) * len(keys)).reshape(len(chosen), -1)
-                    n_common[chosen] = counts.sum(axis=1)
-                    word_distance[chosen] = distance(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1), shares)
-                guarded = out["n_words"] < rules.guard_words
-                far = (class_distance > rules.max_class_distance) | ((word_distance > rules.max_word_distance) & (n_common >= rules.guard_common))
-                out |= {"base_failed": failed, "class_distance": class_distance, "word_distance": word_distance, "kept": ~failed & (guarded | ~far)}
-                rows = batch.slice(i, j - i)
-                made = [rows.column(c) for c in passed if batch.schema.names[c] != "text"]
-                names_out = [batch.schema.names[c] for c in passed if batch.schema.names[c] != "text"]
-                made += [pa.array(out[n], type=kinds[k]) for n, k in fields]
-                yield pa.RecordBatch.from_arrays(made, names=names_out + [n for n, _ in fields])
+                out = _verdicts(s, langs[i:j], known, rules)
+                made = [batch.column("key").slice(i, j - i), *(pa.array(out[n], type=kinds[k]) for n, k in fields)]
+                yield pa.RecordBatch.from_arrays(made, names=["key", *(n for n, _ in fields)])
 
     return run
 
 
+def _keep(rules: Rules, known: dict, text_column: str, lang_column: str):
+    def run(source):
+        for batch in source:
+            langs = batch.column(lang_column).to_pylist()
+            for i, j, s in slices(batch.column(text_column)):
+                yield batch.slice(i, j - i).filter(pa.array(_verdicts(s, langs[i:j], known, rules)["kept"]))
+
+    return run
+
+
+def keep_quality(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs, with all their columns, that ``judge_quality`` keeps."""
+    known = references(narrow(docs, text=text_column, lang=lang_column), rules)
+    return docs.mapInArrow(_keep(rules, known, text_column, lang_column), docs.schema)
+
+
 def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """One row per document: its counts, the two distances and the verdict ``kept``.
 

@@ -35,7 +35,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -50,7 +51,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op2_token_counts")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and byte-level tokens of every document."""
-    return count_tokens(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return count_tokens(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 @_query("op3_backoff_scores")
@@ -62,7 +63,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces of sequences of at most 2048 tokens."""
-    return pack_documents(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pack_documents(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 @_query("op5_source_mix", source_mix.ORACLE)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .components import connected
 from .durable import durable, narrow
 from .shingles import shingle_sets
+from .sieve import sieve, sieve_out
 from .textbytes import mix, owners, signed, slices
 
 
@@ -266,3 +267,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     component_id = F.when(F.col("key").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("key")))
     out = out.select("key", "n_shingles", component_id.alias("component_id"))
     return out.select(F.col("key").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", plan: Sketch = Sketch(width=5)) -> DataFrame:
+    """The rows of docs without the near duplicates: of each component the row with the smallest id stays.
+
+    Rows without a word are linked with nothing and stay. If ids repeat, one row of each id stays.
+    """
+    verdicts = durable(near_duplicates(docs, id_column, text_column, plan).select(F.col(id_column).alias("__sieve_key"), "kept"))
+    dropped = verdicts.where("not kept").select("__sieve_key").distinct()
+    repeated = verdicts.where("__sieve_key is not null").groupBy("__sieve_key").count().where("count > 1").limit(1).count()
+    keyed = docs.withColumn("__sieve_key", F.col(f"`{id_column}`").cast("long"))
+    # the few rows that the sieve holds back go through the exact join, the others are not moved
+    left = sieve_out(keyed, dropped, ["__sieve_key"]).unionByName(sieve(keyed, dropped, ["__sieve_key"]).join(dropped, "__sieve_key", "left_anti"), allowMissingColumns=False)
+    if repeated:
+        named = left.where("__sieve_key is not null").dropDuplicates(["__sieve_key"])
+        left = named.unionByName(left.where("__sieve_key is null"))
+    return left.select(*[f"`{c}`" for c in docs.columns])

@@ -22,6 +22,11 @@ def word_count(column: str):
     return F.expr(f"coalesce(regexp_count({column}, '{WORD}'), 0)").cast("long")
 
 
+def _turn(key, seed: str):
+    """Place of an id in the seeded order."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))))
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 2) -> DataFrame:
     """(absent, source, size) per source -> with weight and target; sources by code point, NULL (absent) last.
 
@@ -68,7 +73,7 @@ def mix_sources(
         F.col("source").isNull().alias("absent"),
         F.coalesce("source", F.lit("")).alias("source"),
         word_count("text").alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("key").cast("string"), F.lit("")))).alias("turn"),
+        _turn(F.col("key"), seed).alias("turn"),
     )
     rows = durable(rows.withColumn("slot", F.substring("turn", 1, SLOT_DIGITS)))
     slots = rows.groupBy("absent", "source", "slot").agg(F.sum("size").alias("slot_size"))
@@ -92,20 +97,33 @@ def mix_sources(
     )
 
 
+BROADCAST_SOURCES = 20_000  # beyond so many sources their plan is joined by a shuffle
+
+
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """The mixture itself: each document as often as it is taken, with the columns of docs.
 
-    A fractional repetition that takes only some words of a document holds its first words, cut before white space.
-    Documents that are equal in all columns share one id or differ in nothing, so they are taken alike: rows are
-    told apart by id only, and repeated ids share the decision of one of them.
+    A source's plan is one row: the whole repetitions, and the place in the seeded order up to which the fractional
+    repetition reaches. The document at that place gives its first words, cut before white space. Repeated ids lie at
+    one place of the order and are taken alike.
     """
+    seed = options.get("seed", "mix-1")
     plan = mix_sources(docs, id_column, text_column, source_column, **options)
-    plan = plan.groupBy(id_column).agg(F.max(F.struct("whole", "part", "size")).alias("plan_of_id"))
-    joined = docs.join(plan, docs[id_column].eqNullSafe(plan[id_column])).drop(plan[id_column])
-    parts = F.sequence(F.lit(1), (F.col("plan_of_id.whole") + (F.col("plan_of_id.part") > 0).cast("long")).cast("int"))
-    copies = joined.where("plan_of_id.whole > 0 or plan_of_id.part > 0").withColumn("copy_number", F.explode(parts))
-    cut = F.expr(f"array_join(slice(split(`{text_column}`, '(?<=[^\\\\x20\\\\x09-\\\\x0D])(?=[\\\\x20\\\\x09-\\\\x0D])'), 1, cast(plan_of_id.part as int)), '')")
-    partial = (F.col("copy_number") > F.col("plan_of_id.whole")) & (F.col("plan_of_id.part") < F.col("plan_of_id.size"))
+    reached = F.max(F.when(F.col("part") > 0, F.struct(_turn(F.col(id_column), seed).alias("turn"), F.col(id_column).alias("key"), "part", "size")))
+    plan = plan.groupBy(F.col("source").alias("__mix_source")).agg(F.max("whole").alias("__mix_whole"), reached.alias("__mix_reached"))
+    plan = durable(plan)
+    few = plan.count() <= BROADCAST_SOURCES
+    joined = docs.join(F.broadcast(plan) if few else plan, F.col(f"`{source_column}`").eqNullSafe(F.col("__mix_source")))
+    # by turn, then id, NULL ids first
+    own = F.struct(_turn(F.col(f"`{id_column}`"), seed).alias("turn"), F.col(f"`{id_column}`").alias("key"))
+    edge = F.struct(F.col("__mix_reached.turn").alias("turn"), F.col("__mix_reached.key").alias("key"))
+    inside = F.when(F.col("__mix_reached").isNull() | (own > edge), 0).when(own.eqNullSafe(edge), 1).otherwise(2)
+    joined = joined.withColumn("__mix_inside", inside)
+    repeats = (F.col("__mix_whole") + (F.col("__mix_inside") > 0).cast("long")).cast("int")
+    copies = joined.where(repeats > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), repeats)))
+    pieces = F.split(F.col(f"`{text_column}`"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("__mix_reached.part").cast("int")), "")
+    partial = (F.col("__mix_inside") == 1) & (F.col("__mix_copy") > F.col("__mix_whole")) & (F.col("__mix_reached.part") < F.col("__mix_reached.size"))
     text = F.when(partial, cut).otherwise(F.col(f"`{text_column}`"))
     return copies.withColumn(text_column, text).select(*[f"`{c}`" for c in docs.columns])
 
