@@ -143,7 +143,7 @@ def document_scores(sizes: np.ndarray, word: np.ndarray, pair: np.ndarray, total
     backs[at[~seen]] = True
     score[at[seen]] = np.log(together[seen] / alone[at[seen] - 1])
     score[backs] += np.log(alpha)
-    return np.bincount(doc, weights=score, minlength=len(sizes)), np.bincount(doc, weights=backs, minlength=len(sizes)).astype(np.int64)
+    return np.bincount(doc, weights=score, minlength=len(sizes)).astype(float), np.bincount(doc, weights=backs, minlength=len(sizes)).astype(np.int64)
 
 
 def _score(n_all: int, alpha: float):

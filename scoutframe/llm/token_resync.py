@@ -86,8 +86,8 @@ def _spliced(long_texts: DataFrame, path: str, plan: Chunks) -> DataFrame:
     cuts = encoded.where("k > 0").select("row", "k", "head").join(left, ["row", "k"])
     # of the common places the first; a left count less the right one is what the cut takes off the sum
     common = F.expr("filter(tail, t -> exists(head, h -> h.place = t.place))")
-    chosen = cuts.select("row", common[0].alias("left_end"), "head").select(
-        "row", (F.col("left_end.before") - F.expr("filter(head, h -> h.place = left_end.place)")[0]["before"]).alias("delta")
+    chosen = cuts.select("row", F.get(common, F.lit(0)).alias("left_end"), "head").select(
+        "row", (F.col("left_end.before") - F.get(F.expr("filter(head, h -> h.place = left_end.place)"), F.lit(0))["before"]).alias("delta")
     )
     # tokens = those of the last chunk + for each cut (tokens of the left chunk before it - tokens of the right one before it)
     final = encoded.groupBy("row").agg(F.max_by("tokens", "k").alias("tokens"))
