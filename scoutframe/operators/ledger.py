@@ -53,8 +53,8 @@ def picks_per_team(picks: DataFrame, teams: DataFrame, team: str, pick: str, wee
     })
 
 
-def detail_cards(team_rows: DataFrame, season: int, values: str) -> DataFrame:
-    """Facts about each game of a season known before it was played.
+def detail_cards(team_rows: DataFrame, values: str) -> DataFrame:
+    """Facts about each game of every season known before it was played.
 
     ``team_rows`` has one row per team and game: season, week, team, opponent,
     team_score, opponent_score, venue and ``values``.
@@ -72,13 +72,14 @@ def detail_cards(team_rows: DataFrame, season: int, values: str) -> DataFrame:
         F.avg(won.cast("double")).over(form).alias("season_win_rate"),
         F.avg(F.when(F.col("venue") == "home", won.cast("double"))).over(form).alias("season_home_win_rate"),
         F.concat_ws(", ", F.transform(F.collect_list(values).over(recent), lambda v: v.cast("bigint").cast("string"))).alias("last3_values"),
-    ).where(F.col("season") == season)
-    last = team_rows.where(F.col("season") == season - 1)
-    averages = last.groupBy("team").agg(F.avg(values).alias("last_season_avg"))
-    # rank of what a team allowed; one row per team, so the window is as small as the league
-    allowed = last.groupBy(F.col("opponent").alias("opponent")).agg(F.sum(values).alias("_allowed"))
-    ranks = allowed.select("opponent", F.rank().over(Window.orderBy("_allowed")).alias("opponent_defence_rank"))
-    return facts.join(averages, "team", "left").join(ranks, "opponent", "left")
+    )
+    after = (F.col("season") + 1).alias("season")
+    averages = team_rows.groupBy(after, "team").agg(F.avg(values).alias("last_season_avg"))
+    # rank of what a team allowed; one row per team and season, so the window is as small as the league
+    allowed = team_rows.groupBy(after, "opponent").agg(F.sum(values).alias("_allowed"))
+    rank = F.rank().over(Window.partitionBy("season").orderBy("_allowed"))
+    ranks = allowed.select("season", "opponent", rank.alias("opponent_defence_rank"))
+    return facts.join(averages, ["season", "team"], "left").join(ranks, ["season", "opponent"], "left")
 
 
 def upcoming_board(schedule: DataFrame, spreads: DataFrame, wins: DataFrame, names: DataFrame, after: Column) -> DataFrame:

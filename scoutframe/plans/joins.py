@@ -60,15 +60,15 @@ def j3(spark, d):
 
 @query(
     "j4_keep_dimension_rows",
-    "SELECT n_nationkey, n_name, coalesce(n, 0) AS n_weeks, coalesce(w, '') AS weeks FROM nation LEFT JOIN (SELECT team, count(*) AS n, string_agg(CAST(week AS VARCHAR), ',' ORDER BY week) AS w FROM teams WHERE season = 1998 AND urgent > 0 GROUP BY team) ON team = n_nationkey",
+    "SELECT n_nationkey, n_name, coalesce(n, 0) AS n_weeks, coalesce(w, '') AS weeks FROM nation LEFT JOIN (SELECT team, count(*) AS n, string_agg(season || ':' || week, ',' ORDER BY season, week) AS w FROM teams WHERE urgent > 0 GROUP BY team) ON team = n_nationkey",
     "teams",
 )
 def j4(spark, d):
     from ..operators.aggregates import ordered_text
 
     busy = (
-        D.teams(spark, d).where("season = 1998 AND urgent > 0").withColumn("wk", F.col("week").cast("string"))
-        .groupBy(F.col("team").alias("n_nationkey")).agg(F.count("*").alias("n"), ordered_text(["week"], "wk", ",").alias("w"))
+        D.teams(spark, d).where("urgent > 0").withColumn("wk", F.concat_ws(":", "season", "week"))
+        .groupBy(F.col("team").alias("n_nationkey")).agg(F.count("*").alias("n"), ordered_text(["season", "week"], "wk", ",").alias("w"))
     )
     return D.table(spark, d, "nation").select("n_nationkey", "n_name").join(busy, "n_nationkey", "left").select(
         "n_nationkey", "n_name", F.coalesce("n", F.lit(0)).alias("n_weeks"), F.coalesce("w", F.lit("")).alias("weeks")

@@ -86,12 +86,13 @@ def b20(spark, d):
 
 @query(
     "b20_weeks_per_team",
-    f"SELECT n_nationkey AS team, coalesce(num_weeks, 0) AS num_weeks, coalesce(options, '') AS options FROM nation LEFT JOIN (SELECT pick, count(DISTINCT week) AS num_weeks, string_agg('Week ' || week, '; ' ORDER BY week) AS options FROM ({_PICK_SQL}) WHERE season = 1999 GROUP BY pick) ON pick = n_nationkey",
+    f"SELECT n_nationkey AS team, coalesce(num_weeks, 0) AS num_weeks, coalesce(options, '') AS options FROM nation LEFT JOIN (SELECT pick, count(DISTINCT (season, week)) AS num_weeks, string_agg('Week ' || (season * 100 + week), '; ' ORDER BY season, week) AS options FROM ({_PICK_SQL}) GROUP BY pick) ON pick = n_nationkey",
     "games",
 )
 def b20_teams(spark, d):
     teams = D.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("team"))
-    return L.picks_per_team(_picks(spark, d).where("season = 1999"), teams, "team", "pick", "week")
+    picks = _picks(spark, d).withColumn("week", F.col("season") * 100 + F.col("week"))
+    return L.picks_per_team(picks, teams, "team", "pick", "week")
 
 
 @query(
@@ -101,7 +102,7 @@ def b20_teams(spark, d):
     "lag(season || ' W' || week || ': ' || team_score || '-' || opponent_score) OVER (PARTITION BY team, opponent ORDER BY season, week) AS last_meeting, avg(CAST(team_score > opponent_score AS INT)::DOUBLE) OVER s AS season_win_rate, "
     "avg(CASE WHEN venue = 'home' THEN CAST(team_score > opponent_score AS INT)::DOUBLE END) OVER s AS season_home_win_rate, coalesce(array_to_string(list_transform(array_agg(yards) OVER l, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ', '), '') AS last3_values FROM r "
     "WINDOW m AS (PARTITION BY team, opponent ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY team, season ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l AS (PARTITION BY team ORDER BY season, week ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) "
-    "SELECT f.*, last_season_avg, opponent_defence_rank FROM f LEFT JOIN (SELECT team, avg(yards) AS last_season_avg FROM r WHERE season = 1999 GROUP BY team) a ON a.team = f.team LEFT JOIN (SELECT opponent, rank() OVER (ORDER BY sum(yards)) AS opponent_defence_rank FROM r WHERE season = 1999 GROUP BY opponent) k ON k.opponent = f.opponent WHERE f.season = 2000",
+    "SELECT f.*, last_season_avg, opponent_defence_rank FROM f LEFT JOIN (SELECT season + 1 AS season, team, avg(yards) AS last_season_avg FROM r GROUP BY season, team) a ON a.team = f.team AND a.season = f.season LEFT JOIN (SELECT season + 1 AS season, opponent, rank() OVER (PARTITION BY season ORDER BY sum(yards)) AS opponent_defence_rank FROM r GROUP BY season, opponent) k ON k.opponent = f.opponent AND k.season = f.season",
     "games",
     "season_win_rate season_home_win_rate last_season_avg",
     digits=9,
@@ -111,7 +112,7 @@ def b21(spark, d):
     rows = P.team_rows(games).join(games.select("game_id", "home_yards", "away_yards"), "game_id").withColumn(
         "yards", F.when(F.col("venue") == "home", F.col("home_yards")).otherwise(F.col("away_yards"))
     )
-    return L.detail_cards(staged(rows, "team-rows"), 2000, "yards")
+    return L.detail_cards(staged(rows, "team-rows"), "yards")
 
 
 @query(
