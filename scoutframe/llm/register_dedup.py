@@ -37,7 +37,7 @@ class Sketch:
     bands: int = 32
     rows: int = 5  # registers in a band; a pair at 0.8 misses all bands with odds of 3e-6
     mantissa: int = 10
-    block: int = 256  # members of one side of a block
+    block: int = 2_048  # members of one side of a block
 
     @property
     def registers(self) -> int:
