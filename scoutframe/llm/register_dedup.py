@@ -239,8 +239,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     stars = crowded.join(centres, ["band", "code"]).select("key", F.explode(F.array("smallest", "centre")).alias("centre")).where("key <> centre")
     pairs = durable(stars.select(F.greatest("key", "centre").alias("a"), F.least("key", "centre").alias("b")).distinct())
 
-    involved = crowded.select("key").distinct()
-    texts = own.where("key is not null").join(involved, "key", "left_semi")
+    involved = durable(crowded.select("key").distinct())
+    texts = sieve(own.where("key is not null"), involved, ["key"]).join(involved, "key", "left_semi")
     full = texts.mapInArrow(_full_sets(plan.width), "key long, members binary")
     # rows that repeat an id with another text: the set of the class's own row is the one with its size and digests
     full = durable(first.select("key", "codes", "registers").join(full.groupBy("key").agg(F.first("members").alias("members")), "key"))
