@@ -309,7 +309,25 @@ def _taxonomy(spark):
     return X.feature_taxonomy(spark.createDataFrame([(f,) for f in _IV_FEATURES], "feature string"))
 
 
-@query("d14_iv_tournament")
+_KIND_SQL = (
+    "CASE WHEN regexp_matches(feature, 'last_season|two_seasons_ago') THEN 'Historical Seasons' WHEN regexp_matches(feature, 'lag|last3') THEN 'Recent Games' ELSE 'Full Current Season' END AS timeframe, "
+    f"CASE WHEN regexp_matches(raw_name, '{X.OPPORTUNITY_WORDS}') AND NOT regexp_matches(raw_name, 'per|pct') THEN 'Opportunity' WHEN regexp_matches(raw_name, 'per|pct') AND NOT contains(raw_name, 'snap') THEN 'Efficiency' ELSE 'Production' END AS kind"
+)
+_CORR_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS f1, '{b}' AS f2, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM ({_IV_SRC})" for i, a in enumerate(_IV_FEATURES) for b in _IV_FEATURES[i + 1 :]
+)
+# of two winners of one scope and timeframe that move together the one with less information goes
+_TOURNAMENT_SQL = (
+    f"WITH one AS MATERIALIZED (SELECT DISTINCT feature, total_iv, regexp_replace(feature, '{X.TAXONOMY_PREFIXES}', '', 'g') AS raw_name FROM ({_IV_SQL}) WHERE share_missing < 0.9 AND strength <> 'None'), "
+    f"named AS (SELECT feature, 'Player Stats' AS scope, total_iv, {_KIND_SQL} FROM one), "
+    "win AS MATERIALIZED (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY scope, timeframe, kind ORDER BY total_iv DESC, feature) <= 5), "
+    f"twins AS (SELECT x.feature AS fx, y.feature AS fy, x.total_iv AS ix, y.total_iv AS iy, x.kind = y.kind OR abs(x.total_iv - y.total_iv) > 0.15 AS by_value FROM ({_CORR_SQL}) c JOIN win x ON x.feature = f1 JOIN win y ON y.feature = f2 WHERE r > 0.9 AND x.timeframe = y.timeframe), "
+    "gone AS (SELECT CASE WHEN NOT by_value THEN greatest(fx, fy) WHEN ix < iy OR (ix = iy AND fy < fx) THEN fx ELSE fy END AS feature FROM twins) "
+    "SELECT feature, scope, timeframe, kind, total_iv FROM win WHERE feature NOT IN (SELECT feature FROM gone)"
+)
+
+
+@query("d14_iv_tournament", _TOURNAMENT_SQL, "panel", "total_iv")
 def d14(spark, d):
     rows = _iv_source(spark, d)
     return X.iv_tournament(rows, X.information_value(rows, "y", _IV_FEATURES), _taxonomy(spark), max_missing=0.9)
