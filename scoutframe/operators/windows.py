@@ -94,7 +94,7 @@ def latest_per_key(df: DataFrame, keys: Keys, newest: Sequence[Column | str]) ->
     """One row per key: the greatest by ``newest``.
 
     An aggregate, not a window: every task first keeps one row per key, so a key
-    with very many snapshots costs no more than any other.
+    with very many snapshots sends one row per task. The rows of a task are sorted by key first, since the payload is a struct.
     """
     rest = [c for c in df.columns if c not in keys]
     rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in newest])

@@ -21,6 +21,20 @@ def file_feed(spark: SparkSession, path: str, schema: T.StructType, files_per_tr
     return reader.parquet(path)
 
 
+class _folder:
+    """A folder on whatever file system Spark writes to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        return [f.getPath().getName() for f in self.system.listStatus(self.path)]
+
+    def delete(self) -> None:
+        self.system.delete(self.path, True)
+
+
 def _finish(query: StreamingQuery) -> None:
     query.awaitTermination()
 
@@ -41,6 +55,8 @@ def keep_latest(feed: DataFrame, state: str, checkpoint: str, keys: Sequence[str
             both = latest_per_key(old.join(fresh.select(*keys), list(keys), "left_semi").unionByName(fresh), keys, newest)
             fresh = upsert(old, both, keys, newest)
         fresh.write.mode("overwrite").parquet(f"{state}/version={number}")
+        if number > 1:  # a batch that is run again needs the version before its own only
+            _folder(spark, f"{state}/version={number - 2}").delete()
 
     return (
         feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -50,9 +66,7 @@ def keep_latest(feed: DataFrame, state: str, checkpoint: str, keys: Sequence[str
 def newest_version(spark: SparkSession, state: str, schema: T.StructType) -> DataFrame:
     """State after the last finished batch."""
     versions = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(state)
-    path = spark._jvm.org.apache.hadoop.fs.Path(state)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    last = max(int(f.getPath().getName().split("=")[1]) for f in files if "=" in f.getPath().getName())
+    last = max(int(name.split("=")[1]) for name in _folder(spark, state).names() if "=" in name)
     return versions.where(F.col("version") == last).drop("version")
 
 
