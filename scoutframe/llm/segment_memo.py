@@ -9,13 +9,14 @@ no white space.) So the tokens of a text are those of its stretches, one after t
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
 
 from .textbytes import WHITE, Slice
 
-MEMO_ENTRIES = 300_000  # remembered stretches per worker; beyond it the memo starts anew, which only costs time
+MEMO_ENTRIES = 400_000  # remembered stretches per worker; beyond it the memo starts anew, which only costs time
 _TOKENIZERS: dict = {}
 
 
@@ -45,21 +46,67 @@ def stretches(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(starts, s.offsets)
 
 
+class Separator:
+    """A control character that stands between stretches when many are encoded in one call.
+
+    No token but its own holds it, so nothing merges with it. Stretches that could be split otherwise beside it
+    (see ``fits``) are encoded by themselves.
+    """
+
+    def __init__(self, library, spaced: bool):
+        self.text = None
+        for code in range(1, 9):
+            ids = library.encode(chr(code), add_special_tokens=False).ids
+            if len(ids) == 1:
+                mark = library.id_to_token(ids[0])[0]
+                if sum(mark in t for t in library.get_vocab()) <= 1 + spaced:  # alone, and alone at the end of a word
+                    self.char, self.id = chr(code), ids[0]
+                    self.text = f" {self.char} " if spaced else self.char
+                    return
+
+    def fits(self, piece: bytes) -> bool:
+        """Word-level: words without the character. Byte-level: also, white space first and none at the end."""
+        if self.text is None or self.char.encode() in piece:
+            return False
+        return len(self.text) > 1 or (bool(WHITE[piece[0]]) and not WHITE[piece[-1]] and piece[-1] < 128)
+
+
 class Memo:
     """Distinct stretches and their encodings, one per worker and vocabulary."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spaced: bool):
         self.library = tokenizer(path)
+        self.separator = Separator(self.library, spaced)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.lengths = np.zeros(1024, dtype=np.int64)
-        self.ids: list = []
-
-    def _room(self, n: int) -> None:
-        while n > len(self.lengths):
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.lengths, self.begins = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.flat, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
+
+    def _add(self, base: int, lengths: np.ndarray, ids: np.ndarray, keep_ids: bool) -> None:
+        end = base + len(lengths)
+        while end > len(self.lengths):
+            self.lengths, self.begins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.begins))
+        self.lengths[base:end] = lengths
+        if keep_ids:
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.begins[base:end] = self.used + np.cumsum(lengths) - lengths
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+
+    def _encode(self, pieces: list[bytes], together: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of some stretches, in one call or one by one."""
+        texts = [x.decode() for x in pieces]
+        if not together:
+            ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([len(x) for x in ids]), np.array([y for x in ids for y in x], dtype=np.uint32)
+        ids = np.array(self.library.encode_batch_fast([self.separator.text.join(texts)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        between = ids == self.separator.id
+        lengths = np.diff(np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])) - 1
+        assert len(lengths) == len(pieces)
+        return lengths, ids[~between]
 
     def numbers(self, s: Slice, starts: np.ndarray, ends: np.ndarray, keep_ids: bool) -> np.ndarray:
         """For each stretch of a slice its number in the memo."""
@@ -67,32 +114,29 @@ class Memo:
             self.clear()
         keys, first, back = np.unique(s.fingerprints(starts, ends), return_index=True, return_inverse=True)
         raw = s.data.tobytes()
-        known, found, fresh = self.known, np.empty(len(keys), dtype=np.int64), []
-        for i, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist())):
-            piece = raw[a:b]
-            at = known.get(piece)
-            if at is None:
-                at = known[piece] = len(known)
-                fresh.append(piece)
-            found[i] = at
-        if fresh:
-            base = len(known) - len(fresh)
-            self._room(len(known))
-            for k in range(0, len(fresh), 4096):
-                part = self.library.encode_batch_fast([x.decode() for x in fresh[k : k + 4096]], add_special_tokens=False)
-                self.lengths[base + k : base + k + len(part)] = [len(e) for e in part]
-                if keep_ids:
-                    self.ids.extend(np.array(e.ids, dtype=np.uint32) for e in part)
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        found = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        fresh = np.flatnonzero(found < 0).tolist()
+        fits = [self.separator.fits(pieces[k]) for k in fresh]
+        for together in (True, False):
+            some = [k for k, f in zip(fresh, fits) if f == together]
+            for i in range(0, len(some), 256):
+                part = some[i : i + 256]
+                base = len(self.known)
+                self._add(base, *self._encode([pieces[k] for k in part], together), keep_ids)
+                self.known.update((pieces[k], base + n) for n, k in enumerate(part))
+                found[part] = np.arange(base, base + len(part))
         return found[back]
 
 
 _MEMOS: dict = {}
 
 
-def memo(path: str, kind: str) -> Memo:
-    if (path, kind) not in _MEMOS:
-        _MEMOS[path, kind] = Memo(path)
-    return _MEMOS[path, kind]
+def memo(path: str, spaced: bool) -> Memo:
+    """The worker's memo for stretches that white space parts (spaced, without it) or that begin with white space."""
+    if (path, spaced) not in _MEMOS:
+        _MEMOS[path, spaced] = Memo(path, spaced)
+    return _MEMOS[path, spaced]
 
 
 def token_counts(s: Slice, path: str) -> np.ndarray:
@@ -100,7 +144,7 @@ def token_counts(s: Slice, path: str) -> np.ndarray:
     starts, first = stretches(s)
     if not len(starts):
         return np.zeros(s.n, dtype=np.int64)
-    m = memo(path, "counts")
+    m = memo(path, spaced=False)
     numbers = m.numbers(s, starts, np.append(starts[1:], len(s.data)), keep_ids=False)
     total = np.zeros(len(starts) + 1, dtype=np.int64)
     np.cumsum(m.lengths[numbers], out=total[1:])
@@ -110,18 +154,14 @@ def token_counts(s: Slice, path: str) -> np.ndarray:
 def token_ids(s: Slice, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all documents of a slice, each followed by end_id, and where each document's begin (n + 1 numbers)."""
     starts, ends, first = s.words()
-    m = memo(path, "ids")
-    if len(m.known) > MEMO_ENTRIES or not m.ids:
+    m = memo(path, spaced=True)
+    if len(m.known) > MEMO_ENTRIES or not m.known:
         m.clear()
         m.known[b""] = 0  # stands for the end of a document
-        m.ids.append(np.array([end_id], dtype=np.uint32))
-        m.lengths[0] = 1
+        m._add(0, np.array([1]), np.array([end_id], dtype=np.uint32), keep_ids=True)
     numbers = m.numbers(s, starts, ends, keep_ids=True) if len(starts) else np.zeros(0, np.int64)
     numbers = np.insert(numbers, first[1:], 0)
-    used, back = np.unique(numbers, return_inverse=True)
-    flat = np.concatenate([m.ids[k] for k in used.tolist()])
-    begin = np.concatenate([[0], np.cumsum(m.lengths[used])])
     lengths = m.lengths[numbers]
     place = np.concatenate([[0], np.cumsum(lengths)])
-    out = flat[np.repeat(begin[back] - place[:-1], lengths) + np.arange(place[-1])]
+    out = m.flat[np.repeat(m.begins[numbers] - place[:-1], lengths) + np.arange(place[-1])]
     return out, place[np.append(first[:-1] + np.arange(s.n), len(numbers))]
