@@ -245,24 +245,69 @@ def chronological_split(season: str, train_to: int) -> Column:
     return F.when(s <= train_to, "train").when(s == train_to + 1, "validation").otherwise("holdout")
 
 
-# Name parts that place a feature in time and by kind.
-TAXONOMY_PREFIXES = r"last3_|last_season_|two_seasons_ago_|avg_|mean_|median_|min_|max_|cv_|sd_|cumulative_|_lag[0-9]"
-OPPORTUNITY_WORDS = "att|attempt|carries|target|tgt|snap|offense|active|also_played|touches"
-EFFICIENCY_WORDS = "per|pct"
+# Parts cut from a feature's name, and words and names that tell its kind; per scope, now and for past seasons.
+NAME_CUTS = {
+    ("Player Stats", False): "last3_|avg_|mean_|median_|min_|max_|cv_|sd_|cumulative_|_lag[0-9]",
+    ("Player Stats", True): "last_season_|two_seasons_ago_|min_|mean_|median_|max_|cv_|sd_|avg_",
+    ("Team Stats", False): "team_|last3_|min_|mean_|median_|max_|avg_|cumulative_|cv_|sd_|offense_",
+    ("Team Stats", True): "last_season_|two_seasons_ago_|team_|last3_|min_|mean_|median_|max_|avg_|_cumulative_|cv_|sd_|sum_|offense_",
+    ("Opp Stats", False): "opp_|last3_|min_|mean_|median_|max_|avg_|cumulative_|cv_|sd_|defense_",
+    ("Opp Stats", True): "last_season_|two_seasons_ago_|opp_|last3_|min_|mean_|median_|max_|avg_|cumulative_|cv_|sd_|defense_",
+}
+OPPORTUNITY_WORDS = {
+    ("Player Stats", False): "att|attempt|carries|target|tgt|snap|offense|active|also_played",
+    ("Player Stats", True): "att|attempt|carries|target|tgt|snap|offense|active|also_played",
+    ("Team Stats", False): "att|attempt|carries|target|tgt|snap|offense|active|pct_plays|pct_drives|pct_trick|qb_shotgun|sum_qb|play_action|screen|times_",
+    ("Team Stats", True): "att|attempt|carries|target|tgt|snap|offense|active|pct_plays|pct_drives|qb_shotgun|sum_qb|qb_sneaks|trick|play_action|screen|backfield",
+    ("Opp Stats", False): "attempt|drives|carries|plays|per_play",
+    ("Opp Stats", True): "attempt|drives|carries|plays|per_play|total",
+}
+OPPORTUNITY_NAMES = {
+    ("Player Stats", False): ("offense_pct", "time_to_throw_per_attempt", "games_played", "also_played_defense"),
+    ("Player Stats", True): ("offense_pct", "time_to_throw_per_attempt"),
+    ("Team Stats", False): ("drives_in_redzone", "drives", "games_played", "redzone_rushing_plays", "redzone_receiving_plays", "pace", "time_of_possession", "redzone_plays"),
+    ("Team Stats", True): ("drives_in_redzone", "num_plays", "drives", "games_played", "redzone_rushing_plays", "redzone_receiving_plays", "pace", "time_of_possession", "redzone_plays"),
+}
+RATE_WORDS = {
+    ("Player Stats", False): "per|pct",
+    ("Player Stats", True): "per|pct",
+    ("Team Stats", False): "per_|ratio|pct|dependency|passer_rating|aggressiveness",
+    ("Team Stats", True): "per_|ratio|pct|dependency",
+    ("Opp Stats", False): "per_|pct|dependency",
+    ("Opp Stats", True): "per_|pct|dependency",
+}
+TEAM_NO_RATE = "pct_plays|pct_drives|pct_trick|matchup"
+PLAYER_NO_OPPORTUNITY, PLAYER_NO_RATE = "average_depth_of_target_passer", ("offense_pct", "time_to_throw_per_attempt")
+
+
+def _kind(raw: Column, scope: str, past: bool) -> Column:
+    """Rates are looked for first in team features, opportunities first in the others."""
+    at = (scope, past)
+    chance, rate = raw.rlike(OPPORTUNITY_WORDS[at]), raw.rlike(RATE_WORDS[at])
+    named = raw.isin(*OPPORTUNITY_NAMES.get(at, ("",)))
+    if scope == "Team Stats":
+        efficient = ((raw == "differential_per_win") | rate) & ~raw.rlike(TEAM_NO_RATE)
+        return F.when(efficient, "Efficiency").when(chance | named, "Opportunity").otherwise("Production")
+    if scope == "Opp Stats":
+        per_play = raw.contains("per_play")
+        return F.when(chance & (~raw.contains("per_") | per_play), "Opportunity").when(rate & ~per_play, "Efficiency").otherwise("Production")
+    chance = chance & (raw != PLAYER_NO_OPPORTUNITY) & ~rate
+    return F.when(chance | named, "Opportunity").when(rate & ~raw.contains("snap") & ~raw.isin(*PLAYER_NO_RATE), "Efficiency").otherwise("Production")
 
 
 def feature_taxonomy(features: DataFrame, name: str = "feature") -> DataFrame:
-    """Scope, timeframe, raw name and kind of features, from their names."""
+    """Scope, timeframe, raw name and kind of features, from their names, by the rules of their scope."""
     f = F.col(name)
-    raw = F.regexp_replace(f, TAXONOMY_PREFIXES, "")
     scope = F.when(f.rlike("^(last3_|last_season_|two_seasons_ago_|[a-z]+_)?opp_"), "Opp Stats").when(f.contains("team_"), "Team Stats").otherwise("Player Stats")
-    frame = (
-        F.when(f.rlike("last_season|two_seasons_ago"), "Historical Seasons").when(f.rlike("lag|last3"), "Recent Games").otherwise("Full Current Season")
-    )
-    kind = (
-        F.when(raw.rlike(OPPORTUNITY_WORDS) & ~raw.rlike(EFFICIENCY_WORDS), "Opportunity").when(raw.rlike(EFFICIENCY_WORDS) & ~raw.contains("snap"), "Efficiency").otherwise("Production")
-    )
-    return features.select("*", scope.alias("scope"), frame.alias("timeframe"), raw.alias("raw_name"), kind.alias("kind"))
+    recent = F.when(F.col("scope") == "Player Stats", f.rlike("lag|last3")).otherwise(f.contains("last3"))
+    frame = F.when(F.col("_past"), "Historical Seasons").when(recent, "Recent Games").otherwise("Full Current Season")
+    raw = kind = F.lit(None).cast("string")
+    for at, cut in NAME_CUTS.items():
+        mine = (F.col("scope") == at[0]) & (F.col("_past") == at[1])
+        raw = F.when(mine, F.regexp_replace(f, cut, "")).otherwise(raw)
+        kind = F.when(mine, _kind(F.col("raw_name"), *at)).otherwise(kind)
+    placed = features.withColumn("scope", scope).withColumn("_past", f.rlike("last_season|two_seasons_ago")).withColumn("timeframe", frame)
+    return placed.withColumn("raw_name", raw).withColumn("kind", kind).drop("_past")
 
 
 def information_value(df: DataFrame, label: str, features: Keys, bins: int = 6) -> DataFrame:

@@ -258,16 +258,44 @@ def d11(spark, d):
     )
 
 
-_FEATURE_NAMES = ["avg_{}", "last3_avg_{}", "last_season_avg_{}_per_attempt", "opp_defense_{}_allowed", "team_avg_{}", "pct_share_of_{}", "{}_lag1"]
+_FEATURE_NAMES = [
+    "avg_{}", "last3_avg_{}", "last_season_avg_{}_per_attempt", "opp_defense_{}_allowed", "team_avg_{}", "pct_share_of_{}", "{}_lag1",
+    "opp_avg_{}_per_play", "last_season_opp_total_{}", "team_pct_plays_{}", "team_{}_per_drive", "last_season_team_qb_sneaks_{}", "avg_{}_attempts",
+]
+
+
+def taxonomy_sql(source: str) -> str:
+    """Rules of each scope, spelled out for DuckDB; ``source`` has a column feature."""
+    def names(values):
+        return ", ".join(f"'{v}'" for v in values)
+
+    raw, kind = [], []
+    for (scope, past), cut in X.NAME_CUTS.items():
+        mine = f"WHEN scope = '{scope}' AND past = {past} THEN"
+        chance, rate = X.OPPORTUNITY_WORDS[scope, past], X.RATE_WORDS[scope, past]
+        named = f"raw_name IN ({names(X.OPPORTUNITY_NAMES.get((scope, past), ('',)))})"
+        raw.append(f"{mine} regexp_replace(feature, '{cut}', '', 'g')")
+        if scope == "Team Stats":
+            rule = f"WHEN (raw_name = 'differential_per_win' OR regexp_matches(raw_name, '{rate}')) AND NOT regexp_matches(raw_name, '{X.TEAM_NO_RATE}') THEN 'Efficiency' WHEN regexp_matches(raw_name, '{chance}') OR {named} THEN 'Opportunity'"
+        elif scope == "Opp Stats":
+            rule = f"WHEN regexp_matches(raw_name, '{chance}') AND (NOT contains(raw_name, 'per_') OR contains(raw_name, 'per_play')) THEN 'Opportunity' WHEN regexp_matches(raw_name, '{rate}') AND NOT contains(raw_name, 'per_play') THEN 'Efficiency'"
+        else:
+            rule = f"WHEN (regexp_matches(raw_name, '{chance}') AND raw_name <> '{X.PLAYER_NO_OPPORTUNITY}' AND NOT regexp_matches(raw_name, '{rate}')) OR {named} THEN 'Opportunity' WHEN regexp_matches(raw_name, '{rate}') AND NOT contains(raw_name, 'snap') AND raw_name NOT IN ({names(X.PLAYER_NO_RATE)}) THEN 'Efficiency'"
+        kind.append(f"{mine} CASE {rule} ELSE 'Production' END")
+    return (
+        f"SELECT * EXCLUDE (past), CASE {' '.join(kind)} END AS kind FROM (SELECT *, CASE WHEN past THEN 'Historical Seasons' WHEN regexp_matches(feature, CASE scope WHEN 'Player Stats' THEN 'lag|last3' ELSE 'last3' END) THEN 'Recent Games' ELSE 'Full Current Season' END AS timeframe, "
+        f"CASE {' '.join(raw)} END AS raw_name FROM (SELECT *, CASE WHEN regexp_matches(feature, '^(last3_|last_season_|two_seasons_ago_|[a-z]+_)?opp_') THEN 'Opp Stats' WHEN contains(feature, 'team_') THEN 'Team Stats' ELSE 'Player Stats' END AS scope, "
+        f"regexp_matches(feature, 'last_season|two_seasons_ago') AS past FROM ({source})))"
+    )
 
 
 @query(
     "d12_feature_taxonomy",
-    "WITH f AS (SELECT replace(pattern, '{}', type) AS feature, count(*) AS n FROM (SELECT CASE WHEN response_var IN ('anytime_td_scorer', 'team_win') THEN response_var ELSE regexp_replace(response_var, '_[^_]*$', '') END AS type FROM bets), (SELECT unnest(["
-    + ", ".join(f"'{p}'" for p in _FEATURE_NAMES)
-    + "]) AS pattern) GROUP BY ALL) SELECT feature, n, CASE WHEN regexp_matches(feature, '^(last3_|last_season_|two_seasons_ago_|[a-z]+_)?opp_') THEN 'Opp Stats' WHEN contains(feature, 'team_') THEN 'Team Stats' ELSE 'Player Stats' END AS scope, "
-    "CASE WHEN regexp_matches(feature, 'last_season|two_seasons_ago') THEN 'Historical Seasons' WHEN regexp_matches(feature, 'lag|last3') THEN 'Recent Games' ELSE 'Full Current Season' END AS timeframe, raw_name, "
-    f"CASE WHEN regexp_matches(raw_name, '{X.OPPORTUNITY_WORDS}') AND NOT regexp_matches(raw_name, 'per|pct') THEN 'Opportunity' WHEN regexp_matches(raw_name, 'per|pct') AND NOT contains(raw_name, 'snap') THEN 'Efficiency' ELSE 'Production' END AS kind FROM (SELECT *, regexp_replace(feature, '{X.TAXONOMY_PREFIXES}', '', 'g') AS raw_name FROM f)",
+    taxonomy_sql(
+        "SELECT replace(pattern, '{}', type) AS feature, count(*) AS n FROM (SELECT CASE WHEN response_var IN ('anytime_td_scorer', 'team_win') THEN response_var ELSE regexp_replace(response_var, '_[^_]*$', '') END AS type FROM bets), (SELECT unnest(["
+        + ", ".join(f"'{p}'" for p in _FEATURE_NAMES)
+        + "]) AS pattern) GROUP BY ALL"
+    ),
     "bets",
 )
 def d12(spark, d):
@@ -309,17 +337,13 @@ def _taxonomy(spark):
     return X.feature_taxonomy(spark.createDataFrame([(f,) for f in _IV_FEATURES], "feature string"))
 
 
-_KIND_SQL = (
-    "CASE WHEN regexp_matches(feature, 'last_season|two_seasons_ago') THEN 'Historical Seasons' WHEN regexp_matches(feature, 'lag|last3') THEN 'Recent Games' ELSE 'Full Current Season' END AS timeframe, "
-    f"CASE WHEN regexp_matches(raw_name, '{X.OPPORTUNITY_WORDS}') AND NOT regexp_matches(raw_name, 'per|pct') THEN 'Opportunity' WHEN regexp_matches(raw_name, 'per|pct') AND NOT contains(raw_name, 'snap') THEN 'Efficiency' ELSE 'Production' END AS kind"
-)
 _CORR_SQL = " UNION ALL ".join(
     f"SELECT '{a}' AS f1, '{b}' AS f2, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM ({_IV_SRC})" for i, a in enumerate(_IV_FEATURES) for b in _IV_FEATURES[i + 1 :]
 )
 # of two winners of one scope and timeframe that move together the one with less information goes
 _TOURNAMENT_SQL = (
-    f"WITH one AS MATERIALIZED (SELECT DISTINCT feature, total_iv, regexp_replace(feature, '{X.TAXONOMY_PREFIXES}', '', 'g') AS raw_name FROM ({_IV_SQL}) WHERE share_missing < 0.9 AND strength <> 'None'), "
-    f"named AS (SELECT feature, 'Player Stats' AS scope, total_iv, {_KIND_SQL} FROM one), "
+    f"WITH one AS MATERIALIZED (SELECT DISTINCT feature, total_iv FROM ({_IV_SQL}) WHERE share_missing < 0.9 AND strength <> 'None'), "
+    f"named AS ({taxonomy_sql('SELECT * FROM one')}), "
     "win AS MATERIALIZED (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY scope, timeframe, kind ORDER BY total_iv DESC, feature) <= 5), "
     f"twins AS (SELECT x.feature AS fx, y.feature AS fy, x.total_iv AS ix, y.total_iv AS iy, x.kind = y.kind OR abs(x.total_iv - y.total_iv) > 0.15 AS by_value FROM ({_CORR_SQL}) c JOIN win x ON x.feature = f1 JOIN win y ON y.feature = f2 WHERE r > 0.9 AND x.timeframe = y.timeframe), "
     "gone AS (SELECT CASE WHEN NOT by_value THEN greatest(fx, fy) WHEN ix < iy OR (ix = iy AND fy < fx) THEN fx ELSE fy END AS feature FROM twins) "
