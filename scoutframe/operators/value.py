@@ -199,6 +199,7 @@ def win_removal_stress(settled: DataFrame, by: Sequence[str], ks: Sequence[int]
     return out.select(
         *by, "scenario", F.col("k").alias("k_wins_removed"), "num_wins", "baseline_return", adjusted.alias("adjusted_return"),
         (F.col("baseline_return") - adjusted).alias("return_drop"),
+        F.try_divide(adjusted, F.col("baseline_return")).alias("retained_share"),
     )
 
 

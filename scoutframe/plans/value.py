@@ -216,9 +216,9 @@ def _settled(spark, d):
 @query(
     "b15_win_removal_stress",
     f"WITH base AS ({_BASE_SQL}), wins AS ({_WINS_SQL}), cases AS (SELECT base.*, 'top ' || k AS scenario, k FROM base, (SELECT unnest([1, 2, 3, 5, 10]) AS k) UNION ALL SELECT base.*, 'top ' || pc || '%', CAST(ceil(num_wins * (pc / CAST(100.0 AS DOUBLE))) AS BIGINT) FROM base, (SELECT unnest([5, 10, 20, 30]) AS pc)) "
-    "SELECT *, baseline_return - adjusted_return AS return_drop FROM (SELECT c.season, scenario, k AS k_wins_removed, num_wins, baseline_return, (payout - coalesce((SELECT sum(paid) FROM wins w WHERE w.season = c.season AND rn <= k), 0) - spent) / spent AS adjusted_return FROM cases c)",
+    "SELECT *, baseline_return - adjusted_return AS return_drop, adjusted_return / nullif(baseline_return, 0) AS retained_share FROM (SELECT c.season, scenario, k AS k_wins_removed, num_wins, baseline_return, (payout - coalesce((SELECT sum(paid) FROM wins w WHERE w.season = c.season AND rn <= k), 0) - spent) / spent AS adjusted_return FROM cases c)",
     "bets",
-    "baseline_return adjusted_return return_drop",
+    "baseline_return adjusted_return return_drop retained_share",
     digits=10,
 )
 def b15(spark, d):
