@@ -7,13 +7,14 @@ the number of its rows (one longer document makes a slice of its own).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 # ASCII white space of the word pattern, 0x20 and 0x09 to 0x0D.
 WHITE = np.zeros(256, dtype=bool)
@@ -49,11 +50,11 @@ def powers(n: int, seed: int = 0) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
     have = _POWERS.get(seed)
     if have is None or len(have) <= n:
-        size = max(n + 1, 2 * SLICE_BYTES)
+        size = max(n + 1, SLICE_BYTES + 4096)
         have = np.full(size, _BASES[seed], dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size > 4 * SLICE_BYTES:  # of one very long document: not kept
+        if size > 2 * SLICE_BYTES:  # of one very long document: not kept
             return have
         _POWERS[seed] = have
     return have
@@ -105,16 +106,24 @@ _INVERSES: dict[int, np.ndarray] = {}
 def inverse_powers(n: int, seed: int = 0) -> np.ndarray:
     have = _INVERSES.get(seed)
     if have is None or len(have) <= n:
-        size = max(n + 1, 2 * SLICE_BYTES)
+        size = max(n + 1, SLICE_BYTES + 4096)
         have = np.full(size, np.uint64(pow(int(_BASES[seed]), -1, 1 << 64)), dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size > 4 * SLICE_BYTES:
+        if size > 2 * SLICE_BYTES:
             return have
         _INVERSES[seed] = have
     return have
 
 
+def give_back() -> None:
+    """Free memory returns to the operating system: workers are kept between stages and would hold their peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int, Slice]]:
     """(first row, row after the last, slice) of a string column; NULL counts as empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -131,6 +140,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 4096) -> Iter
         j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1))
         yield i, j, Slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
+    give_back()
 
 
 def owners(starts_of: np.ndarray) -> np.ndarray:
