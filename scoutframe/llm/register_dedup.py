@@ -38,6 +38,7 @@ class Sketch:
     rows: int = 5  # registers in a band; a pair at 0.8 misses all bands with odds of 3e-6
     mantissa: int = 10
     block: int = 2_048  # members of one side of a block
+    block_bytes: int = 16 << 20  # and bytes of their sets, on average
 
     @property
     def registers(self) -> int:
@@ -251,9 +252,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     labelled = crowded.where("size > 2").select("band", "code", "key").join(component, "key", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "key"))
-    split = labelled.groupBy("band", "code").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / plan.block).cast("int")
-    open_rows = labelled.join(split.where("least <> most"), ["band", "code"]).withColumn("blocks", blocks)
+    split = labelled.groupBy("band", "code").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    apart = labelled.join(split.where("least <> most").select("band", "code"), ["band", "code"])
+    apart = durable(apart.join(full.select("key", F.length("members").alias("bytes")), "key"))
+    split = apart.groupBy("band", "code").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("size") / plan.block, F.col("bytes") / plan.block_bytes)).cast("int")
+    open_rows = apart.drop("bytes").join(split.select("band", "code", blocks.alias("blocks")), ["band", "code"])
     open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     open_rows = open_rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_rows = open_rows.select("band", "code", "key", "component", "block", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"))
