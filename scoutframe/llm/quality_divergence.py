@@ -177,7 +177,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.nd
     language "" (also NULL) stands for all that share one reference.
     """
     counted = docs.mapInArrow(_reference_rows(rules), "lang string, kind byte, key long, n long")
-    counted = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counted = durable(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     totals = counted.where("kind = 2").select("lang", F.col("n").alias("all_words"))
     large = totals.where(F.col("all_words") >= rules.min_reference_words).orderBy(F.desc("all_words"), "lang").limit(rules.languages)
     kept = [r["lang"] for r in large.collect() if r["lang"]]
