@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores of all documents by all documents.
 
-1. Documents are gathered to blocks of about ``block_bytes``; a block keeps its tokens as numbers of its distinct
-   n-grams, and one sorted list of their hashes (words and pairs of words).
+1. Documents are gathered to blocks of about ``block_bytes``; a block keeps its distinct words and its tokens as their
+   numbers, from which its distinct n-grams (words and pairs of words) follow as a list sorted by hash.
 2. The count table is partitioned by hash: each part gets from every block the stretch of its list that falls to the
    part, as one row, adds the counts up, and gives every block the totals of its n-grams back. Within a block an n-gram
    travels once, so a very frequent one costs a part one entry per block. The number of parts follows the number of
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable, narrow
-from .textbytes import mix, owners, slices
+from .textbytes import Slice, mix, owners, slices
 
 
 @dataclass(frozen=True)
@@ -50,39 +50,53 @@ def _pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + words)[has], has
 
 
-_BLOCK = "keys binary, sizes binary, grams binary, counts binary, tokens binary, pairs binary, n_tokens long"
+_BLOCK = "keys binary, sizes binary, words binary, tokens binary, n_tokens long"
 
 
 def _blocks(plan: Backoff):
-    def emit(keys, sizes, words):
-        sizes, words = np.concatenate(sizes), np.concatenate(words)
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        pair, has = _pairs(words, first)
-        grams, where, counts = np.unique(np.concatenate([words, pair]), return_inverse=True, return_counts=True)
-        columns = [_pack(np.array(keys, np.int64), "<i8"), _pack(sizes, "<i8"), grams.astype("<u8").tobytes(), _pack(counts, "<u4"),
-                   _pack(where[: len(words)], "<u4"), _pack(where[len(words) :], "<u4")]
+    """mapInArrow step: documents as blocks. A block spells its distinct words once, in order of their hash."""
+
+    def emit(keys, sizes, words, spelled):
+        distinct, tokens = np.unique(np.concatenate(words), return_inverse=True)
+        text = b"\n".join([spelled[w] for w in distinct.tolist()])
+        columns = [_pack(np.array(keys, np.int64), "<i8"), _pack(np.concatenate(sizes), "<i8"), zlib.compress(text, 1), _pack(tokens, "<u4")]
         names = [x.split()[0] for x in _BLOCK.split(", ")]
-        return pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in columns), pa.array([len(words)], pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in columns), pa.array([len(tokens)], pa.int64())], names=names)
 
     def run(source):
-        keys, sizes, words, held = [], [], [], 0
+        keys, sizes, words, spelled, held = [], [], [], {}, 0
         for batch in source:
             ids = batch.column("key").to_pylist()
             for i, j, s in slices(batch.column("text")):
                 starts, ends, first = s.words()
+                hashes = s.fingerprints(starts, ends, lower=True)
+                distinct, at = np.unique(hashes, return_index=True)
+                raw = s.data.tobytes()
+                spelled.update((w, raw[a:b].lower()) for w, a, b in zip(distinct.tolist(), starts[at].tolist(), ends[at].tolist()))
                 keys += ids[i:j]
                 sizes.append(np.diff(first))
-                words.append(s.fingerprints(starts, ends, lower=True))
+                words.append(hashes)
                 held += len(s.data)
                 if held >= plan.block_bytes:
-                    yield emit(keys, sizes, words)
-                    keys, sizes, words, held = [], [], [], 0
+                    yield emit(keys, sizes, words, spelled)
+                    keys, sizes, words, spelled, held = [], [], [], {}, 0
         if keys:
-            yield emit(keys, sizes, words)
+            yield emit(keys, sizes, words, spelled)
 
     return run
 
 
+def _grams(sizes: np.ndarray, words: bytes, tokens: bytes):
+    """A block's distinct n-grams in order of their hash, the number of each token and of each pair, and the counts."""
+    data = np.frombuffer(zlib.decompress(words), np.uint8)
+    s = Slice(data, np.array([0, len(data)]))
+    starts, ends, _ = s.words()
+    word = s.fingerprints(starts, ends, lower=True)[_unpack(tokens, "<u4")] if len(starts) else np.zeros(0, np.uint64)
+    pair, _ = _pairs(word, np.concatenate([[0], np.cumsum(sizes)]))
+    grams, where, counts = np.unique(np.concatenate([word, pair]), return_inverse=True, return_counts=True)
+    return grams, where[: len(word)], where[len(word) :], counts
+
+
 def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     """Parts are ranges of the hash, so a sorted list falls into stretches, in the order of parts."""
     return (((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
@@ -91,8 +105,9 @@ def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
 def _stretches(parts: int):
     def run(source):
         for batch in source:
-            for block, grams, counts in zip(batch.column("block").to_pylist(), batch.column("grams").to_pylist(), batch.column("counts").to_pylist()):
-                keys, n = np.frombuffer(grams, "<u8"), _unpack(counts, "<u4")
+            for row in batch.to_pylist():
+                block = row["block"]
+                keys, _, _, n = _grams(_unpack(row["sizes"], "<i8"), row["words"], row["tokens"])
                 bound = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
                 used = np.flatnonzero(np.diff(bound))
                 for k in range(0, len(used), 256):
@@ -122,7 +137,7 @@ def _count_part(table: pa.Table) -> pa.Table:
 
 def _own(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """For each token how often its n-gram occurs in its document."""
-    _, where, counts = np.unique((doc.astype(np.uint64) << np.uint64(32)) | gram, return_inverse=True, return_counts=True)
+    _, where, counts = np.unique((doc.astype(np.uint64) << np.uint64(32)) | gram.astype(np.uint64), return_inverse=True, return_counts=True)
     return counts[where]
 
 
@@ -152,7 +167,8 @@ def _score(n_all: int, alpha: float):
             for row in batch.to_pylist():
                 totals = np.concatenate([_unpack(x["totals"], "<u8") for x in sorted(row["parts"], key=lambda x: x["part"])]).astype(np.int64) if row["parts"] else np.zeros(0, np.int64)
                 keys, sizes = _unpack(row["keys"], "<i8"), _unpack(row["sizes"], "<i8")
-                sums, backs = document_scores(sizes, _unpack(row["tokens"], "<u4"), _unpack(row["pairs"], "<u4"), totals, n_all, alpha)
+                _, word, pair, _ = _grams(sizes, row["words"], row["tokens"])
+                sums, backs = document_scores(sizes, word, pair, totals, n_all, alpha)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), pa.array(sums), pa.array(backs)], names=["key", "n_words", "log_score", "n_backoff"])
 
     return run
@@ -169,10 +185,10 @@ def backoff_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str
     blocks = durable(own.mapInArrow(_blocks(plan), _BLOCK)).withColumn("block", F.monotonically_increasing_id())
     n_all = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-n_all // plan.part_tokens))
-    stretches = blocks.select("block", "grams", "counts").mapInArrow(_stretches(parts), "block long, part long, grams binary, counts binary")
+    stretches = blocks.select("block", "sizes", "words", "tokens").mapInArrow(_stretches(parts), "block long, part long, grams binary, counts binary")
     totals = stretches.groupBy("part").applyInArrow(_count_part, "block long, part long, totals binary")
     back = totals.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("parts"))
-    joined = blocks.select("block", "keys", "sizes", "tokens", "pairs").join(back, "block", "left")
+    joined = blocks.select("block", "keys", "sizes", "words", "tokens").join(back, "block", "left")
     scored = joined.mapInArrow(_score(n_all, plan.alpha), "key long, n_words long, log_score double, n_backoff long")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.select(F.col("key").alias(id_column), "n_words", "log_score", "n_backoff", mean.alias("mean_log_score"))
