@@ -50,8 +50,7 @@ class Rules:
     max_class_distance: float = 0.30
     max_word_distance: float = 0.66
     common_words: int = 40  # words in a language's word histogram
-    languages: int = 500  # languages with a reference of their own; rarer ones share one
-    min_reference_words: int = 5000  # languages with fewer words share it too
+    min_reference_words: int = 5000  # no verdict by a distance in languages with fewer words
 
 
 def base_counts(s: Slice, window: int = 8) -> dict[str, np.ndarray]:
@@ -154,8 +153,8 @@ def _reference_rows(rules: Rules):
                 good = ~_failed(base["n_words"], base["n_repeat_words"], rules)
                 words, _, _, first = _lowered(s)
                 doc, classes = owners(first), class_counts(s)
-                names = np.array([x or "" for x in langs[i:j]], dtype=object)
-                for lang in set(names[good]):
+                names = np.array(langs[i:j], dtype=object)
+                for lang in set(names[good]) - {None}:
                     chosen = good & (names == lang)
                     keys, counts = np.unique(words[chosen[doc]], return_counts=True)
                     merge(found, (lang, 0), keys, counts)
@@ -169,37 +168,52 @@ def _reference_rows(rules: Rules):
     return run
 
 
-def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per language: its common words' fingerprints, their shares, and the shares of the character classes.
+_REFERENCE = ("all_words", "words", "classes")
 
-    docs has text and lang. All documents that pass the basic rules are counted, in one pass; the counts are added
-    up by Spark, and only the ``common_words`` rows of at most ``languages`` languages reach the driver. The
-    language "" (also NULL) stands for all that share one reference.
+
+def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """One row per language with enough words: all_words, its common words and its character classes, both with counts.
+
+    docs has text and lang. All documents that pass the basic rules are counted, in one pass, and added up by Spark;
+    each language is counted by itself, however many there are. Rows without a language are not counted.
     """
     counted = docs.mapInArrow(_reference_rows(rules), "lang string, kind byte, key long, n long")
     counted = durable(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    totals = counted.where("kind = 2").select("lang", F.col("n").alias("all_words"))
-    large = totals.where(F.col("all_words") >= rules.min_reference_words).orderBy(F.desc("all_words"), "lang").limit(rules.languages)
-    kept = [r["lang"] for r in large.collect() if r["lang"]]
-    shared = F.when(F.col("lang").isin(kept), F.col("lang")).otherwise(F.lit(""))
-    merged = counted.where("kind < 2").groupBy(shared.alias("lang"), "kind", "key").agg(F.sum("n").alias("n"))
-    everywhere = counted.where("kind < 2").groupBy(F.lit("").alias("lang"), "kind", "key").agg(F.sum("n").alias("n"))
-    merged = merged.where("lang <> ''").unionByName(everywhere)
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
-    top = merged.withColumn("place", rank).where(f"place <= {max(rules.common_words, len(CLASS_NAMES))}").where(f"kind = 1 or place <= {rules.common_words}")
-    out: dict = {}
-    for r in top.orderBy("lang", "kind", "key").collect():
-        out.setdefault(r["lang"], ([], []))[r["kind"]].append((r["key"], r["n"]))
-    made = {}
-    for lang, (words, classes) in out.items():
-        keys = np.array([k for k, _ in words], dtype=np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        weights = np.array([n for _, n in words], dtype=float)[order]
-        by_class = np.zeros(len(CLASS_NAMES))
-        for k, n in classes:
-            by_class[k] = n
-        made[lang] = keys[order], weights / max(weights.sum(), 1), by_class / max(by_class.sum(), 1)
-    return made
+    totals = counted.where("kind = 2").where(F.col("n") >= rules.min_reference_words).select("lang", F.col("n").alias("all_words"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    top = counted.where("kind = 0").withColumn("place", rank).where(f"place <= {rules.common_words}")
+    pairs = F.sort_array(F.collect_list(F.struct("key", "n")))
+    words = top.groupBy("lang").agg(pairs.alias("words"))
+    classes = counted.where("kind = 1").groupBy("lang").agg(pairs.alias("classes"))
+    return durable(totals.join(words, "lang").join(classes, "lang").select("lang", *_REFERENCE))
+
+
+def _with_reference(docs: DataFrame, lang_column: str, known: DataFrame) -> DataFrame:
+    """docs, then ``__reference`` of each row's language; NULL where it has none."""
+    known = known.select(F.col("lang").alias("__reference_lang"), F.struct(*_REFERENCE).alias("__reference"))
+    if known.count() <= 1000:  # about 1 KB each
+        known = F.broadcast(known)
+    return docs.join(known, F.col(f"`{lang_column}`") == F.col("__reference_lang"), "left").drop("__reference_lang")
+
+
+def _shares(reference: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a language: its common words' fingerprints, their shares, and the shares of the character classes."""
+    keys = np.array([w["key"] for w in reference["words"]], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    weights = np.array([w["n"] for w in reference["words"]], dtype=float)[order]
+    by_class = np.zeros(len(CLASS_NAMES))
+    for c in reference["classes"]:
+        by_class[c["key"]] = c["n"]
+    return keys[order], weights / max(weights.sum(), 1), by_class / max(by_class.sum(), 1)
+
+
+def _known(batch: pa.RecordBatch, langs: list) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The references of a batch's languages."""
+    first: dict = {}
+    for k, lang in enumerate(langs):
+        first.setdefault(lang, k)
+    found = {lang: batch.column("__reference")[k].as_py() for lang, k in first.items()}
+    return {lang: _shares(r) for lang, r in found.items() if r is not None}
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -224,9 +238,9 @@ def _verdicts(s: Slice, langs: list, known: dict, rules: Rules) -> dict[str, np.
     words, _, _, first = _lowered(s)
     doc, by_class = owners(first), class_counts(s).astype(float)
     total = np.maximum(by_class.sum(axis=1, keepdims=True), 1)
-    class_distance, word_distance = np.zeros(s.n), np.zeros(s.n)
+    class_distance, word_distance = np.full(s.n, np.nan), np.full(s.n, np.nan)  # NaN: no reference, and no verdict by it
     n_common = np.zeros(s.n, dtype=np.int64)
-    names = np.array([x if x in known else "" for x in langs], dtype=object)
+    names = np.array(langs, dtype=object)
     for lang in set(names) & set(known):
         keys, shares, class_shares = known[lang]
         chosen = np.flatnonzero(names == lang)
@@ -246,27 +260,30 @@ def _verdicts(s: Slice, langs: list, known: dict, rules: Rules) -> dict[str, np.
     return out | {"base_failed": failed, "class_distance": class_distance, "word_distance": word_distance, "kept": ~failed & (guarded | ~far)}
 
 
-def _judge(rules: Rules, known: dict):
+def _judge(rules: Rules):
     fields = [tuple(x.split()) for x in COLUMNS.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
     def run(source):
         for batch in source:
             langs = batch.column("lang").to_pylist()
+            known = _known(batch, langs)
             for i, j, s in slices(batch.column("text")):
                 out = _verdicts(s, langs[i:j], known, rules)
-                made = [batch.column("key").slice(i, j - i), *(pa.array(out[n], type=kinds[k]) for n, k in fields)]
+                made = [batch.column("key").slice(i, j - i), *(pa.array(out[n], type=kinds[k], from_pandas=True) for n, k in fields)]
                 yield pa.RecordBatch.from_arrays(made, names=["key", *(n for n, _ in fields)])
 
     return run
 
 
-def _keep(rules: Rules, known: dict, text_column: str, lang_column: str):
+def _keep(rules: Rules, text_column: str, lang_column: str):
     def run(source):
         for batch in source:
             langs = batch.column(lang_column).to_pylist()
+            known = _known(batch, langs)
+            rows = batch.select([n for n in batch.schema.names if n != "__reference"])
             for i, j, s in slices(batch.column(text_column)):
-                yield batch.slice(i, j - i).filter(pa.array(_verdicts(s, langs[i:j], known, rules)["kept"]))
+                yield rows.slice(i, j - i).filter(pa.array(_verdicts(s, langs[i:j], known, rules)["kept"]))
 
     return run
 
@@ -274,18 +291,18 @@ def _keep(rules: Rules, known: dict, text_column: str, lang_column: str):
 def keep_quality(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The rows of docs, with all their columns, that ``judge_quality`` keeps."""
     known = references(narrow(docs, text=text_column, lang=lang_column), rules)
-    return docs.mapInArrow(_keep(rules, known, text_column, lang_column), docs.schema)
+    return _with_reference(docs, lang_column, known).mapInArrow(_keep(rules, text_column, lang_column), docs.schema)
 
 
 def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """One row per document: its counts, the two distances and the verdict ``kept``.
 
-    Defined results: NULL or empty text has no words and fails the basic rules; a NULL or rare language is compared
-    with the reference over all languages; a NULL id stays NULL; repeated rows are judged one by one; an empty
-    table gives no rows; other columns are ignored.
+    Defined results: NULL or empty text has no words and fails the basic rules; where the language is NULL or has fewer
+    than ``min_reference_words`` words in the table, the distances are NULL and the basic rules alone decide; a NULL id
+    stays NULL; repeated rows are judged one by one; an empty table gives no rows; other columns are ignored.
     """
     own = narrow(docs, key=id_column, text=text_column, lang=lang_column)
     known = references(own.select("text", "lang"), rules)
     kind = own.schema["key"].dataType.simpleString()
-    judged = own.mapInArrow(_judge(rules, known), f"key {kind}, {COLUMNS}")
+    judged = _with_reference(own, "lang", known).mapInArrow(_judge(rules), f"key {kind}, {COLUMNS}")
     return judged.withColumnRenamed("key", id_column)
