@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence.
 
-A document's histogram of character classes, and its histogram over the most common words of its language, are
-compared with the language's own by Jensen-Shannon distance. The references are counted over all documents of the
+A document's histogram of character classes, and its histogram over the most common words of its language with one bin
+for all other words, are compared with the language's own by Jensen-Shannon distance. The references are counted over all documents of the
 language that pass the basic rules. Documents below a least length are never rejected by a distance, since a
 short text's histogram says little (the guard).
 """
@@ -46,9 +46,10 @@ class Rules:
     repeat_percent: int = 30
     window: int = 8
     guard_words: int = 40  # no verdict by a distance below this many words
-    guard_common: int = 30  # nor by the word histogram with fewer common words
     max_class_distance: float = 0.30
-    max_word_distance: float = 0.66
+    max_word_distance: float = 0.27  # for long texts; short ones stray by chance, see word_limit
+    word_chance: tuple[float, float] = (0.11, 2.45)  # fitted on labelled rows: a + b / sqrt(n_words)
+    most_word_distance: float = 0.41  # what texts without any common word exceed, in most languages
     common_words: int = 40  # words in a language's word histogram
     min_reference_words: int = 5000  # no verdict by a distance in languages with fewer words
 
@@ -168,6 +169,12 @@ def _reference_rows(rules: Rules):
     return run
 
 
+def word_limit(n_words: np.ndarray, rules: Rules) -> np.ndarray:
+    """The largest word distance of a text of so many words that is kept."""
+    a, b = rules.word_chance
+    return np.clip(a + b / np.sqrt(np.maximum(n_words, 1)), rules.max_word_distance, rules.most_word_distance)
+
+
 _REFERENCE = ("all_words", "words", "classes")
 
 
@@ -197,13 +204,15 @@ def _with_reference(docs: DataFrame, lang_column: str, known: DataFrame) -> Data
 
 
 def _shares(reference: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a language: its common words' fingerprints, their shares, and the shares of the character classes."""
+    """Of a language: its common words' fingerprints, their shares and then that of all other words, and the shares of the
+    character classes."""
     keys = np.array([w["key"] for w in reference["words"]], dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     weights = np.array([w["n"] for w in reference["words"]], dtype=float)[order]
     by_class = np.zeros(len(CLASS_NAMES))
     for c in reference["classes"]:
         by_class[c["key"]] = c["n"]
+    weights = np.append(weights, reference["all_words"] - weights.sum())
     return keys[order], weights / max(weights.sum(), 1), by_class / max(by_class.sum(), 1)
 
 
@@ -239,24 +248,22 @@ def _verdicts(s: Slice, langs: list, known: dict, rules: Rules) -> dict[str, np.
     doc, by_class = owners(first), class_counts(s).astype(float)
     total = np.maximum(by_class.sum(axis=1, keepdims=True), 1)
     class_distance, word_distance = np.full(s.n, np.nan), np.full(s.n, np.nan)  # NaN: no reference, and no verdict by it
-    n_common = np.zeros(s.n, dtype=np.int64)
     names = np.array(langs, dtype=object)
     for lang in set(names) & set(known):
         keys, shares, class_shares = known[lang]
         chosen = np.flatnonzero(names == lang)
         class_distance[chosen] = distance((by_class / total)[chosen], class_shares)
-        if not len(keys):
-            continue
         place = np.full(s.n, -1)
         place[chosen] = np.arange(len(chosen))
         own = place[doc] >= 0
         at = np.minimum(np.searchsorted(keys, words[own]), len(keys) - 1)
         hit = keys[at] == words[own]
         counts = np.bincount(place[doc[own][hit]] * len(keys) + at[hit], minlength=len(chosen) * len(keys)).reshape(len(chosen), -1)
-        n_common[chosen] = counts.sum(axis=1)
-        word_distance[chosen] = distance(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1), shares)
+        n_words = out["n_words"][chosen, None]
+        counts = np.hstack([counts, n_words - counts.sum(axis=1, keepdims=True)])
+        word_distance[chosen] = distance(counts / np.maximum(n_words, 1), shares)
     guarded = out["n_words"] < rules.guard_words
-    far = (class_distance > rules.max_class_distance) | ((word_distance > rules.max_word_distance) & (n_common >= rules.guard_common))
+    far = (class_distance > rules.max_class_distance) | (word_distance > word_limit(out["n_words"], rules))
     return out | {"base_failed": failed, "class_distance": class_distance, "word_distance": word_distance, "kept": ~failed & (guarded | ~far)}
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from scoutframe.llm import quality_divergence
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def _prose(lang, n):
@@ -36,3 +36,17 @@ def test_quality_of_small_languages_and_of_none(spark):
     for r in got[len(english) :]:
         assert not r.base_failed and r.kept and r.class_distance is None and r.word_distance is None
     assert all(r.class_distance is not None for r in got[: len(english)])
+
+
+def test_quality_of_gibberish_and_of_the_wrong_language(spark):
+    rng = random.Random(5)
+    parts = [a + b for a in "bcdfghjklmnprstvz" for b in "aeiou"]
+    mark = lambda: rng.choice(["", "", "", "", "", ",", "."])
+    gibberish = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) + mark() for _ in range(400)) for _ in range(8)]
+    english, german = _prose("en", 320), _prose("de", 200)
+    right = [*((t, "en") for t in english[:300]), *((t, "de") for t in german)]
+    wrong = [(t, "de") for t in english[300:] if len(t.split()) >= 100][:8]
+    got = _judged(spark, [*right, *wrong, *((t, "en") for t in gibberish)])
+    kept = [r.kept for r in got]
+    assert len(german) == 200 and sum(kept[: len(right)]) >= 0.98 * len(right)
+    assert len(wrong) == 8 and not any(r.base_failed for r in got[len(right) :]) and not any(kept[len(right) :])
