@@ -260,17 +260,37 @@ def _suffix_names(plan: Repeats):
     return run
 
 
+_KEY = "struct<id: bigint, row: bigint>"
+
+
+def _numbered(docs: DataFrame, id_column: str, name: str) -> DataFrame:
+    """docs with a key of each row's own: its id, or for rows without one a number that is written down with the row."""
+    number = F.col(f"`{id_column}`").cast("long")
+    zero = F.lit(0).cast("long")
+    named = docs.where(number.isNotNull()).withColumn(name, F.struct(number.alias("id"), zero.alias("row")))
+    unnamed = docs.where(number.isNull()).withColumn(name, F.struct(zero.alias("id"), (F.monotonically_increasing_id() + 1).alias("row")))
+    return named.unionByName(durable(unnamed))
+
+
+def _id_of(key: str):
+    return F.when(F.col(f"{key}.row") == 0, F.col(f"{key}.id"))
+
+
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", plan: Repeats = Repeats()) -> DataFrame:
-    """(key, n_bytes, text_sha256, spans): the maximal removed runs of bytes of each text, in order.
+    """(key, n_bytes, text_sha256, spans), key being the id: the maximal removed runs of bytes of each text, in order.
 
     ids are integers and unique. Defined results: NULL and empty text have 0 bytes and no spans, as has any text shorter
-    than ``length``; a NULL id stays NULL and its text counts for the others; an empty table gives no rows; other columns
+    than ``length``; a NULL id stays NULL and its text is compared and cut like any other; an empty table gives no rows; other columns
     are ignored. Rows that repeat an id with one text are copies of each other; with different texts they share spans
     only by chance of position, so give ids that are unique.
     """
-    own = narrow(docs, key=id_column, text=text_column)
-    own = own.withColumn("key", F.col("key").cast("long"))
-    found = durable(own.mapInArrow(_find_runs(plan), f"key long, n_bytes long, text_a long, text_b long, text_sha256 string, runs {_RUN}"))
+    own = _numbered(narrow(docs, id=id_column, text=text_column), "id", "key").select("key", "text")
+    return _spans(own, plan).select(_id_of("key").alias("key"), "n_bytes", "text_sha256", "spans")
+
+
+def _spans(own: DataFrame, plan: Repeats) -> DataFrame:
+    """As ``repeated_spans``, over (key, text) of ``_numbered``, whose keys stay."""
+    found = durable(own.mapInArrow(_find_runs(plan), f"key {_KEY}, n_bytes long, text_a long, text_b long, text_sha256 string, runs {_RUN}"))
     same, run_id = ["n_bytes", "text_a", "text_b"], ["bucket", "a", "b"]
     texts = found.where(F.col("n_bytes") >= plan.length).groupBy(*same).agg(F.count("*").alias("copies"))
     copied = texts.where("copies > 1").select(*same)
@@ -282,7 +302,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     distinct = durable(several.groupBy(*run_id).agg(F.count("*").alias("times"), F.min(F.struct("key", "begin", "n", "at")).alias("first")))
     buckets = durable(distinct.groupBy("bucket").agg(F.count("*").alias("distinct_runs")).where("distinct_runs > 1"))
     wanted = distinct.join(buckets, "bucket").select(*run_id, "first.*", (F.col("times") > 1).alias("twice"), "distinct_runs")
-    by_text = durable(wanted.where("key is not null").groupBy("key").agg(F.collect_list(F.struct(*run_id, "begin", "n", "at", "twice")).alias("wanted")))
+    by_text = durable(wanted.groupBy("key").agg(F.collect_list(F.struct(*run_id, "begin", "n", "at", "twice")).alias("wanted")))
     cut = durable(sieve(own, by_text, ["key"]).join(by_text, "key").select("text", "wanted").mapInArrow(_cut_runs(plan), _CUT))
     crowded = buckets.where(F.col("distinct_runs") > plan.bucket_runs).select("bucket")
     sorted_ = (
@@ -331,17 +351,17 @@ def _kept_digest(source):
 
 def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", plan: Repeats = Repeats()) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans and kept_sha256 (of the bytes that stay)."""
-    own = narrow(docs, key=id_column, text=text_column).withColumn("key", F.col("key").cast("long"))
-    spans = durable(repeated_spans(docs, id_column, text_column, plan))
+    own = _numbered(narrow(docs, id=id_column, text=text_column), "id", "key").select("key", "text")
+    spans = durable(_spans(own, plan))
     removed = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.begin)")
     report = spans.select("key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "text_sha256")
     partly = spans.where(removed.between(1, F.col("n_bytes") - 1)).select("key", "spans").dropDuplicates(["key"])
     partly = durable(partly)
-    kept = sieve(own, partly, ["key"]).join(partly, "key").mapInArrow(_kept_digest, "key long, kept_sha256 string").dropDuplicates(["key"])
+    kept = sieve(own, partly, ["key"]).join(partly, "key").mapInArrow(_kept_digest, f"key {_KEY}, kept_sha256 string").dropDuplicates(["key"])
     report = report.join(kept, "key", "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     sha = F.coalesce("kept_sha256", F.when((F.col("n_removed") > 0), nothing).otherwise(F.col("text_sha256")))
-    return report.select(F.col("key").alias(id_column), "n_bytes", "n_removed", "n_spans", sha.alias("kept_sha256"))
+    return report.select(_id_of("key").alias(id_column), "n_bytes", "n_removed", "n_spans", sha.alias("kept_sha256"))
 
 
 def _without(source):
@@ -368,10 +388,10 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Ids must be unique here; texts that lose nothing are not touched.
     """
-    spans = durable(repeated_spans(docs, id_column, text_column, plan).where("size(spans) > 0").select("key", "spans"))
-    own = narrow(docs, key=id_column, text=text_column).withColumn("key", F.col("key").cast("long"))
-    kept = sieve(own, spans, ["key"]).join(spans, "key").mapInArrow(_without, "key long, kept_text string").withColumnRenamed("kept_text", "__kept_text")
-    keyed = docs.withColumn("__sieve_key", F.col(f"`{id_column}`").cast("long"))
+    keyed = _numbered(docs, id_column, "__sieve_key")
+    own = narrow(keyed, key="__sieve_key", text=text_column)
+    spans = durable(_spans(own, plan).where("size(spans) > 0").select("key", "spans"))
+    kept = sieve(own, spans, ["key"]).join(spans, "key").mapInArrow(_without, f"key {_KEY}, kept_text string").withColumnRenamed("kept_text", "__kept_text")
     named = spans.select(F.col("key").alias("__sieve_key"))
     touched = sieve(keyed, named, ["__sieve_key"]).join(kept.withColumnRenamed("key", "__sieve_key"), "__sieve_key", "left")
     whole = sieve_out(keyed, named, ["__sieve_key"]).drop("__sieve_key")
