@@ -4,7 +4,7 @@ One hash places a shingle in a bucket; the bucket's register keeps of its smalle
 and some mantissa bits. Empty registers borrow from others by a fixed sequence of places, so sets of any size have all
 registers. Groups of registers are bands; documents that agree in a band are candidates.
 
-1. Documents with equal sets are one class and are represented by their smallest id.
+1. Documents with equal sets are one class and are represented by a row of their smallest id.
 2. In each crowded band bucket every member is held against two centres, the smallest id and the member that shares
    most buckets (of a group of edited copies usually the original). Candidates pass the Jaccard estimate, corrected for
    chance agreement of registers, and are then confirmed on full sets. A hot bucket gives rows, not pairs.
@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected
 from .durable import durable, narrow
@@ -94,6 +95,17 @@ def band_codes(registers: np.ndarray, bands: int) -> np.ndarray:
     return code
 
 
+def _digests(sets: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two per document, which together name its set."""
+    out = []
+    for seed in (0x1234567, 0x89ABCDE):
+        total = np.zeros(len(sets) + 1, dtype=np.uint64)
+        np.cumsum(mix(sets + np.uint64(seed)), out=total[1:])
+        out.append(signed(np.diff(total[first])))
+    return out
+
+
+_SAME = ["n_shingles", "digest_a", "digest_b"]
 _SKETCHED = "key long, n_shingles long, digest_a long, digest_b long, codes array<long>, registers binary"
 
 
@@ -104,11 +116,7 @@ def _sketch(plan: Sketch):
                 sets, first = shingle_sets(s, plan.width)
                 registers = registers_of(sets, first, plan.registers, plan.mantissa)
                 codes = signed(band_codes(registers, plan.bands).reshape(-1))
-                digests = []
-                for seed in (0x1234567, 0x89ABCDE):
-                    total = np.zeros(len(sets) + 1, dtype=np.uint64)
-                    np.cumsum(mix(sets + np.uint64(seed)), out=total[1:])
-                    digests.append(signed(np.diff(total[first])))
+                digests = _digests(sets, first)
                 raw = registers.tobytes()
                 step = 2 * plan.registers
                 yield pa.RecordBatch.from_arrays(
@@ -124,15 +132,32 @@ def _sketch(plan: Sketch):
 
 
 def _full_sets(width: int):
+    """mapInArrow step: (key, text, size and digests of the wanted set) -> (key, members), if the text has that set."""
+
     def run(source):
         for batch in source:
+            wanted = [batch.column(c).to_numpy() for c in _SAME]
             for i, j, s in slices(batch.column("text")):
                 sets, first = shingle_sets(s, width)
+                own = [np.diff(first), *_digests(sets, first)]
+                hit = pa.array(np.logical_and.reduce([x == w[i:j] for x, w in zip(own, wanted)]))
                 raw = sets.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(i, j - i), pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())],
-                    names=["key", "members"],
-                )
+                members = pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i).filter(hit), members.filter(hit)], names=["key", "members"])
+
+    return run
+
+
+def _with_digests(width: int, text_column: str):
+    """mapInArrow step: rows with the size and the digests of their sets behind the other columns."""
+
+    def run(source):
+        for batch in source:
+            for i, j, s in slices(batch.column(text_column)):
+                sets, first = shingle_sets(s, width)
+                rows = batch.slice(i, j - i)
+                made = [pa.array(x) for x in (np.diff(first), *_digests(sets, first))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=[*rows.schema.names, *(f"__{c}" for c in _SAME)])
 
     return run
 
@@ -219,16 +244,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     ids are integers. Words are cut at ASCII white space, A-Z in lower case. Defined results: documents with NULL or
     empty text, or without words, have an empty set and are linked with nothing; documents with a NULL id are not
-    linked, their component is NULL and they are kept; rows that repeat an id are linked as any others, under that id;
+    linked, their component is NULL and they are kept; rows that repeat an id are linked as any others, under that id, each by its own text;
     an empty table gives no rows; other columns are ignored.
     """
+    out = _labelled(docs, id_column, text_column, plan)
+    return out.select(F.col("key").alias(id_column), "n_shingles", "component_id", "kept")
+
+
+def _labelled(docs: DataFrame, id_column: str, text_column: str, plan: Sketch) -> DataFrame:
+    """(key, n_shingles, digest_a, digest_b, component_id, kept) per document; key is the id.
+
+    Classes of equal sets have numbers, which stand for them up to the end: an id may have several sets.
+    """
     own = narrow(docs, key=id_column, text=text_column)
     own = own.withColumn("key", F.col("key").cast("long"))
     sketched = durable(own.mapInArrow(_sketch(plan), _SKETCHED))
-    same = ["n_shingles", "digest_a", "digest_b"]
+    same = _SAME
     usable = sketched.where("n_shingles > 0 and key is not null")
-    classes = usable.groupBy(*same).agg(F.min("key").alias("class_id"))
-    first = usable.join(classes.withColumnRenamed("class_id", "key"), [*same, "key"], "left_semi").dropDuplicates(["key"])
+    classes = usable.groupBy(*same).agg(F.min("key").alias("least_id"))
+    classes = durable(classes.withColumn("key", F.monotonically_increasing_id()))
+    first = usable.withColumnRenamed("key", "least_id").join(classes, [*same, "least_id"]).dropDuplicates(["key"])
     first = first.select("key", "codes", "registers")
 
     placed = first.select("key", F.posexplode("codes").alias("band", "code"))
@@ -241,9 +276,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = durable(stars.select(F.greatest("key", "centre").alias("a"), F.least("key", "centre").alias("b")).distinct())
 
     involved = durable(crowded.select("key").distinct())
-    texts = sieve(own.where("key is not null"), involved, ["key"]).join(involved, "key", "left_semi")
+    chosen = durable(classes.join(involved, "key", "left_semi"))
+    texts = sieve(own.where("key is not null").withColumnRenamed("key", "least_id"), chosen, ["least_id"]).join(chosen, "least_id")
     full = texts.mapInArrow(_full_sets(plan.width), "key long, members binary")
-    # rows that repeat an id with another text: the set of the class's own row is the one with its size and digests
+    # a class may be found in several rows of its least id, with the same set
     full = durable(first.select("key", "codes", "registers").join(full.groupBy("key").agg(F.first("members").alias("members")), "key"))
     a = full.select(F.col("key").alias("a"), F.col("registers").alias("registers_a"), F.col("members").alias("members_a"))
     b = full.select(F.col("key").alias("b"), F.col("registers").alias("registers_b"), F.col("members").alias("members_b"))
@@ -265,26 +301,38 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     more = durable(met.unionByName(component.select(F.col("key").alias("a"), F.col("component").alias("b"))))
     component = connected(more)
 
-    label = classes.join(component.withColumnRenamed("key", "class_id"), "class_id", "left")
-    label = label.select(*same, F.coalesce("component", "class_id").alias("component"))
+    # the numbers of components become their smallest ids
+    inside = component.unionByName(component.select(F.col("component").alias("key"), "component")).distinct()
+    inside = inside.join(classes.select("key", "least_id"), "key")
+    smallest = inside.groupBy("component").agg(F.min("least_id").alias("smallest_id"))
+    inside = inside.join(smallest, "component").select("key", "smallest_id")
+    label = classes.join(inside, "key", "left").select(*same, F.coalesce("smallest_id", "least_id").alias("component"))
     out = sketched.select("key", *same).join(label, same, "left")
     component_id = F.when(F.col("key").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("key")))
-    out = out.select("key", "n_shingles", component_id.alias("component_id"))
-    return out.select(F.col("key").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select("key", *same, component_id.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", plan: Sketch = Sketch(width=5)) -> DataFrame:
     """The rows of docs without the near duplicates: of each component the row with the smallest id stays.
 
-    Rows without a word are linked with nothing and stay. If ids repeat, one row of each id stays.
+    Rows without a word are linked with nothing and stay. If ids repeat, one row of each id and set stays, and a verdict
+    holds for the set it was given to.
     """
-    verdicts = durable(near_duplicates(docs, id_column, text_column, plan).select(F.col(id_column).alias("__sieve_key"), "kept"))
+    verdicts = durable(_labelled(docs, id_column, text_column, plan).select(F.col("key").alias("__sieve_key"), *_SAME, "kept"))
     dropped = verdicts.where("not kept").select("__sieve_key").distinct()
-    repeated = verdicts.where("__sieve_key is not null").groupBy("__sieve_key").count().where("count > 1").limit(1).count()
+    repeated = verdicts.where("__sieve_key is not null").groupBy("__sieve_key").count().where("count > 1").select("__sieve_key")
     keyed = docs.withColumn("__sieve_key", F.col(f"`{id_column}`").cast("long"))
-    # the few rows that the sieve holds back go through the exact join, the others are not moved
-    left = sieve_out(keyed, dropped, ["__sieve_key"]).unionByName(sieve(keyed, dropped, ["__sieve_key"]).join(dropped, "__sieve_key", "left_anti"), allowMissingColumns=False)
-    if repeated:
-        named = left.where("__sieve_key is not null").dropDuplicates(["__sieve_key"])
-        left = named.unionByName(left.where("__sieve_key is null"))
-    return left.select(*[f"`{c}`" for c in docs.columns])
+    columns = [f"`{c}`" for c in docs.columns]
+    if not repeated.limit(1).count():
+        # the few rows that the sieve holds back go through the exact join, the others are not moved
+        left = sieve_out(keyed, dropped, ["__sieve_key"]).unionByName(sieve(keyed, dropped, ["__sieve_key"]).join(dropped, "__sieve_key", "left_anti"))
+        return left.select(*columns)
+    touched = durable(dropped.union(repeated).distinct())
+    held = sieve(keyed, touched, ["__sieve_key"])
+    named = [f"__{c}" for c in _SAME]
+    schema = StructType([*held.schema.fields, *(StructField(c, LongType()) for c in named)])
+    held = held.mapInArrow(_with_digests(plan.width, text_column), schema).dropDuplicates(["__sieve_key", *named])
+    gone = verdicts.where("not kept").select("__sieve_key", *[F.col(c).alias(f"__{c}") for c in _SAME]).distinct()
+    held = held.join(gone, ["__sieve_key", *named], "left_anti")
+    return sieve_out(keyed, touched, ["__sieve_key"]).select(*columns).unionByName(held.select(*columns))

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from scoutframe.llm import quality_divergence
+from scoutframe.llm import quality_divergence, register_dedup, suffix_repeats
 
 SF = "/root/testdata/sf0.1"
 
@@ -50,3 +50,37 @@ def test_quality_of_gibberish_and_of_the_wrong_language(spark):
     kept = [r.kept for r in got]
     assert len(german) == 200 and sum(kept[: len(right)]) >= 0.98 * len(right)
     assert len(wrong) == 8 and not any(r.base_failed for r in got[len(right) :]) and not any(kept[len(right) :])
+
+
+def _noise(seed, n):
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+
+def test_passages_shared_with_a_row_without_an_id(spark):
+    shared, alone = _noise(1, 3000), _noise(2, 900)
+    texts = [
+        (None, _noise(3, 300) + shared), (5, _noise(4, 500) + shared), (9, _noise(5, 400) + shared[1000:1800] + _noise(6, 400)),
+        (None, _noise(7, 500) + alone + _noise(8, 500)), (11, _noise(9, 400) + alone), (None, _noise(10, 1000)),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    removed = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_repeats.repeat_report(docs).collect())
+    want = [(0, 1000, 0), (0, 1900, 900), (0, 3300, 3000), (5, 3500, 3000), (9, 1600, 800), (11, 1300, 900)]
+    assert [(k, n) for k, n, _ in removed] == [(k, n) for k, n, _ in want]
+    assert all(w <= r <= w + 6 for (_, _, r), (_, _, w) in zip(removed, want))  # a byte at either end may agree by chance
+    sizes = sorted((r.doc_id or 0, len(r.text)) for r in suffix_repeats.without_repeats(docs).collect())
+    assert sizes == sorted((k, n - r) for k, n, r in removed)
+
+
+def test_different_texts_under_one_id(spark):
+    def words(seed, changed=()):
+        rng = random.Random(seed)
+        made = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        return " ".join("other" if k in changed else w for k, w in enumerate(made))
+
+    texts = [(1, words(1)), (1, words(2)), (2, words(1, {150})), (3, words(2, {20})), (3, words(3)), (4, words(3, {7})), (4, words(3, {7})), (0, words(4)), (7, words(5)), (7, words(5))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in register_dedup.near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True), (4, 3, False), (4, 3, False), (7, 7, True), (7, 7, True)]
+    left = sorted((r.doc_id, r.text) for r in register_dedup.without_near_duplicates(docs).collect())
+    assert left == sorted([(0, words(4)), (1, words(1)), (1, words(2)), (3, words(3)), (7, words(5))])
