@@ -20,6 +20,9 @@ from .registry import query
 NUMERIC = ["touches", "urgent", "yards_lag1", "avg_yards", "week"]
 CATEGORICAL = ["position"]
 KEYS = ["entity", "season", "week"]
+# The hidden layers and seeds of the reference's neural grid
+HIDDEN = [[a, *b] for a in (64, 128, 256) for b in ([], [64])]
+SEEDS = [123, 456, 789]
 
 
 def training_rows(spark, d):
@@ -43,14 +46,14 @@ def _search_result(spark, model, family: str):
 @query("m1_boosted_search")
 def m1(spark, d):
     train = training_rows(spark, d).where("split = 'train'")
-    model = M.tune(train, "boosted", NUMERIC, CATEGORICAL, draws=2, folds=2, space={"maxDepth": [2, 3], "maxIter": [5, 8], "stepSize": [0.1, 0.2]})
+    model = M.tune(train, "boosted", NUMERIC, CATEGORICAL)
     return _search_result(spark, model, "boosted")
 
 
 @query("m2_forest_search")
 def m2(spark, d):
     train = training_rows(spark, d).where("split = 'train'")
-    model = M.tune(train, "forest", NUMERIC, CATEGORICAL, draws=2, folds=2, space={"maxDepth": [3, 4], "numTrees": [5, 10], "minInstancesPerNode": [1, 5]})
+    model = M.tune(train, "forest", NUMERIC, CATEGORICAL)
     return _search_result(spark, model, "forest")
 
 
@@ -59,7 +62,7 @@ def m3(spark, d):
     rows = training_rows(spark, d)
     scaling = Q.fit_scaling(rows.where("split = 'train'"), NUMERIC)
     ready = staged(Q.apply_scaling(rows, scaling, ["label", "split"]), "scaled")
-    found = M.neural_grid(ready.where("split = 'train'"), ready.where("split = 'validation'"), scaling.columns, [[4], [6, 3]], [1], iterations=15)
+    found = M.neural_grid(ready.where("split = 'train'"), ready.where("split = 'validation'"), scaling.columns, HIDDEN, SEEDS)
     return spark.createDataFrame([(h, s, float(l)) for l, h, s, _ in found], "hidden string, seed int, log_loss double")
 
 
@@ -107,13 +110,13 @@ def m5_stable(spark, d):
 
 
 def _plain_model():
-    return Pipeline(stages=[*Q.feature_stages(NUMERIC, CATEGORICAL), LogisticRegression(labelCol="label", maxIter=10)])
+    return Pipeline(stages=[*Q.feature_stages(NUMERIC, CATEGORICAL), LogisticRegression(labelCol="label")])
 
 
 @query("m6_sigmoid_calibration")
 def m6(spark, d):
     rows = training_rows(spark, d).where("split = 'train'")
-    scores = staged(M.out_of_fold_scores(rows, _plain_model, KEYS, folds=2), "scores")
+    scores = staged(M.out_of_fold_scores(rows, _plain_model, KEYS), "scores")
     return M.calibrated(scores, M.sigmoid_calibration(scores)).select(*KEYS, "label", "score", "calibrated")
 
 
@@ -263,16 +266,26 @@ def m12_conflicts(spark, d):
     return M.conflicting_choices(scores(spark, d).where("p > 0.97"))
 
 
-TARGETS = {"yards_200": 200.0, "yards_300": 300.0}
+# The reference's thresholds, each on the panel's measure that stands for it; spreads and the two
+# single targets have none there
+FAMILIES = {
+    "passing": ("yards", [150, 180, 210, 240, 270, 300, 330, 360]), "receiving": ("yards", [25, 40, 60, 80, 100, 120, 140]),
+    "rushing_receiving": ("yards", [40, 70, 100, 130]), "rushing": ("air", [25, 40, 60, 80, 100, 120, 140]), "receptions": ("touches", [4, 6, 8, 10]),
+}
+TARGETS = [f"{family}_{n}" for family, (_, numbers) in FAMILIES.items() for n in numbers]
 
 
 def _target_rows(spark, d):
     rows = D.panel(spark, d).select(
-        "entity", "season", "week", "position", "touches", "urgent", "yards",
+        "entity", "season", "week", "position", "touches", "urgent", "yards", "air",
         F.lag("yards").over(W.Window.partitionBy("entity").orderBy("season", "week")).alias("yards_lag1"),
         F.avg("yards").over(W.prior(["entity"], ["season", "week"])).alias("avg_yards"),
     )
-    long = X.threshold_targets(rows, [*KEYS, "position", "touches", "urgent", "yards_lag1", "avg_yards"], "yards", list(TARGETS.values()), "yards")
+    long = None
+    for family, (measure, numbers) in FAMILIES.items():
+        measured = rows.withColumn("_measure", F.col(measure))
+        part = X.threshold_targets(measured, [*KEYS, "position", *[c for c in NUMERIC if c not in KEYS]], "_measure", numbers, family)
+        long = part if long is None else long.unionByName(part)
     return staged(long.withColumn("label", F.col("label").cast("double")), "targets")
 
 
@@ -281,14 +294,14 @@ def _refit(spark, d):
     paths = {}
     for target in TARGETS:
         paths[target] = scratch_path(spark, target)
-        _plain_model().fit(rows.where(F.col("response_var") == target)).save(paths[target])
+        _plain_model().fit(rows.where((F.col("response_var") == target) & F.col("label").isNotNull())).save(paths[target])
     return rows, paths
 
 
 @query("m12_refit_on_all_rows")
 def m12(spark, d):
     rows, paths = _refit(spark, d)
-    scored = M.score_targets(rows, paths, [*KEYS, "label"])
+    scored = M.score_targets(rows.where("label is not null"), paths, [*KEYS, "label"])
     return scored.groupBy("response_var").agg(
         F.avg(A.log_loss("model_probability", F.col("label") == 1.0)).alias("training_log_loss"), F.count("*").alias("n")
     )
@@ -301,7 +314,7 @@ def m13(spark, d):
 
 
 def _boosted(rows):
-    stages = [*Q.feature_stages(NUMERIC, CATEGORICAL, missing=-999.0), GBTClassifier(labelCol="label", maxIter=5, maxDepth=3, seed=1)]
+    stages = [*Q.feature_stages(NUMERIC, CATEGORICAL, missing=-999.0), GBTClassifier(labelCol="label", seed=1)]
     return Pipeline(stages=stages).fit(rows)
 
 
@@ -317,4 +330,4 @@ def m14(spark, d):
 def m14_permutation(spark, d):
     rows = Q.tree_input(training_rows(spark, d), NUMERIC)
     model = _boosted(rows.where("split = 'train'"))
-    return M.permutation_importance(model, rows.where("split = 'validation'"), ["touches", "avg_yards"], KEYS)
+    return M.permutation_importance(model, rows.where("split = 'validation'"), [*NUMERIC, *CATEGORICAL], KEYS)
