@@ -100,7 +100,7 @@ def b9(spark, d):
 
 @query("b10_weight_sweep")
 def b10(spark, d):
-    return R.weight_sweep(pool(spark, d), R.coefficient_map(coefs(spark, d)), WEEK, R.gamma_grid(7), max_bets=10)
+    return R.weight_sweep(pool(spark, d), R.coefficient_map(coefs(spark, d)), WEEK, R.gamma_grid())
 
 
 def given_weights(spark, d):
@@ -168,5 +168,5 @@ def e3(spark, d):
         "season", "week", "bet_id", "label", "position", "team", "opponent", V.choose("type", VARS, F.col("type")).alias("var"),
         "ev", "risk_score", C.pair_key("team", "opponent").alias("game"),
     )
-    out = portfolios(valued, coefs(spark, d), bank=50.0, sd_cap=3.0, max_bets=10, gammas=R.gamma_grid(5))
+    out = portfolios(valued, coefs(spark, d), bank=50.0, sd_cap=3.0, max_bets=10)
     return out.select("season", "week", "portfolio_id", "bet_id", "weight", "bet_amount", "portfolio_sd")

@@ -3,6 +3,7 @@
 import inspect
 
 import pytest
+from pyspark.sql import functions as F
 from scoutframe.models import training as M
 from scoutframe.plans import models
 from scoutframe.plans.catalog import QUERIES
@@ -49,3 +50,10 @@ def test_every_target_is_fitted_and_scored(spark, folder):
     rows = QUERIES["m12_refit_on_all_rows"](spark, folder).collect()
     assert sorted(r.response_var for r in rows) == sorted(models.TARGETS)
     assert all(0 <= r.training_log_loss < 1 for r in rows)
+
+
+def test_sweep_has_every_risk_aversion_and_bet(spark, folder):
+    out = QUERIES["b10_weight_sweep"](spark, folder)
+    rows = out.groupBy("season", "week").agg(F.count_distinct("gamma_index").alias("k"), F.count("*").alias("n")).collect()
+    assert rows and all(r.k == 100 for r in rows)
+    assert out.groupBy("season", "week", "gamma_index").count().where("count > 10").count() > 0
