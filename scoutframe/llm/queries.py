@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree_topk, source_mix
+from ..session import ship_package
+from . import kdtree_topk, prefix_trie, sharded_lloyd, source_mix
 from .backoff_scores import backoff_scores
 from .best_fit import pack_documents
 from .chat_grammar import format_turns, read_conversations
 from .factor_toxicity import fit, score_toxicity
+from .projection_forest import nearest_neighbours
 from .quality_divergence import judge_quality
 from .register_dedup import near_duplicates
 from .suffix_repeats import repeat_report
@@ -23,7 +25,11 @@ ORACLES: dict[str, str] = {}
 
 def _query(name: str, oracle: str | None = None):
     def keep(fn):
-        QUERIES[name] = fn
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)  # Python workers need the operators' modules
+            return fn(spark, folder)
+
+        QUERIES[name] = shipped
         if oracle:
             ORACLES[name] = oracle
         return fn
@@ -110,3 +116,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of every document that belong to strings of 400 bytes found more than once."""
     return repeat_report(_table(spark, folder, "documents"))
+
+
+@_query("op11_sharded_lloyd", sharded_lloyd.oracle())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds, distances and inertia in whole numbers."""
+    return sharded_lloyd.cluster_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query("op12_projection_forest")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty nearest found of every twentieth vector."""
+    return nearest_neighbours(_table(spark, folder, "embeddings"), "key % 20 = 0")
+
+
+@_query("op13_prefix_trie", prefix_trie.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """All prefixes of the rebuilt conversations with their members, subtrees and what sharing them saves."""
+    return prefix_trie.prefix_trie(_table(spark, folder, "conversations"))
