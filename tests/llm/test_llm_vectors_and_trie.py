@@ -80,6 +80,13 @@ def test_lloyd_refuses_what_overflows(spark):
         sharded_lloyd.cluster_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), plan=SMALL).collect()
 
 
+def product(v, w):
+    total = v[0] * w[0]
+    for x, y in zip(v[1:], w[1:]):  # in order; the built-in sum would compensate its rounding
+        total += x * y
+    return total
+
+
 def brute_neighbours(rows, is_query, k):
     kept = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     asked = {}
@@ -88,7 +95,7 @@ def brute_neighbours(rows, is_query, k):
             asked[i] = min(asked.get(i, v), v, key=lambda x: np.array(x, "<f8").tobytes())
     out = {}
     for q, v in asked.items():
-        scores = {(-sum(x * y for x, y in zip(v, w)), i) for i, w in kept if i != q and len(w) == len(v)}
+        scores = {(-product(v, w), i) for i, w in kept if i != q and len(w) == len(v)}
         out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
     return out
 
