@@ -4,14 +4,14 @@ Rows are dealt into shards of bounded size, and every shard has a forest over al
 at the median of their products with a random direction down to small leaves. For inner products a vector gets one more
 component that brings all vectors of the shard to one length; then the nearest point is the one with the largest product.
 
-All trees of a forest share one priority queue. Its key is the largest distance between the query and a split that it
-had to cross, which no point behind that split can undercut. The queue is drained until a share of the shard's vectors
-has been met, or until its least key shows that no better vector is left. What was met is ranked by exact products.
+The leaves of all trees of a forest share one priority queue. A leaf's key is the largest distance between the query and a
+split that lies between them, which no point of the leaf can undercut. The queue is drained in order of keys, many leaves at
+a time, until a share of the shard's vectors has been met, or until its keys show that no better vector is left. What
+was met is ranked by exact products.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,7 @@ class Forest:
 
     trees: int = 32
     leaf: int = 32
-    share: float = 0.5
+    share: float = 0.45
     least_met: int = 2_048
     shard_rows: int = 8_192
     block_queries: int = 1_024
@@ -92,57 +92,85 @@ def _lifted(points: np.ndarray) -> np.ndarray:
     return np.column_stack([points, np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0.0))])
 
 
-def drain(query: np.ndarray, margins: list[list[float]], points: np.ndarray, orders: np.ndarray, bounds, longest: float, k: int, plan: Forest, own: int = -1) -> np.ndarray:
-    """Places of the vectors that the shared queue meets for one query; ``margins[t][i]`` is its signed distance to split i of tree t."""
-    n, inner = len(points), len(margins[0])
+def leaf_places(orders: np.ndarray, bounds, depth: int) -> np.ndarray:
+    """(all leaves of all trees) x (places of a leaf); shorter leaves repeat their last place."""
+    begin, end = np.array(bounds[(1 << depth) - 1 :]).T
+    at = begin[:, None] + np.minimum(np.arange((end - begin).max()), (end - begin - 1)[:, None])
+    return orders[:, at].reshape(-1, at.shape[1])
+
+
+def leaf_keys(margins: np.ndarray) -> np.ndarray:
+    """Keys of all leaves of all trees, queries x leaves: the largest distance to a split that lies between.
+
+    ``margins`` are the signed distances of queries to the splits, queries x trees x inner nodes.
+    """
+    queries, trees, inner = margins.shape
+    keys, first = np.zeros((queries, trees, 1)), 0
+    while first < inner:
+        level = margins[:, :, first : 2 * first + 1]
+        keys = np.stack([np.maximum(keys, level), np.maximum(keys, -level)], axis=3).reshape(queries, trees, -1)
+        first = 2 * first + 1
+    return keys.reshape(queries, -1)
+
+
+def drain(query: np.ndarray, keys: np.ndarray, places: np.ndarray, points: np.ndarray, longest: float, k: int, plan: Forest, own: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, products) of the vectors that the shared queue meets for one query.
+
+    The queue holds the leaves of all trees. Its least keys are taken out many at a time: first as many as there are
+    trees, later what the vectors that are still wanted need. Leaves that the k-th best product rules out leave it.
+    ``room`` is memory for as many vectors as there are points; ``own`` is the query's own place or -1.
+    """
+    n = len(points)
     enough = min(n, max(plan.least_met, int(np.ceil(plan.share * n))))
+    reach = float(query @ query) + longest  # a product is (reach - squared distance) / 2
     met = np.zeros(n, dtype=bool)
-    queue = [(0.0, t, 0) for t in range(plan.trees)]
-    reach, scored, best, count, pending = float(query @ query) + longest, 0, np.empty(0), 0, []
-    while queue and count < enough:
-        crossed, t, node = heapq.heappop(queue)
-        if len(best) == k and (reach - crossed * crossed) / 2 < best[0]:
-            break  # behind every split that is left lie smaller products only
-        while node < inner:  # down to a leaf on the query's side; the other sides wait in the queue
-            margin = margins[t][node]
-            near, far = (2 * node + 2, 2 * node + 1) if margin > 0 else (2 * node + 1, 2 * node + 2)
-            heapq.heappush(queue, (max(crossed, abs(margin)), t, far))
-            node = near
-        a, b = bounds[node]
-        places = orders[t, a:b]
-        fresh = places[~met[places]]
-        met[fresh] = True
+    queue, take = np.arange(len(keys)), plan.trees
+    found, products, best = [], [], np.empty(0)
+    count = 0
+    while len(queue) and count < enough:
+        if take < len(queue):
+            split = np.argpartition(keys[queue], take)
+            taken, queue = queue[split[:take]], queue[split[take:]]
+        else:
+            taken, queue = queue, queue[:0]
+        here = np.zeros(n, dtype=bool)
+        here[places[taken]] = True
+        fresh = np.flatnonzero(here & ~met)
+        met |= here
         count += len(fresh)
-        pending.append(fresh)
-        if count - scored >= 512:
-            late = np.concatenate(pending)
-            late = late[late != own]
-            best = np.concatenate([best, points[late] @ query])
-            best = np.sort(best)[-k:]
-            scored, pending = count, []
-    return met
-
-
-def search(queries: np.ndarray, homes: np.ndarray, points: np.ndarray, orders: np.ndarray, directions: np.ndarray, thresholds: np.ndarray, k: int, plan: Forest):
+        found.append(fresh)
+        products.append(np.take(points, fresh, axis=0, out=room[: len(fresh)], mode="clip") @ query)
+        best = np.concatenate([best, products[-1][fresh != own]])
+        if len(best) > k:
+            best = np.partition(best, len(best) - k)[-k:]
+        if len(best) == k:
+            queue = queue[keys[queue] ** 2 <= reach - 2 * best.min()]
+        take = max(plan.trees, 2 * (enough - count) // places.shape[1])
+    return np.concatenate(found), np.concatenate(products)
+
+
+def search(queries: np.ndarray, homes: np.ndarray, points: np.ndarray, orders: np.ndarray, directions: np.ndarray, thresholds: np.ndarray, k: int, plan: Forest, at_once: int = 64):
     """Per query (places, exact products) of the at least k best vectors met, ties at the end included.
 
     ``homes`` has each query's own place in this shard, or -1: its copies under other ids are found with it, so one place
     more is kept and the query's id is left out afterwards.
     """
     n, width = points.shape
-    depth = int(orders.shape[1] and np.log2(thresholds.shape[1] + 1))
-    bounds = node_bounds(n, depth)
+    trees, inner = thresholds.shape
+    depth = int(np.log2(inner + 1))
+    places = leaf_places(orders, node_bounds(n, depth), depth)
     longest = float(np.einsum("ij,ij->i", points, points).max(initial=0.0))
-    margin = np.einsum("tid,qd->qti", directions[:, :, :width], queries, optimize=True) - thresholds
-    products = points @ queries.T
     size = np.abs(points).max(initial=0.0) * np.abs(queries).max(axis=1, initial=0.0) * width
-    for q in range(len(queries)):
-        met = np.flatnonzero(drain(queries[q], margin[q].tolist(), points, orders, bounds, longest, k, plan, int(homes[q])))
-        rough = products[met, q]
-        if len(met) > k + 1:
-            slack = size[q] * width * 1e-15  # more than the rounding of a sum in any order
-            met = met[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - slack]
-        yield met, exact_products(points[met], np.broadcast_to(queries[q], (len(met), width)))
+    flat, room = directions[:, :, :width].reshape(-1, width), np.empty_like(points)
+    for first in range(0, len(queries), at_once):
+        some = queries[first : first + at_once]
+        keys = leaf_keys((some @ flat.T).reshape(len(some), trees, inner) - thresholds)
+        for q in range(first, first + len(some)):
+            met, rough = drain(queries[q], keys[q - first], places, points, longest, k, plan, int(homes[q]), room)
+            if len(met) > k + 1:
+                slack = size[q] * width * 1e-15  # more than the rounding of a sum in any order
+                met = met[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - slack]
+            yield met, exact_products(points[met], np.broadcast_to(queries[q], (len(met), width)))
 
 
 _PACKED = "key long, packed binary, size int"

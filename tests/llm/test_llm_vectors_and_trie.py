@@ -135,10 +135,13 @@ def test_queue_stops_by_its_bound():
     plan = projection_forest.Forest(least_met=1_000, leaf=8)
     orders, directions, thresholds = projection_forest.build_forest(points, plan, 0)
     depth = int(np.log2(thresholds.shape[1] + 1))
-    margins = np.einsum("tid,d->ti", directions[:, :, :4], points[0]) - thresholds
-    squares = np.einsum("ij,ij->i", points, points)
-    met = projection_forest.drain(points[0], margins.tolist(), points, orders, projection_forest.node_bounds(len(points), depth), float(squares.max()), 5, plan, 0)
-    assert not met[500:].any() or met.sum() < len(points)
+    keys = projection_forest.leaf_keys((np.einsum("tid,d->ti", directions[:, :, :4], points[0]) - thresholds)[None])[0]
+    places = projection_forest.leaf_places(orders, projection_forest.node_bounds(len(points), depth), depth)
+    longest = float(np.einsum("ij,ij->i", points, points).max())
+    found, products = projection_forest.drain(points[0], keys, places, points, longest, 5, plan, 0, np.empty_like(points))
+    met = np.isin(np.arange(len(points)), found)
+    assert sorted(set(found.tolist())) == sorted(found.tolist()) and np.allclose(products, points[found] @ points[0])
+    assert met.sum() < len(points) / 2 + 8
     best = [i for i in np.argsort(-(points @ points[0])) if i][:5]
     assert met[best].all()
 
