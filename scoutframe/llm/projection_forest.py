@@ -72,7 +72,8 @@ def build_forest(points: np.ndarray, plan: Forest, seed: int) -> tuple[np.ndarra
             middle = (b - a) // 2
             split = np.argpartition(product, middle)
             order[a:b] = order[a:b][split]
-            thresholds[t, i] = product[split[middle]]
+            # half way between the halves, so that a gap between them counts for queries on either side
+            thresholds[t, i] = (product[split[:middle]].max() + product[split[middle]]) / 2
         orders[t] = order
     return orders, directions, thresholds
 
