@@ -3,13 +3,15 @@
 A byte goes if a ``length``-byte string covers it that also starts elsewhere, in this text or in another one. Only
 suffixes that can have such a partner are sorted, one bucket at a time:
 
+``length`` is PERIOD bytes or more.
+
 1. The bucket of a suffix is the least fingerprint (leftmost on ties) among the short strings inside its first ``length``
    bytes. Equal strings have equal buckets, at the same distance from their start. Consecutive suffixes of one bucket form
    a *run*: a stretch of text that is stored and compared once.
 2. Runs that are equal are counted by digest and represented by one of them; all suffixes of a run that occurs twice
    have a partner. Buckets that occur once have none, and those with a single distinct run no other.
 3. The runs of the other buckets are sorted bucket by bucket: suffixes by their first ``PERIOD`` bytes, and long ties by
-   the ranks of the difference-cover sample, which are made beforehand for the bucket by doubling (1, 2, 4, 6 periods).
+   the ranks of the difference-cover sample, which are made beforehand for the bucket by doubling (1, 2, 4, ... periods).
    The cover holds for any two suffixes a shift at which both are sampled, so only one position in seven is ranked.
    Memory is bounded by the bucket; buckets with more than ``bucket_runs`` distinct runs are compared as rows instead,
    each suffix by a digest of its string, in a grouped count that Spark spreads.
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,8 +165,11 @@ def partners(stretches: list[bytes], n: np.ndarray, at: np.ndarray, length: int)
     """For each stretch the numbers of its suffixes (0 to n - 1) whose first ``length`` bytes start another suffix too.
 
     Stretches are laid out so that their seeds lie on multiples of PERIOD: equal strings have equal distances to the
-    seed, so any two suffixes that could be equal have one remainder, and the cover's shift for it serves both.
+    seed, so any two suffixes that could be equal have one remainder, and the cover's shift for it serves both. A string
+    is its first period, the sampled periods behind the shift, and its last two periods, which together cover it.
     """
+    if length < PERIOD:
+        raise ValueError(f"strings of fewer than {PERIOD} bytes are not compared")
     room = PERIOD * -(-(max(len(x) for x in stretches) + 2 * PERIOD) // PERIOD)
     sizes = np.array([len(x) for x in stretches])
     lead = (-at) % PERIOD
@@ -181,19 +187,28 @@ def partners(stretches: list[bytes], n: np.ndarray, at: np.ndarray, length: int)
     for half, more in ((8, 8), (16, 16), (32, PERIOD - 32)):
         keep = m + 32 - {8: 8, 16: 24, 32: 32}[half]
         r = _pair(r[:keep], r[more : more + keep] if more + keep <= len(r) else np.append(r[more:], np.zeros(more + keep - len(r), np.uint64)))
-    r = np.append(r[:m], np.zeros(8 * PERIOD, np.uint64))
-    # the sample: ranks of 2, 4 and 6 periods at the places of the cover
-    sample = np.flatnonzero(_IN_COVER[np.arange(m) % PERIOD])
-    two, four, six = np.zeros(m + 8 * PERIOD, np.uint64), np.zeros(m + 8 * PERIOD, np.uint64), np.zeros(m + 8 * PERIOD, np.uint64)
-    two[sample] = _pair(r[sample], r[sample + PERIOD])
-    four[sample] = _pair(two[sample], two[sample + 2 * PERIOD])
-    six[sample] = _pair(four[sample], two[sample + 4 * PERIOD])
+    periods = (length - PERIOD) // PERIOD  # so many whole periods fit behind any shift
+    r = np.append(r[:m], np.zeros((periods + 3) * PERIOD, np.uint64))
     suffix = np.repeat(base, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     remainder = suffix % PERIOD
-    tie = six[suffix + SHIFT[remainder, remainder]]
-    rest = length - 6 * PERIOD  # the sample reaches at least to 6 periods + 1; the last period closes the string
-    assert 0 < rest <= PERIOD + 1, "the cover's period does not fit this length"
-    whole = _pair(_pair(r[suffix], r[suffix + length - PERIOD]), tie)
+    shifted = suffix + SHIFT[remainder, remainder]
+    # the shift depends on the remainder, so what is compared behind it is one string only for one remainder
+    whole = _pair(r[suffix], remainder.astype(np.uint64))
+    for closing in (length - PERIOD, max(length - 2 * PERIOD, 0)):
+        whole = _pair(whole, r[suffix + closing])
+    # the sample: ranks of 1, 2, 4, ... periods at the places of the cover; those that add up to ``periods`` are put together
+    sample, span, at_period = np.flatnonzero(_IN_COVER[np.arange(m) % PERIOD]), 1, 0
+    ranked = r
+    while periods:
+        if periods & 1:
+            whole = _pair(whole, ranked[shifted + at_period * PERIOD])
+            at_period += span
+        periods >>= 1
+        if periods:
+            doubled = np.zeros_like(ranked)
+            ahead = np.minimum(sample + span * PERIOD, len(ranked) - 1)
+            doubled[sample] = _pair(ranked[sample], ranked[ahead])
+            ranked, span = doubled, 2 * span
     twice = np.bincount(whole.astype(np.int64))[whole.astype(np.int64)] > 1
     of = np.repeat(np.arange(len(n)), n)[twice]
     number = (suffix - np.repeat(base, n))[twice]
@@ -260,29 +275,33 @@ def _suffix_names(plan: Repeats):
     return run
 
 
-_KEY = "struct<id: bigint, row: bigint>"
+_KEY = "struct<id: bigint, row: bigint, named: boolean>"
 
 
 def _numbered(docs: DataFrame, id_column: str, name: str) -> DataFrame:
-    """docs with a key of each row's own: its id, or for rows without one a number that is written down with the row."""
+    """docs with a key of each row's own: its id; rows whose id is NULL or repeated have numbers that are written down with them."""
     number = F.col(f"`{id_column}`").cast("long")
     zero = F.lit(0).cast("long")
-    named = docs.where(number.isNotNull()).withColumn(name, F.struct(number.alias("id"), zero.alias("row")))
-    unnamed = docs.where(number.isNull()).withColumn(name, F.struct(zero.alias("id"), (F.monotonically_increasing_id() + 1).alias("row")))
-    return named.unionByName(durable(unnamed))
+    named = docs.where(number.isNotNull()).withColumn("__id", number)
+    often = durable(named.groupBy("__id").agg(F.count("*").alias("__times")).where("__times > 1").select("__id"))
+    # of rows with a unique id a few may be numbered too: the sieve lets all others through
+    plain = F.struct(F.col("__id").alias("id"), zero.alias("row"), F.lit(True).alias("named"))
+    single = sieve_out(named, often, ["__id"]).withColumn(name, plain).drop("__id")
+    repeated = sieve(named, often, ["__id"]).drop("__id").unionByName(docs.where(number.isNull()))
+    own = F.struct(F.coalesce(number, zero).alias("id"), (F.monotonically_increasing_id() + 1).alias("row"), number.isNotNull().alias("named"))
+    return single.unionByName(durable(repeated.withColumn(name, own)))
 
 
 def _id_of(key: str):
-    return F.when(F.col(f"{key}.row") == 0, F.col(f"{key}.id"))
+    return F.when(F.col(f"{key}.named"), F.col(f"{key}.id"))
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", plan: Repeats = Repeats()) -> DataFrame:
     """(key, n_bytes, text_sha256, spans), key being the id: the maximal removed runs of bytes of each text, in order.
 
-    ids are integers and unique. Defined results: NULL and empty text have 0 bytes and no spans, as has any text shorter
-    than ``length``; a NULL id stays NULL and its text is compared and cut like any other; an empty table gives no rows; other columns
-    are ignored. Rows that repeat an id with one text are copies of each other; with different texts they share spans
-    only by chance of position, so give ids that are unique.
+    ids are integers. Defined results: NULL and empty text have 0 bytes and no spans, as has any text shorter than
+    ``length``; a NULL id stays NULL and its text is compared and cut like any other; every row is a text of its own, also
+    where ids repeat; an empty table gives no rows; other columns are ignored.
     """
     own = _numbered(narrow(docs, id=id_column, text=text_column), "id", "key").select("key", "text")
     return _spans(own, plan).select(_id_of("key").alias("key"), "n_bytes", "text_sha256", "spans")
@@ -318,22 +337,30 @@ def _spans(own: DataFrame, plan: Repeats) -> DataFrame:
     spans_of_runs = durable(twice.unionByName(partly))
     covered = sieve(several, spans_of_runs, run_id).join(spans_of_runs, run_id)
     covered = covered.select("key", F.expr("transform(spans, x -> struct(cast(x.begin + begin as int) as begin, cast(x.end + begin as int) as end))").alias("spans"))
-    per_text = covered.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    per_text = per_text.select("key", _joined("spans").alias("spans"))
+    per_text = covered.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(_joined, f"key {_KEY}, spans {_SPANS}")
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_bytes").cast("int").alias("end")))
     out = found.select("key", "text_sha256", *same).join(copied.withColumn("is_copied", F.lit(True)), same, "left").join(per_text, "key", "left")
     spans = F.when(F.col("is_copied"), whole).otherwise(F.coalesce("spans", F.array().cast(_SPANS)))
     return out.select("key", "n_bytes", "text_sha256", spans.alias("spans"))
 
 
-def _joined(column: str):
-    """Sorted spans with those that touch made one."""
-    step = (
-        f"aggregate({column}, cast(array() as {_SPANS}), (acc, x) -> case when size(acc) > 0 and element_at(acc, -1).end >= x.begin "
-        "then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).begin as begin, greatest(element_at(acc, -1).end, x.end) as end))) "
-        "else concat(acc, array(x)) end)"
-    )
-    return F.expr(step)
+def _joined(source):
+    """mapInArrow step: spans in any order -> maximal spans in order, those that touch made one."""
+    for batch in source:
+        spans = batch.column("spans")
+        flat, ends = spans.flatten(), np.cumsum(pa.compute.list_value_length(spans).to_numpy())
+        text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        begin, end = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+        room = np.int64(int(end.max(initial=0)) + 2)  # texts lie one behind the other, apart from each other
+        begin, end = begin + text * room, end + text * room
+        order = np.argsort(begin, kind="stable")
+        begin, reach = begin[order], np.maximum.accumulate(end[order])
+        first = np.flatnonzero(np.append(True, begin[1:] > reach[:-1])) if len(begin) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(begin))[: len(first)] - 1
+        of = begin[first] // room
+        rows = pa.StructArray.from_arrays([pa.array((x - of * room).astype(np.int32)) for x in (begin[first], reach[last])], fields=list(_SPANS_TYPE.value_type))
+        offsets = np.searchsorted(of, np.arange(len(ends) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(offsets), rows)], names=["key", "spans"])
 
 
 def _kept_digest(source):
@@ -355,9 +382,9 @@ def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     spans = durable(_spans(own, plan))
     removed = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.begin)")
     report = spans.select("key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "text_sha256")
-    partly = spans.where(removed.between(1, F.col("n_bytes") - 1)).select("key", "spans").dropDuplicates(["key"])
+    partly = spans.where(removed.between(1, F.col("n_bytes") - 1)).select("key", "spans")
     partly = durable(partly)
-    kept = sieve(own, partly, ["key"]).join(partly, "key").mapInArrow(_kept_digest, f"key {_KEY}, kept_sha256 string").dropDuplicates(["key"])
+    kept = sieve(own, partly, ["key"]).join(partly, "key").mapInArrow(_kept_digest, f"key {_KEY}, kept_sha256 string")
     report = report.join(kept, "key", "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     sha = F.coalesce("kept_sha256", F.when((F.col("n_removed") > 0), nothing).otherwise(F.col("text_sha256")))
@@ -386,7 +413,7 @@ def _without(source):
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", plan: Repeats = Repeats()) -> DataFrame:
     """docs with repeated passages cut out of the text column; documents of which nothing stays are gone.
 
-    Ids must be unique here; texts that lose nothing are not touched.
+    Every row is a text of its own, also where ids are NULL or repeat; texts that lose nothing are not touched.
     """
     keyed = _numbered(docs, id_column, "__sieve_key")
     own = narrow(keyed, key="__sieve_key", text=text_column)

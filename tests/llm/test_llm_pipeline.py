@@ -44,7 +44,7 @@ def test_near_duplicates(made):
 
 
 def test_repeated_passages(made):
-    _, marks = repeated(texts(made[2]))
+    _, marks = repeated(texts(made[2]), corpus_pipeline.PASSAGE_BYTES)
     got = dict(texts(made[3]))
     for k, t in texts(made[2]):
         raw = t.encode()

@@ -122,6 +122,8 @@ def test_op8(spark, folder):
     assert got == want
 
 
-def test_op10(spark, folder, docs):
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_op10(spark, folder):
+    docs = duckdb.sql(f"select doc_id, text from '{folder}/documents.parquet' order by doc_id").fetchall()
     want, _ = repeated(docs)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows(spark, folder, "op10_")} == want
