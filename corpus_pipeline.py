@@ -10,7 +10,9 @@ from scoutframe.llm.quality_divergence import keep_quality
 from scoutframe.llm.queries import vocabulary
 from scoutframe.llm.register_dedup import without_near_duplicates
 from scoutframe.llm.source_mix import mixed_documents
-from scoutframe.llm.suffix_repeats import without_repeats
+from scoutframe.llm.suffix_repeats import Repeats, without_repeats
+
+PASSAGE_BYTES = 250
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +26,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur more than once (operator 10); emptied documents go."""
-    return without_repeats(docs)
+    """Texts without passages of about 50 words that occur more than once (operator 10); emptied documents go.
+
+    A passage counts from 250 bytes: 50 words and the spaces between them, at four letters a word.
+    """
+    return without_repeats(docs, plan=Repeats(length=PASSAGE_BYTES))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
