@@ -9,14 +9,13 @@ no white space.) So the tokens of a text are those of its stretches, one after t
 
 from __future__ import annotations
 
-import itertools
 import os
 
 import numpy as np
 
 from .textbytes import WHITE, Slice
 
-MEMO_ENTRIES = 400_000  # remembered stretches per worker; beyond it the memo starts anew, which only costs time
+MEMO_ENTRIES = 400_000  # remembered stretches per worker; beyond it rare ones are forgotten, which only costs time
 _TOKENIZERS: dict = {}
 
 
@@ -64,15 +63,24 @@ class Separator:
                     self.text = f" {self.char} " if spaced else self.char
                     return
 
-    def fits(self, piece: bytes) -> bool:
+    def fits(self, s: Slice, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Word-level: words without the character. Byte-level: also, white space first and none at the end."""
-        if self.text is None or self.char.encode() in piece:
-            return False
-        return len(self.text) > 1 or (bool(WHITE[piece[0]]) and not WHITE[piece[-1]] and piece[-1] < 128)
+        if self.text is None:
+            return np.zeros(len(starts), dtype=bool)
+        held = np.concatenate([[0], np.cumsum(s.data == ord(self.char))])
+        free = held[ends] == held[starts]
+        if len(self.text) > 1:
+            return free
+        last = s.data[ends - 1]
+        return free & WHITE[s.data[starts]] & ~WHITE[last] & (last < 128)
 
 
 class Memo:
-    """Distinct stretches and their encodings, one per worker and vocabulary."""
+    """Distinct stretches and their encodings, one per worker and vocabulary.
+
+    A stretch is known by two fingerprints, 128 bits; all look-ups of a slice are one search in a sorted array. When the
+    memo is full, what was met in one slice only is forgotten.
+    """
 
     def __init__(self, path: str, spaced: bool):
         self.library = tokenizer(path)
@@ -80,52 +88,94 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.lengths, self.begins = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
-        self.flat, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
-
-    def _add(self, base: int, lengths: np.ndarray, ids: np.ndarray, keep_ids: bool) -> None:
-        end = base + len(lengths)
-        while end > len(self.lengths):
-            self.lengths, self.begins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.begins))
-        self.lengths[base:end] = lengths
+        self.keys, self.checks, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.lengths, self.begins, self.met = (np.zeros(1 << 16, dtype=np.int64) for _ in range(3))
+        self.flat, self.used, self.count, self.end_id = np.zeros(1 << 18, dtype=np.uint32), 0, 0, None
+
+    def reserve(self, end_id: int) -> None:
+        """Number 0 stands for the end of a document."""
+        if self.end_id != end_id:
+            self.clear()
+            self._add(np.array([1]), np.array([end_id], dtype=np.uint32), keep_ids=True)
+            self.end_id = end_id
+
+    def _add(self, lengths: np.ndarray, ids: np.ndarray, keep_ids: bool) -> np.ndarray:
+        base, self.count = self.count, self.count + len(lengths)
+        while self.count > len(self.lengths):
+            self.lengths, self.begins, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.begins, self.met))
+        self.lengths[base : self.count], self.met[base : self.count] = lengths, 0
         if keep_ids:
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.begins[base:end] = self.used + np.cumsum(lengths) - lengths
+            self.begins[base : self.count] = self.used + np.cumsum(lengths) - lengths
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-
-    def _encode(self, pieces: list[bytes], together: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and ids of some stretches, in one call or one by one."""
-        texts = [x.decode() for x in pieces]
-        if not together:
-            ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.array([len(x) for x in ids]), np.array([y for x in ids for y in x], dtype=np.uint32)
-        ids = np.array(self.library.encode_batch_fast([self.separator.text.join(texts)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        return np.arange(base, self.count)
+
+    def _forget(self) -> None:
+        """Keep what several slices held, at most half of the entries, and number it anew."""
+        least = 2
+        while (self.met[: self.count] >= least).sum() > MEMO_ENTRIES // 2:
+            least *= 2
+        keep = self.met[: self.count] >= least
+        keep[: self.end_id is not None] = True
+        number = np.cumsum(keep) - 1
+        lengths, begins = self.lengths[: self.count][keep], self.begins[: self.count][keep]
+        place = np.cumsum(lengths) - lengths
+        if self.used:
+            ids = self.flat[np.repeat(begins - place, lengths) + np.arange(lengths.sum())]
+            self.flat[: len(ids)], self.used = ids, len(ids)
+        self.count = len(lengths)
+        self.lengths[: self.count], self.begins[: self.count], self.met[: self.count] = lengths, place, 0
+        stays = keep[self.at]
+        self.keys, self.checks, self.at = self.keys[stays], self.checks[stays], number[self.at[stays]]
+
+    def _encode_one_by_one(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.library.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        return np.array([len(x) for x in ids], dtype=np.int64), np.array([y for x in ids for y in x], dtype=np.uint32)
+
+    def _encode_together(self, s: Slice, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of some stretches, with a separator between each two, in one call."""
+        mark = np.frombuffer(self.separator.text.encode(), dtype=np.uint8)
+        sizes = ends - starts + len(mark)
+        place = np.cumsum(sizes) - sizes
+        text = s.data[np.minimum(np.repeat(starts - place, sizes) + np.arange(sizes.sum()), len(s.data) - 1)]
+        for i, byte in enumerate(mark):
+            text[place + sizes - len(mark) + i] = byte
+        joined = text[: -len(mark)].tobytes().decode()
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.uint32)
         between = ids == self.separator.id
         lengths = np.diff(np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])) - 1
-        assert len(lengths) == len(pieces)
+        assert len(lengths) == len(starts)
         return lengths, ids[~between]
 
     def numbers(self, s: Slice, starts: np.ndarray, ends: np.ndarray, keep_ids: bool) -> np.ndarray:
         """For each stretch of a slice its number in the memo."""
-        if len(self.known) > MEMO_ENTRIES:
-            self.clear()
+        if self.count > MEMO_ENTRIES:
+            self._forget()
+        check = s.fingerprints(starts, ends, seed=1)
         keys, first, back = np.unique(s.fingerprints(starts, ends), return_index=True, return_inverse=True)
-        raw = s.data.tobytes()
-        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        found = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
-        fresh = np.flatnonzero(found < 0).tolist()
-        fits = [self.separator.fits(pieces[k]) for k in fresh]
-        for together in (True, False):
-            some = [k for k, f in zip(fresh, fits) if f == together]
-            for i in range(0, len(some), 256):
-                part = some[i : i + 256]
-                base = len(self.known)
-                self._add(base, *self._encode([pieces[k] for k in part], together), keep_ids)
-                self.known.update((pieces[k], base + n) for n, k in enumerate(part))
-                found[part] = np.arange(base, base + len(part))
+        checks = check[first]
+        place = np.searchsorted(self.keys, keys)
+        found = np.full(len(keys), -1, dtype=np.int64)
+        inside = np.flatnonzero(place < len(self.keys))
+        same = inside[(self.keys[place[inside]] == keys[inside]) & (self.checks[place[inside]] == checks[inside])]
+        found[same] = self.at[place[same]]
+        fresh = np.flatnonzero(found < 0)
+        starts, ends = starts[first], ends[first]
+        fits = self.separator.fits(s, starts[fresh], ends[fresh])
+        some = fresh[fits]
+        for i in range(0, len(some), 256):
+            part = some[i : i + 256]
+            found[part] = self._add(*self._encode_together(s, starts[part], ends[part]), keep_ids)
+        alone = fresh[~fits]
+        for i in range(0, len(alone), 256):
+            part = alone[i : i + 256]
+            pieces = [s.data[a:b].tobytes() for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+            found[part] = self._add(*self._encode_one_by_one(pieces), keep_ids)
+        self.met[found] += 1
+        if len(fresh):
+            self.keys, self.checks, self.at = (np.insert(old, place[fresh], new[fresh]) for old, new in ((self.keys, keys), (self.checks, checks), (self.at, found)))
         return found[back]
 
 
@@ -155,10 +205,7 @@ def token_ids(s: Slice, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]
     """Ids of all documents of a slice, each followed by end_id, and where each document's begin (n + 1 numbers)."""
     starts, ends, first = s.words()
     m = memo(path, spaced=True)
-    if len(m.known) > MEMO_ENTRIES or not m.known:
-        m.clear()
-        m.known[b""] = 0  # stands for the end of a document
-        m._add(0, np.array([1]), np.array([end_id], dtype=np.uint32), keep_ids=True)
+    m.reserve(end_id)
     numbers = m.numbers(s, starts, ends, keep_ids=True) if len(starts) else np.zeros(0, np.int64)
     numbers = np.insert(numbers, first[1:], 0)
     lengths = m.lengths[numbers]
