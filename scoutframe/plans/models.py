@@ -7,6 +7,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
 from ..models import prepare as Q
+from ..models import search as H
 from ..models import selection as S
 from ..models import training as M
 from ..operators import aggregates as A
@@ -35,26 +36,40 @@ def training_rows(spark, d):
     return staged(rows.withColumn("split", X.chronological_split("season", 1999)), "training")
 
 
-def _search_result(spark, model, family: str):
-    rows = [
-        (family, i, ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name)), float(loss), bool(loss == min(model.avgMetrics)))
-        for i, (params, loss) in enumerate(zip(model.getEstimatorParamMaps(), model.avgMetrics))
-    ]
-    return spark.createDataFrame(rows, "family string, draw int, settings string, log_loss double, chosen boolean")
+FOLDS = 5
+
+
+def _search_rows(spark, d):
+    rows = training_rows(spark, d).where("split = 'train'")
+    return rows.withColumn("fold", F.expr(f"pmod(entity * 7 + season * 3 + week, {FOLDS})"))
+
+
+_CELL_BINS = 8
+_CELLS_SQL = (
+    "WITH r AS MATERIALIZED (SELECT * FROM (SELECT entity, season, week, position, touches, urgent, yards, lag(yards) OVER (PARTITION BY entity ORDER BY season, week) AS yards_lag1, "
+    "avg(yards) OVER (PARTITION BY entity ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS avg_yards FROM panel) WHERE season <= 1999 AND yards IS NOT NULL), "
+    "e AS (SELECT " + ", ".join(f"list_distinct(quantile_cont(CAST({c} AS DOUBLE), [" + ", ".join(f"{i}/{_CELL_BINS}" for i in range(1, _CELL_BINS)) + f"])) AS {c}" for c in NUMERIC) + " FROM r), "
+    "p AS (SELECT position, row_number() OVER (ORDER BY count(*) DESC, position) AS place FROM r WHERE position IS NOT NULL GROUP BY position), "
+    "b AS (SELECT " + ", ".join(f"CASE WHEN r.{c} IS NULL THEN 0 ELSE 1 + len(list_filter(e.{c}, lambda q: r.{c} > q)) END AS {c}" for c in NUMERIC)
+    + f", coalesce(p.place, 0) AS position, ((entity * 7 + season * 3 + r.week) % {FOLDS} + {FOLDS}) % {FOLDS} AS fold, yards >= 300 AS one FROM r CROSS JOIN e LEFT JOIN p ON p.position = r.position) "
+    f"SELECT {', '.join(NUMERIC + CATEGORICAL)}, fold, count(*) AS n, CAST(count(*) FILTER (WHERE one) AS BIGINT) AS ones FROM b GROUP BY ALL"
+)
+
+
+@query("m1_training_cells", _CELLS_SQL, "panel")
+def m1_cells(spark, d):
+    """What the searches are fitted on: rows counted by bins and fold."""
+    return H.training_cells(_search_rows(spark, d), "label", "fold", NUMERIC, CATEGORICAL, bins=_CELL_BINS, max_cells=1_000_000)
 
 
 @query("m1_boosted_search")
 def m1(spark, d):
-    train = training_rows(spark, d).where("split = 'train'")
-    model = M.tune(train, "boosted", NUMERIC, CATEGORICAL)
-    return _search_result(spark, model, "boosted")
+    return H.random_search(_search_rows(spark, d), "boosted", NUMERIC, CATEGORICAL, folds=FOLDS)
 
 
 @query("m2_forest_search")
 def m2(spark, d):
-    train = training_rows(spark, d).where("split = 'train'")
-    model = M.tune(train, "forest", NUMERIC, CATEGORICAL)
-    return _search_result(spark, model, "forest")
+    return H.random_search(_search_rows(spark, d), "forest", NUMERIC, CATEGORICAL, folds=FOLDS)
 
 
 @query("m3_neural_grid")
