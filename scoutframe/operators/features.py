@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as C
-from .quantiles import exact_percentiles
+from .quantiles import keyed_percentiles
 from .windows import prior
 
 Keys = Sequence[str]
@@ -310,26 +310,47 @@ def feature_taxonomy(features: DataFrame, name: str = "feature") -> DataFrame:
     return placed.withColumn("raw_name", raw).withColumn("kind", kind).drop("_past")
 
 
-def information_value(df: DataFrame, label: str, features: Keys, bins: int = 6) -> DataFrame:
-    """Weight of evidence per quantile bin and the information value of each feature.
+def long_features(df: DataFrame, keep: Keys, numeric: Keys, categorical: Keys = ()) -> DataFrame:
+    """One row per row and feature: (keep, feature, v, level); one expression makes all of them, however many there are."""
+    values = [F.struct(F.col(f"`{c}`").cast("double").alias("v"), F.lit(None).cast("string").alias("level")) for c in numeric]
+    values += [F.struct(F.lit(None).cast("double").alias("v"), F.col(f"`{c}`").cast("string").alias("level")) for c in categorical]
+    names = F.array(*[F.lit(c) for c in [*numeric, *categorical]])
+    opened = df.select(*keep, F.posexplode(F.array(*values)).alias("_at", "_value"))
+    return opened.select(*keep, F.get(names, F.col("_at")).alias("feature"), "_value.v", "_value.level")
 
-    Numeric features are cut at quantiles, missing values form a bin of their own, and
-    counts are smoothed by one half so that empty classes stay finite.
+
+def information_value(df: DataFrame, label: str, features: Keys, bins: int = 6, categorical: Keys = (), entity: str | None = None) -> DataFrame:
+    """Weight of evidence per bin and the information value of each feature.
+
+    Numeric features are cut at quantiles, and every level of a ``categorical`` one is a bin, numbered by frequency (column
+    ``level``). Missing values form a bin of their own, -1, and counts are smoothed by one half so that empty classes stay
+    finite. With ``entity``, ``entities`` counts the different ones in each bin. Features are rows throughout: the plan
+    does not grow with their number.
     """
-    edges = exact_percentiles(df, features, [i / bins for i in range(1, bins)])
-    cells = []
-    for f in features:
-        cuts = sorted({e for e in edges[f] if e is not None})
-        v = F.col(f).cast("double")
-        place = F.lit(0)
-        for e in cuts:
-            place = place + (v > e).cast("int")
-        cells.append(F.struct(F.lit(f).alias("feature"), F.when(v.isNull(), -1).otherwise(place).cast("bigint").alias("bin")))
-    counted = (
-        df.select(F.explode(F.array(*cells)).alias("c"), F.col(label).cast("bigint").alias("y"))
-        .groupBy("c.feature", "c.bin")
-        .agg(F.sum("y").alias("ones"), F.count("*").alias("n"))
-    )
+    keep = [F.col(label).cast("bigint").alias("_y"), *([F.col(entity).alias("_entity")] if entity else [])]
+    # read again by every pass over the values, so ``df`` should be a table; rows times features are never written
+    long = long_features(df.select(*keep, *[f"`{c}`" for c in [*features, *categorical]]), ["_y", *(["_entity"] if entity else [])], features, categorical)
+    edges = keyed_percentiles(long.select("feature", "v"), [i / bins for i in range(1, bins)]) if features else None
+    placed = long.where(~F.col("feature").isin(*categorical)) if categorical else long
+    if edges is not None:
+        # one short row per feature
+        cut = placed.join(edges, "feature", "left").withColumn("_cuts", F.array_distinct(F.coalesce("edges", F.array().cast("array<double>"))))
+        above = F.size(F.filter("_cuts", lambda e: F.col("v") > e))
+        placed = cut.withColumn("bin", F.when(F.col("v").isNull(), -1).otherwise(above).cast("bigint")).drop("edges", "_cuts")
+    if categorical:
+        text = long.where(F.col("feature").isin(*categorical))
+        counts = text.where("level is not null").groupBy("feature", "level").agg(F.count("*").alias("_n"))
+        order = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("_n"), "level")).cast("bigint") - 1
+        named = counts.select("feature", "level", order.alias("_place"))
+        text = text.join(named, ["feature", "level"], "left").withColumn("bin", F.coalesce("_place", F.lit(-1).cast("bigint"))).drop("_place")
+        placed = placed.unionByName(text) if edges is not None else text
+    by = ["feature", "bin", *(["level"] if categorical else [])]
+    sums = [F.sum("_y").alias("ones"), F.count("*").alias("n")]
+    if entity:
+        counted = placed.groupBy(*by, "_entity").agg(*sums).groupBy(*by).agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"), F.count("_entity").alias("entities"))
+    else:
+        counted = placed.groupBy(*by).agg(*sums)
+    more = [*(["level"] if categorical else []), *(["entities"] if entity else [])]
     # one row per feature and bin from here on
     totals = counted.groupBy("feature").agg(F.sum("ones").alias("all_ones"), F.sum("n").alias("all_n"), F.count("*").alias("k"),
                                             F.coalesce(F.sum(F.when(F.col("bin") == -1, F.col("n"))), F.lit(0)).alias("missing"))
@@ -339,7 +360,7 @@ def information_value(df: DataFrame, label: str, features: Keys, bins: int = 6)
     woe = F.ln(ones_share / zero_share)
     binned = counted.join(totals, "feature").select(
         "feature", "bin", "n", (F.col("ones") / F.col("n")).alias("positive_share"), woe.alias("woe"),
-        ((ones_share - zero_share) * woe).alias("bin_iv"), (F.col("missing") / F.col("all_n")).alias("share_missing"),
+        ((ones_share - zero_share) * woe).alias("bin_iv"), (F.col("missing") / F.col("all_n")).alias("share_missing"), *more,
     )
     total = F.sum("bin_iv").over(Window.partitionBy("feature"))
     return binned.withColumn("total_iv", total).withColumn("strength", iv_strength("total_iv"))
@@ -350,13 +371,14 @@ def iv_strength(iv: str) -> Column:
     return F.when(v < 0.02, "None").when(v <= 0.1, "Low").when(v <= 0.3, "Medium").when(v <= 0.5, "High").otherwise("Suspicious")
 
 
-def feature_correlations(df: DataFrame, features: Keys) -> list[tuple[str, str, float]]:
-    """Correlation of every pair of a short list of features, in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+def feature_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str, float]]:
+    """Correlations of some pairs of features in one aggregate, a row per pair."""
     if not pairs:
         return []
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return [(a, b, row[f"c{i}"] or 0.0) for i, (a, b) in enumerate(pairs)]
+    both = F.array(*[F.struct(F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y")) for a, b in pairs])
+    found = df.select(F.posexplode(both).alias("i", "p")).groupBy("i").agg(F.corr("p.x", "p.y").alias("r")).collect()
+    r = {row["i"]: row["r"] for row in found}
+    return [(a, b, r.get(i) or 0.0) for i, (a, b) in enumerate(pairs)]
 
 
 def iv_tournament(df: DataFrame, iv: DataFrame, taxonomy: DataFrame, top: int = 5, max_missing: float = 0.5, limit: float = 0.9, margin: float = 0.15) -> DataFrame:
@@ -372,10 +394,12 @@ def iv_tournament(df: DataFrame, iv: DataFrame, taxonomy: DataFrame, top: int =
     rows = winners.select("feature", "scope", "timeframe", "kind", "total_iv").orderBy("scope", "timeframe", "kind", F.desc("total_iv"), "feature").collect()
     info = {r["feature"]: r for r in rows}
     removed: set[str] = set()
-    for a, b, r in feature_correlations(df, list(info)):
+    league = lambda f: (info[f]["scope"], info[f]["timeframe"])
+    # features meet in their own league only, a few winners of each kind
+    pairs = [(a, b) for i, a in enumerate(info) for b in list(info)[i + 1 :] if league(a) == league(b)]
+    for a, b, r in feature_correlations(df, pairs):
         x, y = info[a], info[b]
-        same_league = (x["scope"], x["timeframe"]) == (y["scope"], y["timeframe"])
-        if not same_league or a in removed or b in removed or r <= limit:
+        if a in removed or b in removed or r <= limit:
             continue
         if x["kind"] == y["kind"] or abs(x["total_iv"] - y["total_iv"]) > margin:
             removed.add(a if (x["total_iv"], b) < (y["total_iv"], a) else b)

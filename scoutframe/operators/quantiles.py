@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 
 def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int = 1024) -> dict[str, list[float | None]]:
     """Interpolated quantiles per column over its finite values: ``{column: [value per prob]}``."""
@@ -87,3 +89,41 @@ def _narrow(df: DataFrame, brackets: dict[tuple[str, int], tuple[float, float, i
                 brackets[(c, rank)] = (row["low"], row["high"], below)
                 break
             below += row["n"]
+
+
+def keyed_percentiles(long: DataFrame, probs: Sequence[float], key: str = "feature", value: str = "v", bins: int = 1024) -> DataFrame:
+    """(key, edges): interpolated quantiles of each key's finite values, in order of ``probs``; keys without values are left out.
+
+    Brackets of wanted ranks are rows, not expressions, so the plan is the same for one key and for thousands. Every pass
+    reads ``long`` once: a value lies in one open bracket of its key at most, and is counted there.
+    """
+    v = F.col(value)
+    finite = long.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(F.col(key).alias("key"), v.alias("v"))
+    stats = finite.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    position = (F.col("n") - 1) * F.col("prob")
+    asked = staged(stats.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("place", "prob")).select(
+        "key", "place", "low", "high", position.alias("position"), F.explode(F.array(F.floor(position), F.ceil(position))).alias("rank")
+    ), "ranks")
+    found = asked.select("key", "rank", "low", "high", F.lit(0).cast("long").alias("below")).distinct()
+    while True:
+        found = staged(found, "brackets")
+        open_ = found.where("low < high")
+        if open_.isEmpty():
+            break
+        spans = open_.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))  # two per prob at most
+        hit = finite.join(spans, "key").select("key", "v", F.get(F.filter("spans", lambda s: F.col("v").between(s["low"], s["high"])), F.lit(0)).alias("s"))
+        # dividing each end first keeps the width finite for any pair of doubles; neighbours too close to divide are split in two
+        width = F.expr(f"s.high / {bins} - s.low / {bins}")
+        spot = F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("v") / width - F.col("s.low") / width)))).otherwise((F.col("v") > F.col("s.low")).cast("long"))
+        counted = hit.where("s is not null").groupBy("key", F.col("s.low").alias("low"), F.col("s.high").alias("high"), spot.alias("spot")).agg(
+            F.count("*").alias("n"), F.min("v").alias("from"), F.max("v").alias("to")
+        )
+        before = F.sum("n").over(Window.partitionBy("key", "low", "high").orderBy("spot")) - F.col("n")  # a bracket has ``bins`` rows at most
+        inside = (F.col("rank") >= F.col("below") + F.col("before")) & (F.col("rank") < F.col("below") + F.col("before") + F.col("n"))
+        closer = open_.join(counted.withColumn("before", before), ["key", "low", "high"]).where(inside)
+        closer = closer.select("key", "rank", F.col("from").alias("low"), F.col("to").alias("high"), (F.col("below") + F.col("before")).alias("below"))
+        found = found.where("low = high").unionByName(closer)
+    ends = asked.select("key", "place", "position", "rank").join(found.select("key", "rank", F.col("low").alias("at")), ["key", "rank"])
+    part = F.col("position") - F.floor("position")
+    edges = ends.groupBy("key", "place").agg((F.min_by("at", "rank") + (F.max_by("at", "rank") - F.min_by("at", "rank")) * F.max(part)).alias("edge"))
+    return edges.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "edge"))).alias("e")).select(F.col("key").alias(key), F.col("e.edge").alias("edges"))

@@ -333,6 +333,30 @@ def d13(spark, d):
     return X.information_value(_iv_source(spark, d), "y", _IV_FEATURES)
 
 
+# one bin per level, by frequency, and how many players each bin holds
+_IV_LEVELS_SQL = (
+    f"WITH src AS MATERIALIZED (SELECT entity, CASE WHEN touches < 4 THEN position END AS position, y, air, avg_yards FROM (SELECT entity, position, {_IV_SRC.removeprefix('SELECT ')})), "
+    "lng AS (SELECT entity, 'air' AS feature, CAST(y AS INT) AS y, CAST(air AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS level FROM src UNION ALL SELECT entity, 'avg_yards', CAST(y AS INT), avg_yards, NULL FROM src UNION ALL SELECT entity, 'position', CAST(y AS INT), NULL, position FROM src), "
+    "ed AS (SELECT feature, list_distinct(quantile_cont(v, [1/6, 2/6, 3/6, 4/6, 5/6])) AS e FROM lng WHERE v IS NOT NULL GROUP BY feature), "
+    "lv AS (SELECT feature, level, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, level) - 1 AS place FROM lng WHERE level IS NOT NULL GROUP BY feature, level), "
+    "pl AS (SELECT lng.*, CASE WHEN lng.feature = 'position' THEN coalesce(place, -1) WHEN v IS NULL THEN -1 ELSE len(list_filter(e, lambda q: v > q)) END AS bin FROM lng LEFT JOIN ed ON ed.feature = lng.feature LEFT JOIN lv ON lv.feature = lng.feature AND lv.level = lng.level), "
+    "b AS (SELECT feature, bin, level, sum(y) AS ones, count(*) AS n, count(DISTINCT entity) AS entities FROM pl GROUP BY ALL), "
+    "t AS (SELECT feature, sum(ones) AS a1, sum(n) AS an, count(*) AS k, coalesce(sum(n) FILTER (WHERE bin = -1), 0) AS miss FROM b GROUP BY feature), "
+    "w AS (SELECT b.feature, CAST(bin AS BIGINT) AS bin, level, n, entities, ones / CAST(n AS DOUBLE) AS positive_share, (ones + 0.5::DOUBLE) / (a1 + 0.5::DOUBLE * k) AS s1, (n - ones + 0.5::DOUBLE) / (an - a1 + 0.5::DOUBLE * k) AS s0, miss / CAST(an AS DOUBLE) AS share_missing FROM b JOIN t ON t.feature = b.feature) "
+    "SELECT feature, bin, level, n, entities, positive_share, ln(s1 / s0) AS woe, (s1 - s0) * ln(s1 / s0) AS bin_iv, share_missing, sum((s1 - s0) * ln(s1 / s0)) OVER (PARTITION BY feature) AS total_iv FROM w"
+)
+
+
+@query("d13_levels_and_entities", _IV_LEVELS_SQL, "panel", "positive_share woe bin_iv share_missing total_iv")
+def d13_levels(spark, d):
+    """Text features bin by bin, and the players behind each bin; missing positions are a bin too."""
+    rows = D.panel(spark, d).select(
+        "entity", (F.col("yards") >= 300).alias("y"), "air", F.avg("yards").over(W.prior(["entity"], CAREER)).alias("avg_yards"),
+        F.when(F.col("touches") < 4, F.col("position")).alias("position"),
+    )
+    return X.information_value(staged(rows, "features"), "y", ["air", "avg_yards"], categorical=["position"], entity="entity").drop("strength")
+
+
 def _taxonomy(spark):
     return X.feature_taxonomy(spark.createDataFrame([(f,) for f in _IV_FEATURES], "feature string"))
 
