@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .domain import SQL_VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,7 +65,11 @@ def query(name: str, sql: str | None = None, views: str = "", doubles: str = "",
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, folder: tidy(fn(spark, folder), digits, fine)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)  # Python workers need the library's modules
+            return tidy(fn(spark, folder), digits, fine)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql_text(sql, views, doubles, digits, fine)
         return fn
