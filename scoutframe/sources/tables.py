@@ -106,19 +106,54 @@ ODDS_DOCUMENT = (
 )
 
 
+def _by_id(rows: Column) -> Column:
+    """Entries of a level that have an id, sorted by it."""
+    return F.array_sort(F.filter(F.transform(rows, lambda r: F.struct(r["id"].alias("id"), r.alias("row"))), lambda r: r["id"].isNotNull()))
+
+
+def _with_id(ordered: Column, wanted: Column) -> Column:
+    """All entries of a sorted level under one id, found by halving: first place not before it, first place after it."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(ordered) + F.lit(1))).cast("int"))
+
+    def place(before) -> Column:
+        def halve(at: Column, _: Column) -> Column:
+            middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+            less = before(F.get(ordered, middle)["id"])
+            open_ = at["low"] < at["high"]
+            return F.struct(
+                F.when(open_ & less, middle + 1).otherwise(at["low"]).alias("low"),
+                F.when(open_ & ~less, middle).otherwise(at["high"]).alias("high"),
+            )
+
+        start = F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high"))
+        return F.aggregate(steps, start, halve, lambda at: at["low"])
+
+    first = place(lambda other: other < wanted)
+    found = F.slice(ordered, first + 1, place(lambda other: other <= wanted) - first)
+    nothing = F.slice(ordered, 1, 0)
+    return F.transform(F.when(wanted.isNull() | (F.size(ordered) == 0), nothing).otherwise(found), lambda r: r["row"])
+
+
 def odds_lines(documents: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Nested odds documents to one row per line: event with market with selection.
 
     The three levels belong to one document, so they are matched inside its row and
-    nothing is shuffled.
+    nothing is shuffled.  Events and markets are sorted by id once per document and each
+    selection finds its own by halving, before anything is exploded: the work is
+    (m + s) log m, and no row carries its document.  An inner join: what has no partner
+    or no id gives no line, repeated ids give a line each.
     """
     doc = documents.select(*keys, F.from_json(text, ODDS_DOCUMENT).alias("d"))
-    rows = doc.select(*keys, F.explode("d.selections").alias("s"), "d")
-    rows = rows.select(
-        *keys, "s",
-        F.explode(F.filter("d.markets", lambda m: m["id"] == F.col("s.marketId"))).alias("m"), "d.events",
+    sorted_levels = doc.select(*keys, _by_id(F.col("d.events")).alias("events"), _by_id(F.col("d.markets")).alias("markets"), "d.selections")
+    found = sorted_levels.select(
+        *keys,
+        F.explode(F.transform("selections", lambda s: F.struct(s.alias("s"), F.transform(
+            _with_id(F.col("markets"), s["marketId"]),
+            lambda m: F.struct(m.alias("m"), _with_id(F.col("events"), m["eventId"]).alias("events")),
+        ).alias("markets")))).alias("line"),
     )
-    rows = rows.select(*keys, "s", "m", F.explode(F.filter("events", lambda e: e["id"] == F.col("m.eventId"))).alias("e"))
+    rows = found.select(*keys, "line.s", F.explode("line.markets").alias("market"))
+    rows = rows.select(*keys, "s", "market.m", F.explode("market.events").alias("e"))
     return rows.select(
         *keys,
         F.col("e.id").alias("eventId"), F.col("e.name").alias("EventName"), F.col("e.startEventDate").alias("startEventDate"),

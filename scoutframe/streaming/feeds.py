@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.windows import latest_per_key
-from ..sources.tables import scratch_path, upsert
+from ..sources.tables import scratch_path
 
 
 def file_feed(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -21,53 +21,35 @@ def file_feed(spark: SparkSession, path: str, schema: T.StructType, files_per_tr
     return reader.parquet(path)
 
 
-class _folder:
-    """A folder on whatever file system Spark writes to."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def names(self) -> list[str]:
-        return [f.getPath().getName() for f in self.system.listStatus(self.path)]
-
-    def delete(self) -> None:
-        self.system.delete(self.path, True)
-
-
 def _finish(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def keep_latest(feed: DataFrame, state: str, checkpoint: str, keys: Sequence[str], newest: Sequence[str]) -> StreamingQuery:
-    """Newest row per key of a feed, kept as numbered versions of a table.
+def keep_latest(feed: DataFrame, state: str, changes: str, keys: Sequence[str], newest: Sequence[str]) -> StreamingQuery:
+    """Newest row per key of a feed, held in the stream's own keyed state.
 
-    Each batch reads the last version and writes the next one under the number of the
-    batch, so a batch that is run again after a failure gives the same version.
+    ``state`` is the folder of the stream's checkpoint, state included.  A batch reads and
+    writes the state of its own keys only, and the rows of these keys go to
+    ``changes/batch=n``; a batch that is run again after a failure writes the same folder.
+    What a batch writes follows the batch, not the state.  A late file may bring an older
+    snapshot: the newer one stays.  For states beyond an executor's memory set Spark's
+    RocksDB provider with changelog checkpointing.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = latest_per_key(batch, keys, newest)
-        if number > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{state}/version={number - 1}")
-            # a late file may bring an older snapshot: the newer of both stays
-            both = latest_per_key(old.join(fresh.select(*keys), list(keys), "left_semi").unionByName(fresh), keys, newest)
-            fresh = upsert(old, both, keys, newest)
-        fresh.write.mode("overwrite").parquet(f"{state}/version={number}")
-        if number > 1:  # a batch that is run again needs the version before its own only
-            _folder(spark, f"{state}/version={number - 2}").delete()
+        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
     return (
-        feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        latest_per_key(feed, keys, newest).writeStream.outputMode("update").foreachBatch(apply)
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
 
 
 def newest_version(spark: SparkSession, state: str, schema: T.StructType) -> DataFrame:
-    """State after the last finished batch."""
-    versions = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(state)
-    last = max(int(name.split("=")[1]) for name in _folder(spark, state).names() if "=" in name)
-    return versions.where(F.col("version") == last).drop("version")
+    """State after the last finished batch, read from the state store of ``keep_latest``."""
+    stored = spark.read.format("statestore").load(state)
+    payload = F.col("value").getField(stored.schema["value"].dataType.names[0])
+    return stored.select("key.*", payload.alias("_row")).select(*stored.schema["key"].dataType.names, "_row.*").select(*schema.names)
 
 
 def line_movement(feed: DataFrame, stamp: str, keys: Sequence[str], price: str, tie: str, width: str, late: str, slide: str | None = None) -> DataFrame:
