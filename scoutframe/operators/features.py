@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,19 +63,56 @@ def _rank_sum(history: Column, side: str) -> Column:
         usable = (n1 > 1) & (n2 > 1)
         return F.struct(
             F.when(usable, u).alias("u"), n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"),
-            F.when(usable, F.try_divide(u - n1 * n2 / 2.0 + shift, F.sqrt(variance))).alias("z"),
+            F.when(usable, F.try_divide(u - n1 * n2 / 2.0 + shift, F.sqrt(variance))).alias("z"), (ties > 0).alias("tied"),
         )
 
     return F.aggregate(ordered, start, step, finish)
 
 
+EXACT_BELOW = 50  # rows of either side from which the normal distribution is near enough
+
+
+def rank_sum_tails(spark: SparkSession, below: int = EXACT_BELOW) -> DataFrame:
+    """(n1, n2, tails): chance that U is at least 0, 1, ..., n1 * n2, for sides of 2 to ``below`` - 1 rows without ties.
+
+    The largest of n1 + n2 rows lies in the first side with odds n1 : n2 and then beats all n2 of the other, so the
+    chances of one pair of sizes follow from those of the two pairs that are one row smaller.  Only sums of positive
+    numbers, so there is no loss of digits.  The table's size depends on ``below`` alone: 12 MB for 50.
+    """
+    chance = {}
+    for n1 in range(below):
+        for n2 in range(below):
+            p = np.zeros(n1 * n2 + 1)
+            if n1 == 0 or n2 == 0:
+                p[0] = 1.0
+            else:
+                p[n2:] += chance[n1 - 1, n2] * (n1 / (n1 + n2))
+                p[: n1 * (n2 - 1) + 1] += chance[n1, n2 - 1] * (n2 / (n1 + n2))
+            chance[n1, n2] = p
+    sizes = [k for k in chance if min(k) > 1]
+    tails = pa.array([np.cumsum(chance[k][::-1])[::-1] for k in sizes], pa.list_(pa.float64()))
+    return spark.createDataFrame(pa.table({"n1": [k[0] for k in sizes], "n2": [k[1] for k in sizes], "tails": tails}))
+
+
+def _with_p_value(tested: DataFrame, side: str, name: str = "p_value") -> DataFrame:
+    """One-sided p-value of (u, n1, n2, z, tied): exact for small sides without ties, else the normal one."""
+    table = rank_sum_tails(tested.sparkSession).select(F.col("n1").alias("_n1"), F.col("n2").alias("_n2"), "tails")
+    # U at most u is as likely as U at least n1 * n2 - u
+    extreme = F.col("u") if side == "greater" else F.col("n1") * F.col("n2") - F.col("u")
+    joined = tested.join(
+        F.broadcast(table), ~F.col("tied") & (F.col("n1") == F.col("_n1")) & (F.col("n2") == F.col("_n2")), "left"
+    )
+    normal = C.normal_upper_tail("z") if side == "greater" else 1.0 - C.normal_upper_tail("z")
+    exact = F.get("tails", extreme.cast("int"))
+    return joined.select(*tested.columns, F.coalesce(exact, normal).alias(name)).drop("tied")
+
+
 def played_or_not_test(df: DataFrame, entity: Keys, order: Keys, metric: str, played: str, side: str = "greater") -> DataFrame:
     """Rank-sum test of a group's metric with and without the entity, over its earlier periods."""
     past = F.collect_list(F.struct(F.col(metric).cast("double").alias("x"), F.col(played).alias("g"))).over(prior(entity, order))
     tested = df.where(F.col(metric).isNotNull()).select("*", past.alias("_past"))
     out = tested.select(*df.columns, _rank_sum(F.col("_past"), side).alias("t")).select(*df.columns, "t.*")
-    tail = C.normal_upper_tail("z") if side == "greater" else 1.0 - C.normal_upper_tail("z")
-    return out.withColumn("p_value", tail)
+    return _with_p_value(out, side)
 
 
 def former_groups_test(df: DataFrame, entity: str, order: Keys, group: str, metric: str, side: str = "greater") -> DataFrame:
@@ -96,8 +135,7 @@ def former_groups_test(df: DataFrame, entity: str, order: Keys, group: str, metr
         lambda r: F.struct(r["x"].alias("x"), (r["k"] == F.col("pair.a")).alias("g")),
     )
     tested = each.select(*df.columns, _rank_sum(subset, side).alias("t"))
-    tail = C.normal_upper_tail("z") if side == "greater" else 1.0 - C.normal_upper_tail("z")
-    scored = tested.select(*df.columns, "t.*").where("z IS NOT NULL").withColumn("p_value", tail)
+    scored = _with_p_value(tested.select(*df.columns, "t.*").where("z IS NOT NULL"), side)
     return scored.groupBy(entity, *order).agg(
         F.min("p_value").alias("changing_groups_p"), F.max("z").alias("largest_z"), F.count("*").alias("pairs_tested")
     )

@@ -26,18 +26,28 @@ def _tail_sql(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN exp(-({z}) * ({z}) / 2.0) / 2.5066282746310002 * {poly} ELSE 1.0 - exp(-({z}) * ({z}) / 2.0) / 2.5066282746310002 * {poly} END)"
 
 
+# chance of each U for sides of up to 49 rows: the largest row lies in the first side with odds n1 : n2
+_EXACT = (
+    "cnt(n1, n2, u, p) AS (SELECT 0, 0, 0, 1.0::DOUBLE UNION ALL SELECT n1, n2, u, sum(p) FROM ("
+    "SELECT n1 + 1 AS n1, n2, u + n2 AS u, p * (n1 + 1) / (n1 + 1 + n2) AS p FROM cnt WHERE n1 < 49 "
+    "UNION ALL SELECT n1, n2 + 1, u, p * (n2 + 1) / (n1 + n2 + 1) FROM cnt WHERE n2 < 49) GROUP BY n1, n2, u), "
+    "tail AS MATERIALIZED (SELECT n1, n2, u, sum(p) OVER (PARTITION BY n1, n2 ORDER BY u DESC) AS p FROM cnt)"
+)
+
+
 _HIST = "SELECT i.entity, i.t, j.x, j.g FROM r i JOIN r j ON j.entity = i.entity AND j.t < i.t"
 
 
 @query(
     "d1_played_or_not_test",
-    "WITH r AS MATERIALIZED (SELECT p.entity, p.season, p.week, p.season * 53 + p.week AS t, tm.yards AS x, p.urgent = 0 AS g FROM panel p JOIN teams tm ON tm.season = p.season AND tm.week = p.week AND tm.team = p.team), "
+    f"WITH RECURSIVE {_EXACT}, r AS MATERIALIZED (SELECT p.entity, p.season, p.week, p.season * 53 + p.week AS t, tm.yards AS x, p.urgent = 0 AS g FROM panel p JOIN teams tm ON tm.season = p.season AND tm.week = p.week AND tm.team = p.team), "
     f"h AS MATERIALIZED ({_HIST}), n AS (SELECT entity, t, count(*) FILTER (WHERE g) AS n1, count(*) FILTER (WHERE NOT g) AS n2 FROM h GROUP BY ALL), "
     "u AS (SELECT a.entity, a.t, sum(CASE WHEN a.x > b.x THEN 1.0::DOUBLE WHEN a.x = b.x THEN 0.5 ELSE 0 END) AS u FROM h a JOIN h b ON a.entity = b.entity AND a.t = b.t AND a.g AND NOT b.g GROUP BY ALL), "
     "ties AS (SELECT entity, t, CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT entity, t, x, count(*) AS c FROM h GROUP BY ALL) GROUP BY ALL) "
-    f"SELECT entity, season, week, u, n1, n2, z, {_tail_sql('z')} AS p_value FROM (SELECT r.entity, r.season, r.week, CASE WHEN n1 > 1 AND n2 > 1 THEN u END AS u, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, "
+    f"SELECT entity, season, week, s.u, s.n1, s.n2, z, coalesce(tail.p, {_tail_sql('z')}) AS p_value FROM (SELECT r.entity, r.season, r.week, coalesce(ties, 0) AS ties, CASE WHEN n1 > 1 AND n2 > 1 THEN u END AS u, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, "
     "CASE WHEN n1 > 1 AND n2 > 1 THEN (u - n1 * n2 / 2.0::DOUBLE - 0.5) / nullif(sqrt(n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) END AS z "
-    "FROM r LEFT JOIN n ON n.entity = r.entity AND n.t = r.t LEFT JOIN u ON u.entity = r.entity AND u.t = r.t LEFT JOIN ties ON ties.entity = r.entity AND ties.t = r.t)",
+    "FROM r LEFT JOIN n ON n.entity = r.entity AND n.t = r.t LEFT JOIN u ON u.entity = r.entity AND u.t = r.t LEFT JOIN ties ON ties.entity = r.entity AND ties.t = r.t) s "
+    "LEFT JOIN tail ON tail.n1 = s.n1 AND tail.n2 = s.n2 AND tail.u = s.u AND s.ties = 0",
     "panel teams",
     "u z p_value",
 )
@@ -50,12 +60,12 @@ def d1(spark, d):
 
 @query(
     "d2_former_groups_test",
-    "WITH r AS MATERIALIZED (SELECT entity, season, week, season * 53 + week AS t, yards AS x, season // 3 AS k FROM panel), h AS MATERIALIZED (SELECT i.entity, i.t, j.t AS tj, j.x, j.k FROM r i JOIN r j ON j.entity = i.entity AND j.t < i.t), "
+    f"WITH RECURSIVE {_EXACT}, r AS MATERIALIZED (SELECT entity, season, week, season * 53 + week AS t, yards AS x, season // 3 AS k FROM panel), h AS MATERIALIZED (SELECT i.entity, i.t, j.t AS tj, j.x, j.k FROM r i JOIN r j ON j.entity = i.entity AND j.t < i.t), "
     "f AS (SELECT entity, t, k, min(tj) AS seen, count(*) AS n FROM h GROUP BY ALL), pr AS (SELECT a.entity, a.t, a.k AS ka, b.k AS kb, a.n AS n1, b.n AS n2 FROM f a JOIN f b ON a.entity = b.entity AND a.t = b.t AND a.seen < b.seen WHERE a.n > 1 AND b.n > 1), "
     "u AS (SELECT pr.entity, pr.t, ka, kb, any_value(n1) AS n1, any_value(n2) AS n2, sum(CASE WHEN a.x > b.x THEN 1.0::DOUBLE WHEN a.x = b.x THEN 0.5 ELSE 0 END) AS u FROM pr JOIN h a ON a.entity = pr.entity AND a.t = pr.t AND a.k = ka JOIN h b ON b.entity = pr.entity AND b.t = pr.t AND b.k = kb GROUP BY ALL), "
     "ti AS (SELECT entity, t, ka, kb, CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT pr.entity, pr.t, ka, kb, h.x, count(*) AS c FROM pr JOIN h ON h.entity = pr.entity AND h.t = pr.t AND (h.k = ka OR h.k = kb) GROUP BY ALL) GROUP BY ALL) "
-    f"SELECT entity, season, week, min({_tail_sql('z')}) AS changing_groups_p, max(z) AS largest_z, count(*) AS pairs_tested FROM (SELECT u.entity, r.season, r.week, (u - n1 * n2 / 2.0::DOUBLE - 0.5) / nullif(sqrt(n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z "
-    "FROM u JOIN ti USING (entity, t, ka, kb) JOIN r ON r.entity = u.entity AND r.t = u.t) WHERE z IS NOT NULL GROUP BY ALL",
+    f"SELECT entity, season, week, min(coalesce(tail.p, {_tail_sql('z')})) AS changing_groups_p, max(z) AS largest_z, count(*) AS pairs_tested FROM (SELECT u.entity, r.season, r.week, n1, n2, u, ties, (u - n1 * n2 / 2.0::DOUBLE - 0.5) / nullif(sqrt(n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z "
+    "FROM u JOIN ti USING (entity, t, ka, kb) JOIN r ON r.entity = u.entity AND r.t = u.t) s LEFT JOIN tail ON tail.n1 = s.n1 AND tail.n2 = s.n2 AND tail.u = s.u AND s.ties = 0 WHERE z IS NOT NULL GROUP BY entity, season, week",
     "panel",
     "changing_groups_p largest_z",
 )

@@ -1,6 +1,7 @@
 """Covariance, weights, stakes and stress on hand-made bets."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -170,3 +171,25 @@ def test_pair_correlation_equals_all_pairs(spark):
                     xs.append(x), ys.append(y)
         assert cor == pytest.approx(np.corrcoef(xs, ys)[0, 1], abs=1e-9)
     assert len(got) > 20
+
+
+def test_exact_rank_sum_tails(spark):
+    table = {(r.n1, r.n2): r.tails for r in X.rank_sum_tails(spark, 8).collect()}
+    assert set(table) == {(a, b) for a in range(2, 8) for b in range(2, 8)}
+    # known tails: 1 of 20, 1 of 35, 12 of 252
+    assert table[3, 3][9] == pytest.approx(1 / 20) and table[4, 3][12] == pytest.approx(1 / 35) and table[5, 5][21] == pytest.approx(12 / 252)
+    for (n1, n2), tails in table.items():
+        us = [sum(p - i for i, p in enumerate(c)) for c in itertools.combinations(range(n1 + n2), n1)]
+        assert tails == pytest.approx([sum(u >= k for u in us) / len(us) for k in range(n1 * n2 + 1)])
+
+
+def test_p_values_are_exact_without_ties_only(spark):
+    values = [3.0, 7.0, 1.0, 9.0, 8.0, 2.0, 2.0, 5.0]
+    played = [False, True, False, True, True, False, True, True]
+    rows = [("e", 1, w, x, g) for w, (x, g) in enumerate(zip(values, played))]
+    df = spark.createDataFrame(rows, "entity string, season int, week int, x double, g boolean")
+    for side, want in (("greater", 1 / 20), ("less", 1.0)):
+        got = {r["week"]: r for r in X.played_or_not_test(df, ["entity"], ["season", "week"], "x", "g", side).collect()}
+        assert got[6]["u"] == 9 and got[6]["p_value"] == pytest.approx(want)
+        tail = 0.5 * math.erfc(got[7]["z"] / math.sqrt(2))  # week 7 looks back on a tie
+        assert got[7]["p_value"] == pytest.approx(tail if side == "greater" else 1 - tail, abs=1e-6)
