@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +121,32 @@ def prevalence(df: DataFrame, by: Keys, label: str) -> DataFrame:
     return share.withColumn("baseline_log_loss", loss)
 
 
+def _moments(a: Column, b: Column) -> dict[str, Column]:
+    """Sums over the rows in which both values are there."""
+    both = a.isNotNull() & b.isNotNull()
+    parts = {"n": F.lit(1.0), "sx": a, "sy": b, "sxx": a * a, "syy": b * b, "sxy": a * b}
+    return {k: F.sum(F.when(both, v)) for k, v in parts.items()}
+
+
+def _own_moments(rows: DataFrame, position: str, x: Mapping[str, Column]) -> DataFrame:
+    """Moments of two measures of one row, per position: one aggregate with a column per pair, made rows afterwards."""
+    names = list(x)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = {(i, k): v.alias(f"_{i}_{k}") for i, (a, b) in enumerate(pairs) for k, v in _moments(x[a], x[b]).items()}
+    wide = rows.groupBy(F.col(position).alias("position1")).agg(*sums.values())
+    swapped = {"n": "n", "sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx", "sxy": "sxy"}
+
+    def entry(i: int, a: str, b: str, turned: bool) -> Column:
+        return F.struct(
+            F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+            *[F.col(f"_{i}_{swapped[k] if turned else k}").alias(k) for k in swapped],
+        )
+
+    both_ways = [entry(i, a, b, False) for i, (a, b) in enumerate(pairs)] + [entry(i, b, a, True) for i, (a, b) in enumerate(pairs) if a != b]
+    long = wide.select("position1", F.explode(F.array(*both_ways)).alias("p")).select("position1", "p.*")
+    return long.where("n > 0").withColumn("position2", F.col("position1"))
+
+
 def pair_correlations(
     panel: DataFrame,
     period: Keys,
@@ -130,41 +156,51 @@ def pair_correlations(
     measures: Keys,
     threshold: float = 0.05,
     skip_same_team: Keys = ("QB",),
+    groups: Mapping[str, str] | None = None,
+    team_rows: DataFrame | None = None,
+    team_measures: Keys = (),
+    team_group: str = "Team",
 ) -> DataFrame:
     """Correlation of two measures over all pairs of team-mates, opponents, or one player.
 
+    ``groups`` puts positions under a common name, such as WR and TE under ``WR|TE``.
+    ``team_rows`` has one row per team and period with ``team_measures``: each team is
+    paired with its own players, with those it faces, and with the team it faces.
+
     The pairs are never built.  Sums over all pairs of a group follow from sums
     over the group: sum x*y over pairs is (sum x)(sum y) less the player's own
     products.  A group of any size therefore costs one row per position and measure.
     """
+    place = F.col(position)
+    for one, common in (groups or {}).items():
+        place = F.when(F.col(position) == one, common).otherwise(place)
     # whole-number shifts near the mean keep the moments small without rounding error
-    shifted = staged(panel.select(*period, team, opponent, position, *measures), "panel")  # read by three sums
-    centre = shifted.agg(*[F.round(F.avg(m)).alias(m) for m in measures]).first()
-    x = {m: F.col(m) - F.lit(centre[m] or 0.0) for m in measures}
-    long = shifted.select(
-        *period, team, opponent, position,
-        F.explode(F.array(*[F.struct(F.lit(m).alias("var"), x[m].alias("x")) for m in measures])).alias("m"),
-    ).select(*period, team, opponent, position, "m.var", "m.x")
-    cells = (
-        long.where("x IS NOT NULL")
-        .groupBy(*period, team, opponent, position, "var")
-        .agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    )
-    pairs = [
-        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), x[a].alias("a"), x[b].alias("b"))
-        for a in measures for b in measures
-    ]
-    own = (
-        shifted.select(position, F.explode(F.array(*pairs)).alias("p"))
-        .where("p.a IS NOT NULL AND p.b IS NOT NULL")
-        .groupBy(F.col(position).alias("position1"), F.col("p.var1").alias("var1"), F.col("p.var2").alias("var2"))
-        .agg(
-            F.count("*").cast("double").alias("n"), F.sum("p.a").alias("sx"), F.sum("p.b").alias("sy"),
-            F.sum(F.expr("p.a * p.a")).alias("sxx"), F.sum(F.expr("p.b * p.b")).alias("syy"),
-            F.sum(F.expr("p.a * p.b")).alias("sxy"),
+    shifted = staged(panel.select(*period, team, opponent, place.alias(position), *measures), "panel")  # read by three sums
+
+    def centred(rows: DataFrame, names: Keys) -> dict[str, Column]:
+        centre = rows.agg(*[F.round(F.avg(m)).alias(m) for m in names]).first()
+        return {m: F.col(m) - F.lit(centre[m] or 0.0) for m in names}
+
+    def sums_per_group(rows: DataFrame, x: Mapping[str, Column]) -> DataFrame:
+        long = rows.select(
+            *period, team, opponent, position,
+            F.explode(F.array(*[F.struct(F.lit(m).alias("var"), c.alias("x")) for m, c in x.items()])).alias("m"),
+        ).select(*period, team, opponent, position, "m.var", "m.x")
+        return (
+            long.where("x IS NOT NULL")
+            .groupBy(*period, team, opponent, position, "var")
+            .agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
         )
-        .withColumn("position2", F.col("position1"))
-    )
+
+    x = centred(shifted, measures)
+    cells = sums_per_group(shifted, x)
+    own = _own_moments(shifted, position, x)
+    alone = list(skip_same_team)
+    if team_rows is not None:
+        results = team_rows.select(*period, team, opponent, F.lit(team_group).alias(position), *[F.col(m).cast("double").alias(m) for m in team_measures])
+        results = staged(results, "teams")
+        cells = cells.unionByName(sums_per_group(results, centred(results, team_measures)))
+        alone.append(team_group)  # a team is no team-mate of itself
 
     def side(prefix: str, keys: dict[str, str]) -> DataFrame:
         return cells.select(
@@ -186,7 +222,7 @@ def pair_correlations(
     mates = products(side("1", {team: "_t"}).join(side("2", {team: "_t"}), [*period, "_t"]))
     mates = mates.join(own.select(*names, *[F.col(k).alias(f"_{k}") for k in sums]), names, "left")
     mates = mates.select(*names, *[(F.col(k) - F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in sums])
-    mates = mates.where(~(F.col("position1").isin(*skip_same_team) & F.col("position2").isin(*skip_same_team)))
+    mates = mates.where(~(F.col("position1").isin(alone) & (F.col("position1") == F.col("position2"))))
     rivals = products(side("1", {team: "_t"}).join(side("2", {opponent: "_t"}), [*period, "_t"]))
     own = own.where("var1 <> var2").select(*names, *sums)
     everything = (

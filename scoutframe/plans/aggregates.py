@@ -247,27 +247,42 @@ def a12(spark, d):
 
 
 _LONG = (
-    "SELECT season, week, team, opponent, entity, position, var, x FROM panel, LATERAL (SELECT unnest(['yards', 'air', 'touches']) AS var, "
-    "unnest([yards, air, CAST(touches AS DOUBLE)]) AS x) WHERE x IS NOT NULL"
+    "SELECT season, week, team, opponent, 'P' || entity AS entity, CASE WHEN position IN ('WR', 'TE') THEN 'WR|TE' ELSE position END AS position, var, x "
+    "FROM panel, LATERAL (SELECT unnest(['yards', 'air', 'touches']) AS var, unnest([yards, air, CAST(touches AS DOUBLE)]) AS x) WHERE x IS NOT NULL "
+    "UNION ALL SELECT season, week, team, opponent, 'T' || team, 'Team', var, x FROM (SELECT t.*, t.score - o.score AS diff FROM teams t JOIN teams o ON t.season = o.season AND t.week = o.week AND t.opponent = o.team WHERE t.team <> t.opponent), "
+    "LATERAL (SELECT unnest(['team_win', 'team_diff']) AS var, unnest([CAST(diff > 0 AS DOUBLE), CAST(diff AS DOUBLE)]) AS x)"
 )
 PAIR_SQL = (
-    f"SELECT * FROM (WITH lng AS ({_LONG}) "
+    f"SELECT * FROM (WITH lng AS MATERIALIZED ({_LONG}) "
     "SELECT a.position AS position1, a.var AS var1, b.position AS position2, b.var AS var2, 'same_team' AS relation, count(*) AS n_pairs, corr(a.x, b.x) AS cor "
     "FROM lng a JOIN lng b ON a.season = b.season AND a.week = b.week AND a.team = b.team AND a.entity <> b.entity WHERE NOT (a.position = 'QB' AND b.position = 'QB') GROUP BY ALL "
     "UNION ALL SELECT a.position, a.var, b.position, b.var, 'opp_team', count(*), corr(a.x, b.x) FROM lng a JOIN lng b ON a.season = b.season AND a.week = b.week AND a.team = b.opponent GROUP BY ALL "
-    "UNION ALL SELECT a.position, a.var, b.position, b.var, 'same_player', count(*), corr(a.x, b.x) FROM lng a JOIN lng b ON a.season = b.season AND a.week = b.week AND a.entity = b.entity AND a.var <> b.var GROUP BY ALL) "
+    "UNION ALL SELECT a.position, a.var, b.position, b.var, 'same_player', count(*), corr(a.x, b.x) FROM lng a JOIN lng b ON a.season = b.season AND a.week = b.week AND a.entity = b.entity AND a.var <> b.var WHERE a.position <> 'Team' GROUP BY ALL) "
     "WHERE abs(cor) >= 0.05 AND NOT isnan(cor)"
 )
 
 
-@query("a13_pair_correlation", PAIR_SQL, "panel", "cor")
+@query("a13_pair_correlation", PAIR_SQL, "panel teams", "cor")
 def a13(spark, d):
     return correlations(spark, d)
 
 
+def team_results(spark, d):
+    """One row per team and week with the difference of the scores and whether the team won."""
+    side = D.teams(spark, d).where("team <> opponent")
+    other = side.select("season", "week", F.col("team").alias("opponent"), F.col("score").alias("against"))
+    diff = F.col("score") - F.col("against")
+    return side.join(other, ["season", "week", "opponent"]).select(
+        "season", "week", "team", "opponent", (diff > 0).cast("double").alias("team_win"), diff.cast("double").alias("team_diff")
+    )
+
+
 def correlations(spark, d):
     panel = D.panel(spark, d).withColumn("touches", F.col("touches").cast("double"))
-    return A.pair_correlations(panel, ["season", "week"], "team", "opponent", "position", ["yards", "air", "touches"])
+    return A.pair_correlations(
+        panel, ["season", "week"], "team", "opponent", "position", ["yards", "air", "touches"],
+        groups={"WR": "WR|TE", "TE": "WR|TE"}, team_rows=team_results(spark, d), team_measures=["team_win", "team_diff"],
+    )
 
 
 PAID_SQL = "SELECT *, CASE WHEN bet_hit THEN 100.0 * (1.0 + (CASE WHEN odds > 0 THEN odds ELSE 10000.0 / -odds END) / 100.0) ELSE 0.0 END AS paid FROM bets"

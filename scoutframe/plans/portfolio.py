@@ -16,13 +16,13 @@ from .value import CAP_SQL, VALUED_SQL
 # measure of the correlation table that stands for each bet type
 VARS = {
     "passing_yards": "yards", "receiving_yards": "yards", "rushing_receiving_yards": "yards",
-    "rushing_yards": "air", "receptions": "touches", "anytime_td_scorer": "touches",
+    "rushing_yards": "air", "receptions": "touches", "anytime_td_scorer": "touches", "team_differential": "team_diff",
 }
 _VAR_SQL = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VARS.items()) + " ELSE type END"
 WEEK = ["season", "week"]
 
 POOL_SQL = (
-    f"SELECT season, week, bet_id, label || '@' || team AS label, position, team, opponent, {_VAR_SQL} AS var, ev, risk_raw AS risk_score, "
+    f"SELECT season, week, bet_id, label || '@' || team AS label, CASE WHEN position = 'team' THEN 'Team' ELSE position END AS position, team, opponent, {_VAR_SQL} AS var, ev, risk_raw AS risk_score, "
     "least(CAST(team AS VARCHAR), CAST(opponent AS VARCHAR)) || '-' || greatest(CAST(team AS VARCHAR), CAST(opponent AS VARCHAR)) AS game "
     f"FROM ({VALUED_SQL}) WHERE ev > 0 AND ev <= {CAP_SQL} AND team <> opponent "
     "QUALIFY row_number() OVER (PARTITION BY season, week, label, team, response_var ORDER BY bet_id DESC) = 1"
@@ -34,7 +34,8 @@ def pool(spark, d):
     valued = V.expected_value_and_risk(D.bets(spark, d), caps=True).where("team <> opponent")
     valued = W.latest_per_key(valued, ["season", "week", "label", "team", "response_var"], ["bet_id"])
     return valued.select(
-        "season", "week", "bet_id", F.concat("label", F.lit("@"), "team").alias("label"), "position", "team", "opponent",
+        "season", "week", "bet_id", F.concat("label", F.lit("@"), "team").alias("label"),
+        F.when(F.col("position") == "team", "Team").otherwise(F.col("position")).alias("position"), "team", "opponent",
         V.choose("type", VARS, F.col("type")).alias("var"), "ev", "risk_score", C.pair_key("team", "opponent").alias("game"),
         "odds", "bet_hit",
     )
@@ -50,7 +51,7 @@ def coefs(spark, d):
 @query(
     "b7_correlation_table",
     f"SELECT *, (SELECT min(season) FROM panel) AS min_year, (SELECT max(season) FROM panel) AS max_year, '2024-01-01' AS created_at FROM ({PAIR_SQL})",
-    "panel",
+    "panel teams",
     "cor",
 )
 def b7(spark, d):
@@ -58,7 +59,7 @@ def b7(spark, d):
     return correlations(spark, d).join(F.broadcast(years)).withColumn("created_at", F.lit("2024-01-01"))
 
 
-_COR_SQL = f"SELECT relation, position1, var1, position2, var2, cor FROM ({PAIR_SQL})"
+_COR_SQL = f"SELECT relation, one AS position1, var1, other AS position2, var2, cor FROM ({PAIR_SQL}), LATERAL (SELECT unnest(string_split(position1, '|')) AS one), LATERAL (SELECT unnest(string_split(position2, '|')) AS other)"
 
 
 @query(
@@ -66,7 +67,7 @@ _COR_SQL = f"SELECT relation, position1, var1, position2, var2, cor FROM ({PAIR_
     f"WITH cor AS MATERIALIZED ({_COR_SQL}), cls AS (SELECT DISTINCT season, week, game, team, opponent, position, var FROM ({POOL_SQL})) "
     "SELECT p.relation, p.position1, p.var1, p.position2, p.var2, n, coalesce(cor, 0) AS cor FROM (SELECT CASE WHEN a.team = b.team THEN 'same_team' ELSE 'opp_team' END AS relation, a.position AS position1, a.var AS var1, b.position AS position2, b.var AS var2, count(*) AS n "
     "FROM cls a JOIN cls b ON a.season = b.season AND a.week = b.week AND a.game = b.game WHERE a.team = b.team OR a.opponent = b.team GROUP BY ALL) p LEFT JOIN cor USING (relation, position1, var1, position2, var2)",
-    "panel bets",
+    "panel teams bets",
     "cor",
 )
 def j13(spark, d):
@@ -85,7 +86,7 @@ def _pair_sql(pool_sql: str, x: str) -> str:
 @query(
     "b8_covariance_pairs",
     _pair_sql(f"SELECT *, sqrt(risk_score) AS sd FROM ({POOL_SQL})", "sd"),
-    "panel bets",
+    "panel teams bets",
     "cov_sum",
 )
 def b8(spark, d):
@@ -122,7 +123,7 @@ _METRICS_SQL = (
 )
 
 
-@query("b11_portfolio_metrics", _METRICS_SQL, "panel bets", "portfolio_mu portfolio_var portfolio_sd portfolio_sharpe")
+@query("b11_portfolio_metrics", _METRICS_SQL, "panel teams bets", "portfolio_mu portfolio_var portfolio_sd portfolio_sharpe")
 def b11(spark, d):
     return R.portfolio_metrics(given_weights(spark, d), coefs(spark, d), [*WEEK, "portfolio_id"])
 
@@ -131,7 +132,7 @@ def b11(spark, d):
     "b12_best_portfolio",
     f"SELECT 'sharpe' AS rule, season, week, portfolio_id, round(portfolio_mu, 9) AS portfolio_mu, portfolio_sd FROM ({_METRICS_SQL}) WHERE portfolio_sharpe IS NOT NULL QUALIFY row_number() OVER (PARTITION BY season, week ORDER BY round(portfolio_sharpe, 9) DESC, portfolio_id) = 1 "
     f"UNION ALL SELECT 'capped', season, week, portfolio_id, round(portfolio_mu, 9), portfolio_sd FROM ({_METRICS_SQL}) WHERE portfolio_sd < 1.0 QUALIFY row_number() OVER (PARTITION BY season, week ORDER BY round(portfolio_mu, 9) DESC, portfolio_id) = 1",
-    "panel bets",
+    "panel teams bets",
     "portfolio_mu portfolio_sd",
 )
 def b12(spark, d):
@@ -165,7 +166,8 @@ def e3(spark, d):
     bets = D.bets(spark, d).where("team <> opponent")
     once = W.latest_per_key(bets.withColumn("label", F.concat("label", F.lit("@"), "team")), [*WEEK, "label", "response_var"], ["bet_id"])
     valued = bets_with_value(once).select(
-        "season", "week", "bet_id", "label", "position", "team", "opponent", V.choose("type", VARS, F.col("type")).alias("var"),
+        "season", "week", "bet_id", "label", F.when(F.col("position") == "team", "Team").otherwise(F.col("position")).alias("position"),
+        "team", "opponent", V.choose("type", VARS, F.col("type")).alias("var"),
         "ev", "risk_score", C.pair_key("team", "opponent").alias("game"),
     )
     out = portfolios(valued, coefs(spark, d), bank=50.0, sd_cap=3.0, max_bets=10)

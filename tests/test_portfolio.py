@@ -193,3 +193,31 @@ def test_p_values_are_exact_without_ties_only(spark):
         assert got[6]["u"] == 9 and got[6]["p_value"] == pytest.approx(want)
         tail = 0.5 * math.erfc(got[7]["z"] / math.sqrt(2))  # week 7 looks back on a tie
         assert got[7]["p_value"] == pytest.approx(tail if side == "greater" else 1 - tail, abs=1e-6)
+
+
+def test_team_scenarios_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows, results = [], []
+    for week in range(12):
+        for team, opp in (("A", "B"), ("B", "A"), ("C", "D")):  # nobody of D is in the table
+            results.append((week, team, opp, float(rng.integers(-9, 9)) if week else None))
+            for i in range(5):
+                rows.append((week, team, opp, f"{team}{i}", ["QB", "WR", "TE", "RB", "RB"][i], float(rng.integers(0, 50))))
+    df = spark.createDataFrame(rows, "week int, team string, opponent string, player string, position string, yards double")
+    teams = spark.createDataFrame(results, "week int, team string, opponent string, diff double")
+    out = A.pair_correlations(
+        df, ["week"], "team", "opponent", "position", ["yards"], threshold=0.0, groups={"WR": "WR|TE", "TE": "WR|TE"},
+        team_rows=teams, team_measures=["diff"],
+    ).collect()
+    everyone = [(w, t, o, p, "WR|TE" if g in ("WR", "TE") else g, y) for w, t, o, p, g, y in rows]
+    everyone += [(w, t, o, t, "Team", d) for w, t, o, d in results if d is not None]
+    for r in out:
+        pairs = [
+            (a[5], b[5]) for a in everyone for b in everyone
+            if a[0] == b[0] and a[4] == r["position1"] and b[4] == r["position2"]
+            and (a[1] == b[1] and a[3] != b[3] if r["relation"] == "same_team" else a[1] == b[2])
+        ]
+        assert r["n_pairs"] == len(pairs) and r["cor"] == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1], abs=1e-9)
+    kinds = {(r["relation"], r["position1"], r["position2"]) for r in out}
+    assert {("same_team", "Team", g) for g in ("QB", "RB", "WR|TE")} <= kinds and ("opp_team", "Team", "Team") in kinds
+    assert ("same_team", "Team", "Team") not in kinds and ("same_team", "QB", "QB") not in kinds and ("same_team", "WR|TE", "WR|TE") in kinds
