@@ -22,9 +22,9 @@ def word_count(column: str):
     return F.expr(f"coalesce(regexp_count({column}, '{WORD}'), 0)").cast("long")
 
 
-def _turn(key, seed: str):
-    """Place of an id in the seeded order."""
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))))
+def _turn(key, number, seed: str):
+    """Place in the seeded order: by id, and without one by the row's number, so that such rows lie all over it."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.concat(F.lit(":"), number.cast("string")))))
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 2) -> DataFrame:
@@ -60,20 +60,27 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, whole (repetitions), part (words of one more), taken.
 
-    The seeded order is md5(seed, id). A slot is a stretch of that order; sums per slot place each slot against the
+    The seeded order is md5(seed, id), then the number of the row. A slot is a stretch of that order; sums per slot place each slot against the
     source's quota, so that no window holds more than one slot of a source, however large the source is.
 
     Defined results: NULL or empty text has size 0 and is taken 0 times over; NULL sources are one source, the last;
-    a NULL id orders as an empty one; repeated rows count and are taken row by row; a source of size 0 gets target 0;
-    an empty table gives no rows; other columns are ignored.
+    a row with a NULL id is ordered by its number in the table; repeated rows count and are taken row by row; a source of
+    size 0 gets target 0; an empty table gives no rows; other columns are ignored.
     """
-    own = narrow(docs, key=id_column, text=text_column, source=source_column)
+    own = narrow(docs, key=id_column, text=text_column, source=source_column).withColumn("number", F.monotonically_increasing_id())
+    mixed = _mix(own, share, weights, max_epochs, seed)
+    return mixed.select(F.col("key").alias(id_column), "source", "size", "source_size", "target", "whole", "part", "taken")
+
+
+def _mix(own: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 2, seed: str = "mix-1") -> DataFrame:
+    """The mixture of rows (key, text, source, number)."""
     rows = own.select(
         "key",
+        "number",
         F.col("source").isNull().alias("absent"),
         F.coalesce("source", F.lit("")).alias("source"),
         word_count("text").alias("size"),
-        _turn(F.col("key"), seed).alias("turn"),
+        _turn(F.col("key"), F.col("number"), seed).alias("turn"),
     )
     rows = durable(rows.withColumn("slot", F.substring("turn", 1, SLOT_DIGITS)))
     slots = rows.groupBy("absent", "source", "slot").agg(F.sum("size").alias("slot_size"))
@@ -85,12 +92,12 @@ def mix_sources(
     order = Window.partitionBy("absent", "source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("before", F.coalesce(F.sum("slot_size").over(order), F.lit(0)))
     placed = rows.join(slots.join(targets, ["absent", "source"]), ["absent", "source", "slot"])
-    inside = Window.partitionBy("absent", "source", "slot").orderBy("turn", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("absent", "source", "slot").orderBy("turn", "key", "number").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("quota") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left))
     out = placed.withColumn("part", part.cast("long"))
     return out.select(
-        F.col("key").alias(id_column),
+        "key", "number", "turn",
         F.when(~F.col("absent"), F.col("source")).alias("source"),
         "size", "source_size", "target", "whole", "part",
         (F.col("whole") * F.col("size") + F.col("part")).alias("taken"),
@@ -104,19 +111,22 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """The mixture itself: each document as often as it is taken, with the columns of docs.
 
     A source's plan is one row: the whole repetitions, and the place in the seeded order up to which the fractional
-    repetition reaches. The document at that place gives its first words, cut before white space. Repeated ids lie at
-    one place of the order and are taken alike.
+    repetition reaches. The row at that place gives its first words, cut before white space. Rows are numbered and
+    written first, so that rows without an id and rows that share one have places of their own.
     """
     seed = options.get("seed", "mix-1")
-    plan = mix_sources(docs, id_column, text_column, source_column, **options)
-    reached = F.max(F.when(F.col("part") > 0, F.struct(_turn(F.col(id_column), seed).alias("turn"), F.col(id_column).alias("key"), "part", "size")))
+    numbered = durable(docs.withColumn("__mix_number", F.monotonically_increasing_id()))
+    own = narrow(numbered, key=id_column, text=text_column, source=source_column, number="__mix_number")
+    reached = F.max(F.when(F.col("part") > 0, F.struct("turn", "key", "number", "part", "size")))
+    plan = _mix(own, **options)
     plan = plan.groupBy(F.col("source").alias("__mix_source")).agg(F.max("whole").alias("__mix_whole"), reached.alias("__mix_reached"))
     plan = durable(plan)
     few = plan.count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(plan) if few else plan, F.col(f"`{source_column}`").eqNullSafe(F.col("__mix_source")))
-    # by turn, then id, NULL ids first
-    own = F.struct(_turn(F.col(f"`{id_column}`"), seed).alias("turn"), F.col(f"`{id_column}`").alias("key"))
-    edge = F.struct(F.col("__mix_reached.turn").alias("turn"), F.col("__mix_reached.key").alias("key"))
+    joined = numbered.join(F.broadcast(plan) if few else plan, F.col(f"`{source_column}`").eqNullSafe(F.col("__mix_source")))
+    # by turn, then id, NULL ids first, then number
+    key, number = F.col(f"`{id_column}`"), F.col("__mix_number")
+    own = F.struct(_turn(key, number, seed).alias("turn"), key.alias("key"), number.alias("number"))
+    edge = F.struct(*[F.col(f"__mix_reached.{c}").alias(c) for c in ("turn", "key", "number")])
     inside = F.when(F.col("__mix_reached").isNull() | (own > edge), 0).when(own.eqNullSafe(edge), 1).otherwise(2)
     joined = joined.withColumn("__mix_inside", inside)
     repeats = (F.col("__mix_whole") + (F.col("__mix_inside") > 0).cast("long")).cast("int")

@@ -166,3 +166,16 @@ def test_vectors(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in kdtree_topk.top_inner_products(df, "key % 50 = 0", k=3).collect())
     assert got == [(0, 1, 1, 131072), (0, 2, 1, 65536), (0, 3, 2, 65536), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
     assert kdtree_topk.top_inner_products(df.limit(0), "key % 50 = 0").collect() == []
+
+
+def test_mix_meets_its_target_where_ids_are_missing_or_shared(spark):
+    words = "one two three four five six seven eight nine ten eleven "
+    rows = [(None, words * (i % 5 + 1), "hot") for i in range(40)] + [(7, words * 3, "hot")] * 9 + [(i, words * 30, "other") for i in range(10, 22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = source_mix.mix_sources(docs).collect()
+    made = source_mix.mixed_documents(docs).collect()
+    for name in ("hot", "other"):
+        target = next(r.target for r in plan if r.source == name)
+        assert sum(len(r.text.split()) for r in made if r.source == name) == round(target) == sum(r.taken for r in plan if r.source == name)
+    slots = source_mix._turn(F.lit(None), F.col("id"), "mix-1")
+    assert spark.range(1000).select(slots.alias("t")).distinct().count() == 1000
