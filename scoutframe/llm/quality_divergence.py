@@ -3,7 +3,8 @@
 A document's histogram of character classes, and its histogram over the most common words of its language with one bin
 for all other words, are compared with the language's own by Jensen-Shannon distance. The references are counted over all documents of the
 language that pass the basic rules. Documents below a least length are never rejected by a distance, since a
-short text's histogram says little (the guard).
+short text's histogram says little (the guard). A document's own words are taken off its reference first. A reference of few words says little too: the limits rise with the
+chance in it, without a step, until no distance exceeds them.
 """
 
 from __future__ import annotations
@@ -51,7 +52,6 @@ class Rules:
     word_chance: tuple[float, float] = (0.11, 2.45)  # fitted on labelled rows: a + b / sqrt(n_words)
     most_word_distance: float = 0.41  # what texts without any common word exceed, in most languages
     common_words: int = 40  # words in a language's word histogram
-    min_reference_words: int = 5000  # no verdict by a distance in languages with fewer words
 
 
 def base_counts(s: Slice, window: int = 8) -> dict[str, np.ndarray]:
@@ -170,23 +170,28 @@ def _reference_rows(rules: Rules):
 
 
 def word_limit(n_words: np.ndarray, rules: Rules) -> np.ndarray:
-    """The largest word distance of a text of so many words that is kept."""
+    """The largest word distance of a text of so many words that is kept, against a reference of endless words."""
     a, b = rules.word_chance
     return np.clip(a + b / np.sqrt(np.maximum(n_words, 1)), rules.max_word_distance, rules.most_word_distance)
 
 
+def reference_chance(n_words: np.ndarray, rules: Rules) -> np.ndarray:
+    """How far a reference of so many words strays from its language by chance: as a text of that length does."""
+    return rules.word_chance[1] / np.sqrt(np.maximum(n_words, 1))
+
+
 _REFERENCE = ("all_words", "words", "classes")
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per language with enough words: all_words, its common words and its character classes, both with counts.
+    """One row per language: all_words, its common words and its character classes, both with counts.
 
     docs has text and lang. All documents that pass the basic rules are counted, in one pass, and added up by Spark;
     each language is counted by itself, however many there are. Rows without a language are not counted.
     """
     counted = docs.mapInArrow(_reference_rows(rules), "lang string, kind byte, key long, n long")
     counted = durable(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    totals = counted.where("kind = 2").where(F.col("n") >= rules.min_reference_words).select("lang", F.col("n").alias("all_words"))
+    totals = counted.where("kind = 2").select("lang", F.col("n").alias("all_words"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
     top = counted.where("kind = 0").withColumn("place", rank).where(f"place <= {rules.common_words}")
     pairs = F.sort_array(F.collect_list(F.struct("key", "n")))
@@ -203,17 +208,25 @@ def _with_reference(docs: DataFrame, lang_column: str, known: DataFrame) -> Data
     return docs.join(known, F.col(f"`{lang_column}`") == F.col("__reference_lang"), "left").drop("__reference_lang")
 
 
-def _shares(reference: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a language: its common words' fingerprints, their shares and then that of all other words, and the shares of the
-    character classes."""
+def _counts(reference: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a language: its common words' fingerprints, their counts and then that of all other words, and the counts of
+    the character classes."""
     keys = np.array([w["key"] for w in reference["words"]], dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
-    weights = np.array([w["n"] for w in reference["words"]], dtype=float)[order]
+    words = np.array([w["n"] for w in reference["words"]], dtype=float)[order]
     by_class = np.zeros(len(CLASS_NAMES))
     for c in reference["classes"]:
         by_class[c["key"]] = c["n"]
-    weights = np.append(weights, reference["all_words"] - weights.sum())
-    return keys[order], weights / max(weights.sum(), 1), by_class / max(by_class.sum(), 1)
+    return keys[order], np.append(words, reference["all_words"] - words.sum()), by_class
+
+
+def _against_others(own: np.ndarray, reference: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each row of counts to the reference less the row itself, where it is counted there, and what is left of
+    the reference; NaN where nothing is left."""
+    others = reference - own * counted[:, None]
+    left = others.sum(axis=1)
+    found = distance(own / np.maximum(own.sum(axis=1, keepdims=True), 1), others / np.maximum(left, 1)[:, None])
+    return np.where(left > 0, found, np.nan), left
 
 
 def _known(batch: pa.RecordBatch, langs: list) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -222,11 +235,11 @@ def _known(batch: pa.RecordBatch, langs: list) -> dict[str, tuple[np.ndarray, np
     for k, lang in enumerate(langs):
         first.setdefault(lang, k)
     found = {lang: batch.column("__reference")[k].as_py() for lang, k in first.items()}
-    return {lang: _shares(r) for lang, r in found.items() if r is not None}
+    return {lang: _counts(r) for lang, r in found.items() if r is not None}
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (root of the divergence in bits, 0 to 1) of each row of p to q."""
+    """Jensen-Shannon distance (root of the divergence in bits, 0 to 1) of each row of p to q or to its row of q."""
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         left = np.where(p > 0, p * np.log2(p / m), 0.0).sum(axis=1)
@@ -246,24 +259,24 @@ def _verdicts(s: Slice, langs: list, known: dict, rules: Rules) -> dict[str, np.
     failed = _failed(out["n_words"], out["n_repeat_words"], rules)
     words, _, _, first = _lowered(s)
     doc, by_class = owners(first), class_counts(s).astype(float)
-    total = np.maximum(by_class.sum(axis=1, keepdims=True), 1)
     class_distance, word_distance = np.full(s.n, np.nan), np.full(s.n, np.nan)  # NaN: no reference, and no verdict by it
+    chance = np.zeros(s.n)
     names = np.array(langs, dtype=object)
     for lang in set(names) & set(known):
-        keys, shares, class_shares = known[lang]
+        keys, common, classes = known[lang]
         chosen = np.flatnonzero(names == lang)
-        class_distance[chosen] = distance((by_class / total)[chosen], class_shares)
         place = np.full(s.n, -1)
         place[chosen] = np.arange(len(chosen))
         own = place[doc] >= 0
         at = np.minimum(np.searchsorted(keys, words[own]), len(keys) - 1)
         hit = keys[at] == words[own]
         counts = np.bincount(place[doc[own][hit]] * len(keys) + at[hit], minlength=len(chosen) * len(keys)).reshape(len(chosen), -1)
-        n_words = out["n_words"][chosen, None]
-        counts = np.hstack([counts, n_words - counts.sum(axis=1, keepdims=True)])
-        word_distance[chosen] = distance(counts / np.maximum(n_words, 1), shares)
+        counts = np.hstack([counts, out["n_words"][chosen, None] - counts.sum(axis=1, keepdims=True)])
+        class_distance[chosen], _ = _against_others(by_class[chosen], classes, ~failed[chosen])
+        word_distance[chosen], left = _against_others(counts, common, ~failed[chosen])
+        chance[chosen] = reference_chance(left, rules)
     guarded = out["n_words"] < rules.guard_words
-    far = (class_distance > rules.max_class_distance) | (word_distance > word_limit(out["n_words"], rules))
+    far = (class_distance > rules.max_class_distance + chance) | (word_distance > word_limit(out["n_words"], rules) + chance)
     return out | {"base_failed": failed, "class_distance": class_distance, "word_distance": word_distance, "kept": ~failed & (guarded | ~far)}
 
 
@@ -304,9 +317,8 @@ def keep_quality(docs: DataFrame, text_column: str = "text", lang_column: str =
 def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """One row per document: its counts, the two distances and the verdict ``kept``.
 
-    Defined results: NULL or empty text has no words and fails the basic rules; where the language is NULL or has fewer
-    than ``min_reference_words`` words in the table, the distances are NULL and the basic rules alone decide; a NULL id
-    stays NULL; repeated rows are judged one by one; an empty table gives no rows; other columns are ignored.
+    Defined results: NULL or empty text has no words and fails the basic rules; where the language is NULL or no other
+    document of it passes the basic rules, the distances are NULL and the basic rules alone decide; a NULL id stays NULL; repeated rows are judged one by one; an empty table gives no rows; other columns are ignored.
     """
     own = narrow(docs, key=id_column, text=text_column, lang=lang_column)
     known = references(own.select("text", "lang"), rules)

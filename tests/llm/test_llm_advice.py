@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -84,3 +87,54 @@ def test_different_texts_under_one_id(spark):
     assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True), (4, 3, False), (4, 3, False), (7, 7, True), (7, 7, True)]
     left = sorted((r.doc_id, r.text) for r in register_dedup.without_near_duplicates(docs).collect())
     assert left == sorted([(0, words(4)), (1, words(1)), (1, words(2)), (3, words(3)), (7, words(5))])
+
+
+def test_quality_fades_with_the_words_of_a_language_without_a_step(spark):
+    rules = quality_divergence.Rules()
+    chance = [quality_divergence.reference_chance(n, rules) for n in (10, 100, 1_000, 4_999, 5_000, 10**9)]
+    assert chance == sorted(chance, reverse=True) and chance[3] - chance[4] < 1e-5 and chance[5] < 1e-3 and chance[0] + rules.max_word_distance > 1
+    rng = random.Random(6)
+    gibberish = " ".join("".join(rng.choices("bcdfgaeiou", k=rng.randint(3, 9))) for _ in range(400))
+    for n in (6, 60, 200):
+        german = _prose("de", n)
+        *kept, bad = [r.kept for r in _judged(spark, [(t, "de") for t in [*german, gibberish]])]
+        assert len(kept) == n and sum(kept) >= 0.95 * n and not bad
+
+
+def _plain_words(text):
+    """Words in lower case without marks at either end, three at most."""
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        for _ in range(3):
+            w = w[:-1] if len(w) > 1 and w[-1] in ".,;:!?-'\"()`" else w
+            w = w[1:] if len(w) > 1 and w[0] in ".,;:!?-'\"()`" else w
+        yield "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+
+
+def _plain_class(byte):
+    c = chr(byte)
+    tests = [c.islower(), c.isupper(), c.isdigit(), c in " \t", c in "\n\r", c in ".,;:!?-", c in "'\"()`", False, byte < 32 or byte == 127]
+    return 9 if byte > 127 else next((i for i, hit in enumerate(tests) if hit), 7)
+
+
+def _plain_distance(own, others):
+    p, q = ({k: n / sum(c.values()) for k, n in c.items() if n} for c in (own, others))
+    total = sum(x * math.log2(x / ((x + other.get(k, 0)) / 2)) for one, other in ((p, q), (q, p)) for k, x in one.items())
+    return math.sqrt(max(total, 0) / 2)
+
+
+def test_quality_distances_against_counting(spark):
+    texts = [*_prose("fr", 25), "Un \x01 mot ¿où? (été) [x] {y} " + "mot " * 3 + "«fin» 'ici' " * 2 + "le la les de du un une et à en " * 2]
+    words, classes = [Counter(_plain_words(t)) for t in texts], [Counter(map(_plain_class, t.encode())) for t in texts]
+    ranked = [n for _, n in sum(words, Counter()).most_common()]
+    places = next(k for k in range(40, 0, -1) if ranked[k - 1] != ranked[k])  # no tie at the edge
+    common = {w for w, _ in sum(words, Counter()).most_common(places)}
+    rules = quality_divergence.Rules(common_words=places)
+    docs = spark.createDataFrame([(i, t, "fr") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_divergence.judge_quality(docs, rules=rules).collect()}
+    inside = [not got[i].base_failed for i in range(len(texts))]
+    binned = [Counter({w: c[w] for w in common}) + Counter({None: sum(n for w, n in c.items() if w not in common)}) for c in words]
+    assert sum(inside) >= 25 and all(inside[:25])
+    for i in range(len(texts)):
+        for found, counts in ((got[i].word_distance, binned), (got[i].class_distance, classes)):
+            others = sum((c for j, c in enumerate(counts) if j != i and inside[j]), Counter())
+            assert found == pytest.approx(_plain_distance(counts[i], others), abs=1e-9)
