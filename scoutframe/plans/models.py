@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
+from ..models import linear as L
 from ..models import prepare as Q
 from ..models import search as H
 from ..models import selection as S
@@ -328,6 +329,142 @@ def m13(spark, d):
     return M.score_targets(rows.drop("label"), paths, KEYS)
 
 
+# --- models as rows: all forty targets in one table of weights ------------------------------
+
+
+def _codes(root, numbers):
+    return [(f"{root}_{D._code(n)}", n) for n in numbers]
+
+
+PLAYER_CODES = {
+    "yards": _codes("passing_yards", D.PASSING_LADDER) + _codes("receiving_yards", D.YARD_LADDER) + _codes("rushing_receiving_yards", D.COMBINED_LADDER),
+    "air": _codes("rushing_yards", D.YARD_LADDER), "count": _codes("receptions", D.RECEPTION_LADDER), "urgent": [("anytime_td_scorer", 1)],
+}
+TEAM_CODES = {"differential": _codes("team_differential", D.SPREAD_LADDER) + [("team_win", 0.5)]}
+KNOWN_BEFORE = ["week", "lag_yards", "avg_yards", "avg_count", "avg_urgent"]
+EVIDENCE = ["position", "phase", "form"]
+
+
+def _targets_of(codes):
+    return F.array(*[F.lit(code) for rungs in codes.values() for code, _ in rungs])
+
+
+def _sides(spark, d):
+    """Players and teams in one shape: what is known before the game, and the measures that become labels."""
+    players = D.panel(spark, d).select(
+        F.concat(F.lit("P"), "entity").alias("label"), "season", "week", "position", "yards", "air", F.col("touches").alias("count"), "urgent",
+        F.lit(None).cast("bigint").alias("differential"),
+    )
+    own = D.teams(spark, d)
+    facing = own.select("season", "week", F.col("team").alias("opponent"), F.col("score").alias("allowed"))
+    sides = own.join(facing, ["season", "week", "opponent"], "left").select(
+        F.concat(F.lit("T"), "team").alias("label"), "season", "week", F.lit("team").alias("position"), "yards", "air", F.col("plays").alias("count"), "urgent",
+        F.when(F.col("team") != F.col("opponent"), F.col("score") - F.col("allowed")).alias("differential"),
+    )
+    earlier = W.prior(["label"], ["season", "week"])
+    before = players.unionByName(sides).select(
+        "*", F.lag("yards").over(W.Window.partitionBy("label").orderBy("season", "week")).alias("lag_yards"),
+        *[F.avg(c).over(earlier).alias(f"avg_{c}") for c in ("yards", "count", "urgent")],
+    )
+    phase = F.expr("CASE WHEN week < 4 THEN 'early' WHEN week < 16 THEN 'mid' WHEN week < 19 THEN 'late' ELSE 'after' END")
+    form = F.expr("CASE WHEN lag_yards >= avg_yards THEN 'above' WHEN lag_yards < avg_yards THEN 'below' END")
+    is_team = F.col("position") == "team"
+    return before.withColumns({
+        "phase": phase, "form": form,
+        "labels": F.when(is_team, L.label_list(TEAM_CODES)).otherwise(L.label_list(PLAYER_CODES)),
+        "targets": F.when(is_team, _targets_of(TEAM_CODES)).otherwise(_targets_of(PLAYER_CODES)),
+    })
+
+
+SIDE_KEYS = ["label", "season", "week"]
+
+
+def _fitted(spark, d):
+    rows = _sides(spark, d)
+    kept = staged(rows.select(*SIDE_KEYS, "position", *[c for c in KNOWN_BEFORE if c not in SIDE_KEYS], "labels", "targets"), "sides")
+    design = L.fit_design(kept, KNOWN_BEFORE, ["position"])
+    rows = staged(kept.select(*SIDE_KEYS, design.vector().alias("features"), "labels", "targets"), "designed")
+    return rows, design, L.fit_targets(rows, design)
+
+
+_SIDES_SQL = (
+    "SELECT *, lag(yards) OVER (PARTITION BY label ORDER BY season, week) AS lag_yards, avg(yards) OVER (PARTITION BY label ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS avg_yards FROM ("
+    "SELECT 'P' || entity AS label, season, week, position, yards, air, touches AS n_count, urgent, NULL::BIGINT AS differential FROM panel UNION ALL "
+    "SELECT 'T' || t.team, t.season, t.week, 'team', t.yards, t.air, t.plays, t.urgent, CASE WHEN t.team <> t.opponent THEN t.score - o.score END FROM teams t LEFT JOIN teams o ON o.season = t.season AND o.week = t.week AND o.team = t.opponent)"
+)
+_TARGETS_SQL = "(VALUES " + ", ".join(
+    f"({str(team).upper()}, '{measure}', '{code}', {float(least)}::DOUBLE)"
+    for team, codes in ((False, PLAYER_CODES), (True, TEAM_CODES)) for measure, rungs in codes.items() for code, least in rungs
+) + ") g(for_team, measure, response_var, least)"
+_VALUE_SQL = "CASE g.measure WHEN 'yards' THEN s.yards WHEN 'air' THEN s.air WHEN 'count' THEN s.n_count WHEN 'urgent' THEN s.urgent ELSE s.differential END"
+_LABELLED_SQL = (
+    f"SELECT s.label, s.season, s.week, s.position, s.lag_yards, s.avg_yards, g.response_var, {_VALUE_SQL} >= g.least AS hit "
+    f"FROM ({_SIDES_SQL}) s JOIN {_TARGETS_SQL} ON (s.position = 'team') = g.for_team"
+)
+
+
+@query(
+    "m12_refit_forty_targets",
+    f"SELECT response_var, count(*) AS n, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) AS expected_hits FROM ({_LABELLED_SQL}) WHERE hit IS NOT NULL "
+    "GROUP BY response_var HAVING count(*) FILTER (WHERE hit) BETWEEN 1 AND count(*) - 1",
+    "panel teams",
+    "expected_hits",
+    digits=3,
+)
+def m12_forty(spark, d):
+    """All targets refitted on all rows: at the optimum the expected successes of a target are those observed."""
+    rows, design, weights = _fitted(spark, d)
+    scored = L.score_rows(rows, weights, design, SIDE_KEYS)
+    seen = rows.select(*SIDE_KEYS, F.explode("labels").alias("l")).select(*SIDE_KEYS, "l.response_var", F.col("l.label").alias("hit"))
+    return scored.join(seen, [*SIDE_KEYS, "response_var"]).groupBy("response_var").agg(
+        F.count("*").alias("n"), F.sum("hit").cast("bigint").alias("hits"), F.sum("model_probability").alias("expected_hits")
+    ).where("hits > 0 AND hits < n")
+
+
+@query("m13_scores_forty_targets")
+def m13_forty(spark, d):
+    rows, design, weights = _fitted(spark, d)
+    return L.score_rows(rows, weights, design, SIDE_KEYS)
+
+
+_LEVELS_SQL = (
+    "SELECT *, CASE WHEN week < 4 THEN 'early' WHEN week < 16 THEN 'mid' WHEN week < 19 THEN 'late' ELSE 'after' END AS phase, "
+    f"CASE WHEN lag_yards >= avg_yards THEN 'above' WHEN lag_yards < avg_yards THEN 'below' ELSE 'missing' END AS form FROM ({_LABELLED_SQL})"
+)
+_EVIDENCE_SQL = (
+    f"r AS MATERIALIZED ({_LEVELS_SQL}), o AS (SELECT response_var, feature, ln((count(*) FILTER (WHERE hit) + 0.5::DOUBLE) / (count(*) FILTER (WHERE NOT hit) + 0.5::DOUBLE)) AS odds FROM ("
+    "SELECT response_var, hit, '(intercept)' AS feature FROM r UNION ALL "
+    + " UNION ALL ".join(f"SELECT response_var, hit, '{c}=' || {c} FROM r" for c in EVIDENCE)
+    + ") WHERE hit IS NOT NULL GROUP BY ALL), "
+    "wt AS MATERIALIZED (SELECT o.response_var, o.feature, CASE WHEN o.feature = '(intercept)' THEN o.odds ELSE o.odds - b.odds END AS weight FROM o JOIN o b ON b.response_var = o.response_var AND b.feature = '(intercept)')"
+)
+
+
+def _evidence(spark, d):
+    rows = staged(_sides(spark, d).select(*SIDE_KEYS, *EVIDENCE, "labels", "targets"), "evidence")
+    return rows, L.evidence_weights(rows, EVIDENCE)
+
+
+@query("m13_evidence_weights", f"WITH {_EVIDENCE_SQL} SELECT * FROM wt", "panel teams", "weight")
+def m13_weights(spark, d):
+    return _evidence(spark, d)[1]
+
+
+@query(
+    "m13_evidence_scores",
+    f"WITH {_EVIDENCE_SQL} SELECT r.label, r.season, r.week, r.response_var, 1 / (1 + exp(-(i.weight + "
+    + " + ".join(f"coalesce({c[:2]}.weight, 0)" for c in EVIDENCE)
+    + "))) AS model_probability FROM r JOIN wt i ON i.response_var = r.response_var AND i.feature = '(intercept)' "
+    + " ".join(f"LEFT JOIN wt {c[:2]} ON {c[:2]}.response_var = r.response_var AND {c[:2]}.feature = '{c}=' || r.{c}" for c in EVIDENCE),
+    "panel teams",
+    "model_probability",
+)
+def m13_evidence(spark, d):
+    rows, weights = _evidence(spark, d)
+    design = L.fit_design(rows, [], EVIDENCE)
+    return L.score_rows(rows.withColumn("features", design.vector()), weights, design, SIDE_KEYS)
+
+
 def _boosted(rows):
     stages = [*Q.feature_stages(NUMERIC, CATEGORICAL, missing=-999.0), GBTClassifier(labelCol="label", seed=1)]
     return Pipeline(stages=stages).fit(rows)
