@@ -125,8 +125,8 @@ def fit_targets(rows: DataFrame, design: Design, ridge: float = 1e-3, rounds: in
     ``rows`` holds ``features`` (``design.vector()``) and ``labels``; write it to storage first, as each Newton round reads
     it once for all targets together.  A weight is penalised by ``ridge`` times the rows times half its square in units of
     the feature's root mean square, the intercept is not; so expected and observed successes agree.  A round that does not
-    lower a target's objective is halved.  A target without a label has no weights; one whose labels are all equal
-    is given the log odds with half a row added to either side as its intercept, and no other weight.
+    lower a target's objective is halved; a target ends when its Newton decrement is below ``close``² times its rows.
+    A target without a label has no weights; one whose labels are all equal is given the log odds with half a row added to either side as its intercept, and no other weight.
     """
     spark, size = rows.sparkSession, len(design.names)
     known = rows.select(F.explode("labels").alias("l")).groupBy("l.response_var").agg(
@@ -171,7 +171,7 @@ def _newton(rows: DataFrame, names: Sequence[str], start: np.ndarray, ridge: flo
             slope = sums[t, 2:2 + size] - penalty[t] * tried[t]
             scale = 1.0 / np.sqrt(np.maximum(np.diag(curve), 1e-300))
             step[t] = scale * np.linalg.lstsq(curve * np.outer(scale, scale), scale * slope, rcond=1e-13)[0]
-            open_[t] = slope @ step[t] > close * max(1.0, abs(objective)) * 1e-3
+            open_[t] = slope @ step[t] > close**2 * sums[t, 0]
             if not open_[t]:
                 step[t] = 0.0
         if not open_.any():

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..operators import aggregates as A
+from ..operators import contributors as K
 from ..operators import features as X
 from ..operators import joins as J
 from ..operators import schema as P
@@ -136,6 +137,83 @@ def d4(spark, d):
     )
 
 
+# family: positions, own measure, side and measure of the group's result; the panel has no defenders, offensive positions stand for them
+_FAMILY_ROWS = {
+    "passing": (("QB",), "yards", "own", "yards"), "rushing": (("RB",), "air", "own", "air"), "receiving": (("WR", "TE"), "yards", "own", "yards"),
+    "pass_rushers": (("RB", "TE"), "urgent", "own", "urgent"), "rush_tackles": (("RB", "WR", "TE"), "touches", "other", "air"),
+    "secondary": (("QB", "WR"), "touches", "other", "yards"),
+}
+_MEASURES = ("yards", "air", "touches", "urgent")
+
+
+def family_rows(spark, d):
+    """Long rows of all families: one per family, player and week."""
+    rows = D.panel(spark, d)
+    totals = rows.groupBy("season", "week", "team").agg(*[F.sum(c).alias(f"all_{c}") for c in _MEASURES])
+    sides = D.teams(spark, d).select("season", "week", "team", "yards", "air", "urgent")
+    own = sides.select("season", "week", "team", F.struct("yards", "air", "urgent").alias("own"))
+    other = sides.select("season", "week", F.col("team").alias("opponent"), F.struct("yards", "air", "urgent").alias("other"))
+    full = rows.join(totals, ["season", "week", "team"]).join(own, ["season", "week", "team"], "left").join(other, ["season", "week", "opponent"], "left")
+    each = F.array(*[
+        F.struct(
+            F.lit(name).alias("family"), F.col("position").isin(*positions).alias("member"), F.col(own_measure).cast("double").alias("metric"),
+            F.col(f"{side}.{measure}").cast("double").alias("group_metric"), F.try_divide(own_measure, f"all_{own_measure}").alias("part"),
+        )
+        for name, (positions, own_measure, side, measure) in _FAMILY_ROWS.items()
+    ])
+    long = full.select("entity", "season", "week", "team", F.explode(F.filter(each, lambda f: f["member"])).alias("f")).select("entity", "season", "week", "team", "f.*")
+    return long.withColumn("share", F.avg("part").over(W.prior(["family", "entity", "season"], ["week"]))).drop("member", "part")
+
+
+def _family_sql() -> str:
+    totals = ", ".join(f"sum({c}) OVER (PARTITION BY season, week, team) AS all_{c}" for c in _MEASURES)
+    parts = " UNION ALL ".join(
+        f"SELECT '{name}' AS family, p.entity, p.season, p.week, p.team, CAST(p.{own} AS DOUBLE) AS m, CAST({side}.{measure} AS DOUBLE) AS x, p.{own} / CAST(nullif(p.all_{own}, 0) AS DOUBLE) AS part FROM (SELECT *, {totals} FROM panel) p "
+        "LEFT JOIN teams own ON own.season = p.season AND own.week = p.week AND own.team = p.team LEFT JOIN teams other ON other.season = p.season AND other.week = p.week AND other.team = p.opponent "
+        f"WHERE p.position IN ({', '.join(repr(q) for q in positions)})"
+        for name, (positions, own, side, measure) in _FAMILY_ROWS.items()
+    )
+    before = "OVER (PARTITION BY family, entity, season ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    less = ", ".join(repr(f.name) for f in K.FAMILIES if f.side == "less")
+    z = "(u - n1 * n2 / 2.0::DOUBLE - CASE WHEN less THEN -0.5 ELSE 0.5 END) / nullif(sqrt(n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0)"
+    limits = ", ".join(f"('{f.name}', {f.alpha}::DOUBLE, {'NULL' if f.min_share is None else f.min_share}::DOUBLE)" for f in K.FAMILIES)
+    verdict = "CASE WHEN three IS NULL THEN FALSE WHEN three < q66 THEN FALSE WHEN p_play > alpha THEN FALSE WHEN p_move < alpha THEN FALSE WHEN share < least THEN FALSE WHEN p_play IS NULL AND three < q80 THEN FALSE ELSE TRUE END"
+    flags = ", ".join(f"coalesce(bool_or(verdict) FILTER (WHERE family = '{f.name}'), FALSE) AS {f.name}" for f in K.FAMILIES)
+    return (
+        f"WITH RECURSIVE {_EXACT}, f AS MATERIALIZED (SELECT *, season * 53 + week AS t, avg(m) {before} AS now, avg(part) {before} AS share, row_number() OVER (PARTITION BY family, entity, season ORDER BY week) - 1 AS games, family IN ({less}) AS less FROM ({parts})), "
+        "y AS (SELECT family, entity, season, avg(m) AS m, count(*) AS g FROM f GROUP BY ALL), "
+        "h3 AS (SELECT f.*, CASE WHEN l.g > 0 AND b.g > 0 THEN (CASE WHEN games > 0 THEN now * games ELSE 0 END + l.m * l.g + b.m * b.g) / (games + l.g + b.g) END AS raw FROM f "
+        "LEFT JOIN y l ON l.family = f.family AND l.entity = f.entity AND l.season = f.season - 1 LEFT JOIN y b ON b.family = f.family AND b.entity = f.entity AND b.season = f.season - 2), "
+        "three AS MATERIALIZED (SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY family, entity, season ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS three FROM h3), "
+        # with and without the entity; the results without are the first side
+        "h AS MATERIALIZED (SELECT i.family, i.entity, i.t, i.less, j.x, j.now IS NULL AS a FROM f i JOIN f j ON j.family = i.family AND j.entity = i.entity AND j.t < i.t WHERE i.x IS NOT NULL AND j.x IS NOT NULL), "
+        "n AS (SELECT family, entity, t, any_value(less) AS less, count(*) FILTER (WHERE a) AS n1, count(*) FILTER (WHERE NOT a) AS n2 FROM h GROUP BY family, entity, t), "
+        "u AS (SELECT p.family, p.entity, p.t, sum(CASE WHEN p.x > q.x THEN 1.0::DOUBLE WHEN p.x = q.x THEN 0.5 ELSE 0 END) AS u FROM h p JOIN h q ON p.family = q.family AND p.entity = q.entity AND p.t = q.t AND p.a AND NOT q.a GROUP BY ALL), "
+        "ti AS (SELECT family, entity, t, CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT family, entity, t, x, count(*) AS c FROM h GROUP BY ALL) GROUP BY ALL), "
+        f"s AS (SELECT family, entity, t, less, n1, n2, u, ties, {z} AS z FROM n JOIN u USING (family, entity, t) JOIN ti USING (family, entity, t) WHERE n1 > 1 AND n2 > 1), "
+        f"pp AS (SELECT family, entity, s.t, round(coalesce(tail.p, CASE WHEN less THEN 1 - {_tail_sql('z')} ELSE {_tail_sql('z')} END), 12) AS p_play FROM s "
+        "LEFT JOIN tail ON tail.n1 = s.n1 AND tail.n2 = s.n2 AND tail.u = CASE WHEN less THEN s.n1 * s.n2 - s.u ELSE s.u END AND s.ties = 0), "
+        # every pair of earlier teams, in the order in which they were met
+        "g AS MATERIALIZED (SELECT i.family, i.entity, i.t, j.t AS tj, j.m AS x, j.team AS k FROM f i JOIN f j ON j.family = i.family AND j.entity = i.entity AND j.t < i.t WHERE i.m IS NOT NULL AND j.m IS NOT NULL), "
+        "gs AS (SELECT family, entity, t, k, min(tj) AS seen, count(*) AS n FROM g GROUP BY ALL), "
+        "pr AS (SELECT c.family, c.entity, c.t, c.k AS ka, e.k AS kb, c.n AS n1, e.n AS n2 FROM gs c JOIN gs e ON c.family = e.family AND c.entity = e.entity AND c.t = e.t AND c.seen < e.seen WHERE c.n > 1 AND e.n > 1), "
+        "gu AS (SELECT pr.family, pr.entity, pr.t, ka, kb, any_value(n1) AS n1, any_value(n2) AS n2, sum(CASE WHEN c.x > e.x THEN 1.0::DOUBLE WHEN c.x = e.x THEN 0.5 ELSE 0 END) AS u FROM pr "
+        "JOIN g c ON c.family = pr.family AND c.entity = pr.entity AND c.t = pr.t AND c.k = ka JOIN g e ON e.family = pr.family AND e.entity = pr.entity AND e.t = pr.t AND e.k = kb GROUP BY pr.family, pr.entity, pr.t, ka, kb), "
+        "gt AS (SELECT family, entity, t, ka, kb, CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT pr.family, pr.entity, pr.t, ka, kb, g.x, count(*) AS c FROM pr JOIN g ON g.family = pr.family AND g.entity = pr.entity AND g.t = pr.t AND (g.k = ka OR g.k = kb) GROUP BY ALL) GROUP BY ALL), "
+        f"gz AS (SELECT family, entity, t, n1, n2, u, ties, {z} AS z FROM (SELECT *, FALSE AS less FROM gu JOIN gt USING (family, entity, t, ka, kb))), "
+        f"mv AS (SELECT family, entity, gz.t, round(min(coalesce(tail.p, {_tail_sql('z')})), 12) AS p_move FROM gz LEFT JOIN tail ON tail.n1 = gz.n1 AND tail.n2 = gz.n2 AND tail.u = gz.u AND gz.ties = 0 WHERE z IS NOT NULL GROUP BY family, entity, gz.t), "
+        "q AS (SELECT family, quantile_cont(three, 0.66) AS q66, quantile_cont(three, 0.8) AS q80 FROM three GROUP BY family), "
+        f"v AS (SELECT family, three.entity, season, week, team, {verdict.replace('share <', 'round(share, 12) <')} AS verdict FROM three JOIN q USING (family) JOIN (VALUES {limits}) l(family, alpha, least) USING (family) "
+        "LEFT JOIN pp USING (family, entity, t) LEFT JOIN mv USING (family, entity, t) WHERE season >= (SELECT min(season) + 2 FROM panel)) "
+        f"SELECT entity, season, week, team, {flags} FROM v GROUP BY entity, season, week, team"
+    )
+
+
+@query("d4_contributor_families", _family_sql(), "panel teams")
+def d4_families(spark, d):
+    return K.contributor_verdicts(family_rows(spark, d))
+
+
 _INJ_SQL = (
     "SELECT entity, season, week, illness, personal AS out_not_injury_related, less_practice, coalesce(status = 'Out' OR inactive, FALSE) AS out FROM ("
     "SELECT entity, season, week, injury LIKE '%illness%' AS illness, injury LIKE '%personal%' AS personal, practice <> 'Full Participation in Practice' AS less_practice, status FROM ("
