@@ -125,6 +125,11 @@ def pair_key(a: Column | str, b: Column | str, sep: str = "-") -> Column:
     return F.concat_ws(sep, F.least(x, y), F.greatest(x, y))
 
 
+def is_press_conference(title: Column | str) -> Column:
+    """A title with ``press``, or with both ``address`` and ``media``; upper and lower case are alike."""
+    return mentions(title, "press") | (mentions(title, "address") & mentions(title, "media"))
+
+
 # --- calendar -------------------------------------------------------------------------------
 
 

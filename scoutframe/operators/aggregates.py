@@ -46,6 +46,17 @@ def ordered_text(order: Sequence[str], text: str, sep: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r["t"]), sep)
 
 
+def conference_text(df: DataFrame, keys: Keys, title: str, parts: Keys, order: Keys) -> DataFrame:
+    """One text per key of the posts whose title names a press conference, in order.
+
+    A post is its title and ``parts`` joined by a blank, unknown ones left out; posts are set apart by an empty line. A key's
+    posts become one value: a team's week has a few.  Use ``text_segments`` where a key may hold any number.
+    """
+    posts = df.where(C.is_press_conference(title)).withColumn("_post", F.concat_ws(" ", title, *parts))
+    coach = F.bool_or(C.mentions(title, "coach")).alias("has_coach")
+    return posts.groupBy(*keys).agg(ordered_text(order, "_post", "\n\n").alias("conference_text"), coach, F.count("*").alias("n_posts"))
+
+
 def text_segments(df: DataFrame, keys: Keys, order: str, text: str, size: int, sep: str = "\n") -> DataFrame:
     """Ordered texts of a group in segments of ``size`` positions.
 

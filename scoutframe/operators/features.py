@@ -227,6 +227,13 @@ def leader_workload(panel: DataFrame, leader: str, season: str, order: Keys, mea
     return panel.select("*", F.when(led > led_now, mean).alias("leader_workload"))
 
 
+def first_known(choices: Mapping[str, Column | str]) -> tuple[Column, Column]:
+    """The first known of several estimates, and the name of the one that was taken (NULL where none is known)."""
+    cols = {name: F.col(c) if isinstance(c, str) else c for name, c in choices.items()}
+    taken = F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for name, c in cols.items()])
+    return F.coalesce(*cols.values()), taken
+
+
 def volume_class(volume: Column, thresholds: tuple[float | None, float | None]) -> Column:
     """High, Medium or Low; an unknown volume counts as Low."""
     medium, high = (F.lit(t).cast("double") for t in thresholds)

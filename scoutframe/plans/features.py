@@ -296,6 +296,36 @@ def d7(spark, d):
     return volume.select("leader", "season", "week", "leader_workload", "volume", X.volume_class(F.col("volume"), (medium, high)).alias("volume_class"))
 
 
+_PASSER_SQL = "SELECT entity, team % 7 AS leader, season, week, touches, avg(touches) OVER (PARTITION BY entity, season ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own FROM panel WHERE position = 'QB'"
+
+
+@query(
+    "d7_passing_volume",
+    f"WITH p AS MATERIALIZED ({_PASSER_SQL}), q AS (SELECT quantile_cont(own, 0.33) AS q33, quantile_cont(own, 0.66) AS q66 FROM p), "
+    "s AS (SELECT leader, season, week, arg_max(own, (touches, -entity)) AS own FROM (SELECT leader, season, week, touches, entity, struct_pack(own := own) AS own FROM p) GROUP BY ALL), "
+    "l AS MATERIALIZED (SELECT team % 7 AS leader, season, week, CAST(sum(plays) AS DOUBLE) AS plays FROM teams GROUP BY ALL), y AS (SELECT leader, season, avg(plays) AS m FROM l GROUP BY ALL), "
+    "w AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY leader ORDER BY season, week) > row_number() OVER (PARTITION BY leader, season ORDER BY week) THEN avg(plays) OVER (PARTITION BY leader ORDER BY season, week ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) END AS led FROM l), "
+    "v AS (SELECT w.leader, w.season, w.week, s.own.own AS own, w.led, y.m FROM w LEFT JOIN s ON s.leader = w.leader AND s.season = w.season AND s.week = w.week LEFT JOIN y ON y.leader = w.leader AND y.season = w.season - 1) "
+    "SELECT leader, season, week, coalesce(own, led, m) AS volume, CASE WHEN own IS NOT NULL THEN 'passer' WHEN led IS NOT NULL THEN 'leader' WHEN m IS NOT NULL THEN 'last season' END AS volume_from, "
+    "CASE WHEN coalesce(own, led, m) > q66 THEN 'High' WHEN coalesce(own, led, m) > q33 THEN 'Medium' ELSE 'Low' END AS volume_class FROM v, q",
+    "panel teams",
+    "volume",
+)
+def d7_passing(spark, d):
+    """Volume from the passer's own mean, else the leader's earlier games, else last season's mean."""
+    passers = D.panel(spark, d).where("position = 'QB'").select(
+        "entity", (F.col("team") % 7).alias("leader"), "season", "week", "touches", F.avg("touches").over(W.prior(["entity", "season"], ["week"])).alias("own")
+    )
+    passers = staged(passers, "passers")
+    medium, high = exact_percentiles(passers, ["own"], [0.33, 0.66])["own"]
+    starters = passers.groupBy("leader", "season", "week").agg(F.max_by(F.struct("own"), F.struct("touches", -F.col("entity"))).alias("s"))
+    led = D.teams(spark, d).groupBy((F.col("team") % 7).alias("leader"), "season", "week").agg(F.sum("plays").cast("double").alias("plays"))
+    last = led.groupBy("leader", (F.col("season") + 1).alias("season")).agg(F.avg("plays").alias("last_season"))
+    full = X.leader_workload(led, "leader", "season", CAREER, "plays").join(last, ["leader", "season"], "left").join(starters, ["leader", "season", "week"], "left")
+    volume, taken = X.first_known({"passer": F.col("s.own"), "leader": "leader_workload", "last season": "last_season"})
+    return full.select("leader", "season", "week", volume.alias("volume"), taken.alias("volume_from"), X.volume_class(volume, (medium, high)).alias("volume_class"))
+
+
 @query(
     "d8_stakes_flags",
     "SELECT doc_id, entity, bool_or(contains(line, entity) AND contains(lower(line), 'and')) AS could_clinch, bool_or(contains(line, entity) AND contains(lower(line), 'er')) AS could_be_eliminated, count(*) AS scenarios FROM ("
@@ -540,3 +570,31 @@ def d19(spark, d):
     placed = J.within_interval(dated, week_bounds(spark, d), ["team", "season"], "posted", "week_start", "week_end", "week")
     out = A.text_segments(placed, ["season", "week", "team"], "doc_id", "text", 10000)
     return out.select("season", "week", "team", "segment", F.md5("joined_text").alias("text_hash"), "n_texts")
+
+
+# the documents have no titles; one of four kinds by id stands for them
+_TITLE = (
+    "CASE doc_id % 4 WHEN 0 THEN 'Head Coach Press Conference' WHEN 1 THEN 'Players ADDRESS the Media' "
+    "WHEN 2 THEN 'Coach on the draft' ELSE 'Players address fans' END"
+)
+
+
+@query(
+    "d19_press_conferences",
+    "WITH b AS (SELECT team, season, week, week_end, coalesce(lag(week_end) OVER (PARTITION BY team, season ORDER BY week) + INTERVAL 1 SECOND, make_timestamp(season, 1, 1, 0, 0, 0)) AS week_start FROM ("
+    "SELECT CAST(c_nationkey AS BIGINT) AS team, CAST(year(o_orderdate) AS BIGINT) AS season, CAST((dayofyear(o_orderdate) - 1) // 7 + 1 AS BIGINT) AS week, max(o_orderdate) AS week_end FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)), "
+    f"t AS (SELECT doc_id, text, lang, doc_id % 25 AS team, TIMESTAMP '1997-01-01' + INTERVAL 1 DAY * ((doc_id * 37) % 1500) AS posted, {_TITLE} AS title FROM documents), "
+    "s AS (SELECT *, CAST(CASE WHEN month(posted) < 3 THEN year(posted) - 1 ELSE year(posted) END AS BIGINT) AS season FROM t), "
+    "w AS (SELECT s.*, coalesce(b.week, 0) AS week FROM s LEFT JOIN b ON b.team = s.team AND b.season = s.season AND s.posted BETWEEN b.week_start AND b.week_end), "
+    "c AS (SELECT *, CASE WHEN week = 0 AND month(posted) < 3 THEN season + 1 ELSE season END AS told FROM w WHERE contains(lower(title), 'press') OR (contains(lower(title), 'address') AND contains(lower(title), 'media'))) "
+    "SELECT told AS season, week, team, md5(string_agg(concat_ws(' ', title, lang, text), chr(10) || chr(10) ORDER BY posted, doc_id)) AS text_hash, bool_or(contains(lower(title), 'coach')) AS has_coach, count(*) AS n_posts FROM c GROUP BY ALL",
+)
+def d19_press(spark, d):
+    posted = D.table(spark, d, "documents").select(
+        "doc_id", "text", "lang", (F.col("doc_id") % 25).alias("team"), F.expr(_TITLE).alias("title"),
+        F.expr("CAST(date_add(DATE '1997-01-01', CAST((doc_id * 37) % 1500 AS int)) AS timestamp_ntz)").alias("posted"),
+    )
+    placed = J.within_interval(posted.withColumn("season", C.season_of("posted")), week_bounds(spark, d), ["team", "season"], "posted", "week_start", "week_end", "week")
+    told = placed.withColumn("season", C.posted_season("posted", "week"))
+    out = A.conference_text(told, ["season", "week", "team"], "title", ["lang", "text"], ["posted", "doc_id"])
+    return out.select("season", "week", "team", F.md5("conference_text").alias("text_hash"), "has_coach", "n_posts")

@@ -103,6 +103,19 @@ def m4(spark, d):
     return Q.one_hot(Q.apply_scaling(rows, scaling, ["entity", "season", "week", "position"]), "position", ["QB", "RB"])
 
 
+@query(
+    "m4_missing_levels",
+    "SELECT entity, season, week, " + ", ".join(f"CAST(level = '{v}' AS INT)::DOUBLE AS level_{v}" for v in ("QB", "RB", "missing"))
+    + " FROM (SELECT entity, season, week, CASE WHEN air IS NULL THEN 'missing' ELSE position END AS level FROM panel)",
+    "panel",
+    "level_QB level_RB level_missing",
+)
+def m4_missing(spark, d):
+    """A missing level has a column of its own; levels outside the list have zeros only."""
+    rows = D.panel(spark, d).select("entity", "season", "week", F.when(F.col("air").isNotNull(), F.col("position")).alias("level"))
+    return Q.one_hot(Q.named_missing(rows, ["level"]), "level", ["QB", "RB", Q.MISSING])
+
+
 @query(
     "m5_rare_levels",
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN n >= 60 THEN level END AS level FROM (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey % 997 AS VARCHAR) AS level FROM lineitem))",
@@ -282,6 +295,16 @@ def m12_conflicts(spark, d):
     return M.conflicting_choices(scores(spark, d).where("p > 0.97"))
 
 
+@query(
+    "m12_conflicting_choices_all",
+    f"SELECT response_var, count(*) AS choices FROM (SELECT DISTINCT response_var, model_type, extra_calibration FROM ({SCORES_SQL})) GROUP BY response_var HAVING count(*) > 1",
+    "bets",
+)
+def m12_conflicts_all(spark, d):
+    """As above, over the whole range of scores."""
+    return M.conflicting_choices(scores(spark, d))
+
+
 # The reference's thresholds, each on the panel's measure that stands for it; spreads and the two
 # single targets have none there
 FAMILIES = {
