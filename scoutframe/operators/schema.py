@@ -111,15 +111,17 @@ def align_schema(df: DataFrame, schema: T.StructType, levels: Mapping[str, Seque
 def informative_columns(df: DataFrame, cols: Sequence[str], missing_threshold: float) -> DataFrame:
     """One verdict row per column: drop, zero_one, low_median or keep.
 
-    Column counts are small; the medians come from counting passes, not from a sort.
+    Columns become rows first, so the plan after that is the same for
+    ten columns and for thousands; the medians come from counting passes over those rows, not from a sort.
     """
-    from .quantiles import exact_percentiles
+    from ..sources.tables import staged
+    from .quantiles import keyed_percentiles
 
-    medians = exact_percentiles(df, cols, [0.5])
-    # distinct values are counted on a stacked two-column form, partially in each task
-    stacked = df.select(
+    stacked = staged(df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")
-    ).select("s.name", "s.v")
+    ).select("s.name", "s.v"), "stacked")
+    medians = keyed_percentiles(stacked, [0.5], key="name").select("name", F.col("edges")[0].alias("_middle"))
+    # distinct values are counted partially in each task
     per_value = stacked.groupBy("name", "v").agg(F.count("*").alias("k"))
     found = per_value.groupBy("name").agg(
         F.sum("k").alias("rows"),
@@ -128,7 +130,7 @@ def informative_columns(df: DataFrame, cols: Sequence[str], missing_threshold: f
         F.coalesce(F.bool_and(F.when(F.col("v").isNotNull(), F.col("v").isin(0.0, 1.0))), F.lit(False)).alias("zero_one"),
         F.try_divide(F.sum(F.col("v") * F.col("k")), F.sum(F.when(F.col("v").isNotNull(), F.col("k")))).alias("mean"),
     )
-    middle = F.coalesce(*[F.when(F.col("name") == c, F.lit(medians[c][0]).cast("double")) for c in cols])
+    middle = F.col("_middle")
     usable = (F.col("present") / F.col("rows") > 1 - missing_threshold) & (F.col("distinct_values") > 1)
     verdict = (
         F.when(~usable, "drop")
@@ -136,4 +138,4 @@ def informative_columns(df: DataFrame, cols: Sequence[str], missing_threshold: f
         .when((middle == 0) & (F.col("mean") < 1) & (F.col("distinct_values") < 10), "low_median")
         .otherwise("keep")
     )
-    return found.select("name", "rows", "present", "distinct_values", "mean", middle.alias("median"), verdict.alias("verdict"))
+    return found.join(medians, "name", "left").select("name", "rows", "present", "distinct_values", "mean", middle.alias("median"), verdict.alias("verdict"))
