@@ -82,6 +82,47 @@ def detail_cards(team_rows: DataFrame, values: str) -> DataFrame:
     return facts.join(averages, ["season", "team"], "left").join(ranks, ["season", "opponent"], "left")
 
 
+VENUES = ("home", "away", "neutral")
+
+
+def venue_win_rates(team_rows: DataFrame) -> DataFrame:
+    """Share of games won at home, away and on neutral ground, this season before the game and last season.
+
+    ``team_rows`` has one row per team and game: season, week, team, opponent, team_score, opponent_score and venue. A rate
+    without a game is NULL; a game without both scores is no game yet.
+    """
+    won = (F.col("team_score") > F.col("opponent_score")).cast("double")
+    form = prior(["team", "season"], ["week"])
+    now = [F.avg(F.when(F.col("venue") == v, won)).over(form).alias(f"season_{v}_win_rate") for v in VENUES]
+    past = [F.avg(F.when(F.col("venue") == v, won)).alias(f"last_season_{v}_win_rate") for v in VENUES]
+    last = team_rows.groupBy((F.col("season") + 1).alias("season"), "team").agg(*past)
+    return team_rows.select("season", "week", "team", "opponent", "venue", *now).join(last, ["season", "team"], "left")
+
+
+def player_cards(rows: DataFrame, value: str) -> DataFrame:
+    """Facts about each player's game known before it: form, history against the opponent, and what the opponent allows.
+
+    ``rows`` has one row per player and game: entity, position, season, week, opponent and ``value``, a whole number or NULL.
+    Ranks are per season and position over the opponents' totals, least allowed first, so those windows are as small as the
+    league. The last meeting is the last game against the opponent with a known value.
+    """
+    order = ["season", "week"]
+    met, season, recent = prior(["entity", "opponent"], order), prior(["entity", "season"], ["week"]), prior(["entity"], order, 3)
+    told = F.concat(F.col("season"), F.lit(" W"), F.col("week"), F.lit(": "), F.col(value).cast("bigint"))
+    facts = rows.select(
+        "entity", "position", "season", "week", "opponent", F.count(value).over(met).alias("games_against"), F.avg(value).over(met).alias("avg_against"),
+        F.last(told, ignorenulls=True).over(met).alias("last_against"), F.avg(value).over(season).alias("season_avg"),
+        F.max(value).over(season).alias("season_best"),
+        F.concat_ws(", ", F.transform(F.collect_list(value).over(recent), lambda v: v.cast("bigint").cast("string"))).alias("last3_values"),
+    )
+    after = (F.col("season") + 1).alias("season")
+    own = rows.groupBy(after, "entity").agg(F.avg(value).alias("last_season_avg"), F.count(value).alias("last_season_games"))
+    allowed = rows.groupBy(after, "position", "opponent").agg(F.sum(value).alias("_allowed"))
+    rank = F.rank().over(Window.partitionBy("season", "position").orderBy("_allowed"))
+    ranks = allowed.where("_allowed IS NOT NULL").select("season", "position", "opponent", rank.alias("opponent_rank"))
+    return facts.join(own, ["season", "entity"], "left").join(ranks, ["season", "position", "opponent"], "left")
+
+
 def upcoming_board(schedule: DataFrame, spreads: DataFrame, wins: DataFrame, names: DataFrame, after: Column) -> DataFrame:
     """Future games with both names, both win probabilities and the spread."""
     future = schedule.where(after)

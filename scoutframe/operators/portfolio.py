@@ -109,6 +109,22 @@ def pair_covariance(bets: DataFrame, coefs: DataFrame, keys: Sequence[str], x: s
     return parts.where("n_pairs > 0").withColumn("n_pairs", F.col("n_pairs").cast("bigint"))
 
 
+def tilted_weights(bets: DataFrame, keys: Sequence[str], tilts: Sequence[float], portfolio: str = "portfolio_id") -> DataFrame:
+    """One portfolio per tilt over every bet of worth: weight in proportion to value over risk to the power of the tilt.
+
+    Tilt 0 looks at value only, larger ones shun risk. Bets without a positive value or risk have no weight; the weights
+    of a portfolio add up to 1. Totals are aggregated and joined back, so a week may hold any number of bets.
+    """
+    each = bets.where("ev > 0 AND risk_score > 0").withColumn(
+        "_t", F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(float(t)).alias("tilt")) for i, t in enumerate(tilts)]))
+    )
+    score = each.select("*", F.col("_t.id").alias(portfolio), F.col("_t.tilt").alias("tilt")).drop("_t").withColumn(
+        "_score", F.col("ev") / F.pow("risk_score", "tilt")
+    )
+    totals = score.groupBy(*keys, portfolio).agg(F.sum("_score").alias("_total"))
+    return score.join(totals, [*keys, portfolio]).withColumn("weight", F.col("_score") / F.col("_total")).drop("_score", "_total")
+
+
 def portfolio_metrics(weighted: DataFrame, coefs: DataFrame, portfolio: Sequence[str]) -> DataFrame:
     """Mean, variance, deviation and Sharpe ratio of given weights."""
     x = weighted.withColumn("_x", F.col("weight") * F.sqrt("risk_score"))

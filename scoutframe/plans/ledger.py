@@ -115,6 +115,44 @@ def b21(spark, d):
     return L.detail_cards(staged(rows, "team-rows"), "yards")
 
 
+_NEUTRAL = "(team + opponent + week) % 10 = 0"  # the games have no such mark; a rule stands for it
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _rate_sql(venue: str) -> str:
+    return f"avg(CASE WHEN venue = '{venue}' THEN CAST(team_score > opponent_score AS INT)::DOUBLE END)"
+
+
+@query(
+    "b21_venue_win_rates",
+    f"WITH r AS MATERIALIZED (SELECT season, week, team, opponent, team_score, opponent_score, CASE WHEN {_NEUTRAL} THEN 'neutral' ELSE venue END AS venue FROM ({TEAM_ROWS_SQL})), "
+    f"f AS (SELECT season, week, team, opponent, venue, {', '.join(f'{_rate_sql(v)} OVER s AS season_{v}_win_rate' for v in L.VENUES)} FROM r WINDOW s AS (PARTITION BY team, season ORDER BY week {_BEFORE})) "
+    f"SELECT f.*, {', '.join(f'last_season_{v}_win_rate' for v in L.VENUES)} FROM f LEFT JOIN (SELECT season + 1 AS season, team, {', '.join(f'{_rate_sql(v)} AS last_season_{v}_win_rate' for v in L.VENUES)} FROM r GROUP BY season, team) p "
+    "ON p.team = f.team AND p.season = f.season",
+    "games",
+    " ".join(f"season_{v}_win_rate last_season_{v}_win_rate" for v in L.VENUES),
+    digits=9,
+)
+def b21_venues(spark, d):
+    rows = P.team_rows(D.games(spark, d)).withColumn("venue", F.when(F.expr(_NEUTRAL), "neutral").otherwise(F.col("venue")))
+    return L.venue_win_rates(staged(rows.select("season", "week", "team", "opponent", "team_score", "opponent_score", "venue"), "venues"))
+
+
+@query(
+    "b21_player_cards",
+    f"WITH f AS (SELECT entity, position, season, week, opponent, count(air) OVER m AS games_against, avg(air) OVER m AS avg_against, last_value(CASE WHEN air IS NOT NULL THEN season || ' W' || week || ': ' || CAST(air AS BIGINT) END IGNORE NULLS) OVER m AS last_against, "
+    "avg(air) OVER s AS season_avg, max(air) OVER s AS season_best, coalesce(array_to_string(list_transform(list_filter(array_agg(air) OVER l, lambda v: v IS NOT NULL), lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ', '), '') AS last3_values FROM panel "
+    f"WINDOW m AS (PARTITION BY entity, opponent ORDER BY season, week {_BEFORE}), s AS (PARTITION BY entity, season ORDER BY week {_BEFORE}), l AS (PARTITION BY entity ORDER BY season, week ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) "
+    "SELECT f.*, last_season_avg, last_season_games, opponent_rank FROM f LEFT JOIN (SELECT season + 1 AS season, entity, avg(air) AS last_season_avg, count(air) AS last_season_games FROM panel GROUP BY season, entity) o ON o.entity = f.entity AND o.season = f.season "
+    "LEFT JOIN (SELECT season + 1 AS season, position, opponent, rank() OVER (PARTITION BY season, position ORDER BY sum(air)) AS opponent_rank FROM panel GROUP BY season, position, opponent HAVING sum(air) IS NOT NULL) k ON k.season = f.season AND k.position = f.position AND k.opponent = f.opponent",
+    "panel",
+    "avg_against season_avg season_best last_season_avg",
+)
+def b21_players(spark, d):
+    rows = D.panel(spark, d).select("entity", "position", "season", "week", "opponent", "air")
+    return L.player_cards(staged(rows, "players"), "air")
+
+
 @query(
     "b23_upcoming_board",
     "WITH w AS (SELECT season, week, team, max(p) AS p FROM bets WHERE response_var = 'team_win' GROUP BY ALL), s AS (SELECT season, week, team, min(CAST(replace(replace(response_var, 'team_differential_', ''), 'minus', '-') AS DOUBLE)) AS spread FROM bets WHERE response_var LIKE 'team_differential%' GROUP BY ALL) "

@@ -8,6 +8,7 @@ from ..functions import scalars as C
 from ..operators import portfolio as R
 from ..operators import value as V
 from ..operators import windows as W
+from ..sources.tables import staged
 from . import domain as D
 from .aggregates import PAIR_SQL, correlations
 from .registry import query
@@ -43,8 +44,6 @@ def pool(spark, d):
 
 def coefs(spark, d):
     """The coefficient table; cut off from its long plan because several joins read it."""
-    from ..sources.tables import staged
-
     return staged(R.coefficients(correlations(spark, d)), "coefficients")
 
 
@@ -136,8 +135,6 @@ def b11(spark, d):
     "portfolio_mu portfolio_sd",
 )
 def b12(spark, d):
-    from ..sources.tables import staged
-
     metrics = staged(b11(spark, d), "metrics").withColumns({
         "portfolio_mu": F.round("portfolio_mu", 9), "portfolio_sharpe": F.round("portfolio_sharpe", 9)
     })
@@ -158,6 +155,47 @@ def b13(spark, d):
     return staked.select("season", "week", "portfolio_id", "bet_id", "weight", "bet_amount")
 
 
+# --- the same three steps over every bet of a week -------------------------------------------
+
+TILTS = [0.0, 0.25, 0.5, 0.75, 1.0]
+_TILTED_SQL = (
+    "SELECT *, score / sum(score) OVER (PARTITION BY season, week, portfolio_id) AS weight FROM (SELECT pl.*, portfolio_id, ev / pow(risk_score, tilt) AS score "
+    f"FROM ({POOL_SQL}) pl, (VALUES {', '.join(f'({i}, {t}::DOUBLE)' for i, t in enumerate(TILTS))}) t(portfolio_id, tilt) WHERE ev > 0 AND risk_score > 0)"
+)
+_ALL_METRICS_SQL = _METRICS_SQL.replace(_WEIGHTS_SQL, _TILTED_SQL)
+
+
+def tilted(spark, d):
+    return staged(R.tilted_weights(pool(spark, d), WEEK, TILTS), "tilted")
+
+
+@query("b11_metrics_of_all_bets", _ALL_METRICS_SQL, "panel teams bets", "portfolio_mu portfolio_var portfolio_sd portfolio_sharpe")
+def b11_all(spark, d):
+    return R.portfolio_metrics(tilted(spark, d), coefs(spark, d), [*WEEK, "portfolio_id"])
+
+
+@query(
+    "b12_best_of_all_bets",
+    f"WITH m AS MATERIALIZED ({_ALL_METRICS_SQL}) SELECT season, week, portfolio_id, portfolio_mu, portfolio_sd FROM m WHERE portfolio_sharpe IS NOT NULL "
+    "QUALIFY row_number() OVER (PARTITION BY season, week ORDER BY round(portfolio_sharpe, 9) DESC, portfolio_id) = 1",
+    "panel teams bets",
+    "portfolio_mu portfolio_sd",
+)
+def b12_all(spark, d):
+    metrics = staged(b11_all(spark, d), "metrics").withColumn("portfolio_sharpe", F.round("portfolio_sharpe", 9))
+    return R.best_portfolio(metrics, WEEK, "portfolio_id").select("season", "week", "portfolio_id", "portfolio_mu", "portfolio_sd")
+
+
+@query(
+    "b13_stakes_on_all_bets",
+    f"SELECT season, week, portfolio_id, bet_id, weight / sum(weight) OVER (PARTITION BY season, week, portfolio_id) AS weight, 1000.0 * weight / sum(weight) OVER (PARTITION BY season, week, portfolio_id) AS bet_amount FROM ({_TILTED_SQL}) WHERE 1000.0 * weight > 1.0",
+    "bets",
+    "weight bet_amount",
+)
+def b13_all(spark, d):
+    return R.stakes(tilted(spark, d), [*WEEK, "portfolio_id"], 1000.0, 1.0).select("season", "week", "portfolio_id", "bet_id", "weight", "bet_amount")
+
+
 @query("e3_bets_to_stakes")
 def e3(spark, d):
     """From priced predictions to stakes: screen, value, covariance, weights, choice."""
