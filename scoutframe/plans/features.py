@@ -520,6 +520,31 @@ def d16(spark, d):
     return picked.withColumn("split", X.chronological_split("season", 1999))
 
 
+_KEYED_IV_SRC = _IV_SRC.replace("SELECT ", "SELECT entity, season, week, ", 1)
+
+
+@query(
+    "d16_selected_values",
+    f"WITH chosen AS MATERIALIZED (SELECT feature FROM ({_TOURNAMENT_SQL})), src AS MATERIALIZED ({_KEYED_IV_SRC}) "
+    "SELECT entity, season, week, feature, value, CASE WHEN season <= 1999 THEN 'train' WHEN season = 2000 THEN 'validation' ELSE 'holdout' END AS split FROM ("
+    + " UNION ALL ".join(f"SELECT entity, season, week, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM src" for f in _IV_FEATURES)
+    + ") JOIN chosen USING (feature) WHERE value IS NOT NULL",
+    "panel",
+    "value",
+)
+def d16_values(spark, d):
+    """Values of the selected features as rows: the selection is joined, so the plan does not depend on what was chosen."""
+    rows = staged(D.panel(spark, d).select(
+        "entity", "season", "week", (F.col("yards") >= 300).alias("y"), "air", "touches", "urgent",
+        F.lag("yards").over(W.Window.partitionBy("entity").orderBy(*CAREER)).alias("yards_lag1"),
+        F.avg("yards").over(W.prior(["entity"], CAREER)).alias("avg_yards"),
+    ), "features")
+    chosen = X.iv_tournament(rows, X.information_value(rows, "y", _IV_FEATURES), _taxonomy(spark), max_missing=0.9).select("feature")
+    value = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in _IV_FEATURES]))
+    long = rows.select("entity", "season", "week", value.alias("f")).select("entity", "season", "week", "f.*").where("value IS NOT NULL")
+    return long.join(chosen, "feature", "left_semi").withColumn("split", X.chronological_split("season", 1999))
+
+
 @query(
     "d17_panel_assembly",
     f"WITH inj AS MATERIALIZED ({_INJ_SQL}) SELECT p.entity, p.season, p.week, p.team, p.opponent, t.yards AS team_yards, o.yards AS opp_yards, n.n_name AS team_name, coalesce(i.out, FALSE) AS out, coalesce(i.illness, FALSE) AS illness, CASE WHEN t.plays > 0 THEN p.yards / t.plays END AS yards_per_team_play, CASE WHEN p.season = 2001 AND p.week = 20 THEN 55.0 END AS temp "
