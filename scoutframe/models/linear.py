@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 INTERCEPT = "(intercept)"
 
@@ -201,11 +202,14 @@ def evidence_weights(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def score_rows(rows: DataFrame, weights: DataFrame, design: Design, keys: Sequence[str]) -> DataFrame:
+def score_rows(rows: DataFrame, weights: DataFrame, design: Design, keys: Sequence[str], targets: str = "targets") -> DataFrame:
     """Probability of every target of a row: keys, response_var, model_probability.
 
-    ``rows`` holds ``features`` and ``targets`` (array of names).  The weights become one array per target, in the design's
-    order, joined by the target's name: one scan of the rows whatever the number of targets, and no row per feature.
+    ``rows`` holds ``features`` and an array of target names, or of structs with a ``response_var`` whose other fields
+    are handed on (``targets="labels"``).  The weights become one array per target, in the design's order, joined by the
+    target's name: one scan of the rows whatever the number of targets, and no row per feature.  The arrays are sent to
+    the rows, never the other way: they are as many as there are targets, but the size Spark guesses for them is that of
+    whatever they were fitted on.
     A target without weights gives no row; a feature without a weight counts nothing.
     """
     places = F.create_map(*[F.lit(v) for i, n in enumerate(design.names) for v in (n, i)])
@@ -213,7 +217,13 @@ def score_rows(rows: DataFrame, weights: DataFrame, design: Design, keys: Sequen
     arrays = by_place.groupBy("response_var").agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("m")).select(
         "response_var", F.transform(F.sequence(F.lit(0), F.lit(len(design.names) - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("_w")
     )
-    long = rows.select(*keys, "features", F.explode("targets").alias("response_var")).join(arrays, "response_var")
-    products = F.zip_with("features", "_w", lambda a, b: a * b)
-    z = F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
-    return long.select(*keys, "response_var", (1.0 / (1.0 + F.exp(-z))).alias("model_probability"))
+    named = isinstance(rows.schema[targets].dataType.elementType, StructType)
+    long = rows.select(*keys, "features", F.explode(targets).alias("_t")).select(
+        *keys, "features", "_t.*" if named else F.col("_t").alias("response_var")
+    )
+    z = F.lit(0.0)
+    for i in range(len(design.names)):
+        z = z + F.get("features", F.lit(i)) * F.get("_w", F.lit(i))
+    return long.join(F.broadcast(arrays), "response_var").withColumn("model_probability", 1.0 / (1.0 + F.exp(-z))).select(
+        *keys, *[c for c in long.columns if c not in (*keys, "features")], "model_probability"
+    )

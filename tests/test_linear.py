@@ -93,3 +93,12 @@ def test_evidence_counts_each_level(spark):
     base = math.log(3.5 / 1.5)
     want = {L.INTERCEPT: base, "c=a": -base, "c=b": math.log(1.5 / 0.5) - base, "c=missing": math.log(1.5 / 0.5) - base}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+
+
+def test_weights_of_unknown_size_are_sent_to_the_rows(spark, fitted):
+    design, made, weights = fitted
+    big = weights.crossJoin(spark.range(1)).drop("id").join(weights.select("response_var").distinct(), "response_var")
+    plan = L.score_rows(made, big, design, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "rightHint=(strategy=broadcast)" in joins[0]
+    assert L.score_rows(made, big, design, ["id"]).count() == 4000 * 4
