@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.tables import staged
+
 INTERCEPT = "(intercept)"
 
 
@@ -73,36 +75,65 @@ def label_list(codes: Mapping[str, Sequence[tuple[str, float]]]) -> Column:
     return F.filter(F.array(*each), lambda s: s["label"].isNotNull())
 
 
-def _sums(names: Sequence[str], weights: np.ndarray):
-    """Arrow function: per target the objective, gradient and curvature at ``weights``, summed over the partition."""
-    size = weights.shape[1]
-    upper = np.triu_indices(size)
+def _packed(a: np.ndarray) -> pa.Array:
+    """The rows of a matrix as one binary value each."""
+    a = np.ascontiguousarray(a)
+    ends = np.arange(len(a) + 1, dtype=np.int32) * np.int32(a.itemsize * a.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends), pa.py_buffer(a)])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), 2 + size + len(upper[0])))
+
+def _unpacked(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+
+
+def _coded(rows: DataFrame, names: Sequence[str], size: int) -> DataFrame:
+    """Rows as a fit reads them, written once: features, labels seen per target and their sum, without any name."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = pa.array(names, pa.string())
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(n, size)
             lists = batch.column("labels")
             flat = lists.flatten()
-            target = pc.index_in(flat.field("response_var"), order).to_numpy(zero_copy_only=False)
-            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            label = flat.field("label").to_numpy(zero_copy_only=False)
-            by_target = np.argsort(target, kind="stable")
-            edges = np.searchsorted(target[by_target], np.arange(len(names) + 1))
-            for t in range(len(names)):
-                mine = by_target[edges[t]:edges[t + 1]]
-                if not len(mine):
-                    continue
-                xs, y = x[owner[mine]], label[mine]
-                z = xs @ weights[t]
-                p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
-                total[t, 0] += len(mine)
-                total[t, 1] += np.sum(np.logaddexp(0.0, z) - y * z)
-                total[t, 2:2 + size] += xs.T @ (y - p)
-                total[t, 2 + size:] += ((xs * (p * (1 - p))[:, None]).T @ xs)[upper]
+            target = pc.index_in(flat.field("response_var"), order)
+            known = pc.is_valid(target).to_numpy(zero_copy_only=False)
+            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+            cell = owner * len(names) + pc.drop_null(target).to_numpy(zero_copy_only=False)
+            label = flat.field("label").to_numpy(zero_copy_only=False)[known]
+            seen = np.bincount(cell, minlength=n * len(names)).astype(np.int32).reshape(n, len(names))
+            hits = np.bincount(cell, label, minlength=n * len(names)).reshape(n, len(names))
+            yield pa.RecordBatch.from_arrays([_packed(x), _packed(seen), _packed(hits)], ["features", "seen", "hits"])
+
+    return staged(rows.select("features", "labels").mapInArrow(code, "features binary, seen binary, hits binary"), "coded")
+
+
+def _sums(weights: np.ndarray):
+    """Arrow function: per target the objective, gradient and curvature at ``weights``, summed over the partition.
+
+    The curvatures of all targets are one product of matrices: their p(1 - p) by the products of two features.
+    """
+    size = weights.shape[1]
+    first, second = np.triu_indices(size)
+    step = max(64, (1 << 20) // len(first))  # rows whose products are held at once
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(weights), 2 + size + len(first)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                x = _unpacked(part.column("features"), np.float64, size)
+                seen = _unpacked(part.column("seen"), np.int32, len(weights))
+                hits = _unpacked(part.column("hits"), np.float64, len(weights))
+                z = x @ weights.T
+                low = np.exp(-np.abs(z))
+                p = np.where(z >= 0, 1.0, low) / (1.0 + low)
+                total[:, 0] += seen.sum(axis=0)
+                total[:, 1] += (seen * (np.maximum(z, 0.0) + np.log1p(low)) - hits * z).sum(axis=0)
+                total[:, 2:2 + size] += (hits - seen * p).T @ x
+                total[:, 2 + size:] += (seen * (low / (1.0 + low) ** 2)).T @ (x[:, first] * x[:, second])
         t, place = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(t, pa.int32()), pa.array(place, pa.int32()), pa.array(total[t, place])], ["target", "place", "value"]
@@ -111,10 +142,10 @@ def _sums(names: Sequence[str], weights: np.ndarray):
     return add
 
 
-def _gathered(rows: DataFrame, names: Sequence[str], weights: np.ndarray) -> np.ndarray:
+def _gathered(coded: DataFrame, weights: np.ndarray) -> np.ndarray:
     size = weights.shape[1]
-    out = np.zeros((len(names), 2 + size + size * (size + 1) // 2))
-    parts = rows.select("features", "labels").mapInArrow(_sums(names, weights), "target int, place int, value double")
+    out = np.zeros((len(weights), 2 + size + size * (size + 1) // 2))
+    parts = coded.mapInArrow(_sums(weights), "target int, place int, value double")
     got = parts.groupBy("target", "place").agg(F.sum("value").alias("value")).toPandas()  # targets x products of features
     out[got["target"].to_numpy(), got["place"].to_numpy()] = got["value"].to_numpy()
     return out
@@ -123,8 +154,8 @@ def _gathered(rows: DataFrame, names: Sequence[str], weights: np.ndarray) -> np.
 def fit_targets(rows: DataFrame, design: Design, ridge: float = 1e-3, rounds: int = 60, close: float = 1e-9) -> DataFrame:
     """Logistic weights of every target as rows (response_var, feature, weight).
 
-    ``rows`` holds ``features`` (``design.vector()``) and ``labels``; write it to storage first, as each Newton round reads
-    it once for all targets together.  A weight is penalised by ``ridge`` times the rows times half its square in units of
+    ``rows`` holds ``features`` (``design.vector()``) and ``labels``.  It is read twice, to count the labels and to write
+    them down without their names; each Newton round reads what was written, once for all targets together.  A weight is penalised by ``ridge`` times the rows times half its square in units of
     the feature's root mean square, the intercept is not; so expected and observed successes agree.  A round that does not
     lower a target's objective is halved; a target ends when its Newton decrement is below ``close``² times its rows.
     A target without a label has no weights; one whose labels are all equal is given the log odds with half a row added to either side as its intercept, and no other weight.
@@ -138,16 +169,16 @@ def fit_targets(rows: DataFrame, design: Design, ridge: float = 1e-3, rounds: in
         weights[r["response_var"]][0] = np.log((r["hits"] + 0.5) / (r["n"] - r["hits"] + 0.5))
     names = [r["response_var"] for r in known if 0 < r["hits"] < r["n"]]
     if names:
-        for name, w in zip(names, _newton(rows, names, np.array([weights[n] for n in names]), ridge, rounds, close)):
+        for name, w in zip(names, _newton(_coded(rows, names, size), names, np.array([weights[n] for n in names]), ridge, rounds, close)):
             weights[name] = w
     out = [(t, f, float(v)) for t, w in weights.items() for f, v in zip(design.names, w)]
     return spark.createDataFrame(out, "response_var string, feature string, weight double")
 
 
-def _newton(rows: DataFrame, names: Sequence[str], start: np.ndarray, ridge: float, rounds: int, close: float) -> np.ndarray:
+def _newton(coded: DataFrame, names: Sequence[str], start: np.ndarray, ridge: float, rounds: int, close: float) -> np.ndarray:
     size = start.shape[1]
     upper = np.triu_indices(size)
-    squares = _gathered(rows, names, np.zeros_like(start))  # at p = 1/2 the curvature is a quarter of the sum of squares
+    squares = _gathered(coded, np.zeros_like(start))  # at p = 1/2 the curvature is a quarter of the sum of squares
     penalty = np.zeros((len(names), size))
     for t in range(len(names)):
         curve = np.zeros((size, size))
@@ -159,7 +190,7 @@ def _newton(rows: DataFrame, names: Sequence[str], start: np.ndarray, ridge: flo
     lowest, open_ = np.full(len(names), np.inf), np.ones(len(names), bool)
     for _ in range(rounds):
         tried = best + step
-        sums = _gathered(rows, names, tried)
+        sums = _gathered(coded, tried)
         for t in np.flatnonzero(open_):
             objective = sums[t, 1] + 0.5 * penalty[t] @ tried[t] ** 2
             if objective > lowest[t] * (1 + 1e-12) + 1e-12:

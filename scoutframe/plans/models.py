@@ -391,9 +391,13 @@ def _sides(spark, d):
     )
     phase = F.expr("CASE WHEN week < 4 THEN 'early' WHEN week < 16 THEN 'mid' WHEN week < 19 THEN 'late' ELSE 'after' END")
     form = F.expr("CASE WHEN lag_yards >= avg_yards THEN 'above' WHEN lag_yards < avg_yards THEN 'below' END")
+    return before.withColumns({"phase": phase, "form": form})
+
+
+def _labelled(sides):
+    """The labels and targets of each side, as arrays made where they are read: a row on storage holds its measures only."""
     is_team = F.col("position") == "team"
-    return before.withColumns({
-        "phase": phase, "form": form,
+    return sides.withColumns({
         "labels": F.when(is_team, L.label_list(TEAM_CODES)).otherwise(L.label_list(PLAYER_CODES)),
         "targets": F.when(is_team, _targets_of(TEAM_CODES)).otherwise(_targets_of(PLAYER_CODES)),
     })
@@ -402,11 +406,13 @@ def _sides(spark, d):
 SIDE_KEYS = ["label", "season", "week"]
 
 
+MEASURES = list({**PLAYER_CODES, **TEAM_CODES})
+
+
 def _fitted(spark, d):
-    rows = _sides(spark, d)
-    kept = staged(rows.select(*SIDE_KEYS, "position", *[c for c in KNOWN_BEFORE if c not in SIDE_KEYS], "labels", "targets"), "sides")
+    kept = _labelled(staged(_sides(spark, d).select(*SIDE_KEYS, "position", *[c for c in KNOWN_BEFORE if c not in SIDE_KEYS], *MEASURES), "sides"))
     design = L.fit_design(kept, KNOWN_BEFORE, ["position"])
-    rows = staged(kept.select(*SIDE_KEYS, design.vector().alias("features"), "labels", "targets"), "designed")
+    rows = kept.select(*SIDE_KEYS, design.vector().alias("features"), "labels", "targets")
     return rows, design, L.fit_targets(rows, design)
 
 
@@ -437,10 +443,9 @@ _LABELLED_SQL = (
 def m12_forty(spark, d):
     """All targets refitted on all rows: at the optimum the expected successes of a target are those observed."""
     rows, design, weights = _fitted(spark, d)
-    scored = L.score_rows(rows, weights, design, SIDE_KEYS)
-    seen = rows.select(*SIDE_KEYS, F.explode("labels").alias("l")).select(*SIDE_KEYS, "l.response_var", F.col("l.label").alias("hit"))
-    return scored.join(seen, [*SIDE_KEYS, "response_var"]).groupBy("response_var").agg(
-        F.count("*").alias("n"), F.sum("hit").cast("bigint").alias("hits"), F.sum("model_probability").alias("expected_hits")
+    scored = L.score_rows(rows.dropna(subset=SIDE_KEYS), weights, design, [], "labels")
+    return scored.groupBy("response_var").agg(
+        F.count("*").alias("n"), F.sum("label").cast("bigint").alias("hits"), F.sum("model_probability").alias("expected_hits")
     ).where("hits > 0 AND hits < n")
 
 
@@ -464,7 +469,7 @@ _EVIDENCE_SQL = (
 
 
 def _evidence(spark, d):
-    rows = staged(_sides(spark, d).select(*SIDE_KEYS, *EVIDENCE, "labels", "targets"), "evidence")
+    rows = _labelled(staged(_sides(spark, d).select(*SIDE_KEYS, *EVIDENCE, *MEASURES), "evidence"))
     return rows, L.evidence_weights(rows, EVIDENCE)
 
 
