@@ -79,10 +79,15 @@ def pair_covariance(bets: DataFrame, coefs: DataFrame, keys: Sequence[str], x: s
     twins = unit.groupBy(*keys, "game").agg(
         F.sum(n * (n - 1) * half).alias("n_pairs"), F.sum((s * s - F.col("ss")) * half).alias("cov_sum")
     ).withColumn("relation", F.lit("same_label_and_type"))
-    # types of one player: at most the number of bet types per label
-    mine = unit.select(*keys, "game", "label", F.col("position").alias("position1"), F.col("var").alias("var1"), F.col("s").alias("s1"), F.col("n").alias("n1"))
-    other = unit.select(*keys, "game", "label", F.col("position").alias("position2"), F.col("var").alias("var2"), F.col("s").alias("s2"), F.col("n").alias("n2"))
-    own = mine.join(other, [*keys, "game", "label"])
+    # types of one player, at most the number of bet types per label: brought together once, then paired in place
+    kinds = unit.dropna(subset=[*keys, "game", "label"]).groupBy(*keys, "game", "label").agg(
+        F.collect_list(F.struct("position", "var", "s", "n")).alias("_kinds")
+    )
+    own = kinds.select(*keys, "game", "label", "_kinds", F.explode("_kinds").alias("_a")).select(
+        *keys, "game", "label", "_a", F.explode("_kinds").alias("_b")
+    ).select(
+        *keys, "game", "label", *[F.col(f"_{side}.{c}").alias(f"{c}{n}") for side, n in (("a", 1), ("b", 2)) for c in ("position", "var", "s", "n")]
+    )
     product, count = F.col("s1") * F.col("s2"), F.col("n1") * F.col("n2")
     crossed = _lookup(own.where("var1 <> var2"), coefs, "same_player")
     players = crossed.groupBy(*keys, "game").agg(
@@ -115,14 +120,14 @@ def tilted_weights(bets: DataFrame, keys: Sequence[str], tilts: Sequence[float],
     Tilt 0 looks at value only, larger ones shun risk. Bets without a positive value or risk have no weight; the weights
     of a portfolio add up to 1. Totals are aggregated and joined back, so a week may hold any number of bets.
     """
-    each = bets.where("ev > 0 AND risk_score > 0").withColumn(
-        "_t", F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(float(t)).alias("tilt")) for i, t in enumerate(tilts)]))
-    )
-    score = each.select("*", F.col("_t.id").alias(portfolio), F.col("_t.tilt").alias("tilt")).drop("_t").withColumn(
-        "_score", F.col("ev") / F.pow("risk_score", "tilt")
-    )
-    totals = score.groupBy(*keys, portfolio).agg(F.sum("_score").alias("_total"))
-    return score.join(totals, [*keys, portfolio]).withColumn("weight", F.col("_score") / F.col("_total")).drop("_score", "_total")
+    each = bets.where("ev > 0 AND risk_score > 0")
+    score = [F.col("ev") / F.pow("risk_score", F.lit(float(t))) for t in tilts]
+    totals = each.groupBy(*keys).agg(F.array(*[F.sum(c) for c in score]).alias("_totals"))
+    # a bet meets the totals of its week once, and becomes a row per tilt after that
+    return each.join(totals, list(keys)).withColumn("_t", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("id"), F.lit(float(t)).alias("tilt"), (c / F.col("_totals")[i]).alias("weight"))
+        for i, (t, c) in enumerate(zip(tilts, score))
+    ]))).select(*each.columns, F.col("_t.id").alias(portfolio), F.col("_t.tilt").alias("tilt"), F.col("_t.weight").alias("weight"))
 
 
 def portfolio_metrics(weighted: DataFrame, coefs: DataFrame, portfolio: Sequence[str]) -> DataFrame:

@@ -107,7 +107,7 @@ def given_weights(spark, d):
     """Three simple portfolios per week: the 4, 8 and 12 best bets, weighted by value."""
     ranked = W.top_n(pool(spark, d), WEEK, [F.desc("ev"), "bet_id"], 12, rank="rank")
     each = ranked.select("*", F.explode(F.array(F.lit(4), F.lit(8), F.lit(12))).alias("portfolio_id")).where("rank <= portfolio_id")
-    return W.share_of_group(each, [*WEEK, "portfolio_id"], "ev", "weight")
+    return staged(W.share_of_group(each, [*WEEK, "portfolio_id"], "ev", "weight"), "given")  # metrics read it twice
 
 
 _WEIGHTS_SQL = (
@@ -165,13 +165,17 @@ _TILTED_SQL = (
 _ALL_METRICS_SQL = _METRICS_SQL.replace(_WEIGHTS_SQL, _TILTED_SQL)
 
 
-def tilted(spark, d):
-    return staged(R.tilted_weights(pool(spark, d), WEEK, TILTS), "tilted")
+METRIC_COLUMNS = [*WEEK, "game", "team", "opponent", "position", "label", "var", "ev", "risk_score"]
+
+
+def tilted(spark, d, columns):
+    """Every bet once per tilt, with the columns its reader needs."""
+    return staged(R.tilted_weights(pool(spark, d).select(*columns), WEEK, TILTS), "tilted")
 
 
 @query("b11_metrics_of_all_bets", _ALL_METRICS_SQL, "panel teams bets", "portfolio_mu portfolio_var portfolio_sd portfolio_sharpe")
 def b11_all(spark, d):
-    return R.portfolio_metrics(tilted(spark, d), coefs(spark, d), [*WEEK, "portfolio_id"])
+    return R.portfolio_metrics(tilted(spark, d, METRIC_COLUMNS), coefs(spark, d), [*WEEK, "portfolio_id"])
 
 
 @query(
@@ -193,7 +197,7 @@ def b12_all(spark, d):
     "weight bet_amount",
 )
 def b13_all(spark, d):
-    return R.stakes(tilted(spark, d), [*WEEK, "portfolio_id"], 1000.0, 1.0).select("season", "week", "portfolio_id", "bet_id", "weight", "bet_amount")
+    return R.stakes(tilted(spark, d, [*WEEK, "bet_id", "ev", "risk_score"]), [*WEEK, "portfolio_id"], 1000.0, 1.0).select("season", "week", "portfolio_id", "bet_id", "weight", "bet_amount")
 
 
 @query("e3_bets_to_stakes")

@@ -45,3 +45,18 @@ def test_verdicts_of_columns_without_values(spark):
     df = spark.createDataFrame([(1.0, None, 0.0), (2.0, None, 1.0), (3.0, None, 1.0)], "a double, none double, flag double")
     got = {r["name"]: (r["present"], r["median"], r["verdict"]) for r in P.informative_columns(df, ["a", "none", "flag"], 0.5).collect()}
     assert got == {"a": (3, 2.0, "keep"), "none": (0, None, "drop"), "flag": (3, 1.0, "zero_one")}
+
+
+def test_tilts_become_rows_after_the_totals_are_known(spark):
+    from pyspark.sql import functions as F
+
+    from scoutframe.operators import portfolio as R
+
+    bets = spark.range(40).select(F.lit(1).alias("week"), F.col("id").alias("bet_id"), (F.col("id") + 1.0).alias("ev"), F.lit(2.0).alias("risk_score"))
+    out = R.tilted_weights(bets, ["week"], [0.0, 0.5, 1.0])
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda word: next(i for i, line in enumerate(lines) if word in line)
+    assert depth("Generate") < depth("Join")  # one row per bet meets the totals, not one per bet and tilt
+    assert sum(line.count("Generate") for line in lines) == 1
+    sums = {r["portfolio_id"]: r["s"] for r in out.groupBy("portfolio_id").agg(F.round(F.sum("weight"), 9).alias("s")).collect()}
+    assert sums == {0: 1.0, 1: 1.0, 2: 1.0}
