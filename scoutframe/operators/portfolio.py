@@ -8,10 +8,11 @@ built.  Only the weight search looks at single games, one game per call.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,10 +163,7 @@ def stakes(weighted: DataFrame, portfolio: Sequence[str], bank: float, min_stake
 
 # --- one game at a time -----------------------------------------------------------------------
 
-
-def _game_covariance(bets: Sequence[Mapping], coefs: Mapping[tuple, float]) -> np.ndarray:
-    sd = np.sqrt([b["risk_score"] for b in bets])
-    return _game_correlation(bets, coefs) * np.outer(sd, sd)
+Game = Mapping[str, np.ndarray]  # the bets of a game as columns
 
 
 def _both_ways(coefs: Mapping[tuple, float], relation: str, a: tuple, b: tuple) -> float:
@@ -173,35 +171,115 @@ def _both_ways(coefs: Mapping[tuple, float], relation: str, a: tuple, b: tuple)
     return (coefs.get((relation, *a, *b), 0.0) + coefs.get((relation, *b, *a), 0.0)) / 2
 
 
+def _codes(*columns: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """A number per bet for its combination of values, and the combinations; missing values are equal."""
+    number, seen = np.zeros(len(columns[0]), dtype=np.int64), 1
+    for column in columns:
+        code, values = pd.factorize(column, use_na_sentinel=False)
+        number, kept = pd.factorize(number * len(values) + code)
+        seen = len(kept)
+    first = np.full(seen, -1)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    return number, [tuple(column[i] for column in columns) for i in first]
+
+
+def _class_tables(classes: Sequence[tuple], coefs: Mapping[tuple, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation of two bets by their classes (team, opponent, position, type): of two labels, and of one label."""
+    between, within = np.zeros((2, len(classes), len(classes)))
+    for i, (team, _, *a) in enumerate(classes):
+        for j, (other, facing, *b) in enumerate(classes):
+            if team == other:
+                between[i, j] = _both_ways(coefs, "same_team", a, b)
+            elif team == facing:
+                between[i, j] = _both_ways(coefs, "opp_team", a, b)
+            within[i, j] = 1.0 if a[1] == b[1] else _both_ways(coefs, "same_player", a, b)
+    return between, within
+
+
+def _root(up: list[int], i: int) -> int:
+    while up[i] != i:
+        up[i] = i = up[up[i]]
+    return i
+
+
+def _parts(label: np.ndarray, kind: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bets that go with no other bet, and groups of bets with no correlation across groups.
+
+    Classes with a coefficient hang together, and so do the bets of a label.
+    """
+    up = list(range(len(between)))
+    tied = (between != 0) | (between.T != 0)
+    for i, j in zip(*np.nonzero(np.triu(tied))):
+        up[_root(up, int(j))] = _root(up, int(i))
+    linked = tied.any(axis=1)[kind]
+    met = np.unique(np.column_stack([label, kind])[linked], axis=0)
+    shared = met[1:, 0] == met[:-1, 0]
+    for i, j in np.unique(np.column_stack([met[:-1, 1], met[1:, 1]])[shared], axis=0):
+        up[_root(up, int(j))] = _root(up, int(i))
+    group = len(between) + label
+    if len(met):
+        roots = np.array([_root(up, i) for i in range(len(between))])
+        of_label = np.full(label.max() + 1, -1)
+        of_label[met[:, 0]] = roots[met[:, 1]]
+        group = np.where(of_label[label] >= 0, of_label[label], group)
+    _, group, size = np.unique(group, return_inverse=True, return_counts=True)
+    order = np.argsort(group, kind="stable")
+    alone = size[group[order]] == 1
+    ends = np.cumsum(size[size > 1])[:-1]
+    more = order[~alone]
+    return order[alone], np.split(more, ends) if len(more) else []
+
+
+def _game_blocks(game: Game, coefs: Mapping[tuple, float]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The covariance of a game as its diagonal blocks: bets that stand alone, and (bets, matrix) of the others."""
+    label, _ = _codes(game["label"])
+    kind, classes = _codes(*[game[c] for c in ("team", "opponent", "position", "var")])
+    tables = _class_tables(classes, coefs)
+    alone, groups = _parts(label, kind, tables[0])
+    sd = np.sqrt(game["risk_score"])
+    return alone, [(b, _correlation(label[b], kind[b], *tables) * np.outer(sd[b], sd[b])) for b in groups]
+
+
+def _correlation(label: np.ndarray, kind: np.ndarray, between: np.ndarray, within: np.ndarray) -> np.ndarray:
+    at = np.ix_(kind, kind)
+    rho = np.triu(np.where(label[:, None] == label, within[at], between[at]), 1)
+    return rho + rho.T + np.eye(len(label))
+
+
 def _game_correlation(bets: Sequence[Mapping], coefs: Mapping[tuple, float]) -> np.ndarray:
-    label, var, team, facing, pos = ([b[c] for b in bets] for c in ("label", "var", "team", "opponent", "position"))
-    n = len(bets)
-    rho = np.eye(n)
-    for i in range(n):
-        for j in range(i + 1, n):
-            if label[i] == label[j]:
-                r = 1.0 if var[i] == var[j] else _both_ways(coefs, "same_player", (pos[i], var[i]), (pos[j], var[j]))
-            elif team[i] == team[j]:
-                r = _both_ways(coefs, "same_team", (pos[i], var[i]), (pos[j], var[j]))
-            elif team[i] == facing[j]:
-                r = _both_ways(coefs, "opp_team", (pos[i], var[i]), (pos[j], var[j]))
-            else:
-                r = 0.0
-            rho[i, j] = rho[j, i] = r
-    return rho
+    """The whole matrix of a few bets."""
+    game = {c: np.array([b[c] for b in bets], dtype=object) for c in ("label", "team", "opponent", "position", "var")}
+    kind, classes = _codes(*[game[c] for c in ("team", "opponent", "position", "var")])
+    return _correlation(_codes(game["label"])[0], kind, *_class_tables(classes, coefs))
+
+
+def _clip(m: np.ndarray, values: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Negative eigenvalues to zero, diagonal kept."""
+    diagonal = np.diag(m).copy()
+    m = (vectors * np.maximum(values, 0.0)) @ vectors.T
+    scale = np.sqrt(diagonal / np.maximum(np.diag(m), 1e-300))
+    return m * np.outer(scale, scale)
 
 
 def _nearest_psd(m: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Negative eigenvalues to zero, diagonal kept, and a small ridge."""
-    values, vectors = np.linalg.eigh(m)
-    lowest = float(values[0])
+    (m,), lowest, after = _repaired([m], np.zeros(0))
+    return m, lowest, after
+
+
+def _repaired(blocks: Sequence[np.ndarray], alone: np.ndarray) -> tuple[list[np.ndarray], float, float]:
+    """Diagonal blocks of one matrix repaired together; its smallest eigenvalue before and after.
+
+    ``alone``: diagonal of the blocks of one bet, which are never negative and only get the ridge.
+    """
+    solved = [np.linalg.eigh(m) for m in blocks]
+    least = alone.min(initial=np.inf)
+    lowest = float(min([least, *[values[0] for values, _ in solved]]))
     if lowest < -RIDGE:
-        diagonal = np.diag(m).copy()
-        m = (vectors * np.maximum(values, 0.0)) @ vectors.T
-        scale = np.sqrt(diagonal / np.maximum(np.diag(m), 1e-300))
-        m = m * np.outer(scale, scale)
-    m = (m + m.T) / 2 + RIDGE * np.eye(len(m))
-    return m, lowest, float(np.linalg.eigvalsh(m)[0])
+        blocks = [_clip(m, *s) for m, s in zip(blocks, solved)]
+    blocks = [(m + m.T) / 2 + RIDGE * np.eye(len(m)) for m in blocks]
+    after = float(min([least + RIDGE, *[np.linalg.eigvalsh(m)[0] for m in blocks]]))
+    return blocks, lowest, after
 
 
 def coefficient_map(coefs: DataFrame) -> dict[tuple, float]:
@@ -223,29 +301,39 @@ def game_blocks(bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[st
     units = bets.groupBy(*keys, *_GAME_COLUMNS).agg(F.sum("risk_score").alias("risk_score"), F.count("*").alias("bets"))
     fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
 
-    def repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for *key, game, units_of_game in frame[[*keys, "game", "bets"]].itertuples(index=False, name=None):
-                _, before, after = _nearest_psd(_game_covariance(units_of_game, coefs))
-                rows.append((*key, game, len(units_of_game), sum(b["bets"] for b in units_of_game), before, after))
-            yield pd.DataFrame(rows, columns=[*keys, "game", "n_units", "n_bets", "lowest_before", "lowest_after"])
+            for _, game in _games(batch):
+                alone, blocks = _game_blocks(game, coefs)
+                _, before, after = _repaired([m for _, m in blocks], game["risk_score"][alone])
+                rows.append((len(game["bets"]), int(game["bets"].sum()), before, after))
+            more = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.float64(), pa.float64()])]
+            names = [*keys, "game", "n_units", "n_bets", "lowest_before", "lowest_after"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*keys, "game"]], *more], names=names)
 
     schema = f"{fields}, game string, n_units bigint, n_bets bigint, lowest_before double, lowest_after double"
-    return _game_rows(units, keys, ["bets"], []).mapInPandas(repair, schema)
+    return _game_rows(units, keys, ["bets"], []).mapInArrow(repair, schema)
 
 
 def _game_rows(df: DataFrame, keys: Sequence[str], more: Sequence[str], week: Sequence[str]) -> DataFrame:
-    """One row per game with its bets as an array; callers bound the size of a game.
+    """One row per game with its bets as an array.
 
     Games are spread over all shuffle partitions: they are small in bytes but costly to
     solve, so partitions must not be merged by size.
     """
     spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "game")
-    bet = F.struct("team", "opponent", "label", "position", "var", "risk_score", *more)
+    names = [F.col(c).cast("string").alias(c) for c in ("team", "opponent", "label", "position", "var")]
+    bet = F.struct(*names, F.col("risk_score").cast("double").alias("risk_score"), *more)
     return spread.groupBy(*keys, "game").agg(*[F.first(w).alias(w) for w in week], F.collect_list(bet).alias("bets"))
 
 
+def _games(batch: pa.RecordBatch) -> Iterator[tuple[int, Game]]:
+    """Row number and bets of each game of a batch."""
+    for i, bets in enumerate(batch.column("bets")):
+        yield i, {f.name: bets.values.field(f.name).to_numpy(zero_copy_only=False) for f in bets.values.type}
+
+
 def _price_path(cov: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Solution of min u'Cu/2 - (mu + lam)'u, u >= 0 as lam grows: knots, values there, last slope.
 
@@ -291,6 +379,26 @@ def _along(path: tuple[np.ndarray, np.ndarray, np.ndarray], lam: np.ndarray) ->
     return inside + np.outer(final, np.maximum(lam - knots[-1], 0.0))
 
 
+class _Answers:
+    """What a game takes at any price of money: a straight line for a bet alone, a price path per block of the others."""
+
+    def __init__(self, game: Game, coefs: Mapping[tuple, float]) -> None:
+        mu = game["ev"] / 100.0
+        self.n = len(mu)
+        self.alone, blocks = _game_blocks(game, coefs)
+        self.mu, self.var = mu[self.alone], game["risk_score"][self.alone] + RIDGE
+        matrices, _, _ = _repaired([m for _, m in blocks], game["risk_score"][self.alone])
+        self.paths = [(bets, _price_path(m, mu[bets])) for (bets, _), m in zip(blocks, matrices)]
+
+    def at(self, lam: np.ndarray) -> np.ndarray:
+        """One row per bet, one column per price."""
+        out = np.empty((self.n, len(lam)))
+        out[self.alone] = np.maximum(self.mu[:, None] + lam, 0.0) / self.var[:, None]
+        for bets, path in self.paths:
+            out[bets] = _along(path, lam)
+        return out
+
+
 def weight_sweep(
     bets: DataFrame, coefs: Mapping[tuple, float], keys: Sequence[str], gammas: Sequence[float], max_bets: int | None = None,
     grid: int = 160,
@@ -301,9 +409,9 @@ def weight_sweep(
     would take at every price of a grid, the answers are added up per week, and the
     price at which a week is exactly invested is read off.  With u = 2 * gamma * w the
     games' answers do not depend on gamma, so one pass serves every gamma.  A week is only
-    ever a vector of ``grid`` numbers.  Every game is solved in the same way, in one call; a game
-    has as many bets as its players have targets.  ``max_bets`` keeps that many of the largest
-    weights of a week, None keeps all.
+    ever a vector of ``grid`` numbers.  A game is solved by its blocks of correlated bets, so its
+    cost grows with its bets and with the cube of its largest block only.  ``max_bets`` keeps that many
+    of the largest weights of a week, None keeps all.
     """
     steps = np.concatenate([[0.0], np.logspace(-5, 5, grid - 1)])
     goal = 2.0 * np.array([float(g) for g in gammas])
@@ -312,45 +420,80 @@ def weight_sweep(
     inputs = staged(bets.select(*cols).join(tops, list(keys)), "inputs")
     fields = ", ".join(f"{k} {bets.schema[k].dataType.simpleString()}" for k in keys)
 
-    def path(game: Sequence[Mapping]):
-        cov = _nearest_psd(_game_covariance(game, coefs))[0]
-        return _price_path(cov, np.array([b["ev"] for b in game]) / 100.0)
-
-    def demand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parts = []
-            for *key, top, game in frame[[*keys, "_top", "bets"]].itertuples(index=False, name=None):
-                total = _along(path(game), steps - top).sum(axis=0)
-                parts.append(pd.DataFrame({"step": np.arange(len(steps)), "taken": total, **dict(zip(keys, key))}))
-            if parts:
-                # games of one week in this batch are added up before they are sent on
-                yield pd.concat(parts).groupby([*keys, "step"], as_index=False)["taken"].sum()[["step", "taken", *keys]]
-
-    games = _game_rows(inputs, keys, ["bet_id", "ev"], ["_top"])
-    taken = games.mapInPandas(demand, f"step int, taken double, {fields}")
-    weekly = taken.groupBy(*keys, "step").agg(F.sum("taken").alias("taken"))
-    curve = weekly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "taken"))).alias("_curve"))
-
-    def allocate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for *key, top, game, curve_of_week in frame[[*keys, "_top", "bets", "_curve"]].itertuples(index=False, name=None):
-                lam = _invested_prices([c["taken"] for c in curve_of_week], steps - top, goal)
-                w = _along(path(game), lam) / goal
-                ids = np.array([b["bet_id"] for b in game])
-                for k in range(len(goal)):
-                    # a bet outside its own game's best cannot be among the week's best
-                    best = np.lexsort((ids, -w[:, k]))[:max_bets]
-                    rows += [(k, ids[i], float(w[i, k]), *key) for i in best if w[i, k] > 0]
-            yield pd.DataFrame(rows, columns=["gamma_index", "bet_id", "weight", *keys])
-
-    solved = games.join(curve, list(keys)).mapInPandas(allocate, f"gamma_index int, bet_id string, weight double, {fields}")
-    best = solved if max_bets is None else top_n(solved, [*keys, "gamma_index"], [F.desc("weight"), "bet_id"], max_bets)
-    totals = best.groupBy(*keys, "gamma_index").agg(F.sum("weight").alias("_total"))
-    return best.join(totals, [*keys, "gamma_index"]).select(
-        *keys, "gamma_index", _gamma(gammas).alias("gamma"), portfolio_id(keys).alias("portfolio_id"), "bet_id",
-        (F.col("weight") / F.col("_total")).alias("weight"),
-    )
+    def per_game(answer: Callable[[Game, float, list | None], np.ndarray]):
+        """One row per game: its week and a sum over its bets."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums = [answer(game, *week).sum(axis=0) for game, *week in _with_week(batch)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], _lists(sums)], names=[*keys, "taken"])
+
+        return run
+
+    def added(games: DataFrame) -> DataFrame:
+        weekly = games.select(*keys, F.posexplode("taken").alias("step", "taken")).groupBy(*keys, "step").agg(F.sum("taken").alias("taken"))
+        return weekly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "taken")))["taken"].alias("_curve"))
+
+    def demand(game: Game, top: float, _) -> np.ndarray:
+        return _Answers(game, coefs).at(steps - top)
+
+    def weights(game: Game, top: float, curve: Sequence[float]) -> np.ndarray:
+        return _Answers(game, coefs).at(_invested_prices(curve, steps - top, goal)) / goal
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (game, *week) in enumerate(_with_week(batch)):
+                w = weights(game, *week)
+                heads = [batch.column(k).take(pa.array([i] * len(w))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*heads, pa.array(game["bet_id"], pa.string()), _lists(w)], names=[*keys, "bet_id", "weights"])
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (game, *week) in enumerate(_with_week(batch)):
+                w, ids = weights(game, *week), game["bet_id"].astype(str)
+                # a bet outside its own game's best cannot be among the week's best
+                best = [np.lexsort((ids, -w[:, k]))[:max_bets] for k in range(len(goal))]
+                at, k = np.concatenate(best), np.repeat(np.arange(len(goal)), [len(b) for b in best])
+                at, k = at[w[at, k] > 0], k[w[at, k] > 0]
+                heads = [batch.column(c).take(pa.array([i] * len(at), pa.int64())) for c in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [*heads, pa.array(k, pa.int32()), pa.array(game["bet_id"][at], pa.string()), pa.array(w[at, k])],
+                    names=[*keys, "gamma_index", "bet_id", "weight"],
+                )
+
+    games = _game_rows(inputs, keys, ["bet_id", F.col("ev").cast("double").alias("ev")], ["_top"])
+    curve = added(games.mapInArrow(per_game(demand), f"{fields}, taken array<double>"))
+    if max_bets is None:
+        curve = staged(curve, "curve")  # the totals and the weights read it
+        priced = games.join(curve, list(keys))
+        totals = added(priced.mapInArrow(per_game(weights), f"{fields}, taken array<double>")).withColumnRenamed("_curve", "_totals")
+        # a bet meets the totals of its week once, and becomes a row per risk aversion after that
+        met = priced.mapInArrow(every, f"{fields}, bet_id string, weights array<double>").join(totals, list(keys))
+        each = F.filter(
+            F.transform("weights", lambda w, k: F.struct(k.alias("gamma_index"), w.alias("weight"), (w / F.get("_totals", k)).alias("share"))),
+            lambda x: x["weight"] > 0,
+        )
+        best = met.select(*keys, "bet_id", F.explode(each).alias("_x")).select(*keys, "bet_id", "_x.gamma_index", F.col("_x.share").alias("weight"))
+    else:
+        solved = games.join(curve, list(keys)).mapInArrow(largest, f"{fields}, gamma_index int, bet_id string, weight double")
+        kept = top_n(solved, [*keys, "gamma_index"], [F.desc("weight"), "bet_id"], max_bets)
+        totals = kept.groupBy(*keys, "gamma_index").agg(F.sum("weight").alias("_total"))
+        best = kept.join(totals, [*keys, "gamma_index"]).withColumn("weight", F.col("weight") / F.col("_total"))
+    return best.select(*keys, "gamma_index", _gamma(gammas).alias("gamma"), portfolio_id(keys).alias("portfolio_id"), "bet_id", "weight")
+
+
+def _with_week(batch: pa.RecordBatch) -> Iterator[tuple[Game, float, list | None]]:
+    """Bets of each game of a batch, its week's top and, once known, curve."""
+    curves = batch.column("_curve") if "_curve" in batch.schema.names else None
+    for i, game in _games(batch):
+        yield game, batch.column("_top")[i].as_py(), None if curves is None else curves[i].as_py()
+
+
+def _lists(rows: Sequence[np.ndarray]) -> pa.Array:
+    """Rows of equal length as one array of lists."""
+    flat = np.concatenate(rows) if len(rows) else np.zeros(0)
+    offsets = np.cumsum([0, *[len(r) for r in rows]])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
 
 
 def _invested_prices(taken: Sequence[float], lam: np.ndarray, goal: np.ndarray) -> np.ndarray:
