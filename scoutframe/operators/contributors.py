@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
@@ -44,34 +46,31 @@ def contributor_evidence(rows: DataFrame, families: Sequence[Family] = FAMILIES)
     families in one table, so every window and test runs once for all of them.  The entity counts as having played where it
     has a mean of this season's earlier weeks.  First side of the test: the group's results without the entity.
     """
-    rows = rows.withColumn("now", F.avg("metric").over(W.prior(["family", "entity", "season"], ["week"]))).withColumn(
-        "games", W.ordinal(["family", "entity", "season"], ["week"])
-    )
-    seasons = rows.groupBy("family", "entity", "season").agg(F.avg("metric").alias("m"), F.count("*").alias("g"))
-    full = rows
+    who, when = ["entity", "family"], ["season", "week"]  # numbers first: rows are sorted by them
+    now = F.avg("metric").over(W.prior([*who, "season"], ["week"]))
+    full = rows.withColumn("now", now).withColumn("games", W.ordinal([*who, "season"], ["week"]))
     for back, tag in ((1, "l"), (2, "b")):
-        earlier = seasons.select("family", "entity", (F.col("season") + back).alias("season"), F.col("m").alias(f"{tag}_m"), F.col("g").alias(f"{tag}_g"))
-        full = full.join(earlier, ["family", "entity", "season"], "left")
-    full = full.withColumn("three", X.weighted_three_seasons("now", "games", "l_m", "l_g", "b_m", "b_g"))
-    full = full.withColumn("three", W.fill_down("three", ["family", "entity", "season"], ["week"]))
-    kept = staged(full.select(
-        "family", "entity", "season", "week", "team", "metric", "group_metric", "share", F.col("three"), F.col("now").isNull().alias("without"),
-    ), "contributors")
-
-    tested = None
-    for side in sorted({f.side for f in families}):
-        part = kept.where(F.col("family").isin([f.name for f in families if f.side == side]))
-        each = X.played_or_not_test(
-            part.select("family", "entity", "season", "week", "group_metric", "without"), ["family", "entity"], ["season", "week"], "group_metric", "without", side
-        ).select("family", "entity", "season", "week", F.round("p_value", DIGITS).alias("p_play"))
-        tested = each if tested is None else tested.unionByName(each)
-    career = kept.select(F.struct("family", "entity").alias("who"), "season", "week", "team", "metric")
-    moved = X.former_groups_test(career, "who", ["season", "week"], "team", "metric").select(
-        "who.family", "who.entity", "season", "week", F.round("changing_groups_p", DIGITS).alias("p_move")
+        earlier = Window.partitionBy(*who).orderBy("season").rangeBetween(-back, -back)
+        full = full.withColumn(f"{tag}_m", F.avg("metric").over(earlier)).withColumn(f"{tag}_g", F.count(F.lit(1)).over(earlier))
+
+    def known(keys: Sequence[str], value: Column) -> Column:
+        # rows without a key have neither earlier seasons nor a past
+        return F.when(reduce(and_, [F.col(k).isNotNull() for k in keys]), value)
+
+    full = full.withColumn("three", known([*who, "season"], X.weighted_three_seasons("now", "games", "l_m", "l_g", "b_m", "b_g")))
+    full = full.withColumn("three", W.fill_down("three", [*who, "season"], ["week"]))
+    kept = full.select(
+        *who, *when, "team", "metric", "group_metric", F.round("share", DIGITS).alias("share"), "three", F.col("now").isNull().alias("without")
     )
-    keys = ["family", "entity", "season", "week"]
-    return kept.join(tested, keys, "left").join(moved, keys, "left").select(
-        *keys, "team", F.col("three").alias("metric"), "p_play", "p_move", F.round("share", DIGITS).alias("share")
+    sides = {s: [f.name for f in families if f.side == s] for s in ("greater", "less")}
+    side = F.when(F.col("family").isin(sides["less"]), "less").otherwise("greater")
+    tested = X.played_or_not_test(kept, who, when, "group_metric", "without", side, keep_rows=True)
+    p_play = F.when(F.col("family").isin([f.name for f in families]), F.round("p_value", DIGITS))
+    tested = tested.select(*who, *when, "team", "metric", "three", "share", p_play.alias("p_play"))
+    moved = X.former_groups_test(tested, who, when, "team", "metric", keep_rows=True)
+    return moved.select(
+        "family", "entity", *when, "team", F.col("three").alias("metric"), known([*who, *when], F.col("p_play")).alias("p_play"),
+        known([*who, *when], F.round("changing_groups_p", DIGITS)).alias("p_move"), "share",
     )
 
 
@@ -89,7 +88,7 @@ def contributor_verdicts(rows: DataFrame, families: Sequence[Family] = FAMILIES,
     limits = spark.createDataFrame([(f.name, f.alpha, f.min_share) for f in families], "family string, alpha double, least double")
     known = evidence.join(limits, "family").join(edges, "family", "left")
     verdict = X.contributor_verdict("metric", "p_play", "p_move", "share", F.col("low"), F.col("high"), F.col("alpha"), F.col("least"))
-    first = rows.agg(F.min("season")).first()[0]
+    first = evidence.agg(F.min("season")).first()[0]
     flags = known.where(F.col("season") >= (first if first is not None else 0) + seasons_before).withColumn("verdict", verdict)
     return flags.groupBy("entity", "season", "week", "team").agg(
         *[F.coalesce(F.bool_or(F.when(F.col("family") == f.name, F.col("verdict"))), F.lit(False)).alias(f.name) for f in families]

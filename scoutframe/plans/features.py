@@ -149,11 +149,13 @@ _MEASURES = ("yards", "air", "touches", "urgent")
 def family_rows(spark, d):
     """Long rows of all families: one per family, player and week."""
     rows = D.panel(spark, d)
-    totals = rows.groupBy("season", "week", "team").agg(*[F.sum(c).alias(f"all_{c}") for c in _MEASURES])
-    sides = D.teams(spark, d).select("season", "week", "team", "yards", "air", "urgent")
+    # sums of a team and week are few; written down, their size is known before the players are joined to them
+    totals = staged(rows.groupBy("season", "week", "team").agg(*[F.sum(c).alias(f"all_{c}") for c in _MEASURES]), "totals")
+    sides = staged(D.teams(spark, d).select("season", "week", "team", "yards", "air", "urgent"), "sides")
     own = sides.select("season", "week", "team", F.struct("yards", "air", "urgent").alias("own"))
     other = sides.select("season", "week", F.col("team").alias("opponent"), F.struct("yards", "air", "urgent").alias("other"))
     full = rows.join(totals, ["season", "week", "team"]).join(own, ["season", "week", "team"], "left").join(other, ["season", "week", "opponent"], "left")
+    full = full.repartition("entity")  # a career's windows need no other shuffle, and players move before they are copied per family
     each = F.array(*[
         F.struct(
             F.lit(name).alias("family"), F.col("position").isin(*positions).alias("member"), F.col(own_measure).cast("double").alias("metric"),
@@ -162,7 +164,7 @@ def family_rows(spark, d):
         for name, (positions, own_measure, side, measure) in _FAMILY_ROWS.items()
     ])
     long = full.select("entity", "season", "week", "team", F.explode(F.filter(each, lambda f: f["member"])).alias("f")).select("entity", "season", "week", "team", "f.*")
-    return long.withColumn("share", F.avg("part").over(W.prior(["family", "entity", "season"], ["week"]))).drop("member", "part")
+    return long.withColumn("share", F.avg("part").over(W.prior(["entity", "family", "season"], ["week"]))).drop("member", "part")
 
 
 def _family_sql() -> str:
