@@ -202,3 +202,36 @@ def test_tree_search_is_exact(scale):
     for q, best in kdtree_topk.search(points[:9], np.arange(9), np.full(9, -np.inf), ids, points[order], nodes, low, high, 5):
         exact = sorted((-sum(int(x) * int(y) for x, y in zip(points[q], p)), i) for i, p in enumerate(points) if i != q)[:5]
         assert best == exact
+
+
+def test_copies_of_query_blocks_are_not_broadcast(spark):
+    """Blocks are few before they are copied to every shard; Spark must not take the copies for few and gather them in the driver."""
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate(rng.normal(0, 1, (900, 4)).round(2).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = kdtree_topk.top_inner_products(df, "key % 3 = 0", k=4, shard_rows=30, block_rows=20, leaf=4)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Generate explode" in plan and "MapInArrow" in plan
+    copies = [x for x in plan.split("== Initial Plan ==")[0].splitlines() if "BroadcastExchange" in x and "binary" in x]
+    joined = [x for x in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in x and "shard" in x]
+    assert not copies and not joined
+    whole = np.floor(256 * np.array([v for _, v in rows]))
+    want = []
+    for q in range(0, 900, 3):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:4]
+        want += [(q, place, i, -s) for place, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 500])
+def test_tree_search_in_blocks_keeps_ties_and_limits(kinds):
+    rng = np.random.default_rng(kinds)
+    points = np.floor(rng.normal(0, 3, (kinds, 5)))[rng.integers(0, kinds, 600)]
+    order, nodes, low, high = kdtree_topk.build_tree(points, 8)
+    ids = rng.permutation(600)
+    queries, own = np.floor(rng.normal(0, 3, (40, 5))), np.arange(40)
+    products = [sorted((-int(p @ q), int(i)) for p, i in zip(points, ids) if i != k) for k, q in enumerate(queries)]
+    least = np.array([[-np.inf, -float(products[k][2][0]), -float(products[k][0][0]) + 1][k % 3] for k in range(40)])
+    found = dict(kdtree_topk.search(queries, own, least, ids[order], points[order], nodes, low, high, 4))
+    assert found == {k: [x for x in products[k] if -x[0] >= least[k]][:4] for k in range(40)}
